@@ -1 +1 @@
-
+"""Pipelines, recipes, profiles, samples and reports."""
