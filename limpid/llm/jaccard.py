@@ -30,11 +30,13 @@ HEAVY = np.uint64(1 << 63)
 #: A shingle that this share of the documents holds is heavy: it comes last in the order. There are at most
 #: (mean set size / HEAVY_SHARE) of them, whatever the corpus.
 HEAVY_SHARE = 0.005
+#: Bins of a histogram.
+BINS = 256
 #: Sets in one block; larger blocks are split into pairs of parts, which together hold every pair.
 BLOCK = 4096
 
 L, D = T.LongType(), T.ArrayType(T.LongType())
-SETS = T.StructType([T.StructField("doc", L), T.StructField("n", L), T.StructField("sig", L), T.StructField("sig2", L), T.StructField("heavy", D), T.StructField("heavy_n", D)])
+SETS = T.StructType([T.StructField("doc", L), T.StructField("n", L), T.StructField("sig", L), T.StructField("sig2", L), T.StructField("bins", T.BinaryType()), T.StructField("heavy", D), T.StructField("heavy_n", D)])
 TOKENS = T.StructType([T.StructField("token", L), T.StructField("late", T.BooleanType()), T.StructField("sig", L)])
 
 
@@ -63,22 +65,28 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return (d & (2**64 - 1)) - 2**63, (d >> 64) - 2**63
 
 
+def histogram(tokens: np.ndarray) -> bytes:
+    """How many tokens have each value of 8 of their bits, 255 at most."""
+    return np.minimum(np.bincount((tokens & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def describe(docs: DataFrame, width: int) -> DataFrame:
     """Each document's set size and signature; the first row of a batch also carries shingles frequent in that batch."""
 
     def make(b: pa.RecordBatch):
-        doc, n, sig, sig2, every = b.column(0), [], [], [], []
+        doc, n, sig, sig2, bins, every = b.column(0), [], [], [], [], []
         for s in shingle_sets(b.column(1), width):
             n.append(len(s))
             a, c = signature(s)
             sig.append(a)
             sig2.append(c)
+            bins.append(histogram(s))
             every.append(s)
         if n:
             tokens, count = np.unique(np.concatenate(every), return_counts=True)
             often = count >= max(4, HEAVY_SHARE * len(n))
             none = [[]] * (len(n) - 1)
-            yield {"doc": doc, "n": n, "sig": sig, "sig2": sig2, "heavy": [tokens[often].astype(np.int64), *none], "heavy_n": [count[often], *none]}
+            yield {"doc": doc, "n": n, "sig": sig, "sig2": sig2, "bins": bins, "heavy": [tokens[often].astype(np.int64), *none], "heavy_n": [count[often], *none]}
 
     return expand(docs.select("doc", "text"), SETS, make)
 
@@ -194,29 +202,78 @@ def divide_skip(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int
                 yield order[x], order[y]
 
 
+def sieve(size: np.ndarray, bins: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Groups of two or more sets outside of which, by sizes and histograms, no set of a group can have a link."""
+    left = np.arange(len(size))
+    while len(left) > 1:
+        group, edge, left = [left[:1]], [int(left[0])], left[1:]
+        while edge and len(left):
+            x = edge.pop()
+            apart = np.abs(bins[left] - bins[x]).sum(1)
+            total = size[left] + size[x]
+            near = (apart <= total - 2 * need(total, percent)) & (100 * np.minimum(size[left], size[x]) >= percent * np.maximum(size[left], size[x]))
+            if near.any():
+                group.append(left[near])
+                edge += left[near].tolist()
+                left = left[~near]
+        if len(group) > 1:
+            yield np.concatenate(group)
+
+
+def sieved(rows: DataFrame, percent: int) -> DataFrame:
+    """rows (block, part, node, n, bins) -> (block, node): groups of each part that may hold links, named by a hash of
+    their members, as many blocks hold the same ones."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, told = None, [], set()
+
+        def close():
+            nodes, size = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
+            bins = np.frombuffer(b"".join([x[2] for x in held]), np.uint8).reshape(len(held), -1).astype(np.int16)
+            for own in sieve(size, bins, percent):
+                own = np.sort(nodes[own])
+                name = xxhash.xxh3_64_intdigest(own.tobytes()) - 2**63
+                if name not in told:
+                    told.add(name)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), name)), pa.array(own)], ["block", "node"])
+
+        for b in batches:
+            for block, part, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (block, part) != key:
+                    if len(held) > 1:
+                        yield from close()
+                    key, held = (block, part), []
+                held.append(x)
+        if len(held) > 1:
+            yield from close()
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "block", "part").sortWithinPartitions("block", "part").mapInArrow(step, "block long, node long").distinct()
+
+
 def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """rows (block, part, node, text), all of a block's part in one partition and in order -> links (a, b)."""
+    """rows (block, node, text), all of a block in one partition and in order -> links (a, b)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, nodes, sets = None, [], []
 
         def close():
-            got = [(nodes[a], nodes[b]) for a, b in divide_skip(sets, percent)] if len(sets) > 1 else []
+            got = [(nodes[a], nodes[b]) for a, b in divide_skip(sets, percent)]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for b in batches:
-            for block, part, node, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), shingle_sets(b.column(3), width), strict=True):
-                if (block, part) != key:
+            for block, node, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), width), strict=True):
+                if block != key:
                     if len(sets) > 1:
                         yield close()
-                    key, nodes, sets = (block, part), [], []
+                    key, nodes, sets = block, [], []
                 nodes.append(node)
                 sets.append(tokens)
         if len(sets) > 1:
             yield close()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "block", "part").sortWithinPartitions("block", "part").mapInArrow(step, "a long, b long")
+    return rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(step, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
@@ -234,13 +291,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heavy = spark.sparkContext.broadcast(np.sort(np.array([r.heavy for r in often.select("heavy").collect()], np.int64).astype(np.uint64)))
 
     # A class is known by its first document; two sets with the same first 64 bits of signature would only share blocks.
-    classes = sets.filter("n > 0").groupBy("sig", "sig2").agg(F.min("doc").alias("node"))
+    classes = sets.filter("n > 0").groupBy("sig", "sig2").agg(F.min(F.struct("doc", "n", "bins")).alias("x")).select("sig", "sig2", F.col("x.doc").alias("node"), "x.n", "x.bins")
     members = materialise(meet(prefix_tokens(own, width, percent, heavy)), "blocks")
     parts = members.groupBy("block").agg(F.count("*").alias("m")).filter(F.col("m") > block).select("block", F.ceil(F.col("m") / block).alias("k"))
     split = members.join(parts, "block", "left").withColumn("i", F.pmod(F.xxhash64("sig"), F.coalesce("k", F.lit(1))))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("k"), F.lit(1)) - 1), lambda j: F.least("i", j) * 1_000_000 + F.greatest("i", j))
-    filed = split.select("sig", F.explode(cells).alias("part"), "block").groupBy("sig").agg(F.collect_list(F.struct("block", "part")).alias("blocks"))
-    wanted = filed.join(classes, "sig").select(F.col("node").alias("doc"), "node", "sig", "sig2", "blocks")
+    filed = split.select("sig", F.explode(cells).alias("part"), "block").join(classes, "sig").select("block", "part", "node", "n", "bins")
+    groups = materialise(sieved(filed, percent), "groups").groupBy("node").agg(F.collect_list("block").alias("blocks"))
+    wanted = groups.join(classes.select("node", "sig", "sig2"), "node").select(F.col("node").alias("doc"), "node", "sig", "sig2", "blocks")
     texts = own.join(wanted.hint("shuffle_hash"), "doc").filter(F.col("text") != "")
 
     def true_rows(b: pa.RecordBatch):
@@ -251,11 +309,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     kinds = {f.name: f for f in texts.schema}
     rows = expand(texts, T.StructType([kinds["node"], kinds["text"], kinds["blocks"]]), true_rows) if has_repeated_ids(sets) else texts
-    rows = rows.select("node", "text", F.explode("blocks").alias("x")).select("x.block", "x.part", "node", "text")
+    rows = rows.select("node", "text", F.explode("blocks").alias("block")).select("block", "node", "text")
     links = block_links(rows, width, percent)
-    same = sets.filter("n > 0").join(classes, ["sig", "sig2"]).groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a <> b").select("a", F.explode("all").alias("b"))
+    same = sets.filter("n > 0").join(classes.select("sig", "sig2", "node"), ["sig", "sig2"]).groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a <> b").select("a", F.explode("all").alias("b"))
     found = components(links.union(same))
-    named = sets.select("doc", "n", "sig", "sig2").join(classes, ["sig", "sig2"], "left").join(found, "node", "left")
+    named = sets.select("doc", "n", "sig", "sig2").join(classes.select("sig", "sig2", "node"), ["sig", "sig2"], "left").join(found, "node", "left")
     null_id = F.lit(None).cast("long")
     show = lambda c: F.when(c == NO_ID, null_id).otherwise(c)
     return named.select(show(F.col("doc")).alias(id_col), F.col("n").alias("n_shingles"), show(F.coalesce("component", "node", "doc")).alias("component_id"))
