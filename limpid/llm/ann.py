@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.arrow import add_columns
+from limpid.llm.arrow import add_columns, stream
 from limpid.llm.spark import materialise
 
 WORDS = 16
@@ -154,7 +154,7 @@ def scan(index: DataFrame, block: Queries, top: int, keep: int) -> DataFrame:
         out = [(int(block.ids[q]), i, -s) for q, found in enumerate(held) for s, i in found]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
 
-    return index.select("vec_id", "v", "code").mapInArrow(step, "query_id long, vec_id long, score double")
+    return stream(index.select("vec_id", "v", "code"), step, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, keep: int = 96, block: int = 1024) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Row-wise Arrow steps that keep a frame's other columns."""
+"""Arrow steps over frames: rows are handled a few at a time, and workers give memory back between tasks."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +13,35 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows handled at once; Spark's own batches hold up to 10,000 texts.
+ROWS = 2048
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: Spark keeps workers for later tasks, beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def stream(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with small batches."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, ROWS):
+                yield b.slice(lo, ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(small(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def add_columns(df: DataFrame, schema: T.StructType, make: Callable[[pa.RecordBatch], list]) -> DataFrame:
     """df with the columns of `schema`, made batch by batch; columns of these names that df has are replaced.
 
@@ -24,7 +56,7 @@ def add_columns(df: DataFrame, schema: T.StructType, make: Callable[[pa.RecordBa
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in kept] + new, [*kept, *schema.names])
 
     out = T.StructType([f for f in df.schema if f.name in kept] + list(schema))
-    return df.mapInArrow(step, out)
+    return stream(df, step, out)
 
 
 def expand(df: DataFrame, schema: T.StructType, make: Callable[[pa.RecordBatch], Iterator[dict | None]]) -> DataFrame:
@@ -37,7 +69,7 @@ def expand(df: DataFrame, schema: T.StructType, make: Callable[[pa.RecordBatch],
                 if part:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, types[n]) for n, x in ((n, part[n]) for n in types)], [*types])
 
-    return df.mapInArrow(step, schema)
+    return stream(df, step, schema)
 
 
 def blobs(column: pa.Array) -> list[bytes | None]:

@@ -139,14 +139,15 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     own = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     size = own.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
     blocks = max(1, -(-size // block_bytes))
-    out = add_columns(docs, RESULT, lambda b: start(b, text_col))
+    out, begun = docs, False
     for k in range(blocks):
         block = Items([(r.id, r.text) for r in own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()], window)
         if not block.words:
             continue
         shared = spark.sparkContext.broadcast((block, block.prefixes(frequencies(docs, text_col, block))))
-        out = add_columns(out, RESULT, lambda b, shared=shared: extend(b, text_col, *shared.value))
-    return out
+        out = add_columns(out, RESULT, lambda b, shared=shared, begun=begun: extend(b, text_col, *shared.value, begun))
+        begun = True
+    return out if begun else add_columns(docs, RESULT, lambda b: start(b, text_col))
 
 
 def start(b: pa.RecordBatch, text_col: str) -> list:
@@ -155,10 +156,10 @@ def start(b: pa.RecordBatch, text_col: str) -> list:
     return [pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64()), [0] * rows, [[]] * rows, [[]] * rows]
 
 
-def extend(b: pa.RecordBatch, text_col: str, items: Items, prefixes: dict) -> list:
-    """The results so far and what one block of items adds."""
-    hit, names, spans = [], [], []
-    had_items, had_spans = b.column("hit_items").to_pylist(), b.column("hit_spans").to_pylist()
+def extend(b: pa.RecordBatch, text_col: str, items: Items, prefixes: dict, begun: bool) -> list:
+    """The results of earlier blocks of items, if there were any, and what one block adds."""
+    hit, names, spans, words = [], [], [], []
+    had_items, had_spans = (b.column(c).to_pylist() if begun else [()] * b.num_rows for c in ("hit_items", "hit_spans"))
     for w in slices(b.column(text_col), ALNUM):
         s, v = find(w, items, prefixes)
         got = defaultdict(set)
@@ -172,6 +173,7 @@ def extend(b: pa.RecordBatch, text_col: str, items: Items, prefixes: dict) -> li
                 cover[w.first[d] + a] += 1
                 cover[w.first[d] + e] -= 1
         inside = np.r_[0, np.cumsum(cover[:-1]) > 0].astype(np.int64)
+        words += w.counts.tolist()
         total = np.concatenate([[0], np.cumsum(inside[1:])])
         n = total[w.first[1:]] - total[w.first[:-1]]
         for d in range(w.hi - w.lo):
@@ -179,4 +181,4 @@ def extend(b: pa.RecordBatch, text_col: str, items: Items, prefixes: dict) -> li
             edge = np.flatnonzero(np.diff(np.r_[0, inside[1 + w.first[d] : 1 + w.first[d + 1]], 0])).reshape(-1, 2).tolist() if n[d] else []
             spans.append(edge)
             hit.append(int(n[d]))
-    return [b.column("n_words"), hit, names, spans]
+    return [words, hit, names, spans]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.arrow import expand
+from limpid.llm.arrow import expand, stream
 from limpid.llm.graph import components
 from limpid.llm.spark import NO_ID, id_key, materialise
 from limpid.llm.words import FOLDED, slices
@@ -142,7 +142,7 @@ def meet(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[pairs[0], own]), pa.array(np.r_[pairs[1], own])], ["block", "sig"])
 
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tokens.repartition(n, "token").sortWithinPartitions("token", "late", "sig").mapInArrow(step, "block long, sig long").distinct()
+    return stream(tokens.repartition(n, "token").sortWithinPartitions("token", "late", "sig"), step, "block long, sig long").distinct()
 
 
 class Forest:
@@ -248,7 +248,7 @@ def sieved(rows: DataFrame, percent: int) -> DataFrame:
             yield from close()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "block", "part").sortWithinPartitions("block", "part").mapInArrow(step, "block long, node long").distinct()
+    return stream(rows.repartition(n, "block", "part").sortWithinPartitions("block", "part"), step, "block long, node long").distinct()
 
 
 def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
@@ -273,7 +273,7 @@ def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
             yield close()
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "block").sortWithinPartitions("block").mapInArrow(step, "a long, b long")
+    return stream(rows.repartition(n, "block").sortWithinPartitions("block"), step, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:

@@ -11,6 +11,7 @@ many segments advance together through the automata as tables.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -44,29 +45,31 @@ def fold_of(col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
-    """The transitions of the automaton of all substrings of a text; state 0 is the root."""
-    go, link, length, last = [{}], [-1], [0], 0
+def suffix_automaton(text: list[int], width: int) -> array:
+    """The transitions of the automaton of all substrings of a text, flat by state and symbol, -1 where there is none;
+    state 0 is the root."""
+    none = array("i", [-1]) * width
+    go, link, length, last = array("i", none), [-1], [0], 0
     for c in text:
-        new = len(go)
-        go.append({})
+        new = len(link)
+        go += none
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and c not in go[p]:
-            go[p][c] = new
+        while p >= 0 and go[p * width + c] < 0:
+            go[p * width + c] = new
             p = link[p]
         if p >= 0:
-            q = go[p][c]
+            q = go[p * width + c]
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
-                twin = len(go)
-                go.append(dict(go[q]))
+                twin = len(link)
+                go += go[q * width : (q + 1) * width]
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and go[p].get(c) == q:
-                    go[p][c] = twin
+                while p >= 0 and go[p * width + c] == q:
+                    go[p * width + c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
@@ -87,15 +90,12 @@ class Automata:
             self.symbol[b] = code.get(int(SYMBOL[b]), 0)
         self.width, self.bits, tables, roots, base = len(known) + 1, np.log2([len(t) + 1 for t in texts]), [], [], 0
         for t in texts:
-            go = suffix_automaton([code[c] for c in t])
-            table = np.full((len(go), self.width), -1, np.int64)
-            for s, x in enumerate(go):
-                table[s, list(x)] = list(x.values())
+            table = np.frombuffer(suffix_automaton([code[c] for c in t], self.width), np.int32).reshape(-1, self.width)
             again = np.where(table[0] < 0, 0, table[0])  # the phrase ends; the symbol begins the next
             table = np.where(table < 0, 2 * self.width * (base + again[None, :]) + 1, 2 * self.width * (base + table))
             roots.append(base * self.width)
             tables.append(table.astype(np.int32))
-            base += len(go)
+            base += len(table)
         self.step, self.roots = np.concatenate(tables).ravel(), np.array(roots, np.int32)
 
     def phrases(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:

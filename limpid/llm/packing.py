@@ -9,6 +9,7 @@ those it filled. Within a task pieces arrive in blocks, longest first, which bes
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.arrow import expand
+from limpid.llm.arrow import expand, stream
 from limpid.llm.spark import materialise, partitions_for
 from limpid.llm.words import PLAIN, Words, slices
 
 #: Words whose ids a worker remembers; beyond, it forgets all and begins anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: How a word is preceded, mixed into its key: by nothing, a space, a line break.
 BEFORE = {"": np.uint64(0), " ": np.uint64(0x6A09E667F3BCC908), "\n": np.uint64(0xBB67AE8584CAA73B)}
 #: White space beyond ASCII, in UTF-8, by its first byte. Fixed values of Unicode.
@@ -49,10 +50,9 @@ class Encoder:
 
     def __init__(self, path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            self.path, self.library, self.special = path, None, [x["content"].encode() for x in json.load(f).get("added_tokens", [])]
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(n) for a, n in map(bytes.split, f)}
         core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -63,9 +63,13 @@ class Encoder:
         self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, text: bytes) -> np.ndarray:
-        own = any(x in text for x in self.special)
-        ids = self.library.encode(text.decode(), add_special_tokens=False).ids if own else self.plain(text.decode())
-        return np.array(ids, np.uint32)
+        if not any(x in text for x in self.special):
+            return np.array(self.plain(text.decode()), np.uint32)
+        if self.library is None:  # loaded when first needed, as it is large
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
 
     def _word(self, before: str, word: str) -> list[int]:
         if before != "\n" and word.isalpha():
@@ -157,7 +161,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, size: int, path: str, ra
     def make(b: pa.RecordBatch):
         encode = encoder(path, ranks_path, pattern)
         doc = b.column(0).to_pylist()
-        for w in slices(b.column(1), PLAIN, 2 << 20):
+        for w in slices(b.column(1), PLAIN, 1 << 20):
             out = {k: [] for k in schema.names}
             for d, found in zip(doc[w.lo : w.hi], encode(w), strict=True):
                 ids = found.tobytes() + last
@@ -233,4 +237,4 @@ def pack(docs: DataFrame, path: str, ranks_path: str, pattern: str, id_col: str
         if held and sum(x.num_rows for x in held):
             yield from place()
 
-    return cut.repartition(tasks).mapInArrow(step, schema)
+    return stream(cut.repartition(tasks), step, schema)

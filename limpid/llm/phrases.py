@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.arrow import add_columns, expand
+from limpid.llm.arrow import add_columns, expand, stream
 from limpid.llm.spark import id_key, materialise, partitions_for
 from limpid.llm.words import PLAIN, Words, sliding_argmin, slices
 
@@ -154,7 +154,7 @@ def sharded(rows: DataFrame, shards: int, window: int) -> DataFrame:
             t = t.select(["route", "uid"]).append_column("spans", pa.array(spans, pa.list_(pa.int32())))
             yield from t.filter(pa.array([bool(x) for x in spans])).combine_chunks().to_batches()
 
-    return rows.select("route", "uid", "text", "n").repartition(shards, "route").mapInArrow(step, "route long, uid long, spans array<int>")
+    return stream(rows.select("route", "uid", "text", "n").repartition(shards, "route"), step, "route long, uid long, spans array<int>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, wide: int = WIDE, shard: int = SHARD) -> DataFrame:

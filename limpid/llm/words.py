@@ -16,7 +16,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes handled at once; a longer text is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -71,7 +71,7 @@ class _Powers:
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
+            self.n = max(n, min(2 * self.n, self.n + (1 << 18)), 1 << 16)
             self.p, self.q = (np.cumprod(np.concatenate([[U(1)], np.full(self.n - 1, x, U)])) for x in (U(self.base), U(self.inverse)))
         return self.p[:n], self.q[:n]
 
