@@ -111,7 +111,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(spark, fanout)
     for k in range(batches):
         runs.add(lines.filter(F.col("batch") == k).drop("batch"))
-    gone = runs.totals().filter(F.col("n_docs") >= min_docs).select("key", "last_doc")
+    # Written, so that the join has an exchange of its own on both sides and Spark can split a key that very many lines have.
+    gone = materialise(runs.totals().filter(F.col("n_docs") >= min_docs).select("key", "last_doc"), "recurring-lines")
     per_doc = lines.join(gone, "key").filter(F.col("doc") < F.col("last_doc")).groupBy("doc").agg(F.collect_set("key").alias("gone"))
     base = docs.select(*[c for c in docs.columns if c not in KEPT.names], id_key(id_col).alias("__doc"))
     joined = base.join(per_doc.select(F.col("doc").alias("__doc"), F.col("gone").alias("__gone")).hint("shuffle_hash"), "__doc", "left")
