@@ -7,6 +7,33 @@ _SPACE = r"'[\x20\x09-\x0D]+'"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(coalesce({text}, ''), " + _SPACE + "), lambda w: w <> '')"
 
+def _matches(kind: int, pattern: str, group: int, good: str) -> str:
+    """Rows (r, kind, s, e, v) of a pattern's matches: places add up from the pieces between matches."""
+    cut = f"SELECT r, string_split_regex(t, {pattern}) AS gaps, regexp_extract_all(t, {pattern}) AS hits, regexp_extract_all(t, {pattern}, {group}) AS vals FROM d"
+    each = f"SELECT r, unnest(generate_series(1, len(hits))) AS i, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(vals) AS v FROM ({cut})"
+    ends = f"SELECT r, v, length(hit) AS n, sum(length(gap) + length(hit)) OVER (PARTITION BY r ORDER BY i) AS e FROM ({each})"
+    return f"SELECT r, {kind} AS kind, (e - n)::BIGINT AS s, e::BIGINT AS e, v FROM ({ends}) WHERE {good}"
+
+
+_ASSIGN = r"""'(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+_MIXED = "length(v) >= 24 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')"
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, coalesce(source, '') AS owner FROM documents),
+base AS ({_matches(0, _ASSIGN, 2, "length(v) >= 8")} UNION ALL {_matches(1, "'AKIA[A-Z0-9]+'", 0, "length(v) >= 16")} UNION ALL {_matches(2, "'[0-9a-f]+'", 0, "length(v) >= 32")}),
+generic AS ({_matches(3, "'[A-Za-z0-9_-]+'", 0, _MIXED)}),
+apart AS (SELECT * FROM generic g WHERE NOT EXISTS (FROM base b WHERE b.r = g.r AND b.s < g.e AND g.s < b.e)),
+every AS (FROM base UNION ALL FROM apart),
+spread AS (SELECT kind, v, count(DISTINCT owner) AS owners FROM every JOIN d USING (r) GROUP BY kind, v),
+found AS (SELECT r, kind, s, owners, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || s || ':' || e AS span FROM every JOIN spread USING (kind, v) WHERE kind < 3 OR owners = 1),
+per_row AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,
+                   string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg(span, ',' ORDER BY s, kind) AS spans,
+                   count(*) FILTER (owners < 3) AS live, count(*) FILTER (owners >= 3) AS copied FROM found GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(live, 0)::BIGINT AS n_live, coalesce(copied, 0)::BIGINT AS n_copied
+FROM d LEFT JOIN per_row USING (r)
+"""
+
 OP2 = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS.format(text="text")} AS w FROM documents),
 win AS (SELECT r, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
@@ -57,4 +84,4 @@ FROM d LEFT JOIN kept USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_repeated_phrases": OP2, "op3_jaccard_join": OP3, "op9_decontamination": OP9, "op10_line_dedup": OP10}
+    return {"op1_secrets": OP1, "op2_repeated_phrases": OP2, "op3_jaccard_join": OP3, "op9_decontamination": OP9, "op10_line_dedup": OP10}
