@@ -166,12 +166,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     own = docs.select(id_key(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("dk"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = materialise(segments(own, window), "segments")
-    twice = every.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram")
+    # Grams to join on are written first: with an exchange of its own on both sides, Spark can split a very common gram.
+    twice = materialise(every.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram"), "twice")
     again = materialise(every.join(twice, "gram"), "recurring")
 
     different = again.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "dk", "at", F.col("n").alias("n"))).alias("x"))
     different = materialise(different, "different")
-    broad = different.groupBy("gram").agg(F.count("*").alias("m")).filter(F.col("m") > wide).select("gram", F.lit(True).alias("wide"))
+    broad = materialise(different.groupBy("gram").agg(F.count("*").alias("m")).filter(F.col("m") > wide).select("gram", F.lit(True).alias("wide")), "broad")
     one = different.join(broad, "gram", "left").filter("wide is null").select("x.doc", "x.dk", F.struct("gram", "seg", "x.at", "x.n", F.lit(False).alias("wide")).alias("e"))
     some = again.join(broad, "gram").dropDuplicates(["doc", "dk", "at"]).select("doc", "dk", F.struct("gram", "seg", "at", "n", "wide").alias("e"))
     asked = one.unionByName(some).groupBy("doc", "dk").agg(F.collect_list("e").alias("asked"))
