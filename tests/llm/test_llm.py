@@ -8,7 +8,7 @@ import pytest
 
 from limpid.llm.ann import nearest
 from limpid.llm.decontaminate import contamination
-from limpid.llm.jaccard import divide_skip, need
+from limpid.llm.jaccard import divide_skip, jaccard_components, need
 from limpid.llm.langid import identify, learn
 from limpid.llm.licenses import TEMPLATES, scan_licenses
 from limpid.llm.linededup import dedup_lines
@@ -168,3 +168,71 @@ def test_clashing_columns(spark, docs):
     items = spark.createDataFrame([(1, A[:100])], "item_id long, text string")
     for out in (remove_repeats(more), dedup_lines(more), identify(more, ()), scan_licenses(more), contamination(more, items)):
         assert out.count() == len(ROWS) and out.agg(F.min("extra")).first()[0] == 7 and len(set(out.columns)) == len(out.columns)
+
+
+def without_repeats(texts, window=35):
+    """Words left of each text, and how many there were."""
+    every = [words(t) for t in texts]
+    seen = Counter(tuple(w[i : i + window]) for w in every for i in range(len(w) - window + 1))
+    out = []
+    for w in every:
+        gone = {i + j for i in range(len(w) - window + 1) if seen[tuple(w[i : i + window])] > 1 for j in range(window)}
+        out.append((len(w), [x for i, x in enumerate(w) if i not in gone]))
+    return out
+
+
+def smallest_linked(rows, width, percent):
+    """For each (id, text) row the set's size and the smallest id reachable, -1 standing for a null id."""
+    sets = []
+    for _, t in rows:
+        w = words(low(t))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    up = [-1 if d is None else d for d, _ in rows]
+    ids = list(up)
+    for _ in rows:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if ids[i] == ids[j] or (a and b and 100 * len(a & b) >= percent * len(a | b)):
+                    up[i] = up[j] = min(up[i], up[j])
+    return [(len(s), m) for s, m in zip(sets, up, strict=True)]
+
+
+@pytest.mark.parametrize("wide", [2000, 1])
+def test_phrases(docs, none, wide):
+    got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeats(docs, wide=wide).collect()), key=repr)
+    expected = [(d, n, n - len(w), " ".join(w)) for (d, _, _), (n, w) in zip(ROWS, without_repeats([t for _, t, _ in ROWS]), strict=True)]
+    assert got == sorted(expected, key=repr) and sum(e[2] for e in expected) > 30000
+    assert remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_jaccard(docs, none, block):
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard_components(docs, block=block).collect())
+    expected = sorted((-1 if d is None else d, *x) for (d, _, _), x in zip(ROWS, smallest_linked([r[:2] for r in ROWS], 4, 85), strict=True))
+    assert got == expected and any(d != c for d, _, c in expected)
+    assert jaccard_components(none).count() == 0
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on what the one before kept, against brute force."""
+    import corpus_pipeline
+
+    rows = [(d, t, "en" if d and d % 2 else None, s, None if t is None else len(t), 7) for d, t, s in ROWS] + [(20, "hit " + " ".join(f"b{i}" for i in range(12)), "en", "s9", 1, 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"B{i}" for i in range(12))), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert k == 4 or out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        kept.append(docs.collect())
+    texts = lambda k: sorted(((r.doc_id, r.text) for r in kept[k]), key=repr)
+    assert texts(0) == sorted(((d, t) for d, t, *_ in rows if any(x.isalpha() for x in t or "")), key=repr)
+    assert sum(r.text != a for r in kept[1] for a in [dict(texts(0))[r.doc_id]]) == 2 and len(kept[1]) == len(kept[0])
+    own = texts(1)
+    linked = smallest_linked(own, 5, 80)
+    chosen = {(d, t) for (d, t), (_, m) in zip(own, linked, strict=True) if m == (-1 if d is None else d)}
+    assert texts(2) == sorted(chosen, key=repr) and len(kept[2]) < len(kept[1])
+    assert texts(3) == sorted(((d, t) for d, t in texts(2) if d != 20), key=repr) and len(kept[3]) == len(kept[2]) - 1
+    assert {r.doc_id for r in kept[4]} == {d for d, _ in texts(3)} and kept[4]
