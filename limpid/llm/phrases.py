@@ -97,12 +97,11 @@ def units(own: DataFrame, asked: DataFrame, window: int) -> DataFrame:
 
 
 class Codes(dict):
-    """Words as three characters each, from three alphabets of 100: automata stay narrow and matches whole words."""
+    """Words as three characters each, from three alphabets, the first two of 100: automata stay narrow and matches
+    whole words."""
 
     def __missing__(self, word: bytes) -> str:
         n = len(self)
-        if n >= 10**6:
-            raise ValueError("too many different words in a shard; lower SHARD")
         self[word] = code = chr(1 + n % 100) + chr(101 + n // 100 % 100) + chr(201 + n // 10_000)
         return code
 
@@ -183,8 +182,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = got.filter("rep").dropDuplicates(["route", "uid"]).select("route", "uid", "text").join(different.select(F.col("gram").alias("route"), F.col("seg").alias("uid"), "n"), ["route", "uid"])
     wides = got.filter("not rep").dropDuplicates(["doc", "dk", "at"]).join(rows, ["doc", "dk"], "left")
     windows = wides.groupBy("route", "uid").agg(F.first("text").alias("text"), F.sum(F.coalesce("copies", F.lit(1))).alias("n")).filter("n > 1")
+    windows = materialise(windows, "windows")  # as shards are sized by all that is dealt
     dealt = texts.unionByName(windows)
-    shards = max(partitions_for(different.count(), shard), int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(partitions_for(different.count() + windows.count(), shard), int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = materialise(sharded(dealt, shards, window), "spans")
 
     places = again.select(F.col("gram").alias("route"), F.col("seg").alias("uid"), "doc", "dk", "at").unionByName(got.filter("not rep").select("route", "uid", "doc", "dk", "at"))

@@ -14,7 +14,7 @@ from limpid.llm.licenses import TEMPLATES, scan_licenses
 from limpid.llm.linededup import dedup_lines
 from limpid.llm.ngramlm import score_texts
 from limpid.llm.packing import OpenBins, pack
-from limpid.llm.phrases import remove_repeats
+from limpid.llm.phrases import Codes, remove_repeats
 from limpid.llm.queries import TOKENIZER
 from limpid.llm.secrets import scan_secrets
 
@@ -197,6 +197,12 @@ def smallest_linked(rows, width, percent):
     return [(len(s), m) for s, m in zip(sets, up, strict=True)]
 
 
+def test_word_codes():
+    codes = Codes()
+    every = {codes[b"%d" % i] for i in range(1_100_000)}
+    assert len(every) == 1_100_000 and all(len(x) == 3 for x in every)
+
+
 @pytest.mark.parametrize("wide", [2000, 1])
 def test_phrases(docs, none, wide):
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in remove_repeats(docs, wide=wide).collect()), key=repr)
