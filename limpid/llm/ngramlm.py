@@ -2,9 +2,11 @@
 
 Unigrams and bigrams are counted over the training texts. A count c is kept as the level 1 + floor(log2 c); the filter
 holds an n-gram once for each level up to its own, so a count is read back by probing level after level until one is
-missing. The filter is a bit array of at most `max_bits`, whatever the corpus, broadcast to the workers; probabilities
-are smoothed from what the probes give. The base score uses exact counts instead: the frequent words, at most
-`frequent` of them by a share of all tokens, are broadcast, and the rest are joined.
+missing. The filter is cut into segments by the leading bits of a key. A segment has `bits_per_entry` bits for each of
+its entries, however many there are, and is never gathered: texts are dealt into chunks, a chunk's different n-grams
+travel to their segments, and the levels travel back as a byte each. Probabilities are smoothed from these. The base
+score uses exact counts instead: the frequent words, at most `frequent` of them by a share of all tokens, are broadcast,
+and the rest are joined.
 
 Counts travel as sorted arrays of hashes by hash range, so a shuffled row is a block of n-grams.
 """
@@ -18,21 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from limpid.llm.arrow import add_columns, expand, stream
+from limpid.llm.arrow import expand, give_back, stream
 from limpid.llm.langid import fold_of
-from limpid.llm.spark import id_key, materialise
+from limpid.llm.spark import id_key, materialise, partitions_for
 from limpid.llm.words import FOLDED, Words, mix, slices
 
 U = np.uint64
 END, BEGIN = U(0x452821E638D01377), U(0xBE5466CF34E90C6C)
-#: Tokens that a task counts at once.
-COUNTED = 1 << 21
-SEGMENTS = 64
+#: Bytes of text in a chunk, about.
+CHUNK = 1 << 23
 HASHES = 4
+#: Stands for a chunk in blocks of exact counts.
+EXACT = -1
 
 L = T.LongType()
-BLOCKS = T.StructType([T.StructField("order", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+#: keys and counts of a chunk's n-grams; or their levels, one byte each in the order of the keys, which are left out.
+BLOCKS = T.StructType([T.StructField("chunk", L), T.StructField("order", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+BLOCKS_ARROW = to_arrow_schema(BLOCKS)
 
 
 def pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -48,12 +54,24 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word, before, first
 
 
-def _blocks(order: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> dict:
+def grams(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens of all texts, the pair that ends at each, and the first token of each text."""
+    words, two, first, n = [np.zeros(0, U)], [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
+    for w in slices(text, FOLDED):
+        word, before, own = tokens(w)
+        words.append(word)
+        two.append(pairs(before, word))
+        first.append(own[1:] + n)
+        n += len(word)
+    return np.concatenate(words), np.concatenate(two), np.concatenate(first)
+
+
+def _blocks(chunk: int, order: int, keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.Table:
     """Sorted keys, cut into parts by their leading bits."""
     edge = np.searchsorted(keys >> U(32), np.arange(parts + 1, dtype=U) * U(2**32) // U(parts))
     some = np.flatnonzero(np.diff(edge))
     cut = lambda x: [x[edge[p] : edge[p + 1]].tobytes() for p in some]
-    return {"order": np.full(len(some), order, np.int32), "part": some.astype(np.int32), "keys": cut(keys), "counts": cut(counts.astype(np.int64))}
+    return pa.table([[chunk] * len(some), [order] * len(some), some, cut(keys), cut(counts.astype(np.int64))], schema=BLOCKS_ARROW)
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,45 +82,47 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def ngram_counts(train: DataFrame, min_pairs: int) -> DataFrame:
-    """BLOCKS of all unigrams (BEGIN counts texts) and of the bigrams seen at least min_pairs times."""
-    n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def ngram_levels(own: DataFrame, min_pairs: int, bits_per_entry: int) -> DataFrame:
+    """BLOCKS of own (chunk, held_out, text): the exact counts of all unigrams (BEGIN counts texts), and for each chunk
+    the levels of its different n-grams in a filter of the unigrams and of the bigrams seen at least min_pairs times."""
+    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * n
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for order in (0, 1):
-                if held[order]:
-                    yield pa.RecordBatch.from_pydict(_blocks(order + 1, *np.unique(np.concatenate(held[order]), return_counts=True), parts))
-                    held[order].clear()
-
-        size = 0
-        for b in batches:
-            for w in slices(b.column(0), FOLDED):
-                word, before, _ = tokens(w)
-                held[0] += [word, np.full(w.hi - w.lo, BEGIN)]
-                held[1].append(pairs(before, word))
-                size += len(word)
-                if size >= COUNTED:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[list, list]] = {}
+    def count(t: pa.Table) -> pa.Table:
+        chunk, train = t["chunk"][0].as_py(), ~t["held_out"].to_numpy()
+        word, two, first = grams(t["text"])
+        used = np.repeat(train, np.diff(first))
+        out = []
+        for order, keys, times in ((1, np.r_[word, np.full(len(train), BEGIN)], np.r_[used, train]), (2, two, used)):
+            keys, which = np.unique(keys, return_inverse=True)
+            out.append(_blocks(chunk, order, keys, np.bincount(which, times), parts))
+        give_back()
+        return pa.concat_tables(out)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(*x) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(x, BLOCKS_ARROW, strict=True)], schema=BLOCKS_ARROW)
+
+        held: dict[int, list[tuple]] = {}
         for b in batches:
-            for order, part, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                x = held.setdefault((order, part), ([], []))
-                x[0].append(np.frombuffer(k, U))
-                x[1].append(np.frombuffer(c, np.int64))
-        for order, part in sorted(held):
-            k, c = _merged(*held.pop((order, part)))
-            keep = c >= (min_pairs if order == 2 else 1)
-            yield pa.RecordBatch.from_pydict({"order": pa.array([order], pa.int32()), "part": pa.array([part], pa.int32()), "keys": [k[keep].tobytes()], "counts": [c[keep].tobytes()]})
-
-    return stream(stream(train.select("text"), count, BLOCKS).repartition(n, "part"), add, BLOCKS)
+            for chunk, order, part, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                held.setdefault(part, []).append((chunk, order, k, c))
+        for part in sorted(held):
+            rows, entries = held.pop(part), []
+            for order in (1, 2):
+                some = [x for x in rows if x[1] == order]
+                if some:
+                    k, c = _merged([np.frombuffer(x[2], U) for x in some], [np.frombuffer(x[3], np.int64) for x in some])
+                    keep = c >= (min_pairs if order == 2 else 1)
+                    entries.append((k[keep], level(c[keep])))
+                    if order == 1:
+                        yield block(EXACT, 1, part, k[keep].tobytes(), c[keep].tobytes())
+            segment = LogFrequencyFilter(*(np.concatenate(x) for x in zip(*entries, strict=True)), bits_per_entry)
+            for chunk, order, k, _ in rows:
+                yield block(chunk, order, part, None, segment.levels(np.frombuffer(k, U)).astype(np.uint8).tobytes())
+
+    counts = own.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(count, BLOCKS)
+    return stream(counts.repartition(n, "part"), answer, BLOCKS)
 
 
 def unigrams(blocks: DataFrame) -> DataFrame:
@@ -113,7 +133,7 @@ def unigrams(blocks: DataFrame) -> DataFrame:
             k, c = np.frombuffer(k, U), np.frombuffer(c, np.int64)
             yield {"h": k[k != BEGIN].view(np.int64), "c": c[k != BEGIN]}
 
-    return expand(blocks.filter(F.col("order") == 1).select("keys", "counts"), T.StructType([T.StructField("h", L), T.StructField("c", L)]), rows)
+    return expand(blocks.filter(F.col("chunk") == EXACT).select("keys", "counts"), T.StructType([T.StructField("h", L), T.StructField("c", L)]), rows)
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -121,38 +141,32 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """Levels of n-grams in one bit array, in segments by the leading bits of a key."""
+    """Levels of n-grams in one bit array, with bits_per_entry bits or more for each level of each key."""
 
-    def __init__(self, segments: dict[int, bytes], bits: int):
-        self.bits = bits
-        empty = bytes(bits // 8)
-        self.data = np.concatenate([np.frombuffer(segments.get(s, empty), np.uint8) for s in range(SEGMENTS)])
+    def __init__(self, keys: np.ndarray, levels: np.ndarray, bits_per_entry: int):
+        self.bits = 1 << 13
+        while self.bits < bits_per_entry * int(levels.sum()):
+            self.bits *= 2
+        flags = np.zeros(self.bits, bool)
+        for j in range(1, int(levels.max(initial=0)) + 1):
+            for p in self.places(keys[levels >= j], j):
+                flags[p] = True
+        self.data = np.packbits(flags, bitorder="little")
 
-    @staticmethod
-    def places(keys: np.ndarray, step: int, bits: int) -> Iterator[np.ndarray]:
-        """In its segment, the bits of each key for one level."""
+    def places(self, keys: np.ndarray, step: int) -> Iterator[np.ndarray]:
+        """The bits of each key for one level."""
         h = mix(keys + U(step * 0x9E3779B97F4A7C15 % 2**64))
         a, b = h & U(0xFFFFFFFF), (h >> U(32)) | U(1)
         for _ in range(HASHES):
-            yield (a & U(bits - 1)).astype(np.int64)
+            yield (a & U(self.bits - 1)).astype(np.int64)
             a = a + b
 
-    @classmethod
-    def segment(cls, keys: np.ndarray, levels: np.ndarray, bits: int) -> bytes:
-        flags = np.zeros(bits, bool)
-        for j in range(1, int(levels.max(initial=0)) + 1):
-            for p in cls.places(keys[levels >= j], j, bits):
-                flags[p] = True
-        return np.packbits(flags, bitorder="little").tobytes()
-
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, 0 if it isn't held; never below the true one."""
         out, left, j = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         while len(left) and j < 64:
             own, hit = keys[left], np.ones(len(left), bool)
-            base = (own >> U(58)).astype(np.int64) * self.bits
-            for p in self.places(own, j, self.bits):
-                p = p + base
+            for p in self.places(own, j):
                 hit &= (self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
             left = left[hit]
             out[left] = j
@@ -160,37 +174,10 @@ class LogFrequencyFilter:
         return out
 
 
-def build_filter(blocks: DataFrame, bits_per_entry: int, max_bits: int) -> LogFrequencyFilter:
-    def by_segment(b: pa.RecordBatch):
-        for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            k, q = np.frombuffer(k, U), level(np.frombuffer(c, np.int64)).astype(np.uint8)
-            edge = np.searchsorted(k >> U(58), np.arange(SEGMENTS + 1, dtype=U))
-            some = np.flatnonzero(np.diff(edge))
-            yield {"seg": some.astype(np.int32), "keys": [k[edge[s] : edge[s + 1]].tobytes() for s in some], "levels": [q[edge[s] : edge[s + 1]].tobytes() for s in some], "n": [int(q[edge[s] : edge[s + 1]].sum()) for s in some]}
-
-    I, B = T.IntegerType(), T.BinaryType()
-    entries = expand(blocks.select("keys", "counts"), T.StructType([T.StructField("seg", I), T.StructField("keys", B), T.StructField("levels", B), T.StructField("n", L)]), by_segment)
-    total = entries.agg(F.sum("n").alias("n")).first().n or 0
-    bits = 1 << 13
-    while bits * SEGMENTS < min(max_bits, bits_per_entry * total):
-        bits *= 2
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for s, k, q in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                held.setdefault(s, []).append((np.frombuffer(k, U), np.frombuffer(q, np.uint8)))
-        for s, x in held.items():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "data": [LogFrequencyFilter.segment(np.concatenate([k for k, _ in x]), np.concatenate([q for _, q in x]), bits)]})
-
-    made = stream(entries.select("seg", "keys", "levels").repartition(SEGMENTS, "seg"), fill, "seg int, data binary")
-    return LogFrequencyFilter({r["seg"]: r["data"] for r in made.toArrow().to_pylist()}, bits)
-
-
 RESULT = T.StructType([T.StructField(c, L) for c in ("n_tokens", "n_known", "rare")] + [T.StructField(c, T.DoubleType()) for c in ("base", "score")])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, min_pairs: int = 2, weight: float = 0.25, frequent: int = 1 << 20, bits_per_entry: int = 12, max_bits: int = 1 << 28) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, min_pairs: int = 2, weight: float = 0.25, frequent: int = 1 << 20, bits_per_entry: int = 12) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     Fold 0 by crc32 of the id is held out of training. A null or empty text is one end token. Repeated rows train as
@@ -200,45 +187,47 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     summed over tokens, with counts as the filter gives them; bigrams rarer than min_pairs are left out of it.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col(id_col).alias("id"), id_key(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("dk"), (fold_of(id_col, folds) == 0).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = materialise(ngram_counts(own.filter("not held_out"), min_pairs), "ngrams")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    chunks = partitions_for(docs.agg(F.sum(F.octet_length(text) + 1).alias("n")).first().n or 0, CHUNK)
+    own = docs.select(F.col(id_col).alias("id"), id_key(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("dk"), (fold_of(id_col, folds) == 0).alias("held_out"), text.alias("text"))
+    own = own.withColumn("chunk", F.pmod("dk", F.lit(chunks)))
+    blocks = materialise(ngram_levels(own, min_pairs, bits_per_entry), "ngrams")
     known = unigrams(blocks)
     stats = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(stats.n), int(stats.v)
     often = known.filter(F.col("c") >= max(1, n / frequent)).toArrow().sort_by("h")  # at most `frequent` words
     top_h, top_c = often["h"].to_numpy(), often["c"].to_numpy()
     order = np.argsort(top_h.astype(U))
-    shared = spark.sparkContext.broadcast((top_h.astype(U)[order], top_c[order], build_filter(blocks, bits_per_entry, max_bits)))
+    shared = spark.sparkContext.broadcast((top_h.astype(U)[order], top_c[order]))
     del often
 
     def exact(word: np.ndarray) -> np.ndarray:
         """Counts of the frequent words, 0 for all others."""
-        h, c, _ = shared.value
+        h, c = shared.value
         if not len(h):
             return np.zeros(len(word), np.int64)
         i = np.minimum(np.searchsorted(h, word), len(h) - 1)
         return np.where(h[i] == word, c[i], 0)
 
-    def probe(keys: np.ndarray) -> np.ndarray:
-        q = shared.value[2].levels(keys)
-        return np.where(q > 1, np.sqrt(2) * 2.0 ** (q - 1), q)
-
-    def make(b: pa.RecordBatch) -> list:
-        out: list[list] = [[], [], [], [], []]
-        for w in slices(b.column("text"), FOLDED):
-            word, before, first = tokens(w)
-            add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731,B023
-            one, which = np.unique(word, return_inverse=True)
-            c, seen = exact(one)[which], probe(one)[which]
-            p = (1 - weight) * (seen + 0.1) / (n + 0.1 * (v + 1))
-            two, pair = np.unique(pairs(before, word), return_inverse=True)
-            both = probe(two)[pair]
-            some = np.flatnonzero(both)
-            ctx, at = np.unique(before[some], return_inverse=True)
-            p[some] += weight * np.minimum(1, both[some] / np.maximum(probe(ctx)[at], both[some]))
-            for x, y in zip(out, (np.diff(first), add((c > 0).astype(np.int64)), add((c == 0).astype(np.int64)), add(np.where(c > 0, np.log10(c + 0.1), 0.0)), add(np.log10(p))), strict=True):
-                x.append(y)
-        return [pa.array(np.concatenate(x)) if x else [] for x in out]
+    scored = T.StructType([f for f in own.schema if f.name not in ("text", "chunk")] + list(RESULT))
+
+    def make(texts: pa.Table, levels: pa.Table) -> pa.Table:
+        """The rows of a chunk, given the levels of its different n-grams."""
+        levels = levels.sort_by([("order", "ascending"), ("part", "ascending")])
+        q = [np.frombuffer(b"".join(x for x, o in zip(levels["counts"].to_pylist(), levels["order"].to_pylist(), strict=True) if o == order), np.uint8).astype(np.int64) for order in (1, 2)]
+        word, two, first = grams(texts["text"])
+        one, which = np.unique(np.r_[word, BEGIN], return_inverse=True)
+        pair = np.unique(two, return_inverse=True)[1]
+        begin, which = which[-1], which[:-1]
+        before = np.r_[begin, which[:-1]]
+        before[first[:-1]] = begin
+        often, both = (np.where(x > 1, np.sqrt(2) * 2.0 ** (x - 1), x) for x in q)
+        c, both = exact(one)[which], both[pair]
+        p = (1 - weight) * (often[which] + 0.1) / (n + 0.1 * (v + 1)) + weight * both / np.maximum(np.maximum(often[before], both), 1)
+        add = lambda x: np.add.reduceat(x, first[:-1])
+        new = (np.diff(first), add((c > 0).astype(np.int64)), add((c == 0).astype(np.int64)), add(np.where(c > 0, np.log10(c + 0.1), 0.0)), add(np.log10(p)))
+        give_back()
+        return pa.table([*(texts[f.name] for f in scored if f.name in texts.column_names), *map(pa.array, new)], names=scored.names)
 
     def rest(b: pa.RecordBatch):
         dk = b.column(0).to_numpy()
@@ -248,7 +237,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rare = np.flatnonzero((exact(one) == 0)[which])
             yield {"dk": dk[w.lo + np.searchsorted(first, rare, side="right") - 1], "h": word[rare].view(np.int64)}
 
-    per_row = materialise(add_columns(own, RESULT, make).drop("text"), "scores")
+    levels = blocks.filter(F.col("chunk") != EXACT).select("chunk", "order", "part", "counts")
+    per_row = materialise(own.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(make, scored), "scores")
     rare = expand(own.select("dk", "text"), T.StructType([T.StructField("dk", L), T.StructField("h", L)]), rest)
     log = F.log10(F.coalesce("c", F.lit(0)) + 0.1)
     more = rare.join(known.hint("shuffle_hash"), "h", "left").groupBy("dk").agg(F.sum(log).alias("more"), F.count("c").alias("found"), F.count("*").alias("all"))

@@ -136,6 +136,20 @@ def test_lm(docs, none):
     assert all(r.score <= 0 for r in got) and score_texts(none).count() == 0
 
 
+def test_filter_grows():
+    """As many bits an entry however many entries: few n-grams that it doesn't hold are found."""
+    import numpy as np
+
+    from limpid.llm.ngramlm import LogFrequencyFilter
+
+    keys = np.random.default_rng(5).integers(0, 2**63, 400_000, dtype=np.int64).astype(np.uint64)
+    for n in (2_000, 200_000):
+        levels = np.arange(n) % 4 + 1
+        own = LogFrequencyFilter(keys[:n], levels, 12)
+        got = own.levels(keys[:n])
+        assert own.bits >= 12 * levels.sum() and (got >= levels).all() and (got > levels).mean() < 0.01 and (own.levels(keys[-n:]) > 0).mean() < 0.01
+
+
 def test_language(spark, none):
     text = {"en": "the quick brown fox jumps over the lazy dog and the cat", "fr": "le renard brun saute par dessus le chien et le chat dort"}
     rows = [(i, text[k] + f" {i}", k) for i, k in enumerate(["en", "fr"] * 15)] + [(90, None, "en"), (91, "12 !", "en"), (92, text["en"], None)]
