@@ -82,9 +82,9 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def ngram_levels(own: DataFrame, min_pairs: int, bits_per_entry: int) -> DataFrame:
+def ngram_levels(own: DataFrame, bits_per_entry: int) -> DataFrame:
     """BLOCKS of own (chunk, held_out, text): the exact counts of all unigrams (BEGIN counts texts), and for each chunk
-    the levels of its different n-grams in a filter of the unigrams and of the bigrams seen at least min_pairs times."""
+    the levels of its different n-grams in a filter of all n-grams of the training texts."""
     n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = 4 * n
 
@@ -113,7 +113,7 @@ def ngram_levels(own: DataFrame, min_pairs: int, bits_per_entry: int) -> DataFra
                 some = [x for x in rows if x[1] == order]
                 if some:
                     k, c = _merged([np.frombuffer(x[2], U) for x in some], [np.frombuffer(x[3], np.int64) for x in some])
-                    keep = c >= (min_pairs if order == 2 else 1)
+                    keep = c > 0  # others are in held-out texts only
                     entries.append((k[keep], level(c[keep])))
                     if order == 1:
                         yield block(EXACT, 1, part, k[keep].tobytes(), c[keep].tobytes())
@@ -177,21 +177,21 @@ class LogFrequencyFilter:
 RESULT = T.StructType([T.StructField(c, L) for c in ("n_tokens", "n_known", "rare")] + [T.StructField(c, T.DoubleType()) for c in ("base", "score")])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, min_pairs: int = 2, weight: float = 0.25, frequent: int = 1 << 20, bits_per_entry: int = 12) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, weight: float = 0.25, frequent: int = 1 << 20, bits_per_entry: int = 12) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     Fold 0 by crc32 of the id is held out of training. A null or empty text is one end token. Repeated rows train as
     often as they stand and are scored alike. Without training texts all counts are 0.
 
     score: log10 of weight * count(before, word) / count(before) + (1 - weight) * (count(word) + 0.1) / (N + 0.1 (V + 1)),
-    summed over tokens, with counts as the filter gives them; bigrams rarer than min_pairs are left out of it.
+    summed over tokens, with counts as the filter gives them; it holds all bigrams, those seen once too.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     chunks = partitions_for(docs.agg(F.sum(F.octet_length(text) + 1).alias("n")).first().n or 0, CHUNK)
     own = docs.select(F.col(id_col).alias("id"), id_key(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("dk"), (fold_of(id_col, folds) == 0).alias("held_out"), text.alias("text"))
     own = own.withColumn("chunk", F.pmod("dk", F.lit(chunks)))
-    blocks = materialise(ngram_levels(own, min_pairs, bits_per_entry), "ngrams")
+    blocks = materialise(ngram_levels(own, bits_per_entry), "ngrams")
     known = unigrams(blocks)
     stats = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(stats.n), int(stats.v)

@@ -136,6 +136,26 @@ def test_lm(docs, none):
     assert all(r.score <= 0 for r in got) and score_texts(none).count() == 0
 
 
+def test_lm_bigrams(docs):
+    """Scores against brute force with every bigram, those seen once too."""
+    import math
+
+    tokens = lambda t: [*words(low(t)), None]
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0
+    train = [tokens(t) for d, t, _ in ROWS if not held(d)]
+    one, two = Counter(x for t in train for x in t), Counter(p for t in train for p in zip(["", *t], t))
+    n, v = sum(one.values()), len(one)
+    one[""] = len(train)
+    near = lambda c: c if c < 2 else 2**0.5 * 2 ** (c.bit_length() - 1)
+
+    def score(t):
+        p = [0.75 * (near(one[b]) + 0.1) / (n + 0.1 * (v + 1)) + (0.25 * min(1, near(two[a, b]) / max(near(one[a]), near(two[a, b]))) if two[a, b] else 0) for a, b in zip(["", *t], t)]
+        return sum(map(math.log10, p))
+
+    got = sorted((str(r.doc_id), round(r.score, 4)) for r in score_texts(docs).collect())
+    assert got == sorted((str(d), round(score(tokens(t)), 4)) for d, t, _ in ROWS) and 1 in two.values()
+
+
 def test_filter_grows():
     """As many bits an entry however many entries: few n-grams that it doesn't hold are found."""
     import numpy as np
