@@ -3,8 +3,9 @@
 Vectors are scaled to unit length and split into pairs of dimensions, each coded by one of 16 codewords. As nearness is
 an inner product, an error along the vector moves scores of near queries most; the loss weighs it `eta` times as much
 as error across it. Codes are chosen by coordinate descent on that loss, codewords by its normal equations over a
-bounded sample. A search adds up table entries by code, keeps the best `keep` rows of each batch and ranks these by
-their exact cosine.
+bounded sample. A search adds up table entries by code and ranks the best `keep` rows of each batch by their exact
+cosine, and then all others that may be as near as the last of the best so far: the index holds the angle between each
+vector and its coded form, by which the angle to a query can be less than it seems.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from limpid.llm.arrow import add_columns, stream
 from limpid.llm.spark import materialise
 
 WORDS = 16
+#: Codes, the length of the coded vector, and its cosine with the vector.
+CODED = T.StructType([T.StructField("code", T.BinaryType()), T.StructField("length", T.DoubleType()), T.StructField("cosine", T.DoubleType())])
+#: More than rounding changes an approximate cosine.
+ROUNDING = 1e-5
 
 
 def eta_for(dim: int, threshold: float = 0.2) -> float:
@@ -91,12 +96,16 @@ def build(rows: DataFrame, sample: int = 8192) -> tuple[DataFrame, np.ndarray]:
 
     def make(b: pa.RecordBatch) -> list:
         if not b.num_rows:
-            return [[]]
-        codes = encode(units(matrix(b.column("v"))), shared.value, eta_for(d)).astype(np.uint8)
+            return [[], [], []]
+        x = units(matrix(b.column("v")))
+        codes = encode(x, shared.value, eta_for(d)).astype(np.uint8)
+        coded = shared.value[np.arange(codes.shape[1]), codes].reshape(x.shape)
+        length = np.linalg.norm(coded, axis=1)
+        cosine = np.clip((x * coded).sum(1) / np.where(length > 0, length, 1), -1, 1)
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-        return [[x.tobytes() for x in codes[:, 0::2] | codes[:, 1::2] << 4]]
+        return [[x.tobytes() for x in codes[:, 0::2] | codes[:, 1::2] << 4], pa.array(length), pa.array(cosine)]
 
-    return materialise(add_columns(rows, T.StructType([T.StructField("code", T.BinaryType())]), make), "index"), book
+    return materialise(add_columns(rows, CODED, make), "index"), book
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -121,6 +130,12 @@ class Queries:
         return (v * self.v[q]).sum(1) / (self.norm[q] * np.sqrt((v * v).sum(1)))
 
 
+def most(near: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """The largest cosine that vectors can have with a query, given that of their coded forms with it and with them."""
+    t, s = np.clip(near + ROUNDING, -1, 1), np.clip(cosine - ROUNDING, -1, 1)
+    return np.where(t < s, t * s + np.sqrt((1 - t * t) * (1 - s * s)), 1.0) + ROUNDING
+
+
 def scan(index: DataFrame, block: Queries, top: int, keep: int) -> DataFrame:
     """The best `top` of each partition for each query of a block, ranked by exact cosine."""
     shared = index.sparkSession.sparkContext.broadcast(block)
@@ -135,26 +150,30 @@ def scan(index: DataFrame, block: Queries, top: int, keep: int) -> DataFrame:
             order = np.lexsort((ids, *v.T[::-1]))  # equal vectors side by side, by id
             new = np.r_[True, (v[order[1:]] != v[order[:-1]]).any(1)]
             kind, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
-            one, until = order[firsts], np.r_[firsts[1:], len(ids)]
+            one = order[firsts]
             flat = codes[one].T.astype(np.intp) + 256 * np.arange(codes.shape[1])[:, None]
-            del kind
+            length, cosine = (b.column(k).to_numpy()[one] for k in (3, 4))
+            length = np.where(length > 0, length, 1)
+            sorted_ids = ids[order]
             for q, own in enumerate(block.ids.tolist()):
-                near = block.table(q).ravel().take(flat).sum(0)
+                near = block.table(q).ravel().take(flat).sum(0) / length
                 best = np.argpartition(-near, keep - 1)[:keep] if len(near) > keep else np.arange(len(near))
-                score = block.exact(q, v[one[best]])
+                score = np.full(len(near), -np.inf)
+                score[best] = block.exact(q, v[one[best]])
                 found = held[q]
-                floor = found[top - 1][0] if len(found) >= top else 1.0
-                for j in np.argsort(-score, kind="stable")[: top + 1]:
-                    if -score[j] > floor:
-                        break
-                    group = ids[order[firsts[best[j]] : until[best[j]]]]
-                    found += [(-float(score[j]), int(i)) for i in group[group != own][:top]]
+                known = np.sort(np.r_[score[kind[sorted_ids != own]], [-x[0] for x in found]])[::-1]
+                floor = known[top - 1] if len(known) >= top else -np.inf
+                more = np.flatnonzero((most(near, cosine) >= floor) & (score == -np.inf))
+                score[more] = block.exact(q, v[one[more]])
+                rows = np.flatnonzero((score[kind] >= floor) & (score[kind] > -np.inf) & (sorted_ids != own))
+                rows = rows[np.lexsort((sorted_ids[rows], -score[kind[rows]]))[:top]]
+                found += zip((-score[kind[rows]]).tolist(), sorted_ids[rows].tolist(), strict=True)
                 found.sort()
                 del found[top:]
         out = [(int(block.ids[q]), i, -s) for q, found in enumerate(held) for s, i in found]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
 
-    return stream(index.select("vec_id", "v", "code"), step, "query_id long, vec_id long, score double")
+    return stream(index.select("vec_id", "v", *CODED.names), step, "query_id long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, keep: int = 96, block: int = 1024) -> DataFrame:

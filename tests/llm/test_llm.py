@@ -122,6 +122,23 @@ def test_nearest(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_hot_group(spark):
+    """A third of all rows are near copies: their nearest are found whole."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    x[::3] = x[0] + 0.02 * rng.normal(size=(1000, 32))
+    x[3::300] = 2 * x[0]  # the same direction as the first query
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    got = defaultdict(list)
+    for r in nearest(rows, every=150).collect():
+        got[r.query_id].append(round(r.score, 9))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 3000, 150):
+        assert sorted(got[q], reverse=True) == np.round(np.sort(np.delete(x @ x[q], q))[::-1][:5], 9).tolist()
+
+
 def test_lm(docs, none):
     import math
 
