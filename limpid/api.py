@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from dataclasses import replace
+
+from pyspark.sql import SparkSession, Window
+from pyspark.sql import functions as F
 
 from limpid.operators.dedup import find_duplicates as duplicate_groups
-from limpid.operators.join import match_counts, resolve, unmatched
+from limpid.operators.dedup import group_key
+from limpid.operators.join import match_counts, resolve, unmatched, unmatched_right
 from limpid.plans.pipeline import Pipeline, Step
-from limpid.plans.profile import bounded, profile, top_values
+from limpid.plans.profile import anomaly_examples, bounded, profile, top_values
 from limpid.plans.report import compute
 from limpid.sources import read_csv, write_csv
+from limpid.table import ORD, Table, q
 
 TWO_TABLES = ("enrich_join", "append_rows")
 
@@ -26,7 +31,10 @@ def profile_csv(spark: SparkSession, path: str, sample_rows: int = 30) -> dict:
     top = {}
     for r in top_values(t).orderBy("column", "rank").collect():
         top.setdefault(r["column"], []).append((r["value"], r["n"]))
-    return {"columns": [{**r.asDict(), "top": top.get(r["column"], [])} for r in profile(t).collect()]} | bounded(t, sample_rows)
+    odd = {}
+    for r in anomaly_examples(t).orderBy("column", "anomaly", "rank").collect():
+        odd.setdefault(r["column"], {}).setdefault(r["anomaly"], []).append(r["value"])
+    return {"columns": [{**r.asDict(), "top": top.get(r["column"], []), "examples": odd.get(r["column"], {})} for r in profile(t).collect()]} | bounded(t, sample_rows)
 
 
 def preview_pipeline(spark: SparkSession, path: str, steps: list[dict], sample_rows: int = 30) -> dict:
@@ -41,19 +49,53 @@ def apply_pipeline(spark: SparkSession, path: str, steps: list[dict], output: st
     return {"steps": p.reports(t), "output": output} | bounded(out, sample_rows)
 
 
-def match_files(spark: SparkSession, left: str, right: str, pairs: list[dict], fuzzy: dict | None = None, sample_rows: int = 30) -> dict:
+def match_files(spark: SparkSession, left: str, right: str, pairs: list[dict], fuzzy: dict | None = None, sample_rows: int = 30, unmatched_output: dict[str, str] | None = None, overwrite: bool = False) -> dict:
+    """unmatched_output: a path for the unmatched rows of "left", of "right" or of both."""
     a, b = read_csv(spark, left), read_csv(spark, right)
     pairs = [{"normalize": "text", **p} for p in pairs]
     if fuzzy is not None:
         own = {"left": [p["left"] for p in pairs], "right": [p["right"] for p in pairs], **fuzzy}
-        return {"status": {r["status"]: r["count"] for r in resolve(a, b, {"pairs": pairs, "fuzzy": own}).groupBy("status").count().collect()}}
-    return match_counts(a, b, pairs).first().asDict() | {f"unmatched_{side}_sample": bounded(unmatched(a, b, pairs, side), sample_rows) for side in ("left", "right")}
-
-
-def find_duplicates(spark: SparkSession, path: str, columns: list[str], mode: str = "normalized") -> list[dict]:
+        p = {"pairs": pairs, "fuzzy": own}
+        found = resolve(a, b, p)
+        open_ = found.filter(F.col("status").isin("rejected", "no_candidate")).select(F.col("left_ord").alias(ORD))
+        rest = {"left": replace(a, df=a.df.join(open_, ORD, "left_semi")), "right": unmatched_right(a, b, p)}
+        out = {"status": {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}}
+    else:
+        rest = {side: unmatched(a, b, pairs, side) for side in ("left", "right")}
+        out = match_counts(a, b, pairs).first().asDict() | {f"unmatched_{side}_sample": bounded(t, sample_rows) for side, t in rest.items()}
+    for side, path in (unmatched_output or {}).items():
+        write_csv(rest[side], path, ",", overwrite=overwrite)
+    return out
+
+
+class Groups(list):
+    """The first groups, each with its key and number of rows; what all groups come to; and the first rows by key."""
+
+    total_rows: int
+    total_groups: int
+    total_duplicate_rows: int
+    truncated: bool
+    rows: dict[str, list[dict]]
+
+
+def _first_rows(t: Table, columns: list[str], mode: str, keys: list[str], most: int = 10) -> dict[str, list[dict]]:
+    some = t.df.withColumn("__key", group_key(columns, mode)).filter(F.col("__key").isin(keys))
+    some = some.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(ORD))).filter(F.col("__n") <= most)
+    out: dict[str, list[dict]] = {}
+    for key, *cells in some.orderBy("__key", "__n").select("__key", *map(q, t.columns)).collect():
+        out.setdefault(key, []).append(dict(zip(t.columns, cells, strict=True)))
+    return out
+
+
+def find_duplicates(spark: SparkSession, path: str, columns: list[str], mode: str = "normalized", most: int = 200) -> Groups:
     t = read_csv(spark, path)
     t.need(*columns)
-    return [r.asDict() for r in duplicate_groups(t, columns, mode).limit(200).collect()]
+    every = duplicate_groups(t, columns, mode)
+    out = Groups(r.asDict() for r in every.limit(most).collect())
+    total = every.agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    out.total_rows, out.total_groups, out.total_duplicate_rows, out.truncated = t.df.count(), total["n"], total["rows"], total["n"] > len(out)
+    out.rows = _first_rows(t, columns, mode, [g["key"] for g in out]) if out else {}
+    return out
 
 
 def build_report(spark: SparkSession, path: str, spec: dict, mapping: dict[str, str] | None = None) -> list[dict]:

@@ -70,6 +70,14 @@ def odd_case(t: Table, k: int = 3) -> DataFrame:
     return own.join(main, "column").filter("case <> main").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("column", "rank", "value")
 
 
+def anomaly_examples(t: Table, k: int = 3) -> DataFrame:
+    """(column, anomaly, rank, value): the first different cells with each anomaly that profile() counts, and of odd case."""
+    kinds = F.explode(F.array_compact(F.array(*[F.when(F.col("value").rlike(p), name) for name, p in (("outer_spaces", OUTER), ("double_spaces", DOUBLE), ("broken_encoding", MOJIBAKE))])))
+    w = Window.partitionBy("column", "anomaly").orderBy("first")
+    own = values(t).withColumn("anomaly", kinds).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return own.select("column", "anomaly", "rank", "value").unionByName(odd_case(t, k).withColumn("anomaly", F.lit("odd_case")))
+
+
 def bounded(t: Table, cap: int = 30, most: int = 200) -> dict:
     """The first rows, at most `most` of them: {totalCount, sample, truncated}."""
     total, n = t.df.count(), max(0, min(cap, most))

@@ -90,3 +90,20 @@ def test_streaming_steps(spark):
 def test_entry():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     json.dumps(__spark_entry__.oracle_sql())
+
+
+def test_whole_answers(spark, tmp_path):
+    """Totals beside a cut list of groups, examples of anomalies, and files of unmatched rows."""
+    (tmp_path / "a.csv").write_text("nom\n" + "".join(f"n{i}\nn{i}\n" for i in range(250)) + "Zoe  X\n")
+    (tmp_path / "b.csv").write_text("nom\nn0\nother\n")
+    a, b = str(tmp_path / "a.csv"), str(tmp_path / "b.csv")
+    got = api.find_duplicates(spark, a, ["nom"])
+    assert (len(got), got.total_rows, got.total_groups, got.total_duplicate_rows, got.truncated) == (200, 501, 250, 500, True)
+    assert got.rows[got[0]["key"]] == [{"nom": "n0"}] * 2
+    assert api.profile_csv(spark, a)["columns"][0]["examples"]["double_spaces"] == ["Zoe  X"]
+    out = {side: str(tmp_path / side) for side in ("left", "right")}
+    api.match_files(spark, a, b, [{"left": "nom", "right": "nom"}], unmatched_output=out)
+    assert len(read_csv(spark, out["left"]).collect()) == 499 and read_csv(spark, out["right"]).collect() == [("other",)]
+    fuzzy = {side: str(tmp_path / f"fuzzy_{side}") for side in ("left", "right")}
+    got = api.match_files(spark, b, a, [{"left": "nom", "right": "nom"}], {"tokens": False, "high": 90, "low": 80}, unmatched_output=fuzzy)
+    assert sum(got["status"].values()) == 2 and read_csv(spark, fuzzy["left"]).collect() == [("other",)] and len(read_csv(spark, fuzzy["right"]).collect()) == 500
