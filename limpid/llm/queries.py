@@ -35,6 +35,8 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         spans(F.col("findings")).alias("spans"),
         F.size(F.filter("findings", lambda x: x["live"])).cast("long").alias("n_live"),
         F.size(F.filter("findings", lambda x: ~x["live"])).cast("long").alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("findings", lambda x: x["n_repos"])), F.lit(0)).alias("most_repos"),
+        F.coalesce(F.array_max(F.transform("findings", lambda x: x["n_owners"])), F.lit(0)).alias("most_owners"),
     )
 
 

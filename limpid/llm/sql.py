@@ -24,13 +24,13 @@ base AS ({_matches(0, _ASSIGN, 2, "length(v) >= 8")} UNION ALL {_matches(1, "'AK
 generic AS ({_matches(3, "'[A-Za-z0-9_-]+'", 0, _MIXED)}),
 apart AS (SELECT * FROM generic g WHERE NOT EXISTS (FROM base b WHERE b.r = g.r AND b.s < g.e AND g.s < b.e)),
 every AS (FROM base UNION ALL FROM apart),
-spread AS (SELECT kind, v, count(DISTINCT owner) AS owners FROM every JOIN d USING (r) GROUP BY kind, v),
-found AS (SELECT r, kind, s, owners, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || s || ':' || e AS span FROM every JOIN spread USING (kind, v) WHERE kind < 3 OR owners = 1),
+spread AS (SELECT kind, v, count(DISTINCT owner) AS owners, count(DISTINCT coalesce(doc_id, -9223372036854775808)) AS repos FROM every JOIN d USING (r) GROUP BY kind, v),
+found AS (SELECT r, kind, s, owners, repos, owners < 2 AND repos < 10 AS live, ['assign', 'access', 'hex', 'generic'][kind + 1] || ':' || s || ':' || e AS span FROM every JOIN spread USING (kind, v) WHERE kind < 3 OR owners < 2 AND repos < 10),
 per_row AS (SELECT r, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,
                    string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS b, string_agg(span, ',' ORDER BY s, kind) AS spans,
-                   count(*) FILTER (owners < 3) AS live, count(*) FILTER (owners >= 3) AS copied FROM found GROUP BY r)
+                   count(*) FILTER (live) AS live, count(*) FILTER (NOT live) AS copied, max(repos) AS repos, max(owners) AS owners FROM found GROUP BY r)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_access, coalesce(h, 0)::BIGINT AS n_hex, sha256(coalesce(b, '')) AS base_sha256,
-       coalesce(spans, '') AS spans, coalesce(live, 0)::BIGINT AS n_live, coalesce(copied, 0)::BIGINT AS n_copied
+       coalesce(spans, '') AS spans, coalesce(live, 0)::BIGINT AS n_live, coalesce(copied, 0)::BIGINT AS n_copied, coalesce(repos, 0)::BIGINT AS most_repos, coalesce(owners, 0)::BIGINT AS most_owners
 FROM d LEFT JOIN per_row USING (r)
 """
 
