@@ -4,13 +4,13 @@ For each language a suffix automaton of labelled text is compiled. A text is par
 from where the last phrase ended is the next phrase. The fewer phrases a text needs, the lower its cross entropy,
 phrases * log2(training bytes) / length, under that language; the least wins.
 
-Texts are parsed in segments of `SEGMENT` bytes, each from the automaton's root, which adds at most a phrase for each;
-many segments advance together through the automata as tables.
+Only letters tell languages apart: whatever lies between them counts as one space. Texts are parsed in segments of
+`SEGMENT` symbols, each from the automaton's root, which adds at most a phrase for each; many segments advance together
+through the automata as tables.
 """
 
 from __future__ import annotations
 
-import re
 from array import array
 from functools import cache
 
@@ -28,14 +28,10 @@ SEGMENT = 512
 #: Bytes parsed together.
 TOGETHER = 1 << 21
 UNKNOWN = "und"
-#: Symbols: A-Z as a-z, all digits as one, all white space as one, other ASCII as one; bytes beyond ASCII stay.
-SYMBOL = np.zeros(256, np.int32)
-SYMBOL[:] = np.arange(256)
-SYMBOL[:128] = ord("!")
-SYMBOL[97:123] = np.arange(97, 123)
-SYMBOL[65:91] = np.arange(97, 123)
-SYMBOL[48:58] = ord("0")
-SYMBOL[[32, *range(9, 14)]] = ord(" ")
+#: Symbols: A-Z as a-z, bytes beyond ASCII as they are, all else as a space.
+SYMBOL = np.arange(256, dtype=np.int32)
+SYMBOL[:128] = ord(" ")
+SYMBOL[97:123] = SYMBOL[65:91] = np.arange(97, 123)
 
 RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -45,6 +41,15 @@ def fold_of(col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def symbols(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of texts, several spaces in a row as one, and where each text begins among them."""
+    s = SYMBOL[data]
+    gap = s == ord(" ")
+    keep = np.ones(len(s), bool)
+    keep[1:] = ~(gap[1:] & gap[:-1])
+    return s[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
+
+
 def suffix_automaton(text: list[int], width: int) -> array:
     """The transitions of the automaton of all substrings of a text, flat by state and symbol, -1 where there is none;
     state 0 is the root."""
@@ -82,12 +87,10 @@ class Automata:
 
     def __init__(self, samples: tuple[tuple[str, bytes], ...]):
         self.langs = [lang for lang, _ in samples]
-        texts = [SYMBOL[np.frombuffer(x, np.uint8)].tolist() for _, x in samples]
+        texts = [symbols(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0].tolist() for _, x in samples]
         known = sorted({c for t in texts for c in t})
-        self.symbol = np.zeros(256, np.int32)
         code = {c: 1 + i for i, c in enumerate(known)}
-        for b in range(256):
-            self.symbol[b] = code.get(int(SYMBOL[b]), 0)
+        self.code = np.array([code.get(c, 0) for c in range(256)], np.int32)
         self.width, self.bits, tables, roots, base = len(known) + 1, np.log2([len(t) + 1 for t in texts]), [], [], 0
         for t in texts:
             table = np.frombuffer(suffix_automaton([code[c] for c in t], self.width), np.int32).reshape(-1, self.width)
@@ -100,6 +103,7 @@ class Automata:
 
     def phrases(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """How many phrases each text needs in each language: texts by languages."""
+        data, bounds = symbols(data, bounds)
         out = np.zeros((len(bounds) - 1, len(self.langs)), np.int64)
         size = np.diff(bounds)
         n = -(-size // SEGMENT)
@@ -108,13 +112,13 @@ class Automata:
         length = np.minimum(SEGMENT, bounds[text + 1] - at)
         order = np.argsort(-length, kind="stable")
         text, at, length = text[order], at[order], length[order]
-        symbols = self.symbol[data]
+        codes = self.code[data]
         lanes = np.repeat(self.roots[:, None], len(at), axis=1)
         ended = np.zeros(lanes.shape, np.int32)
         live = np.searchsorted(-length, -np.arange(SEGMENT), side="left")  # lanes that have a symbol at this step
         for k in range(int(length[0]) if len(length) else 0):
             m = live[k]
-            nxt = self.step.take(lanes[:, :m] + symbols[at[:m] + k])
+            nxt = self.step.take(lanes[:, :m] + codes[at[:m] + k])
             ended[:, :m] += nxt & 1
             lanes[:, :m] = nxt >> 1
         np.add.at(out, text, ended.T + 1)
@@ -135,21 +139,25 @@ def automata(samples: tuple[tuple[str, bytes], ...]) -> Automata:
     return Automata(samples)
 
 
-LETTER = re.compile(r"[^\W\d_]")
-
-
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, lang_bytes: int = 32_000, all_bytes: int = 400_000, rows: int = 400) -> tuple[tuple[str, bytes], ...]:
     """Labelled text by language, sorted, from rows outside fold 0.
 
     A bounded sample: by the order of a hash of the id, at most `rows` texts of a language whose total stays within
     lang_bytes, or within its share of all_bytes if there are many languages; the shortest text of a language that has
-    only longer ones, cut to that size.
+    only longer ones, cut to that size. Only rows whose hash lies in the first part of its range, where some 4 * `rows`
+    of a language are expected, are ranked at all. The driver holds the languages' names and this sample.
     """
     known = docs.filter((fold_of(id_col, folds) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(lang_col).cast("string").alias("lang"), id_key(id_col).alias("doc"), F.octet_length(text_col).alias("n"), F.col(text_col).alias("text"))
-    size = max(1, min(lang_bytes, all_bytes // max(1, known.select("lang").distinct().count())))
-    order = Window.partitionBy("lang").orderBy(F.when(F.col("n") > size, F.col("n")).otherwise(0), F.xxhash64("doc"), "n")
-    ranked = known.select("lang", "doc", "n").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    many = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not many:
+        return ()
+    size = max(1, min(lang_bytes, all_bytes // len(many)))
+    hashed = F.xxhash64("doc", "n")
+    upto = F.create_map(*[F.lit(x) for k, m in many.items() for x in (k, int(-(2**63) + min(1.0, 4 * rows / m) * (2**64 - 2**12)))])
+    some = known.filter(hashed <= F.element_at(upto, F.col("lang"))).select("lang", "doc", "n").distinct()
+    order = Window.partitionBy("lang").orderBy(F.when(F.col("n") > size, F.col("n")).otherwise(0), hashed, "doc", "n")
+    ranked = some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
     within = Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     ids = ranked.withColumn("total", F.sum("n").over(within)).filter((F.col("total") <= size) | (F.col("rank") == 1)).select("lang", "doc", "n", "rank")
     got = known.join(F.broadcast(ids), ["lang", "doc", "n"]).select("lang", "rank", F.substring("text", 1, size).alias("text")).dropDuplicates(["lang", "rank"]).collect()
@@ -162,8 +170,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score (0: two languages are as near, 1: no other is near).
 
-    A null text, one without a letter, and any text if nothing was learned, are `und` with score 0. Ties go to the
-    language first in order. Columns of the results' names are replaced, all others are kept.
+    A null text, one without a letter (of Unicode's categories L), and any text if nothing was learned, are `und` with
+    score 0. Ties go to the language first in order. Columns of the results' names are replaced, all others are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
@@ -182,7 +190,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text_col:
             if not known:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
-            elif not t or not LETTER.search(t.decode()):
+            elif not t or not any(map(str.isalpha, t.decode())):
                 langs[i], scores[i] = UNKNOWN, 0.0
         return [langs, scores]
 
