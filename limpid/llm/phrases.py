@@ -3,19 +3,20 @@
 1. Sampling. Every window of `window` words chooses the least hash among its `GRAM`-word grams. Equal windows choose
    the same gram at the same place, so windows are filed by that gram: a document becomes segments, runs of windows
    that chose the same gram, and only grams chosen twice in the corpus can hold recurring windows.
-2. Confirmation. The distinct texts of such segments, with how often each occurs, are dealt to shards by gram; in its
-   shard a window's occurrences add up, and runs of windows that recur become phrases.
-3. Automata. Each shard compiles its phrases to an Aho-Corasick automaton and streams through it the segments of all
-   documents filed there; matches are the words to remove, told to each document that has the segment.
+2. Confirmation. The words of such segments, equal ones counted together, are dealt to shards by gram. All occurrences
+   of a window meet in its shard; runs of windows that occur twice or more are the recurring passages, its phrases.
+3. Automata. Each shard compiles its phrases to an Aho-Corasick automaton, and the segments of all documents filed
+   there stream through it: what matches is removed. A shard with very many segments is salted: its phrases are copied
+   to several tasks that share its segments.
 
 Shards hold a bounded number of segments, their number grows with the corpus. A gram with very many different segments
-is not kept together: its windows are dealt singly, by their own hash.
+is not kept together: its windows are dealt singly, by their own hash. Hashes only decide where words meet; counts and
+matches are of the words themselves.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -24,15 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.arrow import add_columns, expand, stream
-from limpid.llm.spark import id_key, materialise, partitions_for
+from limpid.llm.arrow import add_columns, expand, give_back
+from limpid.llm.spark import discard, free_name, id_key, materialise, partitions_for, shuffle_partitions
 from limpid.llm.words import PLAIN, Words, sliding_argmin, slices
 
 GRAM = 8
 #: Different segments of one gram beyond which its windows are dealt singly.
 WIDE = 2000
-#: Segments in a shard, about.
+#: Different segments in a shard, about; and how many segments of documents a task streams through its automaton.
 SHARD = 12_000
+STREAM = 4 * SHARD
 
 L, I, B = T.LongType(), T.IntegerType(), T.BinaryType()
 
@@ -42,7 +44,9 @@ def _schema(**kinds) -> T.StructType:
 
 
 SEGMENT = _schema(gram=L, seg=L, doc=L, dk=L, at=I, n=I)
-UNIT = _schema(route=L, uid=L, text=B, doc=L, dk=L, at=I, rep=T.BooleanType())
+UNIT = _schema(route=L, text=B, doc=L, dk=L, at=I)
+PHRASE = _schema(shard=L, phrase=B)
+PLACE = _schema(doc=L, dk=L, spans=T.ArrayType(I))
 RESULT = _schema(n_words=L, n_removed=L, kept=T.StringType())
 
 
@@ -71,25 +75,25 @@ def segments(own: DataFrame, window: int) -> DataFrame:
 
 
 def units(own: DataFrame, asked: DataFrame, window: int) -> DataFrame:
-    """Texts of the segments asked for (doc, dk, list of (gram, seg, at, n, wide)); of wide grams, each window."""
+    """The words of the segments asked for (doc, dk, list of (gram, at, n, wide)); of wide grams, of each window."""
 
     def make(b: pa.RecordBatch):
         doc, dk, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
         out = {k: [] for k in UNIT.names}
 
-        def put(w: Words, d: int, route: int, uid: int, at: int, n: int, wide: bool):
-            for k, v in zip(UNIT.names, (route, uid, w.text(int(w.first[d]) + at, n + window - 1), doc[w.lo + d], dk[w.lo + d], at, not wide), strict=True):
+        def put(w: Words, d: int, route: int, at: int, n: int):
+            for k, v in zip(UNIT.names, (route, w.text(int(w.first[d]) + at, n + window - 1), doc[w.lo + d], dk[w.lo + d], at), strict=True):
                 out[k].append(v)
 
         for w in slices(b.column(2), PLAIN):
             for d in range(w.hi - w.lo):
                 for x in lists[w.lo + d]:
                     if not x["wide"]:
-                        put(w, d, x["gram"], x["seg"], x["at"], x["n"], False)
+                        put(w, d, x["gram"], x["at"], x["n"])
                         continue
                     at = np.arange(x["at"], x["at"] + x["n"])
                     for a, h in zip(at.tolist(), w.runs(w.first[d] + at, window).view(np.int64).tolist(), strict=True):
-                        put(w, d, h, h, a, 1, True)
+                        put(w, d, h, a, 1)
         yield out
 
     asked = asked.select("doc", "dk", "asked").hint("shuffle_hash")
@@ -106,34 +110,39 @@ class Codes(dict):
         return code
 
 
-def locate(texts: list[bytes], counts: list[int], window: int) -> list[list[int]]:
-    """For each text of a shard the words that recurring windows cover, as flat [from, to, ...) lists."""
+def recurring(texts: list[bytes], counts: list[int], window: int) -> list[bytes]:
+    """The passages of different texts, each with its count, that runs of recurring windows make up."""
     codes, size = Codes(), 3 * window
-    coded = ["".join([codes[x] for x in t.split(b" ")]) for t in texts]
+    words = [t.split(b" ") for t in texts]
+    coded = ["".join([codes[x] for x in w]) for w in words]
     seen: Counter[str] = Counter()
     for t, n in zip(coded, counts, strict=True):
         for i in range(0, len(t) - size + 1, 3):
             seen[t[i : i + size]] += n
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for t in coded:
+    found = set()
+    for w, t in zip(words, coded, strict=True):
         begin = None
-        for i in range(0, len(t) - size + 1, 3):
-            if seen[t[i : i + size]] > 1:
+        for i in range(0, len(t) - size + 4, 3):
+            if i + size <= len(t) and seen[t[i : i + size]] > 1:
                 begin = i if begin is None else begin
-                end = i + size
             elif begin is not None:
-                automaton.add_word(t[begin:end])
+                found.add(b" ".join(w[begin // 3 : (i + size) // 3 - 1]))
                 begin = None
-        if begin is not None:
-            automaton.add_word(t[begin:end])
-    del seen
-    if not len(automaton):
+    return sorted(found)
+
+
+def locate(phrases: list[bytes], texts: list[bytes]) -> list[list[int]]:
+    """For each text the words that phrases cover, as flat [from, to, ...) lists."""
+    if not phrases:
         return [[] for _ in texts]
+    codes, automaton = Codes(), ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for p in phrases:
+        automaton.add_word("".join([codes[x] for x in p.split(b" ")]))
     automaton.make_automaton()
-    out = []
-    for t in coded:
+    out, code = [], codes.get
+    for t in texts:
         spans: list[int] = []
-        for end, n in automaton.iter(t):  # by their ends
+        for end, n in automaton.iter("".join([code(x, "\0\0\0") for x in t.split(b" ")])):  # by their ends
             a, e = (end + 1 - n) // 3, (end + 1) // 3
             while spans and a <= spans[-1]:
                 e, a = max(e, spans.pop()), min(a, spans.pop())
@@ -142,64 +151,75 @@ def locate(texts: list[bytes], counts: list[int], window: int) -> list[list[int]
     return out
 
 
-def sharded(rows: DataFrame, shards: int, window: int) -> DataFrame:
-    """rows (route, uid, text, n) -> (route, uid, spans) where there are any."""
+def confirmed(got: DataFrame, window: int) -> DataFrame:
+    """(shard, phrase) of the segments (shard, route, text, ..) of all documents."""
+
+    def step(t: pa.Table) -> pa.Table:
+        found = recurring(t["text"].to_pylist(), t["n"].to_pylist(), window)
+        out = pa.table([pa.array([t["shard"][0].as_py()] * len(found), pa.int64()), pa.array(found, pa.binary())], PHRASE.names)
+        give_back()
+        return out
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = [b for b in batches if b.num_rows]
-        if every:
-            t = pa.Table.from_batches(every)
-            spans = locate(t["text"].to_pylist(), t["n"].to_pylist(), window)
-            t = t.select(["route", "uid"]).append_column("spans", pa.array(spans, pa.list_(pa.int32())))
-            yield from t.filter(pa.array([bool(x) for x in spans])).combine_chunks().to_batches()
+    return got.groupBy("shard", "route", "text").agg(F.count("*").alias("n")).groupBy("shard").applyInArrow(step, PHRASE)
 
-    return stream(rows.select("route", "uid", "text", "n").repartition(shards, "route"), step, "route long, uid long, spans array<int>")
 
+def located(got: DataFrame, phrases: DataFrame, most: int) -> DataFrame:
+    """(doc, dk, spans): the words of documents that their segments' shard has phrases for. A task gets a shard's
+    phrases and at most some `most` segments."""
+    kinds = phrases.select("shard").distinct()
+    tasks = materialise(got.groupBy("shard").agg(F.ceil(F.count("*") / most).alias("tasks")).join(kinds, "shard"), "tasks")
+    salted = got.join(tasks, "shard").withColumn("salt", F.pmod(F.xxhash64("doc", "at"), "tasks")).select("shard", "salt", "doc", "dk", "at", "text")
+    copied = phrases.join(tasks, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"), "phrase")
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, wide: int = WIDE, shard: int = SHARD) -> DataFrame:
+    def step(segments: pa.Table, own: pa.Table) -> pa.Table:
+        spans = locate(own["phrase"].to_pylist(), segments["text"].to_pylist())
+        spans = [[x + a for x in s] for s, a in zip(spans, segments["at"].to_pylist(), strict=True)]
+        out = segments.select(["doc", "dk"]).append_column("spans", pa.array(spans, pa.list_(pa.int32()))).filter(pa.array([bool(s) for s in spans], pa.bool_()))
+        give_back()
+        return out
+
+    return salted.groupBy("shard", "salt").cogroup(copied.groupBy("shard", "salt")).applyInArrow(step, PLACE)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, wide: int = WIDE, shard: int = SHARD, most: int = STREAM) -> DataFrame:
     """docs with n_words, n_removed and kept: the words, joined by one space, that no recurring window covers.
 
     A window is `window` consecutive words; it recurs if its words also start anywhere else, in any row, the same one
-    included. Null and empty texts have no words; shorter texts have no window. Repeated rows repeat each other. Columns
-    of the results' names are replaced, all others are kept.
+    included. Null and empty texts have no words; shorter texts have no window. Ids are whole numbers or null. Repeated
+    rows repeat each other. Columns of the results' names are replaced, all others are kept.
     """
+    spark = docs.sparkSession
     own = docs.select(id_key(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("dk"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = materialise(segments(own, window), "segments")
     # Grams to join on are written first: with an exchange of its own on both sides, Spark can split a very common gram.
     twice = materialise(every.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram"), "twice")
     again = materialise(every.join(twice, "gram"), "recurring")
-
-    different = again.groupBy("gram", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "dk", "at", F.col("n").alias("n"))).alias("x"))
-    different = materialise(different, "different")
-    broad = materialise(different.groupBy("gram").agg(F.count("*").alias("m")).filter(F.col("m") > wide).select("gram", F.lit(True).alias("wide")), "broad")
-    one = different.join(broad, "gram", "left").filter("wide is null").select("x.doc", "x.dk", F.struct("gram", "seg", "x.at", "x.n", F.lit(False).alias("wide")).alias("e"))
-    some = again.join(broad, "gram").dropDuplicates(["doc", "dk", "at"]).select("doc", "dk", F.struct("gram", "seg", "at", "n", "wide").alias("e"))
-    asked = one.unionByName(some).groupBy("doc", "dk").agg(F.collect_list("e").alias("asked"))
-    got = materialise(units(own, asked, window), "units")
-
-    # Rows equal in id and text are told once by `units`; how often segments of wide grams occur is counted over all rows.
-    rows = own.groupBy("doc", "dk").agg(F.count("*").alias("copies")).filter("copies > 1")
-    texts = got.filter("rep").dropDuplicates(["route", "uid"]).select("route", "uid", "text").join(different.select(F.col("gram").alias("route"), F.col("seg").alias("uid"), "n"), ["route", "uid"])
-    wides = got.filter("not rep").dropDuplicates(["doc", "dk", "at"]).join(rows, ["doc", "dk"], "left")
-    windows = wides.groupBy("route", "uid").agg(F.first("text").alias("text"), F.sum(F.coalesce("copies", F.lit(1))).alias("n")).filter("n > 1")
-    windows = materialise(windows, "windows")  # as shards are sized by all that is dealt
-    dealt = texts.unionByName(windows)
-    shards = max(partitions_for(different.count() + windows.count(), shard), int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = materialise(sharded(dealt, shards, window), "spans")
-
-    places = again.select(F.col("gram").alias("route"), F.col("seg").alias("uid"), "doc", "dk", "at").unionByName(got.filter("not rep").select("route", "uid", "doc", "dk", "at"))
-    covered = places.join(found, ["route", "uid"]).groupBy("doc", "dk").agg(F.flatten(F.collect_set(F.transform("spans", lambda x: x + F.col("at")))).alias("__spans"))
-    base = docs.select(*[c for c in docs.columns if c not in RESULT.names], id_key(id_col).alias("__doc"), F.xxhash64(id_col, text_col).alias("__dk"))
-    joined = base.join(covered.select(F.col("doc").alias("__doc"), F.col("dk").alias("__dk"), "__spans").hint("shuffle_hash"), ["__doc", "__dk"], "left")
+    discard(spark, every, twice)
+    different = materialise(again.groupBy("gram", "seg").agg(F.min("n").alias("n")).groupBy("gram").agg(F.count("*").alias("m"), F.sum("n").alias("n")), "different")
+    broad = materialise(different.filter(F.col("m") > wide).select("gram", F.lit(True).alias("wide")), "broad")
+    dealt = different.agg(F.coalesce(F.sum(F.when(F.col("m") > wide, F.col("n")).otherwise(F.col("m"))), F.lit(0)).alias("n")).first().n
+    shards = max(partitions_for(dealt, shard), shuffle_partitions(spark))
+
+    entry = F.struct("gram", "at", "n", F.coalesce("wide", F.lit(False)).alias("wide"))
+    asked = again.join(broad, "gram", "left").groupBy("doc", "dk").agg(F.collect_set(entry).alias("asked"))
+    got = materialise(units(own, asked, window).withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))), "units")
+    discard(spark, again, different, broad)
+    phrases = materialise(confirmed(got, window), "phrases")
+    places = materialise(located(got, phrases, most), "places")
+    discard(spark, got, phrases)
+    doc, dk, spans = (free_name(docs, c) for c in ("phrase_doc", "phrase_row", "phrase_spans"))
+    covered = places.groupBy("doc", "dk").agg(F.flatten(F.collect_set("spans")).alias("spans")).toDF(doc, dk, spans)
+    base = docs.select(*[c for c in docs.columns if c not in RESULT.names], id_key(id_col).alias(doc), F.xxhash64(id_col, text_col).alias(dk))
+    joined = base.join(covered.hint("shuffle_hash"), [doc, dk], "left")
 
     def keep(b: pa.RecordBatch) -> list:
         total, removed, kept = [], [], []
-        spans = b.column("__spans")
+        found = b.column(spans)
         for w in slices(b.column(text_col), PLAIN):
             for d in range(w.hi - w.lo):
                 lo, hi = int(w.first[d]), int(w.first[d + 1])
                 gone = np.zeros(hi - lo + 1, np.int32)
-                if (s := spans[w.lo + d]).is_valid:
+                if (s := found[w.lo + d]).is_valid:
                     edges = np.asarray(s.values.to_numpy(zero_copy_only=False))
                     np.add.at(gone, edges[0::2], 1)
                     np.add.at(gone, edges[1::2], -1)
@@ -209,4 +229,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join([w.data[a:e].tobytes() for a, e in zip(w.start[left].tolist(), w.end[left].tolist(), strict=True)]).decode())
         return [total, removed, kept]
 
-    return add_columns(joined, RESULT, keep).drop("__doc", "__dk", "__spans")
+    return add_columns(joined, RESULT, keep).drop(doc, dk, spans)
