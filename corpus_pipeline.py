@@ -17,7 +17,7 @@ from limpid.llm.langid import UNKNOWN, identify, learn
 from limpid.llm.linededup import dedup_lines
 from limpid.llm.packing import pack
 from limpid.llm.queries import TOKENIZER, table
-from limpid.llm.spark import id_key, shared_dir
+from limpid.llm.spark import free_name, id_key, scratch, shared_dir
 
 ORACLE_SQL = None
 
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     samples = learn(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     if not samples:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    names = {c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    names = {c: free_name(docs, f"own_{c}") for c in ("lang_pred", "score") if c in docs.columns}
     out = identify(docs.withColumnsRenamed(names), samples).filter(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
     return out.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)
 
@@ -44,12 +44,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps one document, that with the smallest id, of each group linked by five-word shingles at a similarity of 0.8
     or more; of rows with the same id, one whose text comes first."""
     groups = jaccard_components(docs.select("doc_id", "text"), width=5, percent=80)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias("__doc")).distinct()
-    kept = docs.withColumn("__doc", id_key("doc_id")).join(gone.hint("shuffle_hash"), "__doc", "left_anti")
+    key, n = free_name(docs, "near_doc"), free_name(docs, "near_n")
+    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key("doc_id").alias(key)).distinct()
+    kept = docs.withColumn(key, id_key("doc_id")).join(gone.hint("shuffle_hash"), key, "left_anti")
     twice = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").head(1)
     if twice:
-        first = Window.partitionBy("__doc").orderBy(F.col("text").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
-        kept = kept.withColumn("__n", F.row_number().over(first)).filter("__n = 1 or doc_id is null")
+        first = Window.partitionBy(key).orderBy(F.col("text").isNull(), F.sha2(F.coalesce("text", F.lit("")), 256))
+        kept = kept.withColumn(n, F.row_number().over(first)).filter((F.col(n) == 1) | F.col("doc_id").isNull())
     return kept.select(docs.columns)
 
 
@@ -72,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
+        with scratch(spark):  # what a stage's operator wrote is deleted when the stage's result is
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
     return docs

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from limpid.llm.arrow import expand, stream
 from limpid.llm.graph import components
-from limpid.llm.spark import NO_ID, id_key, materialise
+from limpid.llm.spark import NO_ID, discard, id_key, materialise, shuffle_partitions
 from limpid.llm.words import FOLDED, slices
 
 HEAVY = np.uint64(1 << 63)
@@ -32,7 +32,7 @@ HEAVY = np.uint64(1 << 63)
 HEAVY_SHARE = 0.005
 #: Bins of a histogram.
 BINS = 256
-#: Sets in one block; larger blocks are split into pairs of parts, which together hold every pair.
+#: Sets in one block; larger blocks are split by size, then into pairs of parts, which together hold every pair.
 BLOCK = 4096
 
 L, D = T.LongType(), T.ArrayType(T.LongType())
@@ -141,7 +141,7 @@ def meet(tokens: DataFrame) -> DataFrame:
             anchor = int(a[-1]) if usable[ids[-1]] else None
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[pairs[0], own]), pa.array(np.r_[pairs[1], own])], ["block", "sig"])
 
-    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_partitions(tokens.sparkSession)
     return stream(tokens.repartition(n, "token").sortWithinPartitions("token", "late", "sig"), step, "block long, sig long").distinct()
 
 
@@ -247,7 +247,7 @@ def sieved(rows: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1:
             yield from close()
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_partitions(rows.sparkSession)
     return stream(rows.repartition(n, "block", "part").sortWithinPartitions("block", "part"), step, "block long, node long").distinct()
 
 
@@ -272,15 +272,29 @@ def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
         if len(sets) > 1:
             yield close()
 
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_partitions(rows.sparkSession)
     return stream(rows.repartition(n, "block").sortWithinPartitions("block"), step, "a long, b long")
 
 
+def parted(filed: DataFrame, percent: int, block: int) -> DataFrame:
+    """(block, part, node, n, bins): blocks of more than `block` sets as parts that together hold every pair which may
+    link. Linked sets lie in the same or in neighbouring bands of sizes, a band ending at 100 / percent times its
+    beginning, so a part of two neighbouring bands has each set twice. A part that is still too large becomes pairs of
+    pieces."""
+    large = filed.groupBy("block").agg(F.count("*").alias("m")).filter(F.col("m") > block).select("block", F.lit(True).alias("large"))
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) * (1 - 1e-9)) if percent < 100 else F.col("n")
+    own = filed.join(large, "block", "left").withColumn("band", F.explode(F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    pieces = own.filter("large").groupBy("block", "band").agg(F.ceil(F.count("*") / block).alias("k")).filter("k > 1")
+    split = own.join(pieces, ["block", "band"], "left").withColumn("i", F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1))))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("k"), F.lit(1)) - 1), lambda j: F.struct("band", F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
+    return split.select("block", F.explode(cells).alias("c"), "node", "n", "bins").select("block", F.xxhash64("c").alias("part"), "node", "n", "bins")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id) for each row: the set's size and the smallest id reachable by links.
 
     Two documents link when their sets of `width`-word shingles have 100 * both >= percent * either. A text with fewer
-    words is one shingle; one without words, or null, has none and links with nothing. Rows of the same id are one
+    words is one shingle; one without words, or null, has none and links with nothing. Ids are whole numbers. Rows of the same id are one
     document with the links of all its rows. Rows without an id count as one document whose id is smaller than any.
     """
     own = docs.select(id_key(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -291,13 +305,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heavy = spark.sparkContext.broadcast(np.sort(np.array([r.heavy for r in often.select("heavy").collect()], np.int64).astype(np.uint64)))
 
     # A class is known by its first document; two sets with the same first 64 bits of signature would only share blocks.
+    # Written, so that joins to it have an exchange of their own on both sides and Spark can split a set that very many
+    # documents have.
     classes = sets.filter("n > 0").groupBy("sig", "sig2").agg(F.min(F.struct("doc", "n", "bins")).alias("x")).select("sig", "sig2", F.col("x.doc").alias("node"), "x.n", "x.bins")
+    classes = materialise(classes, "classes")
     members = materialise(meet(prefix_tokens(own, width, percent, heavy)), "blocks")
-    parts = members.groupBy("block").agg(F.count("*").alias("m")).filter(F.col("m") > block).select("block", F.ceil(F.col("m") / block).alias("k"))
-    split = members.join(parts, "block", "left").withColumn("i", F.pmod(F.xxhash64("sig"), F.coalesce("k", F.lit(1))))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("k"), F.lit(1)) - 1), lambda j: F.least("i", j) * 1_000_000 + F.greatest("i", j))
-    filed = split.select("sig", F.explode(cells).alias("part"), "block").join(classes, "sig").select("block", "part", "node", "n", "bins")
-    groups = materialise(sieved(filed, percent), "groups").groupBy("node").agg(F.collect_list("block").alias("blocks"))
+    filed = parted(members.join(classes, "sig").select("block", "node", "n", "bins"), percent, block)
+    groups_table = materialise(sieved(filed, percent), "groups")
+    groups = groups_table.groupBy("node").agg(F.collect_list("block").alias("blocks"))
     wanted = groups.join(classes.select("node", "sig", "sig2"), "node").select(F.col("node").alias("doc"), "node", "sig", "sig2", "blocks")
     texts = own.join(wanted.hint("shuffle_hash"), "doc").filter(F.col("text") != "")
 
@@ -313,6 +328,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = block_links(rows, width, percent)
     same = sets.filter("n > 0").join(classes.select("sig", "sig2", "node"), ["sig", "sig2"]).groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a <> b").select("a", F.explode("all").alias("b"))
     found = components(links.union(same))
+    discard(spark, members, groups_table)
     named = sets.select("doc", "n", "sig", "sig2").join(classes.select("sig", "sig2", "node"), ["sig", "sig2"], "left").join(found, "node", "left")
     null_id = F.lit(None).cast("long")
     show = lambda c: F.when(c == NO_ID, null_id).otherwise(c)
