@@ -5,8 +5,9 @@ counted over all documents; as containment must be whole, one prefix token is en
 window. Documents are joined on these tokens alone; a match is then bounded by position and length (the window must lie
 inside the document) and confirmed word by word over the window.
 
-The items are the small side. They are measured first and taken in blocks of at most `block_bytes`, so that what is
-broadcast never exceeds that bound however long the benchmark is; every block meets all documents.
+The items are the small side. Spark cuts them into windows, makes these distinct and measures what each takes; they are
+taken in blocks of at most `block_bytes`, so that what is collected and broadcast at once never exceeds that bound,
+however long the benchmark or one of its items is. Every block meets all documents.
 """
 
 from __future__ import annotations
@@ -20,10 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.llm.arrow import add_columns, expand
-from limpid.llm.words import ALNUM, Words, cut, slices, utf8
+from limpid.llm.spark import materialise
+from limpid.llm.words import ALNUM, Words, cut, slices
 
 #: Words in the shingles whose rarity is counted.
 SHINGLE = 3
+#: Bytes that a window takes in a block beside its words and its item's id: hashes, places, prefixes and counts.
+EACH = 160
+WINDOW = T.StructType([T.StructField("id", T.StringType()), T.StructField("words", T.BinaryType())])
 
 RESULT = T.StructType(
     [
@@ -35,24 +40,50 @@ RESULT = T.StructType(
 )
 
 
+def windows(items: DataFrame, window: int) -> DataFrame:
+    """(id, words): the different windows of each item (id, text), words joined by one space."""
+
+    def make(b: pa.RecordBatch):
+        item, out = b.column(0).to_pylist(), {"id": [], "words": []}
+        for w in slices(b.column(1), ALNUM):
+            for d in range(w.hi - w.lo):
+                lo, hi = int(w.first[d]), int(w.first[d + 1])
+                n = min(window, hi - lo)
+                own = {w.text(at, n, fold=True) for at in range(lo, hi - n + 1)} if n else set()
+                out["id"] += [item[w.lo + d]] * len(own)
+                out["words"] += own
+        yield out
+
+    return expand(items.distinct(), WINDOW, make).distinct()
+
+
+def blocks_of(rows: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """rows with a block each, and how many blocks there are: as many as it takes that none is over `block_bytes`. A
+    window that is longer by itself may be."""
+    cost = F.octet_length("words") + F.octet_length("id") + EACH
+    n = max(1, -(-(rows.agg(F.sum(cost).alias("n")).first().n or 0) // max(1, block_bytes // 2)))
+    while True:
+        out = rows.withColumn("block", F.pmod(F.xxhash64("id", "words"), F.lit(n)))
+        most = out.groupBy("block").agg(F.sum(cost).alias("bytes"), F.count("*").alias("n")).filter(f"bytes > {block_bytes} and n > 1").head(1)
+        if not most:
+            return out, n
+        n *= 2
+
+
 class Items:
-    """Windows of benchmark items: their hashes, words and shingles. Bounded by the block's size."""
-
-    def __init__(self, rows: list[tuple[str, str]], window: int):
-        data, off = utf8(pa.array([t for _, t in rows], pa.string()))
-        w = cut(data, off, ALNUM)
-        found: dict[bytes, dict] = {}
-        for d, (item, _) in enumerate(rows):
-            lo, hi = int(w.first[d]), int(w.first[d + 1])
-            n = min(window, hi - lo)
-            for at in range(lo, hi - n + 1) if n else ():
-                words = w.text(at, n, fold=True)
-                x = found.setdefault(words, {"n": n, "at": at, "items": set()})
-                x["items"].add(item)
-        self.words = list(found)
-        self.n = np.array([x["n"] for x in found.values()], np.int64)
-        self.items = [frozenset(x["items"]) for x in found.values()]
-        at = np.array([x["at"] for x in found.values()], np.int64)
+    """Windows of one block as arrays: their hashes, words and shingles, and the items that have each."""
+
+    def __init__(self, rows: list[tuple[str, bytes]]):
+        rows = sorted(rows, key=lambda r: (r[1], r[0]))
+        words = sorted({x for _, x in rows})
+        self.names = sorted({i for i, _ in rows})
+        code, place = {x: k for k, x in enumerate(self.names)}, {x: k for k, x in enumerate(words)}
+        self.codes = np.array([code[i] for i, _ in rows], np.int32)
+        self.own = np.searchsorted([place[x] for _, x in rows], np.arange(len(words) + 1)) if rows else np.zeros(1, np.int64)
+        self.blob, self.edge = b"".join(words), np.concatenate([[0], np.cumsum([len(x) for x in words])]).astype(np.int64)
+        w = cut(np.frombuffer(self.blob, np.uint8), self.edge, ALNUM)
+        self.n = w.counts
+        at = w.first[:-1]
         self.hash = w.runs(at, self.n) if len(at) else np.zeros(0, np.uint64)
         #: For each size of shingle: (window, place in it, hash) of every shingle of the windows that use this size.
         self.shingles = {}
@@ -64,6 +95,15 @@ class Items:
             if len(which):
                 self.shingles[k] = which, place, w.runs(at[which] + place, k)
 
+    def words(self, v: int) -> bytes:
+        return self.blob[self.edge[v] : self.edge[v + 1]]
+
+    def items(self, v: int) -> set[str]:
+        return {self.names[c] for c in self.codes[self.own[v] : self.own[v + 1]].tolist()}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "shingles"}  # the driver's alone
+
     def wanted(self) -> dict[int, np.ndarray]:
         return {k: np.unique(h) for k, (_, _, h) in self.shingles.items()}
 
@@ -123,11 +163,11 @@ def find(w: Words, items: Items, prefixes: dict) -> tuple[np.ndarray, np.ndarray
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     s, v = np.concatenate(starts), np.concatenate(windows)
-    real = np.array([w.text(a, items.n[x], fold=True) == items.words[x] for a, x in zip(s.tolist(), v.tolist(), strict=True)], bool)
+    real = np.array([w.text(a, items.n[x], fold=True) == items.words(x) for a, x in zip(s.tolist(), v.tolist(), strict=True)], bool)
     return s[real], v[real]
 
 
-def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 4 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, block_bytes: int = 64 << 20) -> DataFrame:
     """docs with n_words, n_hit (words inside an occurrence of an item window), hit_items (sorted ids, as strings) and
     hit_spans (maximal runs of hit words, [from, to) in words).
 
@@ -137,12 +177,11 @@ def contamination(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """
     spark = docs.sparkSession
     own = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = own.agg(F.sum(F.octet_length("text") + 64).alias("n")).first().n or 0
-    blocks = max(1, -(-size // block_bytes))
+    rows, blocks = blocks_of(materialise(windows(own, window), "windows"), block_bytes)
     out, begun = docs, False
     for k in range(blocks):
-        block = Items([(r.id, r.text) for r in own.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()], window)
-        if not block.words:
+        block = Items([(r.id, bytes(r.words)) for r in rows.filter(F.col("block") == k).collect()])
+        if not len(block.n):
             continue
         shared = spark.sparkContext.broadcast((block, block.prefixes(frequencies(docs, text_col, block))))
         out = add_columns(out, RESULT, lambda b, shared=shared, begun=begun: extend(b, text_col, *shared.value, begun))
@@ -164,7 +203,7 @@ def extend(b: pa.RecordBatch, text_col: str, items: Items, prefixes: dict, begun
         s, v = find(w, items, prefixes)
         got = defaultdict(set)
         for d, x in zip(w.owner(s).tolist(), v.tolist(), strict=True):
-            got[d] |= items.items[x]
+            got[d] |= items.items(x)
         cover = np.zeros(len(w) + 1, np.int64)
         np.add.at(cover, s, 1)
         np.add.at(cover, s + items.n[v], -1)
