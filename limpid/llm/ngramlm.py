@@ -24,13 +24,17 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from limpid.llm.arrow import expand, give_back, stream
 from limpid.llm.langid import fold_of
-from limpid.llm.spark import id_key, materialise, partitions_for
+from limpid.llm.spark import id_key, materialise, partitions_for, shuffle_partitions
 from limpid.llm.words import FOLDED, Words, mix, slices
 
 U = np.uint64
 END, BEGIN = U(0x452821E638D01377), U(0xBE5466CF34E90C6C)
 #: Bytes of text in a chunk, about.
 CHUNK = 1 << 23
+#: Bytes of text for each segment of the filter, about.
+SEGMENT = 1 << 24
+#: What is taken off a bigram's count, so that one seen once says less than one seen twice.
+DISCOUNT = 0.75
 HASHES = 4
 #: Stands for a chunk in blocks of exact counts.
 EXACT = -1
@@ -82,11 +86,11 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def ngram_levels(own: DataFrame, bits_per_entry: int) -> DataFrame:
-    """BLOCKS of own (chunk, held_out, text): the exact counts of all unigrams (BEGIN counts texts), and for each chunk
+def ngram_levels(own: DataFrame, size: int, bits_per_entry: int) -> DataFrame:
+    """BLOCKS of own (chunk, held_out, text), `size` bytes of text: the exact counts of all unigrams (BEGIN counts texts), and for each chunk
     the levels of its different n-grams in a filter of all n-grams of the training texts."""
-    n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = 4 * n
+    n = shuffle_partitions(own.sparkSession)
+    parts = max(4 * n, partitions_for(size, SEGMENT))
 
     def count(t: pa.Table) -> pa.Table:
         chunk, train = t["chunk"][0].as_py(), ~t["held_out"].to_numpy()
@@ -103,12 +107,8 @@ def ngram_levels(own: DataFrame, bits_per_entry: int) -> DataFrame:
         def block(*x) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(x, BLOCKS_ARROW, strict=True)], schema=BLOCKS_ARROW)
 
-        held: dict[int, list[tuple]] = {}
-        for b in batches:
-            for chunk, order, part, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                held.setdefault(part, []).append((chunk, order, k, c))
-        for part in sorted(held):
-            rows, entries = held.pop(part), []
+        def close(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            entries = []
             for order in (1, 2):
                 some = [x for x in rows if x[1] == order]
                 if some:
@@ -121,8 +121,19 @@ def ngram_levels(own: DataFrame, bits_per_entry: int) -> DataFrame:
             for chunk, order, k, _ in rows:
                 yield block(chunk, order, part, None, segment.levels(np.frombuffer(k, U)).astype(np.uint8).tobytes())
 
+        at, held = None, []
+        for b in batches:  # by part
+            for chunk, order, part, k, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if part != at and held:
+                    yield from close(at, held)
+                    held = []
+                at = part
+                held.append((chunk, order, k, c))
+        if held:
+            yield from close(at, held)
+
     counts = own.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(count, BLOCKS)
-    return stream(counts.repartition(n, "part"), answer, BLOCKS)
+    return stream(counts.repartition(max(n, parts // 4), "part").sortWithinPartitions("part"), answer, BLOCKS)
 
 
 def unigrams(blocks: DataFrame) -> DataFrame:
@@ -177,21 +188,23 @@ class LogFrequencyFilter:
 RESULT = T.StructType([T.StructField(c, L) for c in ("n_tokens", "n_known", "rare")] + [T.StructField(c, T.DoubleType()) for c in ("base", "score")])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, weight: float = 0.25, frequent: int = 1 << 20, bits_per_entry: int = 12) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, weight: float = 0.5, frequent: int = 1 << 20, bits_per_entry: int = 12) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
     Fold 0 by crc32 of the id is held out of training. A null or empty text is one end token. Repeated rows train as
     often as they stand and are scored alike. Without training texts all counts are 0.
 
-    score: log10 of weight * count(before, word) / count(before) + (1 - weight) * (count(word) + 0.1) / (N + 0.1 (V + 1)),
-    summed over tokens, with counts as the filter gives them; it holds all bigrams, those seen once too.
+    score: log10 of weight * (count(before, word) - DISCOUNT) / count(before) + (1 - weight) * (count(word) + 0.1) /
+    (N + 0.1 (V + 1)), summed over tokens, with counts as the filter gives them; it holds all bigrams, those seen once
+    too. Ids are whole numbers or null.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    chunks = partitions_for(docs.agg(F.sum(F.octet_length(text) + 1).alias("n")).first().n or 0, CHUNK)
+    size = docs.agg(F.sum(F.octet_length(text) + 1).alias("n")).first().n or 0
+    chunks = partitions_for(size, CHUNK)
     own = docs.select(F.col(id_col).alias("id"), id_key(id_col).alias("doc"), F.xxhash64(id_col, text_col).alias("dk"), (fold_of(id_col, folds) == 0).alias("held_out"), text.alias("text"))
     own = own.withColumn("chunk", F.pmod("dk", F.lit(chunks)))
-    blocks = materialise(ngram_levels(own, bits_per_entry), "ngrams")
+    blocks = materialise(ngram_levels(own, size, bits_per_entry), "ngrams")
     known = unigrams(blocks)
     stats = known.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(stats.n), int(stats.v)
@@ -223,7 +236,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         before[first[:-1]] = begin
         often, both = (np.where(x > 1, np.sqrt(2) * 2.0 ** (x - 1), x) for x in q)
         c, both = exact(one)[which], both[pair]
-        p = (1 - weight) * (often[which] + 0.1) / (n + 0.1 * (v + 1)) + weight * both / np.maximum(np.maximum(often[before], both), 1)
+        p = (1 - weight) * (often[which] + 0.1) / (n + 0.1 * (v + 1)) + weight * np.maximum(both - DISCOUNT, 0) / np.maximum(np.maximum(often[before], both), 1)
         add = lambda x: np.add.reduceat(x, first[:-1])
         new = (np.diff(first), add((c > 0).astype(np.int64)), add((c == 0).astype(np.int64)), add(np.where(c > 0, np.log10(c + 0.1), 0.0)), add(np.log10(p)))
         give_back()
@@ -238,7 +251,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield {"dk": dk[w.lo + np.searchsorted(first, rare, side="right") - 1], "h": word[rare].view(np.int64)}
 
     levels = blocks.filter(F.col("chunk") != EXACT).select("chunk", "order", "part", "counts")
-    per_row = materialise(own.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(make, scored), "scores")
+    tasks = max(chunks, shuffle_partitions(spark))  # so that a task has about a chunk, however many there are
+    dealt = [x.repartition(tasks, "chunk").groupBy("chunk") for x in (own, levels)]
+    per_row = materialise(dealt[0].cogroup(dealt[1]).applyInArrow(make, scored), "scores")
     rare = expand(own.select("dk", "text"), T.StructType([T.StructField("dk", L), T.StructField("h", L)]), rest)
     log = F.log10(F.coalesce("c", F.lit(0)) + 0.1)
     more = rare.join(known.hint("shuffle_hash"), "h", "left").groupBy("dk").agg(F.sum(log).alias("more"), F.count("c").alias("found"), F.count("*").alias("all"))
