@@ -281,10 +281,11 @@ def parted(filed: DataFrame, percent: int, block: int) -> DataFrame:
     link. Linked sets lie in the same or in neighbouring bands of sizes, a band ending at 100 / percent times its
     beginning, so a part of two neighbouring bands has each set twice. A part that is still too large becomes pairs of
     pieces."""
-    large = filed.groupBy("block").agg(F.count("*").alias("m")).filter(F.col("m") > block).select("block", F.lit(True).alias("large"))
+    # Written, as are the classes, so that Spark can split a block that very many sets are in.
+    large = materialise(filed.groupBy("block").agg(F.count("*").alias("m")).filter(F.col("m") > block).select("block", F.lit(True).alias("large")), "large")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) * (1 - 1e-9)) if percent < 100 else F.col("n")
     own = filed.join(large, "block", "left").withColumn("band", F.explode(F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long")))))
-    pieces = own.filter("large").groupBy("block", "band").agg(F.ceil(F.count("*") / block).alias("k")).filter("k > 1")
+    pieces = materialise(own.filter("large").groupBy("block", "band").agg(F.ceil(F.count("*") / block).alias("k")).filter("k > 1"), "pieces")
     split = own.join(pieces, ["block", "band"], "left").withColumn("i", F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1))))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("k"), F.lit(1)) - 1), lambda j: F.struct("band", F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
     return split.select("block", F.explode(cells).alias("c"), "node", "n", "bins").select("block", F.xxhash64("c").alias("part"), "node", "n", "bins")
@@ -310,7 +311,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sets.filter("n > 0").groupBy("sig", "sig2").agg(F.min(F.struct("doc", "n", "bins")).alias("x")).select("sig", "sig2", F.col("x.doc").alias("node"), "x.n", "x.bins")
     classes = materialise(classes, "classes")
     members = materialise(meet(prefix_tokens(own, width, percent, heavy)), "blocks")
-    filed = parted(members.join(classes, "sig").select("block", "node", "n", "bins"), percent, block)
+    filed = parted(materialise(members.join(classes, "sig").select("block", "node", "n", "bins"), "filed"), percent, block)
     groups_table = materialise(sieved(filed, percent), "groups")
     groups = groups_table.groupBy("node").agg(F.collect_list("block").alias("blocks"))
     wanted = groups.join(classes.select("node", "sig", "sig2"), "node").select(F.col("node").alias("doc"), "node", "sig", "sig2", "blocks")
