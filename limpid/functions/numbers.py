@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from limpid.functions.text import SPACE, trim
+from limpid.table import plain
 
 PLAIN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
@@ -39,4 +40,4 @@ def written(x: Column) -> Column:
 
 def exact(x: Column) -> Column:
     """All digits of a number, whole ones without decimals; null is ""."""
-    return F.when(x.isNull() | F.isnan(x), F.lit("")).when((x == F.floor(x)) & (F.abs(x) < 1e21), x.cast("decimal(38,0)").cast("string")).otherwise(x.cast("string"))
+    return F.when(x.isNull() | F.isnan(x), F.lit("")).otherwise(plain(x))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from limpid.functions import numbers
-from limpid.table import Table, q
+from limpid.table import WHOLE, Table, q
 
 ISO = r"^\d{4}(-\d{2}(-\d{2}(T\d{2}:\d{2}(:\d{2})?)?)?)?$"
 
@@ -35,23 +35,69 @@ def _date(v: str) -> datetime | None:
         return None
 
 
-def between(c: Column, low: str | None, high: str | None) -> Column:
-    """Inclusive, open where a bound is None: as numbers if cell and bounds are, else as ISO dates if the cell is one
-    (bounds that are none don't count), else as texts."""
+def _within(x: Column, a, b) -> Column:
+    return reduce(lambda p, y: p & y, [x >= F.lit(a)] * (a is not None) + [x <= F.lit(b)] * (b is not None), F.lit(True))
 
-    def within(x: Column, a, b) -> Column:
-        return reduce(lambda p, y: p & y, [x >= F.lit(a)] * (a is not None) + [x <= F.lit(b)] * (b is not None), F.lit(True))
 
+def between(c: Column, low: str | None, high: str | None, number: Column | None = None, day: Column | None = None) -> Column:
+    """Inclusive, open where a bound is None: as numbers if cell and bounds are, else as ISO dates if the cell is one
+    (bounds that are none don't count), else as texts. number, day: the cell by its own type, which saves parsing it."""
     given = [v for v in (low, high) if v is not None]
     parsed = [None if v is None else _number(v) for v in (low, high)]
     dates = [None if v is None else _date(v) for v in (low, high)]
-    number, date = numbers.strict(c), _iso(c)
-    out = F.when(date.isNotNull(), within(date, *dates)).otherwise(within(c, low, high))
-    if all(_number(v) is not None for v in given):
-        out = F.when(number.isNotNull(), within(number, *parsed)).otherwise(out)
+    numeric = all(_number(v) is not None for v in given)
+    if number is not None:  # a cell of digits is no date but for four of them; blank is 0
+        x = F.when(c == "", F.lit(0.0)).otherwise(number)
+        if numeric:
+            return F.when(x.isNotNull(), _within(x, *parsed)).otherwise(_within(c, low, high))
+    date = _iso(c) if day is None else day.cast("timestamp")
+    out = F.when(date.isNotNull(), _within(date, *dates)).otherwise(_within(c, low, high))
+    if numeric:
+        x = F.when(c == "", F.lit(0.0)) if day is not None else numbers.strict(c)
+        out = F.when(x.isNotNull(), _within(x, *parsed)).otherwise(out)
     return out
 
 
+def pushable(table: Table, group: dict) -> Column | None:
+    """A condition on columns of their own types that holds for all rows of a group, and maybe more; files can answer it
+    without reading them. None: no such condition."""
+    if "conditions" in group:
+        parts = [pushable(table, g) for g in group["conditions"]]
+        if group.get("combinator", "and") == "or":
+            return reduce(lambda a, b: a | b, parts) if parts and all(x is not None for x in parts) else None
+        known = [x for x in parts if x is not None]
+        return reduce(lambda a, b: a & b, known) if known else None
+    how, v = group["operator"], group.get("value") or ""
+    if (c := table.typed(group["column"], "string")) is not None:
+        blank = c.isNull() | (c == "")
+        match how:
+            case "eq":
+                return c == v if v else blank
+            case "neq":
+                return (c != v) | c.isNull() if v else c.isNotNull()
+            case "contains":
+                return c.contains(v) if v else None
+            case "starts_with":
+                return c.startswith(v) if v else None
+            case "is_empty":
+                return blank
+            case "is_not_empty":
+                return c.isNotNull()
+            case "in_list" if group.get("values"):
+                some = c.isin(*group["values"])
+                return some | c.isNull() if "" in group["values"] else some
+        return None
+    c = table.typed(group["column"], *WHOLE, "double")
+    bounds = [group.get("min"), group.get("max")]
+    if c is None or how != "between" or bounds == [None, None] or any(x is not None and _number(x) is None for x in bounds):
+        return None
+    low, high = (None if x is None else _number(x) for x in bounds)
+    out = _within(c, low, high)
+    if (low is None or low <= 0) and (high is None or high >= 0):
+        out = out | c.isNull()
+    return out | (c == float("-inf")) if table.native[group["column"]][1] == "double" else out
+
+
 def _valid(pattern: str) -> bool:
     try:
         return bool(re.compile(pattern)) or True
@@ -59,7 +105,7 @@ def _valid(pattern: str) -> bool:
         return False
 
 
-def condition(c: Column, how: str, x: dict) -> Column:
+def condition(c: Column, how: str, x: dict, number: Column | None = None, day: Column | None = None) -> Column:
     v = x.get("value") or ""
     match how:
         case "eq":
@@ -79,7 +125,7 @@ def condition(c: Column, how: str, x: dict) -> Column:
         case "in_list":
             return c.isin(*x["values"]) if x.get("values") else F.lit(False)
         case "between":
-            return between(c, x.get("min"), x.get("max"))
+            return between(c, x.get("min"), x.get("max"), number, day)
     raise ValueError(f"unknown filter operator {how!r}")
 
 
@@ -90,8 +136,9 @@ def predicate(table: Table, group: dict) -> Column:
         if not parts:
             return F.lit(True)
         return reduce(lambda a, b: a | b if group.get("combinator", "and") == "or" else a & b, parts)
-    table.need(group["column"])
-    return condition(q(group["column"]), group["operator"], group)
+    name = group["column"]
+    table.need(name)
+    return condition(q(name), group["operator"], group, table.number(name), table.typed(name, "date", "timestamp", "timestamp_ntz"))
 
 
 def mentioned(group: dict) -> set[str]:
@@ -102,17 +149,24 @@ def mentioned(group: dict) -> set[str]:
 def expression(table: Table, node: dict) -> Column:
     """Text of {literal}, {column} or {op, left, right}. + of two numbers adds, else joins the texts; others need
     numbers and are "" without, or if the divisor is 0."""
+    return _value(table, node)["t"]
+
+
+def _value(table: Table, node: dict) -> Column:
+    """A struct of a node's text t and its number x, null if it is none."""
+    number = lambda v: F.when(numbers.trim(v) != "", numbers.strict(v))
+    pair = lambda t, x: F.struct(t.alias("t"), x.alias("x"))
     if "literal" in node:
-        return F.lit(str(node["literal"]))
+        return pair(F.lit(str(node["literal"])), number(F.lit(str(node["literal"]))))
     if "column" in node:
         table.need(node["column"])
-        return q(node["column"])
+        x = table.number(node["column"])
+        return pair(q(node["column"]), number(q(node["column"])) if x is None else x)
     if node["op"] not in ("+", "-", "*", "/"):
         raise ValueError(f"unknown operator {node['op']!r}")
-    number = lambda v: F.when(numbers.trim(v) != "", numbers.strict(v))
-    a, b = expression(table, node["left"]), expression(table, node["right"])
     # Each side is bound once: plain nesting would copy it for every use, and grow as a power of the depth.
-    return _bound(_bound(F.struct(a.alias("a"), b.alias("b")), lambda v: F.struct(v["a"], v["b"], number(v["a"]).alias("x"), number(v["b"]).alias("y"))), lambda v: _result(node["op"], v))
+    sides = F.struct(_value(table, node["left"]).alias("a"), _value(table, node["right"]).alias("b"))
+    return _bound(sides, lambda v: _result(node["op"], v))
 
 
 def _bound(value: Column, f) -> Column:
@@ -120,13 +174,11 @@ def _bound(value: Column, f) -> Column:
 
 
 def _result(op: str, v: Column) -> Column:
-    x, y = v["x"], v["y"]
+    x, y = v["a"]["x"], v["b"]["x"]
+    z = F.when(x.isNotNull() & y.isNotNull(), {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[op])
+    z = F.when(~F.isnan(z) & (F.abs(z) < float("inf")), z)
+    if op != "+":
+        return F.struct(numbers.exact(z).alias("t"), z.alias("x"))
+    joined = F.concat(v["a"]["t"], v["b"]["t"])
     both = x.isNotNull() & y.isNotNull()
-    match op:
-        case "+":
-            return F.when(both, numbers.exact(x + y)).otherwise(F.concat(v["a"], v["b"]))
-        case "-":
-            return F.when(both, numbers.exact(x - y)).otherwise("")
-        case "*":
-            return F.when(both, numbers.exact(x * y)).otherwise("")
-    return F.when(both & (y != 0), numbers.exact(F.try_divide(x, y))).otherwise("")
+    return F.struct(F.when(both, numbers.exact(z)).otherwise(joined).alias("t"), F.when(both, z).when(numbers.trim(joined) != "", numbers.strict(joined)).alias("x"))

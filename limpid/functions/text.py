@@ -12,10 +12,15 @@ SPACE = r"(?U)[\s\x{FEFF}]"
 
 
 def _folding() -> tuple[str, str]:
-    """Latin letters with marks, and the letters without."""
-    pairs = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(i))) > 1]
-    pairs += [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0x1E00, 0x1F00) if len(unicodedata.normalize("NFD", chr(i))) > 1]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Characters that decompose to one with marks of U+0300 to U+036F behind, and those without the marks."""
+    marked, bare = [], []
+    for i in range(0xA0, 0x2FA20):
+        parts = unicodedata.normalize("NFD", chr(i))
+        left = "".join(x for x in parts if not 0x300 <= ord(x) <= 0x36F)
+        if len(left) == 1 and len(parts) > 1 and i < 0x10000:
+            marked.append(chr(i))
+            bare.append(left)
+    return "".join(marked), "".join(bare)
 
 
 MARKED, BARE = _folding()

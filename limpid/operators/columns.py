@@ -21,19 +21,19 @@ def rename_columns(t: Table, p: dict, _: Context) -> Table:
     names = [new.get(c, c) for c in t.columns]
     if len(set(names)) < len(names):
         raise ValueError("two columns would have one name")
-    return replace(t.select({n: q(c) for n, c in zip(names, t.columns, strict=True)}), hidden=frozenset(new.get(c, c) for c in t.hidden))
+    return replace(t.select(dict(zip(names, t.columns, strict=True))), hidden=frozenset(new.get(c, c) for c in t.hidden))
 
 
 @operator("reorder_columns")
 def reorder_columns(t: Table, p: dict, _: Context) -> Table:
     """order first, unknown names ignored; the rest follows as it was."""
     first = [c for c in dict.fromkeys(p["order"]) if c in t.columns]
-    return t.select({c: q(c) for c in [*first, *[c for c in t.columns if c not in first]]})
+    return t.select({c: c for c in [*first, *[c for c in t.columns if c not in first]]})
 
 
 @operator("drop_columns")
 def drop_columns(t: Table, p: dict, _: Context) -> Table:
-    return t.select({c: q(c) for c in t.columns if c not in p["columns"]})
+    return t.select({c: c for c in t.columns if c not in p["columns"]})
 
 
 @operator("hide_columns")
@@ -47,7 +47,7 @@ def hide_columns(t: Table, p: dict, _: Context) -> Table:
 def duplicate_column(t: Table, p: dict, _: Context) -> Table:
     """A copy right after its source."""
     t.need(p["column"])
-    return t.select({n: q(p["column"]) if n == p["name"] else q(n) for c in t.columns for n in ([c, p["name"]] if c == p["column"] else [c])})
+    return t.select({n: p["column"] if n == p["name"] else n for c in t.columns for n in ([c, p["name"]] if c == p["column"] else [c])})
 
 
 @operator("add_constant_column")
@@ -116,7 +116,7 @@ def normalize_columns(t: Table, p: dict, ctx: Context) -> Table:
         changed = changed | (q(c) != x)
     ctx.counters["rowsModified"] = (t.df, F.count_if(changed))
     if p.get("mode", "overwrite") == "overwrite":
-        return t.select({c: new.get(c, q(c)) for c in t.columns})
+        return t.select({c: new.get(c, c) for c in t.columns})
     suffix = p.get("suffix", " (normalisé)")
     return t.select({**t.cells(), **{c + suffix: x for c, x in new.items()}})
 

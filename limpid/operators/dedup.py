@@ -1,5 +1,5 @@
-"""Deduplication. Groups are found by an aggregate of their keys and joined back, so that a very large group needs no
-window over all its rows in one task."""
+"""Deduplication. A group becomes its row by one aggregate over whole rows, which map tasks begin: a very large group needs
+neither a window nor a join, and no row is looked up by its place a second time."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from limpid.functions.text import comparison
 from limpid.operators.registry import Context, operator
+from limpid.storage import written
 from limpid.table import ORD, Table, q
 
 ACTIONS = ("keep_first", "keep_last", "keep_most_complete", "merge_first_nonempty", "flag_only")
@@ -22,13 +23,23 @@ def group_key(columns: list[str], mode: str) -> Column:
 
 
 def groups(t: Table, columns: list[str], mode: str) -> DataFrame:
-    """(__key, __count, __first, __last, __fullest, c0..): groups of two rows or more; c<i> is the first cell of a column
-    that isn't empty."""
-    filled = reduce(lambda a, b: a + b, [(q(c) != "").cast("int") for c in t.columns])
-    merged = [F.min_by(F.when(q(c) != "", q(c)), F.when(q(c) != "", F.col(ORD))).alias(f"__c{i}") for i, c in enumerate(t.columns)]
-    fullest = (-F.max(F.struct(filled.alias("f"), (-F.col(ORD)).alias("o")))["o"]).alias("__fullest")
+    """(__key, __count, __first): groups of two rows or more."""
     own = t.df.withColumn("__key", group_key(columns, mode))
-    return own.groupBy("__key").agg(F.count("*").alias("__count"), F.min(ORD).alias("__first"), F.max(ORD).alias("__last"), fullest, *merged).filter("__count > 1")
+    return own.groupBy("__key").agg(F.count("*").alias("__count"), F.min(ORD).alias("__first")).filter("__count > 1")
+
+
+def _chosen(t: Table, actions: set[str]) -> dict[str, Column]:
+    """For each action the group's row, as a struct of its order and cells."""
+    row = F.struct(ORD, *map(q, t.columns))
+    filled = reduce(lambda a, b: a + b, [(q(c) != "").cast("int") for c in t.columns])
+    first_of = lambda c: F.coalesce(F.min_by(q(c), F.when(q(c) != "", F.col(ORD))), F.lit(""))
+    make = {
+        "keep_first": lambda: F.min_by(row, F.col(ORD)),
+        "keep_last": lambda: F.max_by(row, F.col(ORD)),
+        "keep_most_complete": lambda: F.min_by(row, F.struct(-filled, F.col(ORD))),
+        "merge_first_nonempty": lambda: F.struct(F.min(ORD).alias(ORD), *[first_of(c).alias(c) for c in t.columns]),
+    }
+    return {a: make[a]() for a in ACTIONS if a in actions and a in make}
 
 
 @operator("deduplicate")
@@ -38,29 +49,36 @@ def deduplicate(t: Table, p: dict, ctx: Context) -> Table:
     Flagged rows get `oui` in flag_column, a column that is there whenever a group may be flagged. Without columns there
     are no groups.
     """
-    columns, action, overrides = p["columns"], p.get("action", "keep_first"), p.get("overrides") or {}
+    columns, action, overrides, mode = p["columns"], p.get("action", "keep_first"), p.get("overrides") or {}, p.get("mode", "exact")
     if bad := {action, *overrides.values()} - {*ACTIONS}:
         raise ValueError(f"unknown action {min(bad)!r}")
     t.need(*columns)
-    flags = "flag_only" in {action, *overrides.values()}
-    flag = p.get("flag_column") or "_doublon"
+    actions, flag = {action, *overrides.values()}, p.get("flag_column") or "_doublon"
+    flags = "flag_only" in actions
     if not columns:
         return t.with_column(flag, F.lit("")) if flags else t
-    own = t.df.withColumn("__key", group_key(columns, p.get("mode", "exact")))
-    found = groups(t, columns, p.get("mode", "exact"))
-    joined = own.join(found, "__key", "left")
+    own = replace(t, df=t.df.withColumn("__key", group_key(columns, mode)))
+    found = groups(t, columns, mode)
+    ctx.counters["duplicateRows"] = (found, F.coalesce(F.sum("__count"), F.lit(0)))
     what = F.lit(action)
     if overrides:
         table = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
         what = F.coalesce(F.try_element_at(table, F.col("__key")), what)
-    kept = {"keep_first": "__first", "keep_last": "__last", "keep_most_complete": "__fullest", "merge_first_nonempty": "__first"}
-    stays = reduce(lambda a, k: a | ((what == k) & (F.col(ORD) == F.col(kept[k]))), kept, F.col("__count").isNull() | (what == "flag_only"))
-    merges = F.col("__count").isNotNull() & (what == "merge_first_nonempty")
-    cells = {c: F.when(merges, F.coalesce(F.col(f"__c{i}"), F.lit(""))).otherwise(q(c)) for i, c in enumerate(t.columns)}
+    cells = t.cells() | ({flag: flag if flag in t.columns else F.lit("")} if flags else {})
+    parts = []
+    if actions - {"flag_only"}:
+        one = own.df.filter(what != "flag_only").groupBy("__key").agg(*[x.alias(a) for a, x in _chosen(t, actions).items()])
+        choice = F.coalesce(*[F.when(what == a, F.col(a)) for a in ACTIONS if a in actions and a != "flag_only"])
+        parts.append(replace(t, df=one.select(choice.alias("x")).select("x.*"), native={}).select(cells))
     if flags:
-        cells[flag] = F.when(F.col("__count").isNotNull() & (what == "flag_only"), "oui").otherwise(cells.get(flag, F.lit("")) if flag in t.columns else "")
-    ctx.counters["duplicateRows"] = (found, F.coalesce(F.sum("__count"), F.lit(0)))
-    return replace(t, df=joined.filter(stays)).select(cells)
+        # Written, so that Spark can split a very large group in the join.
+        often = written(found.filter(what == "flag_only").select("__key", "__count"), "duplicates")
+        marked = own.df.filter(what == "flag_only").join(often, "__key", "left")
+        cells[flag] = F.when(F.col("__count").isNotNull(), "oui").otherwise(q(flag) if flag in t.columns else "")
+        parts.append(replace(t, df=marked).select(cells))
+    if len(parts) == 1:
+        return parts[0]
+    return replace(parts[0], df=parts[0].df.unionByName(parts[1].df.select(parts[0].df.columns)))
 
 
 def find_duplicates(t: Table, columns: list[str], mode: str = "normalized") -> DataFrame:

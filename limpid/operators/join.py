@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from limpid.functions import numbers
 from limpid.functions.fuzzy import compared, score
 from limpid.functions.text import key
 from limpid.operators.registry import Context, operator
+from limpid.storage import written
 from limpid.table import ORD, Table, q
 
 
@@ -41,9 +43,9 @@ def _keyed(t: Table, keys: list[Column]) -> DataFrame:
     return t.df.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
 
 
-def _several(c: str, rule: str, separator: str) -> Column:
-    """What many right rows become in one cell; numbers alone count, empty texts don't."""
-    number = F.when(q(c) != "", numbers.strict(q(c)))
+def _several(t: Table, c: str, rule: str, separator: str) -> Column:
+    """What many rows of t become in one cell; numbers alone count, empty texts don't."""
+    number = F.when(q(c) != "", numbers.strict(q(c))) if t.number(c) is None else t.number(c)
     match rule:
         case "sum" | "min" | "max":
             return numbers.exact({"sum": F.sum, "min": F.min, "max": F.max}[rule](number))
@@ -64,22 +66,26 @@ def enrich_join(t: Table, p: dict, ctx: Context) -> Table:
     names = names_for(t.columns, copied, p.get("collision", "suffix"), p.get("affix", "_droite"))
     kind = "inner" if p.get("type", "left") == "inner" else "left"
     if p.get("fuzzy"):
-        best = resolve(t, right, p).filter(F.col("status").isin("forced", "manual", "auto"))
-        cells = right.df.select(F.col(ORD).alias("__r"), *[q(c).alias(f"__v{i}") for i, c in enumerate(copied)])
-        found = best.join(cells, best["right_ord"] == cells["__r"]).select(F.col("left_ord").alias("__l"), *[f"__v{i}" for i in range(len(copied))])
-        joined = t.df.join(found, t.df[ORD] == found["__l"], kind).withColumn("__n", F.when(F.col("__l").isNotNull(), 1))
+        joined = resolved(t, right, p, copied)
+        found = F.col("status").isin(*MATCHED)
+        count = lambda c: (joined, F.count_if(c))
+        ctx.counters |= {"unmatched": count(~found), "ambiguous": count(F.col("status") == "pending"), "matchedAuto": count(F.col("status") == "auto"), "matchedManual": count(F.col("status").isin("manual", "forced"))}
+        joined = joined.filter(found) if kind == "inner" else joined
+        cell = lambda i: F.when(found, F.col(f"__v{i}"))
     else:
         mine, theirs = pair_keys(p["pairs"])
         on = [f"__k{i}" for i in range(len(mine))]
         how, rules, sep = p.get("multiple", "first"), p.get("rules") or {}, p.get("separator", ", ")
         first = lambda c: F.min_by(q(c), F.col(ORD))
-        many = {"first": first, "flag_conflict": lambda c: F.lit(""), "aggregate": lambda c: _several(c, rules.get(c, "concat"), sep)}[how]
-        cells = [F.when(F.count("*") == 1, first(c)).otherwise(many(c)).alias(f"__v{i}") for i, c in enumerate(copied)]
-        found = _keyed(right, theirs).groupBy(*on).agg(F.count("*").alias("__n"), *cells)
+        many = {"first": first, "flag_conflict": lambda c: F.lit(""), "aggregate": lambda c: _several(right, c, rules.get(c, "concat"), sep)}[how]
+        cells = [(first(c) if how == "first" else F.when(F.count("*") == 1, first(c)).otherwise(many(c))).alias(f"__v{i}") for i, c in enumerate(copied)]
+        # Written, so that the join has an exchange of its own on both sides and Spark can split a very frequent key.
+        found = written(_keyed(right, theirs).groupBy(*on).agg(F.count("*").alias("__n"), *cells), "partners")
         joined = _keyed(t, mine).join(found, on, kind)
         every = _keyed(t, mine).join(found.select(*on, "__n"), on, "left")
         ctx.counters |= {"unmatched": (every, F.count_if(F.col("__n").isNull())), "ambiguous": (every, F.count_if(F.col("__n") > 1)), "matchedAuto": (every, F.count_if(F.col("__n") >= 1))}
-    out = t.cells() | {n: F.coalesce(F.col(f"__v{i}"), F.lit("")) for i, (c, n) in enumerate(names.items()) if n}
+        cell = lambda i: F.col(f"__v{i}")
+    out = t.cells() | {n: F.coalesce(cell(i), F.lit("")) for i, (c, n) in enumerate(names.items()) if n}
     return replace(t, df=joined).select(out)
 
 
@@ -95,7 +101,7 @@ def ambiguous(t: Table, right: Table, pairs: list[dict]) -> Table:
     """Left rows with more than one partner."""
     mine, theirs = pair_keys(pairs)
     on = [f"__k{i}" for i in range(len(mine))]
-    often = _keyed(right, theirs).groupBy(*on).count().filter("count > 1").select(*on)
+    often = written(_keyed(right, theirs).groupBy(*on).count().filter("count > 1").select(*on), "several")
     return replace(t, df=_keyed(t, mine).join(often, on, "left_semi").select(ORD, *map(q, t.columns)))
 
 
@@ -112,53 +118,67 @@ def match_counts(t: Table, right: Table, pairs: list[dict]) -> DataFrame:
     return both.agg(total("a", F.col("b") == 1).alias("matched"), total("a", F.col("b") > 1).alias("ambiguous"), total("a", F.col("b").isNull()).alias("unmatched_left"), total("b", F.col("a").isNull()).alias("unmatched_right"))
 
 
+#: Statuses under which a left row has its right row.
+MATCHED = ("forced", "manual", "auto")
+
+
 def resolve(t: Table, right: Table, p: dict) -> DataFrame:
-    """(left_ord, right_ord, score, status) for each left row by fuzzy matching in blocks.
+    """(left_ord, right_ord, score, status) for each left row; see resolved()."""
+    return resolved(t, right, p).select(F.col(ORD).alias("left_ord"), "right_ord", "score", "status")
+
+
+def resolved(t: Table, right: Table, p: dict, copied: Iterable[str] = ()) -> DataFrame:
+    """t's rows with right_ord, score, status and `__v<i>`, the right row's copied cells, by fuzzy matching in blocks.
 
     fuzzy: {left: [columns], right: [columns], tokens, high, low, decisions [{left, right, decision}], forced [{left,
-    right}]}; the pairs of p are the blocks. status: forced, manual, auto, pending, rejected or no_candidate. The best
-    candidate has the highest score, the first of equals; a decision counts for the best pair only; a forced pair goes
-    before all, to the first right row with its key, if there is one.
+    right}]}; the pairs of p are the blocks, left and right of decisions and forced pairs are keys as compared() gives
+    them, or the texts these come from. status: forced, manual, auto, pending, rejected or no_candidate. The best
+    candidate has the highest score, the first of equals; a decision counts for the best pair only, the last one on it; a
+    forced pair, the last one for its left key, goes before all, to the first right row with its key, if there is one.
     """
     f = p["fuzzy"]
     tokens, high, low = f.get("tokens", True), f.get("high", 90), f.get("low", 65)
     mine, theirs = pair_keys(p["pairs"])
     on = [f"__k{i}" for i in range(len(mine))]
     both = lambda df, cols, name: df.withColumn(name, compared(F.concat_ws(" ", *map(q, cols)), tokens))
-    left = both(_keyed(t, mine), f["left"], "__a").select(F.col(ORD).alias("left_ord"), "__a", *on)
-    other = both(_keyed(right, theirs), f["right"], "__b").select(F.col(ORD).alias("right_ord"), "__b", *on)
+    left = both(_keyed(t, mine), f["left"], "__a")
+    right_row = F.struct(F.col(ORD).alias("ord"), *[q(c).alias(f"v{i}") for i, c in enumerate(copied)])
+    other = both(_keyed(right, theirs), f["right"], "__b").select("__b", *on, right_row.alias("r"))
     # Equal texts score alike: each pair of texts in a block is scored once, its first right row stands for it.
-    texts = other.groupBy(*on, "__b").agg(F.min("right_ord").alias("right_ord"))
+    texts = other.groupBy(*on, "__b").agg(F.min_by("r", "r.ord").alias("r"))
     pairs = left.select("__a", *on).distinct().join(texts, on).withColumn("score", score(F.col("__a"), F.col("__b")))
-    best = pairs.groupBy(*on, "__a").agg(F.max(F.struct("score", (-F.col("right_ord")).alias("r"), "__b")).alias("x"))
-    out = left.join(best.select(*on, "__a", F.col("x.score").alias("score"), (-F.col("x.r")).alias("right_ord"), F.col("x.__b").alias("__b")), [*on, "__a"], "left")
-    lookup = lambda rows, v: {(_key_text(r["left"], tokens), _key_text(r["right"], tokens)): r.get(v, "forced") for r in rows}
-    decided, forced = lookup(f.get("decisions") or [], "decision"), lookup(f.get("forced") or [], "_")
-    spark = t.df.sparkSession
-    said = F.lit(None).cast("string")
-    if decided:
-        told = spark.createDataFrame([(a, b, d) for (a, b), d in decided.items()], "l string, r string, said string")
-        told = told.select(compared(F.col("l"), tokens).alias("__a"), compared(F.col("r"), tokens).alias("__b"), "said").dropDuplicates(["__a", "__b"])
-        out, said = out.join(told, ["__a", "__b"], "left"), F.col("said")
+    best = pairs.groupBy(*on, "__a").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r.ord").alias("o"), "__b", "r")).alias("x"))
+    # Written, so that Spark can split a text that very many left rows have.
+    best = written(best.select(*on, "__a", (-F.col("x.s")).alias("score"), F.col("x.__b").alias("__b"), F.col("x.r").alias("r")), "candidates")
+    out, spark, said = left.join(best, [*on, "__a"], "left"), t.df.sparkSession, F.lit(None).cast("string")
+    if told := [(i, _key_text(d["left"]), _key_text(d["right"]), d["decision"]) for i, d in enumerate(f.get("decisions") or [])]:
+        rows = spark.createDataFrame(told, "i int, l string, r string, said string").select("i", compared(F.col("l"), tokens).alias("__a"), compared(F.col("r"), tokens).alias("__b"), "said")
+        out, said = out.join(rows.groupBy("__a", "__b").agg(F.max_by("said", "i").alias("said")), ["__a", "__b"], "left"), F.col("said")
     status = (
-        F.when(F.col("right_ord").isNull(), "no_candidate").when(said == "validated", "manual").when(said == "rejected", "rejected")
+        F.when(F.col("r").isNull(), "no_candidate").when(said == "validated", "manual").when(said == "rejected", "rejected")
         .when(F.col("score") >= high, "auto").when(F.col("score") >= low, "pending").otherwise("rejected")
     )
-    out = out.select("left_ord", "right_ord", "score", status.alias("status"), "__a")
-    if forced:
-        told = spark.createDataFrame([*forced], "l string, r string").select(compared(F.col("l"), tokens).alias("__a"), compared(F.col("r"), tokens).alias("__b")).dropDuplicates(["__a"])
-        told = told.join(other.groupBy("__b").agg(F.min("right_ord").alias("__f")), "__b").select("__a", "__f")
-        out = out.join(told, "__a", "left")
-        is_forced = F.col("__f").isNotNull()
-        out = out.select("left_ord", F.coalesce("__f", "right_ord").alias("right_ord"), F.when(is_forced, 100).otherwise(F.col("score")).alias("score"), F.when(is_forced, "forced").otherwise(F.col("status")).alias("status"))
-    return out.select("left_ord", "right_ord", "score", "status")
+    out = out.withColumn("status", status)
+    if told := [(i, _key_text(d["left"]), _key_text(d["right"])) for i, d in enumerate(f.get("forced") or [])]:
+        rows = spark.createDataFrame(told, "i int, l string, r string").select("i", compared(F.col("l"), tokens).alias("__a"), compared(F.col("r"), tokens).alias("__b"))
+        rows = rows.groupBy("__a").agg(F.max_by("__b", "i").alias("__b"))
+        rows = rows.join(other.groupBy("__b").agg(F.min_by("r", "r.ord").alias("forced")), "__b").select("__a", "forced")
+        out, is_forced = out.join(rows, "__a", "left"), F.col("forced").isNotNull()
+        out = out.withColumns({"r": F.coalesce("forced", "r"), "score": F.when(is_forced, 100).otherwise(F.col("score")), "status": F.when(is_forced, "forced").otherwise(F.col("status"))})
+    return out.select(*t.df.columns, F.col("r.ord").alias("right_ord"), "score", "status", *[F.col(f"r.v{i}").alias(f"__v{i}") for i, _ in enumerate(copied)])
 
 
-def _key_text(x, tokens: bool) -> str:
+def _key_text(x) -> str:
     return " ".join(x) if isinstance(x, (list, tuple)) else str(x)
 
 
+def fuzzy_keys(t: Table, columns: list[str], tokens: bool = True) -> DataFrame:
+    """(ord, key) for each row: the key under which decisions and forced pairs name it."""
+    t.need(*columns)
+    return t.df.select(F.col(ORD).alias("ord"), compared(F.concat_ws(" ", *map(q, columns)), tokens).alias("key"))
+
+
 def unmatched_right(t: Table, right: Table, p: dict) -> Table:
     """Right rows that no left row was given."""
-    used = resolve(t, right, p).filter(F.col("status").isin("forced", "manual", "auto")).select(F.col("right_ord").alias(ORD))
+    used = resolve(t, right, p).filter(F.col("status").isin(*MATCHED)).select(F.col("right_ord").alias(ORD))
     return replace(right, df=right.df.join(used, ORD, "left_anti"))

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from limpid.functions.predicates import predicate
+from limpid.functions.predicates import predicate, pushable
 from limpid.operators.registry import Context, operator
 from limpid.table import ORD, Table, q
 
@@ -14,14 +14,15 @@ from limpid.table import ORD, Table, q
 @operator("filter_rows")
 def filter_rows(t: Table, p: dict, ctx: Context) -> Table:
     """where: a condition group. action: keep or delete the rows, or extract them as the context's table `name`."""
-    holds = predicate(t, p["where"])
+    holds, sure = predicate(t, p["where"]), pushable(t, p["where"])
+    kept = t.df.filter(holds) if sure is None else t.df.filter(sure).filter(holds)
     match p.get("action", "keep"):
         case "keep":
-            return replace(t, df=t.df.filter(holds))
+            return replace(t, df=kept)
         case "delete":
             return replace(t, df=t.df.filter(~holds))
         case "extract_to_new_table":
-            ctx.tables[p.get("name") or "extract"] = replace(t, df=t.df.filter(holds))
+            ctx.tables[p.get("name") or "extract"] = replace(t, df=kept)
             return t
     raise ValueError(f"unknown action {p['action']!r}")
 
@@ -43,10 +44,9 @@ def append_rows(t: Table, p: dict, ctx: Context) -> Table:
     """The rows of another table after these: mapping {column here: column there}; columns that aren't mapped are empty."""
     other, mapping = ctx.table(p["table"]), p["mapping"]
     other.need(*[c for c in mapping.values() if c])
-    # Orders are whole numbers below 2**61, so this puts all of the other's rows behind.
-    last = t.df.agg(F.coalesce(F.max(ORD), F.lit(0)).alias("__m"))
-    first = other.df.agg(F.coalesce(F.min(ORD), F.lit(0)).alias("__f"))
+    order = lambda part, here, there: F.struct(F.lit(part).alias("part"), here.alias("here"), there.alias("there")).alias(ORD)
+    mine, theirs = (x.df.schema[ORD].dataType for x in (t, other))
     cells = [(q(mapping[c]) if mapping.get(c) else F.lit("")).alias(c) for c in t.columns]
-    moved = other.df.crossJoin(F.broadcast(last.crossJoin(first))).select((F.col(ORD) - F.col("__f") + F.col("__m") + 1).alias(ORD), *cells)  # one row of two numbers
+    first = t.df.select(order(0, F.col(ORD), F.lit(None).cast(theirs)), *map(q, t.columns))
     ctx.counters["rowsAdded"] = (other.df, F.count("*"))
-    return replace(t, df=t.df.select(ORD, *map(q, t.columns)).unionByName(moved))
+    return replace(t, df=first.unionByName(other.df.select(order(1, F.lit(None).cast(mine), F.col(ORD)), *cells)), native={})

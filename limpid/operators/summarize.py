@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from limpid.functions import numbers
@@ -16,13 +16,23 @@ from limpid.table import ORD, Table, q
 NOT_NUMBER, OUTSIDE = "(non numérique)", "hors plage"
 
 
-def aggregate(a: dict) -> Column:
+#: Bins of one column at most; a width that would make more is refused.
+MOST_BINS = 10_000
+
+
+def number_of(t: Table, name: str) -> Column:
+    """A column's numbers: its own, or those in its text, read tolerantly."""
+    x = t.number(name)
+    return numbers.tolerant(q(name)) if x is None else x
+
+
+def aggregate(t: Table, a: dict) -> Column:
     """One aggregate {fn, column, separator} over a group, as a typed value."""
     fn = a["fn"]
     if fn == "count":
         return F.count(F.lit(1))
     c = q(a["column"])
-    full, number = F.when(c != "", c), numbers.tolerant(c)
+    full, number = F.when(c != "", c), number_of(t, a["column"])
     match fn:
         case "countDistinct":
             return F.count_distinct(full)
@@ -61,33 +71,55 @@ class Bins:
         return [f"{_label(a)}–{_label(b)}" for a, b in zip(self.edges, self.edges[1:])]  # noqa: B905
 
     def of(self, x: Column) -> Column:
-        """[a, b) but for the last, which is closed."""
-        out, last = F.when(x.isNull(), NOT_NUMBER), len(self.edges) - 2
-        for i, (name, a, b) in enumerate(zip(self.labels, self.edges, self.edges[1:], strict=False)):
-            out = out.when((x >= a) & ((x <= b) if i == last else (x < b)), name)
-        return out.otherwise(OUTSIDE)
+        """[a, b) but for the last, which is closed; the first of bins that overlap, as edges may be in any order."""
+        n = len(self.edges) - 1
+        if n < 1:
+            return F.when(x.isNull(), NOT_NUMBER).otherwise(OUTSIDE)
+        labels = F.array(*map(F.lit, self.labels))
+        if all(a < b for a, b in zip(self.edges, self.edges[1:])):  # noqa: B905
+            # A binary search for how many edges are at most x; the last edge belongs to the last bin.
+            edges, none = F.array(*[F.lit(float(e)) for e in self.edges]), F.struct(F.lit(0).alias("lo"), F.lit(n + 2).alias("hi"))
+            below = F.aggregate(F.sequence(F.lit(1), F.lit((n + 1).bit_length())), none, lambda s, _: _halved(s, edges, x))
+            i = F.when(x == self.edges[-1], n).otherwise(below["lo"])
+        else:
+            holds = [F.when((x >= a) & ((x <= b) if k == n - 1 else (x < b)), k + 1) for k, (a, b) in enumerate(zip(self.edges, self.edges[1:]))]  # noqa: B905
+            i = F.coalesce(*holds, F.lit(0))
+        return F.when(x.isNull(), NOT_NUMBER).when((i >= 1) & (i <= n), F.try_element_at(labels, i)).otherwise(OUTSIDE)
+
+
+def _halved(s: Column, edges: Column, x: Column) -> Column:
+    """One step of a binary search for how many edges are at most x."""
+    mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    right = (mid >= 1) & (F.try_element_at(edges, F.greatest(mid, F.lit(1))) <= x)
+    done = s["hi"] - s["lo"] <= 1
+    return F.struct(F.when(done | ~right, s["lo"]).otherwise(mid).alias("lo"), F.when(done | right, s["hi"]).otherwise(mid).alias("hi"))
 
 
-def bins_for(df: DataFrame, column: str, how: dict) -> Bins:
+def bins_for(t: Table, column: str, how: dict) -> Bins:
     """explicit_boundaries {boundaries}, fixed_width {width, start} or fixed_count {count}; the last two look up the
     least and the greatest number, the only job that planning runs."""
     if how["kind"] == "explicit_boundaries":
         return Bins(tuple(float(x) for x in how["boundaries"]))
     if how["kind"] not in ("fixed_width", "fixed_count"):
         raise ValueError(f"unknown bins {how['kind']!r}")
-    x = numbers.tolerant(q(column))
-    r = df.agg(F.min(x).alias("a"), F.max(x).alias("b")).first()
+    x = number_of(t, column)
+    r = t.df.agg(F.min(x).alias("a"), F.max(x).alias("b")).first()
     if r.a is None:
         return Bins(())
     if how["kind"] == "fixed_width":
         width = float(how["width"])
         if width <= 0:
             raise ValueError("the width of bins must be positive")
-        edges = [float(r.a if how.get("start") is None else how["start"])]
+        start = float(r.a if how.get("start") is None else how["start"])
+        if (r.b - start) / width > MOST_BINS:
+            raise ValueError(f"a width of {how['width']} would make more than {MOST_BINS} bins from {start} to {r.b}")
+        edges = [start]
         while len(edges) < 2 or edges[-1] < r.b:
             edges.append(edges[-1] + width)
         return Bins(tuple(edges))
     n = max(1, int(how["count"]))
+    if n > MOST_BINS:
+        raise ValueError(f"more than {MOST_BINS} bins")
     width = (r.b - r.a) / n or 1.0
     return Bins((*[r.a + i * width for i in range(n)], r.b if r.b > r.a else r.a + n * width))
 
@@ -101,12 +133,14 @@ def summarize(t: Table, p: dict, _: Context) -> Table:
     """
     by, aggs = p.get("group_by") or [], p["aggregates"]
     t.need(*[g["column"] for g in by], *[a["column"] for a in aggs if a["fn"] != "count"])
-    bins = {i: bins_for(t.df, g["column"], g["binning"]) for i, g in enumerate(by) if g.get("binning")}
-    keys = [(bins[i].of(numbers.tolerant(q(g["column"]))) if i in bins else key(q(g["column"]), g.get("normalization"))).alias(f"__k{i}") for i, g in enumerate(by)]
-    display = [F.min_by(q(g["column"]), F.col(ORD)).alias(f"__d{i}") for i, g in enumerate(by) if i not in bins]
-    values = [shown(a, aggregate(a)).alias(f"__a{i}") for i, a in enumerate(aggs)]
+    bins = {i: bins_for(t, g["column"], g["binning"]) for i, g in enumerate(by) if g.get("binning")}
+    keys = [(bins[i].of(number_of(t, g["column"])) if i in bins else key(q(g["column"]), g.get("normalization"))).alias(f"__k{i}") for i, g in enumerate(by)]
+    same = {i for i, g in enumerate(by) if i not in bins and (g.get("normalization") or "none") in ("none", "raw")}  # a group's cells are alike
+    display = [F.min_by(q(g["column"]), F.col(ORD)).alias(f"__d{i}") for i, g in enumerate(by) if i not in bins and i not in same]
+    values = [shown(a, aggregate(t, a)).alias(f"__a{i}") for i, a in enumerate(aggs)]
     names = [f"__k{i}" for i in range(len(by))]
     out = t.df.select("*", *keys).groupBy(*names).agg(F.min(ORD).alias("__first"), F.count("*").alias("__n"), *display, *values).filter("__n > 0")
+    out = out.withColumns({f"__d{i}": F.col(f"__k{i}") for i in same}) if same else out
     order = [F.col("__first")]
     if bins:
         others = [i for i in range(len(by)) if i not in bins]
@@ -120,10 +154,10 @@ def summarize(t: Table, p: dict, _: Context) -> Table:
             frame = combos.select("*", F.explode(slots).alias("__s")).select(*own, "__lead", *[f"__e{i}" for i in others], "__s.*")
             out = frame.join(out, names, "full")
         else:
-            out = out.select("*", F.lit(None).cast("int").alias("slot"), F.lit(None).cast("bigint").alias("__lead"), *[F.lit("").alias(f"__e{i}") for i in others])
+            out = out.select("*", F.lit(None).cast("int").alias("slot"), F.lit(None).cast(t.df.schema[ORD].dataType).alias("__lead"), *[F.lit("").alias(f"__e{i}") for i in others])
         out = out.select("*", *[F.coalesce(f"__d{i}", f"__e{i}").alias(f"__f{i}") for i in others])
         order = [F.col("slot").isNull(), F.coalesce("__lead", "__first"), F.coalesce("slot", F.lit(0))]
     cells = {g["column"]: F.col(f"__k{i}") if i in bins else F.col(f"__f{i}" if bins else f"__d{i}") for i, g in enumerate(by)}
     cells |= {a["name"]: F.coalesce(F.col(f"__a{i}"), F.lit(empty(a))) for i, a in enumerate(aggs)}
-    df = out.orderBy(*order).select(F.monotonically_increasing_id().alias(ORD), *[c.alias(n) for n, c in cells.items()])
+    df = out.select(F.struct(*[x.alias(f"o{i}") for i, x in enumerate(order)]).alias(ORD), *[c.alias(n) for n, c in cells.items()])
     return Table(df, tuple(cells), name=t.name)

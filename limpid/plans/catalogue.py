@@ -19,8 +19,8 @@ from limpid.table import ORD, Table, q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-#: Columns that order a table's rows.
-KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"], "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"]}
+#: Columns that tell a table's rows apart and order them; others are in the order of their files.
+KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"], "orders": ["o_orderkey"], "events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"], "labels": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
 def query(name: str, *tables: str, sql: str | None = None):
@@ -28,14 +28,15 @@ def query(name: str, *tables: str, sql: str | None = None):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            read = lambda n: spark.read.parquet(f"{sf_dir}/{n.partition(':')[0]}.parquet")
             own = []
             for n in tables:
                 name, _, cols = n.partition(":")
-                df = read(n)
-                keys = KEYS[name]
-                kept = cols.split(",") if cols else df.columns
-                own.append(Table.of(df.select(*dict.fromkeys([*kept, *keys])) if cols else df, keys, name).select({c: q(c) for c in kept}))
+                path, kept = f"{sf_dir}/{name}.parquet", cols.split(",") if cols else None
+                if name in KEYS:
+                    t = Table.of(spark.read.parquet(path), KEYS[name], name)
+                    own.append(t.select({c: c for c in kept}) if kept else t)
+                else:
+                    own.append(Table.parquet(spark, path, kept, name))
             return f(*own)
 
         QUERIES[name] = run

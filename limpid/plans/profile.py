@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limpid.functions.text import SPACE
 from limpid.table import ORD, Table, q
 
 #: Words that stand for truth values.
 BOOLEANS = ("true", "false", "vrai", "faux", "oui", "non", "yes", "no", "0", "1")
-INTEGER, DECIMAL = r"^[+-]?\d+$", r"^[+-]?\d+[.,]\d+$"
-DATE = r"^(\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2})$"
-OUTER, DOUBLE, MOJIBAKE = r"(?U)^\s|\s$", r"(?U)\s{2,}", "Ã.|Â.|â€.|�"
+#: The forms of numbers and dates, and of broken encoding.
+INTEGER, DECIMAL = r"^-?[0-9]+$", r"^-?[0-9]+[.,][0-9]+$"
+DATE = r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})$"
+OUTER, DOUBLE, MOJIBAKE = rf"\A{SPACE}|{SPACE}\z", rf"{SPACE}{{2,}}", "Ã.|Â.|â€.|�"
 
 
 def case_of(c: Column) -> Column:
-    """upper, lower, title or other; null without a Latin letter."""
-    letters = F.regexp_replace(c, r"[^\p{IsLatin}]", "")
-    return (
-        F.when(letters == "", None).when(letters == F.upper(letters), "upper").when(letters == F.lower(letters), "lower")
-        .when(c.rlike(r"^([^\p{L}]*\p{Lu}[\p{Ll}\p{M}'’]*)([^\p{L}]+\p{Lu}[\p{Ll}\p{M}'’]*)*[^\p{L}]*$"), "title").otherwise("other")
-    )
+    """upper, lower, title (each word begins with no small letter and has none but small ones behind) or other; null
+    without a letter of A-Z, a-z or U+00C0 to U+00FF."""
+    words = F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")
+    rest = lambda w: F.substring(w, 2, 1 << 30)
+    titled = F.forall(words, lambda w: (F.left(w, F.lit(1)) == F.upper(F.left(w, F.lit(1)))) & (rest(w) == F.lower(rest(w))))
+    upper, lower = c == F.upper(c), c == F.lower(c)
+    return F.when(~c.rlike("[a-zA-ZÀ-ÿ]"), None).when(upper & ~lower, "upper").when(lower & ~upper, "lower").when(titled, "title").otherwise("other")
 
 
 def _long(t: Table) -> DataFrame:
@@ -41,8 +44,8 @@ def profile(t: Table) -> DataFrame:
     every = lambda p: F.bool_and(p)
     own = values(t).groupBy("column").agg(
         F.sum("n").alias("filled"), F.count("*").alias("distinct"),
-        every(F.lower(F.trim(v)).isin(*BOOLEANS)).alias("b"), every(F.trim(v).rlike(INTEGER)).alias("z"),
-        every(F.trim(v).rlike(INTEGER) | F.trim(v).rlike(DECIMAL)).alias("r"), every(F.trim(v).rlike(DATE)).alias("d"),
+        every(F.lower(v).isin(*BOOLEANS)).alias("b"), every(v.rlike(INTEGER)).alias("z"),
+        every(v.rlike(INTEGER) | v.rlike(DECIMAL)).alias("r"), every(v.rlike(DATE)).alias("d"),
         *[F.sum(F.when(v.rlike(p), F.col("n")).otherwise(0)).alias(name) for name, p in (("outer_spaces", OUTER), ("double_spaces", DOUBLE), ("broken_encoding", MOJIBAKE))],
     )
     total = t.df.agg(F.count("*").alias("total"))
@@ -62,22 +65,26 @@ def top_values(t: Table, k: int = 5) -> DataFrame:
 
 
 def odd_case(t: Table, k: int = 3) -> DataFrame:
-    """(column, rank, value): examples of the cells whose case isn't the column's most frequent one."""
-    own = values(t).withColumn("case", case_of(F.col("value"))).filter("case is not null")
-    sums = own.groupBy("column", "case").agg(F.sum("n").alias("m"), F.min("first").alias("f"))
-    main = sums.groupBy("column").agg(F.max(F.struct("m", (-F.col("f")).alias("f"), "case"))["case"].alias("main"))
-    w = Window.partitionBy("column").orderBy("first")
-    return own.join(main, "column").filter("case <> main").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("column", "rank", "value")
+    """(column, rank, value): the first cells whose case isn't the column's most frequent one, the first of equals."""
+    case = case_of(F.col("value"))
+    sums = values(t).withColumn("case", case).filter("case is not null").groupBy("column", "case").agg(F.sum("n").alias("m"), F.min("first").alias("f"))
+    main = sums.groupBy("column").agg(F.min(F.struct(-F.col("m"), "f", "case"))["case"].alias("main"))  # a row for each column
+    own = _long(t).filter("value <> ''").withColumn("case", case).filter("case is not null")
+    return _first(own.join(F.broadcast(main), "column").filter("case <> main"), k, "column").select("column", "rank", "value")
 
 
 def anomaly_examples(t: Table, k: int = 3) -> DataFrame:
-    """(column, anomaly, rank, value): the first different cells with each anomaly that profile() counts, and of odd case."""
+    """(column, anomaly, rank, value): the first cells with each anomaly that profile() counts, and of odd case."""
     kinds = F.explode(F.array_compact(F.array(*[F.when(F.col("value").rlike(p), name) for name, p in (("outer_spaces", OUTER), ("double_spaces", DOUBLE), ("broken_encoding", MOJIBAKE))])))
-    w = Window.partitionBy("column", "anomaly").orderBy("first")
-    own = values(t).withColumn("anomaly", kinds).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    own = _first(_long(t).filter("value <> ''").withColumn("anomaly", kinds), k, "column", "anomaly")
     return own.select("column", "anomaly", "rank", "value").unionByName(odd_case(t, k).withColumn("anomaly", F.lit("odd_case")))
 
 
+def _first(cells: DataFrame, k: int, *by: str) -> DataFrame:
+    """The first k cells of each group with their rank; each task keeps k of a group before any are moved."""
+    return cells.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(ORD))).filter(F.col("rank") <= k)
+
+
 def bounded(t: Table, cap: int = 30, most: int = 200) -> dict:
     """The first rows, at most `most` of them: {totalCount, sample, truncated}."""
     total, n = t.df.count(), max(0, min(cap, most))

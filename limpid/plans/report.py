@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from limpid.functions.predicates import predicate
 from limpid.operators.registry import Context
+from limpid.operators.rows import filter_rows
 from limpid.operators.summarize import summarize
 from limpid.plans.profile import bounded
 from limpid.table import Table
@@ -92,9 +92,9 @@ def chart(t: Table, block: dict) -> DataFrame:
 
 def table_block(t: Table, block: dict) -> Table:
     """The rows and columns that a table block shows, before its limit."""
-    df = t.df.filter(predicate(t, block["filter"])) if block.get("filter") else t.df
-    own = Table(df, t.columns)
-    return own.select({c: own.cells()[c] for c in block.get("columns") or t.columns})
+    own = filter_rows(t, {"where": block["filter"]}, Context()) if block.get("filter") else t
+    own.need(*(block.get("columns") or ()))
+    return own.select({c: c for c in block.get("columns") or t.columns})
 
 
 def compute(spec: dict, t: Table) -> list[dict]:
