@@ -40,6 +40,11 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + 0.1 * n * (1 - j)
 
 
+@F.pandas_udf(DoubleType())
+def jaro_udf(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

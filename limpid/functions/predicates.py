@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from limpid.functions import numbers
-from limpid.table import WHOLE, Table, q
+from limpid.table import DAYS, WHOLE, Table, q
 
 ISO = r"^\d{4}(-\d{2}(-\d{2}(T\d{2}:\d{2}(:\d{2})?)?)?)?$"
 
@@ -87,8 +87,15 @@ def pushable(table: Table, group: dict) -> Column | None:
                 some = c.isin(*group["values"])
                 return some | c.isNull() if "" in group["values"] else some
         return None
-    c = table.typed(group["column"], *WHOLE, "double")
     bounds = [group.get("min"), group.get("max")]
+    if (c := table.typed(group["column"], *DAYS)) is not None:
+        days = [None if x is None else _date(x) for x in bounds]
+        if how != "between" or [x is None for x in bounds] != [x is None for x in days] or all(x is None or _number(x) is not None for x in bounds):
+            return None
+        kind = table.native[group["column"]][1]
+        out = _within(c, *[None if x is None else F.lit(x).cast(kind) for x in days])
+        return out | c.isNull() if days[0] is None else out
+    c = table.typed(group["column"], *WHOLE, "double")
     if c is None or how != "between" or bounds == [None, None] or any(x is not None and _number(x) is None for x in bounds):
         return None
     low, high = (None if x is None else _number(x) for x in bounds)
@@ -138,7 +145,7 @@ def predicate(table: Table, group: dict) -> Column:
         return reduce(lambda a, b: a | b if group.get("combinator", "and") == "or" else a & b, parts)
     name = group["column"]
     table.need(name)
-    return condition(q(name), group["operator"], group, table.number(name), table.typed(name, "date", "timestamp", "timestamp_ntz"))
+    return condition(q(name), group["operator"], group, table.number(name), table.typed(name, *DAYS))
 
 
 def mentioned(group: dict) -> set[str]:

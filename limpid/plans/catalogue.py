@@ -24,16 +24,17 @@ KEYS = {"region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_cu
 
 
 def query(name: str, *tables: str, sql: str | None = None):
-    """Registers f(table, ...) -> DataFrame."""
+    """Registers f(table, ...) -> DataFrame. tables: name, name:columns or name@columns that order its rows."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             own = []
             for n in tables:
-                name, _, cols = n.partition(":")
+                name, _, keys = n.partition("@")
+                name, _, cols = name.partition(":")
                 path, kept = f"{sf_dir}/{name}.parquet", cols.split(",") if cols else None
-                if name in KEYS:
-                    t = Table.of(spark.read.parquet(path), KEYS[name], name)
+                if keys or name in KEYS:
+                    t = Table.of(spark.read.parquet(path), keys.split(",") if keys else KEYS[name], name)
                     own.append(t.select({c: c for c in kept}) if kept else t)
                 else:
                     own.append(Table.parquet(spark, path, kept, name))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field, replace
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,28 @@ from limpid.operators.registry import find
 from limpid.table import Table
 
 
+#: The names of counters and of operators in a pipeline's report.
+TOLD = {"rowsRemoved": "supprimées", "rowsAdded": "ajoutées", "rowsModified": "modifiées", "unmatched": "non appariées", "ambiguous": "ambiguës"}
+LABELS = {
+    "rename_columns": "Renommer des colonnes",
+    "reorder_columns": "Réordonner des colonnes",
+    "drop_columns": "Supprimer des colonnes",
+    "hide_columns": "Masquer des colonnes",
+    "duplicate_column": "Dupliquer une colonne",
+    "add_constant_column": "Ajouter une colonne constante",
+    "add_concat_column": "Ajouter une colonne concaténée",
+    "add_extract_column": "Ajouter une colonne extraite",
+    "add_sequence_column": "Ajouter une colonne séquence",
+    "add_expression_column": "Ajouter une colonne (expression)",
+    "normalize_columns": "Normaliser des colonnes",
+    "filter_rows": "Filtrer des lignes",
+    "deduplicate": "Dédoublonner",
+    "enrich_join": "Rapprocher / enrichir",
+    "append_rows": "Ajouter des lignes depuis un fichier",
+    "summarize": "Résumer (regrouper / agréger)",
+}
+
+
 @dataclass(frozen=True)
 class Step:
     type: str
@@ -89,3 +112,18 @@ class Pipeline:
             r |= {"rowsRemoved": max(0, r["rowsIn"] - r["rowsOut"]), "rowsAdded": max(0, r["rowsOut"] - r["rowsIn"])}
             out.append(r | {k: df.agg(F.coalesce(c, F.lit(0)).alias("x")).first().x for k, (df, c) in counters.items()})
         return out
+
+    def report_text(self, source: Table, tables: dict[str, Table] | None = None, at: datetime | None = None) -> str:
+        """What each step did, as a text to file with the data; steps that are off or undone weren't run."""
+        ran = {r["step"]: r for r in self.reports(source, tables)}
+        lines = [f"Rapport du pipeline — {source.name}", f"Généré le {(at or datetime.now()).strftime('%d/%m/%Y %H:%M:%S')}", ""]
+        lines.append(f"Étape 0 — Source : {source.df.count()} lignes, {len(source.columns)} colonnes")
+        for i, s in enumerate(self.steps, 1):
+            lines += ["", f"Étape {i} — {s.label or LABELS.get(s.type, s.type)}{'' if s.enabled else ' (désactivée)'}"]
+            if s.id not in ran:
+                lines.append("  (non exécutée)")
+                continue
+            r = ran[s.id]
+            lines += [f"  lignes en entrée : {r['rowsIn']}", f"  lignes en sortie : {r['rowsOut']}"]
+            lines += [f"  {name} : {r[k]}" for k, name in TOLD.items() if r.get(k) or (k in r and k in ("unmatched", "ambiguous"))]
+        return "\n".join(lines)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 
 from limpid.operators.registry import Context
 from limpid.operators.rows import filter_rows
 from limpid.operators.summarize import summarize
+from limpid.plans.pipeline import Pipeline
 from limpid.plans.profile import bounded
 from limpid.table import Table
 
@@ -125,3 +128,24 @@ def fingerprint(text: str) -> str:
     for c in text:
         h = (h * 33 ^ ord(c)) & 0xFFFFFFFF
     return f"{h:08x}"
+
+
+def traceability(pipeline: Pipeline, source: Table, tables: dict[str, Table] | None = None, recipe: str | None = None) -> dict:
+    """Where a report's numbers come from: the files with their rows, the steps with theirs, what joins matched in all,
+    and a fingerprint of the pipeline. Runs the small aggregates of Pipeline.reports()."""
+    reports = {r["step"]: r for r in pipeline.reports(source, tables)}
+    steps = []
+    for i, s in enumerate(pipeline.steps[: pipeline.cursor]):
+        r = reports.get(s.id, {})
+        steps.append({"index": i, "label": s.label or s.type, "enabled": s.enabled, "rowsIn": r.get("rowsIn", 0), "rowsOut": r.get("rowsOut", 0)} | {k: r[k] for k in ("unmatched", "ambiguous") if k in r})
+    total = lambda k: sum(r.get(k, 0) for r in reports.values())
+    every = [source, *(tables or {}).values()]
+    return {
+        "sourceFiles": [{"name": t.name, "rowCount": t.df.count()} for t in every],
+        "recipe": recipe,
+        "steps": steps,
+        "totalAutoMatched": total("matchedAuto"),
+        "totalManualMatched": total("matchedManual"),
+        "totalUnmatched": total("unmatched"),
+        "fingerprint": fingerprint("|".join(f"{s.type}:{json.dumps(s.params, ensure_ascii=False, separators=(',', ':'))}" for s in pipeline.steps[: pipeline.cursor])),
+    }

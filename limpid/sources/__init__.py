@@ -1,5 +1,5 @@
 """Sources and sinks."""
 
-from limpid.sources.csv import read_csv, table_from_text, write_csv
+from limpid.sources.csv import preview, read_csv, table_from_text, write_csv
 
-__all__ = ["read_csv", "table_from_text", "write_csv"]
+__all__ = ["preview", "read_csv", "table_from_text", "write_csv"]

@@ -8,10 +8,11 @@ import re
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from limpid.functions.text import trim
 from limpid.table import ORD, Table, q
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -20,7 +21,7 @@ DELIMITERS = (",", ";", "\t", "|")
 def headers(names: list[str]) -> list[str]:
     """Trimmed names; blank ones are numbered, repeated ones get ` (2)`, ` (3)`, never a name that is there."""
     out: list[str] = []
-    trimmed = [n.strip().lstrip("﻿") or f"Colonne {i + 1}" for i, n in enumerate(names)]
+    trimmed = [n.lstrip("\ufeff").strip() or f"Colonne {i + 1}" for i, n in enumerate(names)]
     for n in trimmed:
         name, k = n, 1
         while name in out or (k > 1 and name in trimmed):
@@ -37,34 +38,77 @@ def delimiter_of(text: str) -> str:
     return best
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header_row: int = 0, name: str = "") -> Table:
-    """A table from a CSV file or folder. Rows before the header and blank rows are left out, short rows are filled up,
-    further cells are ignored. Quoted cells may hold line breaks."""
-    head = [r.value for r in spark.read.text(path).limit(header_row + 50).collect()]
+def _records(text: str, sep: str) -> list[list[str]]:
+    """The rows of a text, but for blank ones."""
+    return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if any(x.strip() for x in r)]
+
+
+def raw_rows(spark: SparkSession, path: str, delimiter: str | None = None, header_row: int = 0, multi_line: bool | None = None) -> tuple[DataFrame, list[str], str]:
+    """(file, block, place, c0, c1, ..) for all rows of all files that aren't blank, the names in the header row, and the
+    delimiter. Rows are ordered by file, block and place.
+
+    multi_line: whether quoted cells may hold line breaks, which makes each file one task; None finds out, by one look at
+    all lines: a line that opens such a cell has an odd number of quotes.
+    """
+    lines = spark.read.text(path)
+    head = [r.value.lstrip("\ufeff") for r in lines.filter(F.trim("value") != "").limit(header_row + 50).collect()]
     sep = delimiter or delimiter_of("\n".join(head[header_row:]))
-    names = headers(next(csv.reader(io.StringIO("\n".join(head[header_row:])), delimiter=sep), []))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    raw = spark.read.csv(path, sep=sep, schema=schema, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True)
-    cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)]
-    df = raw.select(F.monotonically_increasing_id().alias(ORD), *cells)
-    blank = F.lit(True)
-    for n in names:
-        blank = blank & (F.trim(q(n)) == "")
-    return Table(df.filter((F.col(ORD) > header_row) & ~blank), tuple(names), name=name or path.rstrip("/").rpartition("/")[2])
+    if multi_line is None:
+        odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+        multi_line = bool(lines.filter(odd).head(1))
+    rows = _records("\n".join(head), sep)
+    names = rows[header_row] if header_row < len(rows) else []
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(1, len(names)))])
+    raw = spark.read.csv(path, sep=sep, schema=schema, header=False, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    cells = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in schema.names]
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), *cells)
+    some = F.lit(False)
+    for c in schema.names:
+        some = some | (trim(F.col(c)) != "")
+    return raw.filter(some), names, sep
+
+
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, header_row: int = 0, name: str = "", multi_line: bool | None = None) -> Table:
+    """A table from a CSV file, or a folder of files that each have their header. Blank rows don't count; those before the
+    header row are left out, short rows are filled up, further cells are ignored. See raw_rows()."""
+    raw, found, _ = raw_rows(spark, path, delimiter, header_row, multi_line)
+    names = headers(found)
+    if not names:
+        return Table.rows(spark, [], [], name=name)
+    first = raw.filter("block = 0").groupBy("file")
+    if header_row == 0:
+        heads = first.agg(F.min("place").alias("head"))
+    else:  # the row of that number in each file; a task keeps no more rows of a file than it takes
+        number = F.row_number().over(Window.partitionBy("file").orderBy("place"))
+        heads = raw.filter("block = 0").select("file", "place").withColumn("n", number).filter(F.col("n") <= header_row + 1).groupBy("file").agg(F.max("place").alias("head"))
+    body = raw.join(heads, "file").filter((F.col("block") > 0) | (F.col("place") > F.col("head")))
+    df = body.select(F.struct("file", "block", "place").alias(ORD), *[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
+    return Table(df, tuple(names), name=name or path.rstrip("/").rpartition("/")[2])
+
+
+def preview(spark: SparkSession, path: str, delimiter: str | None = None, header_row: int = 0, rows: int = 5) -> dict:
+    """The first rows as they are, those before the header too, how many rows there are, the delimiter and the names."""
+    raw, found, sep = raw_rows(spark, path, delimiter, header_row)
+    some = raw.orderBy("file", "block", "place").limit(rows).drop("file", "block", "place").collect()
+    return {"rawRowCount": raw.count(), "preview": [list(r) for r in some], "delimiter": sep, "columns": headers(found)}
 
 
 def table_from_text(spark: SparkSession, text: str, delimiter: str | None = None, header_row: int = 0, name: str = "") -> Table:
     """A table from pasted text."""
-    rows = list(csv.reader(io.StringIO(text.lstrip("﻿")), delimiter=delimiter or delimiter_of(text)))[header_row:]
+    text = text.lstrip("\ufeff")
+    rows = _records(text, delimiter or delimiter_of(text))[header_row:]
     names = headers(rows[0]) if rows else []
     body = [(r + [""] * len(names))[: len(names)] for r in rows[1:] if any(x.strip() for x in r)]
     return replace(Table.rows(spark, names, body), name=name)
 
 
-def write_csv(t: Table, path: str, delimiter: str = ";", columns: list[str] | None = None, overwrite: bool = False, single: bool = False) -> None:
-    """A folder of CSV parts in the rows' order; one part if asked. Refuses a path that is there unless told to overwrite."""
-    own = t.ordered().select(*map(q, columns or t.columns))
-    (own.coalesce(1) if single else own).write.mode("overwrite" if overwrite else "errorifexists").csv(path, sep=delimiter, header=True, quote='"', escape='"', emptyValue="")
+def write_csv(t: Table, path: str, delimiter: str = ";", columns: list[str] | None = None, overwrite: bool = False, single: bool = False, bom: bool = True) -> None:
+    """A folder of CSV parts in the rows' order, each with its header and, if bom, a byte order mark before it; one part if
+    asked. Refuses a path that is there unless told to overwrite."""
+    t.need(*(columns or ()))
+    names = list(columns or t.columns)
+    own = t.ordered().select(*map(q, names)).toDF(*([("\ufeff" if bom else "") + names[0], *names[1:]] if names else []))
+    (own.coalesce(1) if single else own).write.mode("overwrite" if overwrite else "errorifexists").csv(path, sep=delimiter, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def to_text(t: Table, delimiter: str = ";", bom: bool = True, most: int = 100_000) -> str:
@@ -76,7 +120,7 @@ def to_text(t: Table, delimiter: str = ";", bom: bool = True, most: int = 100_00
     w = csv.writer(out, delimiter=delimiter, lineterminator="\r\n")
     w.writerow(t.columns)
     w.writerows(rows)
-    return ("﻿" if bom else "") + out.getvalue()
+    return ("\ufeff" if bom else "") + out.getvalue()
 
 
 def file_name(name: str, on: date) -> str:

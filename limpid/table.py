@@ -19,8 +19,9 @@ from limpid.storage import written
 ORD = "__ord"
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 NUMERIC = (*WHOLE, "float", "double")
+DAYS = ("date", "timestamp", "timestamp_ntz")
 #: Types whose values are kept beside their text.
-KEPT = (*WHOLE, "double", "string", "date", "timestamp", "timestamp_ntz")
+KEPT = (*WHOLE, "double", "string", *DAYS)
 
 
 def q(name: str) -> Column:
