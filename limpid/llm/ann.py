@@ -3,28 +3,37 @@
 Vectors are scaled to unit length and split into pairs of dimensions, each coded by one of 16 codewords. As nearness is
 an inner product, an error along the vector moves scores of near queries most; the loss weighs it `eta` times as much
 as error across it. Codes are chosen by coordinate descent on that loss, codewords by its normal equations over a
-bounded sample. A search adds up table entries by code and ranks the best `keep` rows of each batch by their exact
-cosine, and then all others that may be as near as the last of the best so far: the index holds the angle between each
-vector and its coded form, by which the angle to a query can be less than it seems.
+bounded sample. The index files each vector under the nearest of some centres, in a list.
+
+A query is first sent to its nearest lists, then to all others that may hold a vector as near as the last of the best so
+far: no member is nearer than the angle to the list's centre less the list's radius. Lists are cut into cells of a
+bounded number of rows and queries, which Spark joins. In a cell a scan adds up table entries by code; rows are reranked
+by their exact cosine if they may be among the best: the index holds the angle between each vector and its coded form,
+by which the angle to a query can be less than it seems. So nothing is missed, and the bound leaves the less to rerank
+the more has been seen.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.arrow import add_columns, stream
-from limpid.llm.spark import materialise
+from limpid.llm.arrow import add_columns, expand, give_back
+from limpid.llm.spark import discard, materialise
 
 WORDS = 16
-#: Codes, the length of the coded vector, and its cosine with the vector.
-CODED = T.StructType([T.StructField("code", T.BinaryType()), T.StructField("length", T.DoubleType()), T.StructField("cosine", T.DoubleType())])
+#: The list and the angle to its centre; codes, the length of the coded vector, and its cosine with the vector.
+CODED = T.StructType([T.StructField("list", T.IntegerType()), T.StructField("angle", T.DoubleType()), T.StructField("code", T.BinaryType()), T.StructField("length", T.DoubleType()), T.StructField("cosine", T.DoubleType())])
+#: A query and a list it is sent to; floor: the score that a row must reach.
+SENT = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType())), T.StructField("floor", T.DoubleType()), T.StructField("list", T.IntegerType())])
+FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
+#: Rows scanned at once.
+BATCH = 2048
 #: More than rounding changes an approximate cosine.
 ROUNDING = 1e-5
 
@@ -72,11 +81,46 @@ def train(x: np.ndarray, eta: float, rounds: int = 4, seed: int = 1) -> np.ndarr
     return book
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that their largest component is about 1 and no square overflows."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1, keepdims=True))[1]) if len(v) else v
+
+
 def units(v: np.ndarray) -> np.ndarray:
+    """Of scaled vectors."""
     x = v / np.linalg.norm(v, axis=1, keepdims=True)
     return np.pad(x, ((0, 0), (0, x.shape[1] % 2)))
 
 
+def centres_of(x: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
+    """n directions that unit vectors x gather round."""
+    own = x[np.random.default_rng(2).choice(len(x), n, replace=False)]
+    for _ in range(rounds):
+        near = (x @ own.T).argmax(1)
+        total = np.zeros_like(own)
+        np.add.at(total, near, x)
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        own = np.where(length > 1e-12, total / np.maximum(length, 1e-12), own)
+    return own
+
+
+@dataclass
+class Coarse:
+    """What is fitted on the sample: codewords and centres; and how many rows a list has and how wide it is."""
+
+    dim: int
+    book: np.ndarray
+    centres: np.ndarray
+    rows: np.ndarray | None = None
+    radius: np.ndarray | None = None
+
+    def reach(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For unit vectors x and each list: the rank of the list by nearness, and the largest cosine a member can have."""
+        angle = np.arccos(np.clip(x @ self.centres.T, -1, 1))
+        rank = np.argsort(np.argsort(angle, axis=1, kind="stable"), axis=1, kind="stable")
+        return rank, np.cos(np.maximum(angle - self.radius - ROUNDING, 0)) + ROUNDING
+
+
 def good_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v): rows with an id and a vector of the usual length that is finite and not zero."""
     v = F.col(vec_col).cast("array<double>")
@@ -84,50 +128,50 @@ def good_rows(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.filter(fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
 
 
-def build(rows: DataFrame, sample: int = 8192) -> tuple[DataFrame, np.ndarray]:
-    """The index: each good row with its codes, two to a byte, and the codewords, fitted on at most `sample` rows taken
-    by the order of a hash of the id."""
+def build(rows: DataFrame, lists: int, per_list: int, sample: int = 32768, codes: int = 8192) -> tuple[DataFrame, Coarse]:
+    """The index: each good row with its list and its codes, two to a byte. Centres, one for `per_list` rows and at most
+    `lists`, are fitted on at most `sample` rows taken by the order of a hash of the id, codewords on `codes` of these."""
     common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = common.d if common else 2
+    d, total = (common.d, common["count"]) if common else (2, 0)
     rows = rows.filter(F.size("v") == d)
     some = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()], float).reshape(-1, d)
-    book = train(units(some), eta_for(d)) if len(some) else np.zeros((max(1, -(-d // 2)), WORDS, 2))
-    shared = rows.sparkSession.sparkContext.broadcast(book)
+    x = units(scaled(some))
+    n = max(1, min(lists, len(some) // 8, -(-total // per_list)))
+    book = train(x[:codes], eta_for(d)) if len(some) else np.zeros((max(1, -(-d // 2)), WORDS, 2))
+    coarse = Coarse(d, book, centres_of(x, n) if len(some) else np.zeros((1, 2 * len(book))))
+    shared = rows.sparkSession.sparkContext.broadcast(coarse)
 
     def make(b: pa.RecordBatch) -> list:
         if not b.num_rows:
-            return [[], [], []]
-        x = units(matrix(b.column("v")))
-        codes = encode(x, shared.value, eta_for(d)).astype(np.uint8)
-        coded = shared.value[np.arange(codes.shape[1]), codes].reshape(x.shape)
+            return [[] for _ in CODED]
+        book, x = shared.value.book, units(scaled(matrix(b.column("v"))))
+        near = x @ shared.value.centres.T
+        own = near.argmax(1)
+        codes = encode(x, book, eta_for(d)).astype(np.uint8)
+        coded = book[np.arange(codes.shape[1]), codes].reshape(x.shape)
         length = np.linalg.norm(coded, axis=1)
         cosine = np.clip((x * coded).sum(1) / np.where(length > 0, length, 1), -1, 1)
         codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
-        return [[x.tobytes() for x in codes[:, 0::2] | codes[:, 1::2] << 4], pa.array(length), pa.array(cosine)]
+        packed = [c.tobytes() for c in codes[:, 0::2] | codes[:, 1::2] << 4]
+        return [pa.array(own.astype(np.int32)), pa.array(np.arccos(np.clip(near[np.arange(len(x)), own], -1, 1))), packed, pa.array(length), pa.array(cosine)]
 
-    return materialise(add_columns(rows, CODED, make), "index"), book
+    index = materialise(add_columns(rows, CODED, make), "index")
+    coarse.rows, coarse.radius = np.zeros(n, np.int64), np.zeros(n)
+    for r in index.groupBy("list").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect():  # a row a list
+        coarse.rows[r.list], coarse.radius[r.list] = r.n, r.angle
+    return index, coarse
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
-class Queries:
-    """A block of queries with their tables: for each, the score of every pair of codewords that a byte can name."""
-
-    def __init__(self, ids: np.ndarray, v: np.ndarray, book: np.ndarray):
-        self.ids, self.v, self.norm = ids, v, np.sqrt((v * v).sum(1))
-        q = units(v).reshape(len(v), book.shape[0], 2)
-        self.four = np.einsum("qmd,mcd->qmc", q, book).astype(np.float32)
-        if self.four.shape[1] % 2:
-            self.four = np.pad(self.four, ((0, 0), (0, 1), (0, 0)))
-
-    def table(self, q: int) -> np.ndarray:
-        f = self.four[q]
-        return (f[1::2, :, None] + f[0::2, None, :]).reshape(len(f) // 2, 256)
-
-    def exact(self, q: int, v: np.ndarray) -> np.ndarray:
-        return (v * self.v[q]).sum(1) / (self.norm[q] * np.sqrt((v * v).sum(1)))
+def table_of(q: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """For a unit vector, its inner product with every pair of codewords that a byte can name, by bytes."""
+    four = np.einsum("md,mcd->mc", q.reshape(len(book), 2), book).astype(np.float32)
+    four = np.pad(four, ((0, len(four) % 2), (0, 0)))
+    return (four[1::2, :, None] + four[0::2, None, :]).reshape(len(four) // 2, 256)
 
 
 def most(near: np.ndarray, cosine: np.ndarray) -> np.ndarray:
@@ -136,66 +180,121 @@ def most(near: np.ndarray, cosine: np.ndarray) -> np.ndarray:
     return np.where(t < s, t * s + np.sqrt((1 - t * t) * (1 - s * s)), 1.0) + ROUNDING
 
 
-def scan(index: DataFrame, block: Queries, top: int, keep: int) -> DataFrame:
-    """The best `top` of each partition for each query of a block, ranked by exact cosine."""
-    shared = index.sparkSession.sparkContext.broadcast(block)
+def search(rows: pa.Table, asked: pa.Table, book: np.ndarray, top: int, keep: int) -> pa.Table:
+    """The best `top` rows of a cell for each of its queries, by exact cosine, if they reach the query's floor."""
+    ids, v = rows["vec_id"].to_numpy(), scaled(matrix(rows["v"]))
+    # Equal vectors are looked at once; of their ids, which come sorted, the first few are enough.
+    order = np.argsort(ids, kind="stable")
+    _, first, kind = np.unique(np.ascontiguousarray(v[order]).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
+    by = np.argsort(kind, kind="stable")
+    begin = np.searchsorted(kind[by], np.arange(len(first) + 1))
+    ids, one = ids[order][by], order[first]
+    v, norm = v[one], np.sqrt((v[one] ** 2).sum(1))
+    codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(order), -1)[one]
+    flat = codes.T.astype(np.intp) + 256 * np.arange(codes.shape[1])[:, None]
+    length, cosine = rows["length"].to_numpy()[one], rows["cosine"].to_numpy()[one]
+    length = np.where(length > 0, length, 1)
+    own, queries, floors = asked["query_id"].to_pylist(), scaled(matrix(asked["q"])), asked["floor"].to_numpy()
+    out: list[tuple[int, int, float]] = []
+    for i, q, floor in zip(own, queries, floors.tolist(), strict=True):
+        table, size, best = table_of(units(q[None])[0], book).ravel(), np.sqrt((q * q).sum()), {}
+
+        def rank(at: np.ndarray) -> None:
+            """Takes the rows `at` into the best so far."""
+            score = (v[at] * q).sum(1) / (size * norm[at])
+            for k in np.flatnonzero(score >= floor).tolist():
+                members = ids[begin[at[k]] : min(begin[at[k] + 1], begin[at[k]] + 2 * top)].tolist()
+                for x in dict.fromkeys(members) if len(members) < 2 * top else distinct(ids, begin[at[k]], begin[at[k] + 1], top + 1):
+                    if x != i:
+                        best[x] = max(best.get(x, -2.0), float(score[k]))
+
+        for lo in range(0, len(v), BATCH):
+            hi = min(lo + BATCH, len(v))
+            near = table.take(flat[:, lo:hi]).sum(0) / length[lo:hi]
+            left = np.ones(hi - lo, bool)
+            if len(best) < top:
+                some = np.argpartition(-near, keep - 1)[:keep] if hi - lo > keep else np.arange(hi - lo)
+                rank(lo + some)
+                left[some] = False
+                best, floor = trimmed(best, top, floor)
+            more = np.flatnonzero(left & (most(near, cosine[lo:hi]) >= floor))
+            if len(more):
+                rank(lo + more)
+                best, floor = trimmed(best, top, floor)
+        out += [(i, x, s) for x, s in best.items()]
+    give_back()
+    return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], FOUND.names)
+
+
+def distinct(ids: np.ndarray, lo: int, hi: int, n: int) -> list[int]:
+    return np.unique(ids[lo:hi])[:n].tolist()
+
+
+def trimmed(best: dict[int, float], top: int, floor: float) -> tuple[dict[int, float], float]:
+    """The best `top`, and the score that others must reach."""
+    kept = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:top]
+    return dict(kept), max(floor, kept[-1][1]) if len(kept) == top else floor
+
+
+def searched(index: DataFrame, sent: DataFrame, coarse: Coarse, top: int, keep: int, cell: int, block: int) -> DataFrame:
+    """FOUND of all lists that queries are sent to (SENT), in cells of some `cell` rows and `block` queries."""
+    n = len(coarse.centres)
+    many = {r.list: r["count"] for r in sent.groupBy("list").count().collect()}  # a row a list
+    of = lambda counts, most: F.element_at(F.array(*[F.lit(max(1, -(-int(c) // most))) for c in counts]), F.col("list") + 1)
+    parts, blocks = of(coarse.rows, cell), of([many.get(k, 0) for k in range(n)], block)
+    copies = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    rows = index.filter(F.col("list").isin([*many])).select("list", F.pmod(F.xxhash64("vec_id", "v"), parts).cast("int").alias("part"), copies(blocks).alias("block"), "vec_id", "v", "code", "length", "cosine")
+    asked = sent.select("list", copies(parts).alias("part"), F.pmod(F.xxhash64("query_id"), blocks).cast("int").alias("block"), "query_id", "q", "floor")
+    shared = index.sparkSession.sparkContext.broadcast(coarse.book)
+
+    def step(a: pa.Table, b: pa.Table) -> pa.Table:
+        return search(a, b, shared.value, top, keep) if a.num_rows and b.num_rows else FOUND_NONE
+
+    key = ["list", "part", "block"]
+    return rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(step, FOUND)
+
+
+FOUND_NONE = pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], FOUND.names)
+
+
+def best_of(found: DataFrame, top: int) -> DataFrame:
+    """The best `top` of each query with their rank."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = shared.value, [[] for _ in shared.value.ids]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids, v = b.column(0).to_numpy(), matrix(b.column(1))
-            codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            order = np.lexsort((ids, *v.T[::-1]))  # equal vectors side by side, by id
-            new = np.r_[True, (v[order[1:]] != v[order[:-1]]).any(1)]
-            kind, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
-            one = order[firsts]
-            flat = codes[one].T.astype(np.intp) + 256 * np.arange(codes.shape[1])[:, None]
-            length, cosine = (b.column(k).to_numpy()[one] for k in (3, 4))
-            length = np.where(length > 0, length, 1)
-            sorted_ids = ids[order]
-            for q, own in enumerate(block.ids.tolist()):
-                near = block.table(q).ravel().take(flat).sum(0) / length
-                best = np.argpartition(-near, keep - 1)[:keep] if len(near) > keep else np.arange(len(near))
-                score = np.full(len(near), -np.inf)
-                score[best] = block.exact(q, v[one[best]])
-                found = held[q]
-                known = np.sort(np.r_[score[kind[sorted_ids != own]], [-x[0] for x in found]])[::-1]
-                floor = known[top - 1] if len(known) >= top else -np.inf
-                more = np.flatnonzero((most(near, cosine) >= floor) & (score == -np.inf))
-                score[more] = block.exact(q, v[one[more]])
-                rows = np.flatnonzero((score[kind] >= floor) & (score[kind] > -np.inf) & (sorted_ids != own))
-                rows = rows[np.lexsort((sorted_ids[rows], -score[kind[rows]]))[:top]]
-                found += zip((-score[kind[rows]]).tolist(), sorted_ids[rows].tolist(), strict=True)
-                found.sort()
-                del found[top:]
-        out = [(int(block.ids[q]), i, -s) for q, found in enumerate(held) for s, i in found]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["query_id", "vec_id", "score"])
-
-    return stream(index.select("vec_id", "v", *CODED.names), step, "query_id long, vec_id long, score double")
-
-
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, keep: int = 96, block: int = 1024) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, the `top` rows nearest by cosine.
-
-    Queries are taken in blocks against all rows. Rows whose vector is null, zero, of an unusual length or holds a null
-    or non-finite component take no part, nor do rows without an id; rows of the query's own id are no candidates. Ties
-    go to the smaller id; equal vectors are coded once and told one by one. Rows of an id that is a query more than
-    once: the smallest vector is the query.
+
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 50, top: int = 5, keep: int = 96, lists: int = 1024, per_list: int = 8192, probes: int = 4, cell: int = 16384, block: int = 1024, where: Column | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by `every` (or for which `where`, a condition on
+    vec_id, holds), the `top` rows nearest by cosine.
+
+    Rows whose vector is null, zero, of an unusual length or holds a null or non-finite component take no part, nor do
+    rows without an id, a whole number; rows of the query's own id are no candidates. Ties go to the smaller id. An id in
+    several rows is told once, with its best score, and asks with the smallest of its vectors.
     """
-    index, book = build(good_rows(vectors, id_col, vec_col))
-    asked = index.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = asked.count()
-    blocks = max(1, -(-total // block))
-    parts = []
-    for k in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k).collect()
-        if rows:
-            rows.sort(key=lambda r: r.vec_id)
-            parts.append(scan(index, Queries(np.array([r.vec_id for r in rows]), np.array([r.v for r in rows], float), book), top, keep))
-    if not parts:
-        return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    found = reduce(DataFrame.unionByName, parts)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    index, coarse = build(good_rows(vectors, id_col, vec_col), lists, per_list)
+    spark = vectors.sparkSession
+    chosen = F.col("vec_id") % every == 0 if where is None else where
+    asked = index.filter(chosen).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
+    shared = spark.sparkContext.broadcast(coarse)
+
+    def send(queries: DataFrame, first: bool) -> DataFrame:
+        def make(b: pa.RecordBatch):
+            if not b.num_rows:
+                return
+            rank, reach = shared.value.reach(units(scaled(matrix(b.column(1)))))
+            floor = b.column(2).to_numpy()
+            q, which = np.nonzero(rank < probes if first else (rank >= probes) & (reach >= floor[:, None]))
+            q = pa.array(q)
+            yield {"query_id": b.column(0).take(q), "q": b.column(1).take(q), "floor": b.column(2).take(q), "list": which.astype(np.int32)}
+
+        return materialise(expand(queries.select("query_id", "q", "floor"), SENT, make), "sent")
+
+    sent = send(asked.withColumn("floor", F.lit(-2.0)), True)
+    found = materialise(best_of(searched(index, sent, coarse, top, keep, cell, block), top), "found")
+    if len(coarse.centres) > probes:
+        floors = found.filter(F.col("rank") == top).select("query_id", F.col("score").alias("floor"))
+        again = send(asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))), False)
+        found = best_of(found.select("query_id", "vec_id", "score").unionByName(searched(index, again, coarse, top, keep, cell, block)), top)
+    discard(spark, sent)
+    return found.select("query_id", "rank", "vec_id", "score")
