@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.llm.arrow import add_columns, blobs, expand
-from limpid.llm.spark import bucketed, discard, free_name, id_key, materialise, shuffle_partitions
+from limpid.llm.spark import bucketed, discard, free_name, id_key, materialise, ordered_buckets, shuffle_partitions
 from limpid.llm.words import SPACES
 
 LINES = T.StructType([T.StructField("doc", T.LongType()), T.StructField("row", T.LongType()), T.StructField("key", T.BinaryType())])
@@ -86,7 +86,8 @@ class LineRuns:
     def _write(self, rows: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(bucketed(rows, f"line-run-{level}", self.buckets, "key"))
+        with ordered_buckets(self.spark):
+            self.levels[level].append(bucketed(rows, f"line-run-{level}", self.buckets, "key"))
 
     def _compact(self) -> None:
         level = 0

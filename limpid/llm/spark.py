@@ -56,6 +56,18 @@ def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
     return _placed(spark.table(table), (path, table))
 
 
+@contextmanager
+def ordered_buckets(spark: SparkSession) -> Iterator[None]:
+    """Plans made within it trust that buckets of one file each are sorted as they were written, and sort them no more."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def _delete(spark: SparkSession, path: str, table: str | None) -> None:
     if table:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
