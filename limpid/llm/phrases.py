@@ -33,7 +33,7 @@ GRAM = 8
 #: Different segments of one gram beyond which its windows are dealt singly.
 WIDE = 2000
 #: Different segments in a shard, about; and how many segments of documents a task streams through its automaton.
-SHARD = 12_000
+SHARD = 2_000
 STREAM = 4 * SHARD
 
 L, I, B = T.LongType(), T.IntegerType(), T.BinaryType()
@@ -78,23 +78,24 @@ def units(own: DataFrame, asked: DataFrame, window: int) -> DataFrame:
     """The words of the segments asked for (doc, dk, list of (gram, at, n, wide)); of wide grams, of each window."""
 
     def make(b: pa.RecordBatch):
-        doc, dk, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
-        out = {k: [] for k in UNIT.names}
-
-        def put(w: Words, d: int, route: int, at: int, n: int):
-            for k, v in zip(UNIT.names, (route, w.text(int(w.first[d]) + at, n + window - 1), doc[w.lo + d], dk[w.lo + d], at), strict=True):
-                out[k].append(v)
-
+        doc, dk, lists = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3)
+        edge, entry = lists.offsets.to_numpy(), lists.values
+        gram, at, n, wide = (entry.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         for w in slices(b.column(2), PLAIN):
-            for d in range(w.hi - w.lo):
-                for x in lists[w.lo + d]:
-                    if not x["wide"]:
-                        put(w, d, x["gram"], x["at"], x["n"])
-                        continue
-                    at = np.arange(x["at"], x["at"] + x["n"])
-                    for a, h in zip(at.tolist(), w.runs(w.first[d] + at, window).view(np.int64).tolist(), strict=True):
-                        put(w, d, h, a, 1)
-        yield out
+            own = slice(edge[w.lo], edge[w.hi])
+            d = np.repeat(np.arange(w.hi - w.lo), np.diff(edge[w.lo : w.hi + 1]))
+            # A segment of a wide gram becomes as many units of one window as it has windows.
+            times = np.where(wide[own], n[own], 1)
+            each = np.repeat(np.arange(len(times)), times)
+            start = at[own][each] + np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+            size = np.where(wide[own], 1, n[own])[each] + window - 1
+            first = w.first[d[each]] + start
+            single = wide[own][each]
+            route = gram[own][each]
+            route[single] = w.runs(first[single], window).view(np.int64)
+            raw = w.data.tobytes()
+            text = [b" ".join(raw[x:y].split()) for x, y in zip(w.start[first].tolist(), w.end[first + size - 1].tolist(), strict=True)]
+            yield {"route": route, "text": text, "doc": doc[w.lo + d[each]], "dk": dk[w.lo + d[each]], "at": start.astype(np.int32)}
 
     asked = asked.select("doc", "dk", "asked").hint("shuffle_hash")
     return expand(own.join(asked, ["doc", "dk"]).select("doc", "dk", "text", "asked"), UNIT, make)
@@ -139,16 +140,16 @@ def locate(phrases: list[bytes], texts: list[bytes]) -> list[list[int]]:
     for p in phrases:
         automaton.add_word("".join([codes[x] for x in p.split(b" ")]))
     automaton.make_automaton()
-    out, code = [], codes.get
-    for t in texts:
+    out, code = {}, codes.get
+    for t in set(texts):
         spans: list[int] = []
         for end, n in automaton.iter("".join([code(x, "\0\0\0") for x in t.split(b" ")])):  # by their ends
             a, e = (end + 1 - n) // 3, (end + 1) // 3
             while spans and a <= spans[-1]:
                 e, a = max(e, spans.pop()), min(a, spans.pop())
             spans += [a, e]
-        out.append(spans)
-    return out
+        out[t] = spans
+    return [out[t] for t in texts]
 
 
 def confirmed(got: DataFrame, window: int) -> DataFrame:
