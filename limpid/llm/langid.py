@@ -94,8 +94,11 @@ class Automata:
         self.width, self.bits, tables, roots, base = len(known) + 1, np.log2([len(t) + 1 for t in texts]), [], [], 0
         for t in texts:
             table = np.frombuffer(suffix_automaton([code[c] for c in t], self.width), np.int32).reshape(-1, self.width)
-            again = np.where(table[0] < 0, 0, table[0])  # the phrase ends; the symbol begins the next
-            table = np.where(table < 0, 2 * self.width * (base + again[None, :]) + 1, 2 * self.width * (base + table))
+            # One more state, after a symbol that the sample lacks, which is a phrase of its own.
+            again = np.where(table[0] < 0, len(table), table[0])  # the phrase ends; the symbol begins the next
+            ends = 2 * self.width * (base + again[None, :]) + 1
+            table = np.concatenate([np.where(table < 0, ends, 2 * self.width * (base + table)), ends])
+            table[0] = ends[0] - 1  # no phrase has begun
             roots.append(base * self.width)
             tables.append(table.astype(np.int32))
             base += len(table)
