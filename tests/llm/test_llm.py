@@ -10,7 +10,8 @@ from limpid.llm.ann import nearest
 from limpid.llm.decontaminate import contamination
 from limpid.llm.jaccard import divide_skip, jaccard_components, need
 from limpid.llm.langid import identify, learn
-from limpid.llm.licenses import TEMPLATES, scan_licenses
+from limpid.llm import linededup, phrases
+from limpid.llm.licenses import NOTICES, SHINGLE, Templates, apart, known_templates, scan_licenses
 from limpid.llm.linededup import dedup_lines
 from limpid.llm.ngramlm import score_texts
 from limpid.llm.packing import OpenBins, pack
@@ -92,6 +93,22 @@ def test_secrets(docs, none):
     assert scan_secrets(none).count() == 0
 
 
+def test_secret_ownership(spark):
+    """Generic tokens and who holds a value: one owner's looks live, several owners' or very many documents' doesn't."""
+    token, other, base = "Zx9" + "aB3" * 8, "Qw7" + "cD4" * 8, "token=abcdEFGH12345678"
+    rows = [(1, f"{token} x", "a"), (2, f"{other} {base}", "a"), (3, f"{other}", "b"), (4, f"key {base} {token}", "a"), (4, f"again {token}", "b2"), (None, f"{base}", None)]
+    rows += [(i, "AKIAABCDEFGHIJKL9 Mn5" + "eF6" * 8, "hot") for i in range(100, 112)] + [(50, "Kk1" + "gH2" * 8 + " token=" + "Kk1" + "gH2" * 8, "c")]
+    rows += [(60, " ".join(["deadbeef" * 4, "Vv8" + "iJ9" * 8] * 3000), "d")]
+    got = {(r.doc_id, len(r.findings)): r.findings for r in scan_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = lambda d: [(x.start, x.kind, x.end, x.n_repos, x.n_owners, x.live) for k, v in got.items() if k[0] == d for x in v]
+    assert found(1) == [] and found(3) == []  # both tokens have two owners
+    assert found(2) == [(28, 0, 50, 3, 2, False)] and found(None) == [(0, 0, 22, 3, 2, False)]
+    assert found(100) == [(0, 1, 17, 12, 1, False)]  # one owner, but twelve documents; the generic token likewise
+    assert [x[:3] for x in found(50)] == [(0, 3, 27), (28, 0, 61)] and all(x[5] for x in found(50))
+    many = found(60)
+    assert len(many) == 6000 and many[0][:3] == (0, 2, 32) and many[1][:3] == (33, 3, 60) and many[-1][2] == 60 * 3000 + 3000 - 1 + 0
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
@@ -122,6 +139,33 @@ def test_nearest(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_nearest_recall(spark):
+    """Thousands of rows in several lists, queries by 20 against all: recall against brute force; huge and tiny vectors;
+    ids in several rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 24)) + 2 * rng.normal(size=(30, 24))[rng.integers(0, 30, 4000)]
+    x[7], x[8], x[40], x[60] = x[20] * 1e200, x[20] * 1e-200, x[20] * 1e250, x[60] * 1e-250
+    ids = [*range(3990), *range(10)]  # ten ids stand twice
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest(rows, every=20, per_list=200, probes=2, cell=256, block=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    x /= np.abs(x).max(1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits, total = 0, 0
+    for q in range(20, 3990, 20):
+        best: dict[int, float] = {}
+        for i, s in zip(ids, x @ x[q], strict=True):
+            if i != q:
+                best[i] = max(best.get(i, -2), round(float(s), 9))
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:5]
+        hits, total = hits + len({s for _, s in want} & {s for _, s in got[q]}), total + len({s for _, s in want})
+        assert len({i for i, _ in got[q]}) == 5
+    assert hits / total >= 0.999 and {7, 8, 40} <= {i for i, _ in got[20]}
+
+
 def test_nearest_hot_group(spark):
     """A third of all rows are near copies: their nearest are found whole."""
     import numpy as np
@@ -130,7 +174,7 @@ def test_nearest_hot_group(spark):
     x = rng.normal(size=(3000, 32))
     x[::3] = x[0] + 0.02 * rng.normal(size=(1000, 32))
     x[3::300] = 2 * x[0]  # the same direction as the first query
-    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = defaultdict(list)
     for r in nearest(rows, every=150).collect():
         got[r.query_id].append(round(r.score, 9))
@@ -166,7 +210,7 @@ def test_lm_bigrams(docs):
     near = lambda c: c if c < 2 else 2**0.5 * 2 ** (c.bit_length() - 1)
 
     def score(t):
-        p = [0.75 * (near(one[b]) + 0.1) / (n + 0.1 * (v + 1)) + (0.25 * min(1, near(two[a, b]) / max(near(one[a]), near(two[a, b]))) if two[a, b] else 0) for a, b in zip(["", *t], t)]
+        p = [0.5 * (near(one[b]) + 0.1) / (n + 0.1 * (v + 1)) + (0.5 * (near(two[a, b]) - 0.75) / max(near(one[a]), near(two[a, b])) if two[a, b] else 0) for a, b in zip(["", *t], t)]
         return sum(map(math.log10, p))
 
     got = sorted((str(r.doc_id), round(r.score, 4)) for r in score_texts(docs).collect())
@@ -197,13 +241,106 @@ def test_language(spark, none):
     assert learn(none) == () and identify(df, ()).first().lang_pred == "und" and identify(none, ()).count() == 0
 
 
+def naive_parse(text: bytes, sample: bytes) -> int:
+    """Phrases of a text, segment by segment: the longest match in the sample from where the last phrase ended."""
+    import numpy as np
+
+    from limpid.llm.langid import SEGMENT, symbols
+
+    code = lambda x: "".join(map(chr, symbols(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0].tolist()))
+    text, sample, n = code(text), code(sample), 0
+    for lo in range(0, len(text), SEGMENT):
+        part, at = text[lo : lo + SEGMENT], 0
+        while at < len(part):
+            end = at + 1
+            while end <= len(part) and part[at:end] in sample:
+                end += 1
+            at, n = max(at + 1, end - 1), n + 1
+    return n
+
+
+def test_language_brute_force(spark):
+    """Predictions and scores of texts that weren't learned from, against a naive parser."""
+    import math
+    import random
+
+    rng = random.Random(4)
+    words_of = {"en": "the quick brown fox jumps over lazy dogs while seven wizards make toxic brew for evil queens".split(), "fr": "le renard brun saute par dessus un chien qui dort pendant que sept sorciers préparent du poison".split(), "de": "der schnelle braune fuchs springt über den faulen hund während sieben zauberer gift für böse königinnen brauen".split()}
+    rows = [(i, " ".join(rng.choices(words_of[k], k=rng.choice([3, 20, 200]))), k) for i, k in enumerate(["en", "fr", "de"] * 20)]
+    samples = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert held and not any(t.encode() in s for _, s in samples for _, t, _ in held if len(t) > 200)
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(held, "doc_id long, text string, lang string"), samples).collect()}
+    from limpid.llm.langid import Automata
+
+    bits = Automata(samples).bits
+    for d, t, k in held:
+        cost = sorted((naive_parse(t.encode(), s) * b, name) for (name, s), b in zip(samples, bits, strict=True))
+        assert got[d].lang_pred == cost[0][1] == k and math.isclose(got[d].score, 1 - cost[0][0] / cost[1][0], abs_tol=1e-9)
+    odd = identify(spark.createDataFrame([(1, "½ ²³ Ⅷ 12"), (2, "***the$$$fox%%%jumps***over***"), (3, None), (4, "")], "doc_id long, text string"), samples).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in odd] == ["und", "en", "und", "und"]
+
+
+def test_licenses_brute_force(spark):
+    """Occurrences against exact containment of every template in every window, without bands."""
+    import random
+
+    import numpy as np
+
+    rng, every = random.Random(9), known_templates()
+    some = {k: every[k] for k in ("mit-full", "gpl-2.0-header", "gpl-3.0-header", "isc", "mit", "apache-2.0-header", "apache-2.0", "zlib")}
+    texts = []
+    for i in range(60):
+        t = rng.choice([*some.values()]).split()
+        for _ in range(rng.choice([0, 1, 3, 10])):
+            t[rng.randrange(len(t))] = "changed"
+        filler = lambda: " ".join(rng.choices("lorem ipsum dolor sit amet under the license".split(), k=rng.randrange(80)))
+        texts.append((i, f"{filler()} {' '.join(t)} {filler()} {rng.choice([*some.values()])}", "s"))
+    low_words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", low(t))
+    shingles = lambda w: [tuple(w[i : i + SHINGLE]) for i in range(len(w) - SHINGLE + 1)]
+    sets = {k: set(shingles(low_words(v))) for k, v in some.items()}
+    got = {r.doc_id: [tuple(x) for x in r.licenses] for r in scan_licenses(spark.createDataFrame(texts, SCHEMA), templates=some).collect()}
+    missed = 0
+    for d, t, _ in texts:
+        own, found = shingles(low_words(t)), []
+        for name, mine in sets.items():
+            size = 1 << (len(mine) - 1).bit_length()
+            for lo in range(0, len(own), size):
+                hit = [i for i in range(lo, min(lo + 2 * size, len(own))) if own[i] in mine]
+                there = len({own[i] for i in hit})
+                if there >= 0.8 * len(mine):
+                    found.append((there, there / len(mine), name, hit[0], hit[-1] + SHINGLE))
+        expected = apart(found)
+        missed += len(set(expected) - set(got[d]))
+        assert len(got[d]) <= len(expected)
+    assert missed == 0
+    assert len(Templates(some, 0.1).salts) > 256 and np.all([len(x) for x in got.values()])
+
+
 def test_licenses(spark, docs, none):
-    body = [(i, f"{A} {t} {A}", "s") for i, t in enumerate(TEMPLATES.values())]
+    every = known_templates()
+    body = [(i, f"{A} {t} {A}", "s") for i, t in enumerate(every.values())]
     got = {r.doc_id: {x.license for x in r.licenses} for r in scan_licenses(spark.createDataFrame(body, SCHEMA)).collect()}
-    assert all(name in got[i] for i, name in enumerate(TEMPLATES))
+    assert all(name in got[i] for i, name in enumerate(every)) and len(every) > len(NOTICES) > 20
     assert {r.doc_id for r in scan_licenses(docs).collect() if r.licenses} == {14} and scan_licenses(none).count() == 0
 
 
+def test_decontamination_blocks(spark):
+    """Blocks keep to their bytes, whatever an item's length or copies."""
+    import pickle
+
+    from pyspark.sql import functions as F
+
+    from limpid.llm.decontaminate import Items, blocks_of, windows
+
+    items = spark.createDataFrame([(str(i), "copied " * 3 + A[:60]) for i in range(300)] + [("long", " ".join(f"x{i}" for i in range(5000)))], "id string, text string")
+    rows, n = blocks_of(windows(items, 10), 1 << 16)
+    assert n > 1
+    for k in range(0, n, 7):
+        own = Items([(r.id, bytes(r.words)) for r in rows.filter(F.col("block") == k).collect()])
+        assert len(pickle.dumps((own, own.prefixes({})))) < 1 << 16
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, A[:100]), (2, "é" * 5), (3, None), (4, "..."), (None, "ünïcode")], "item_id long, text string")
     got = {(r.doc_id, r.n_hit): r.hit_items for r in contamination(docs, items).collect()}
@@ -215,10 +352,15 @@ def test_decontamination(spark, docs, none):
 def test_clashing_columns(spark, docs):
     from pyspark.sql import functions as F
 
-    more = docs.withColumns({"n_words": F.lit(-1), "kept": F.lit("x"), "n_lines": F.lit(0), "lang_pred": F.lit(""), "licenses": F.lit(1), "extra": F.lit(7)})
+    inner = {c: F.lit(1) for c in ("phrase_doc", "phrase_row", "phrase_spans", "line_doc", "line_row", "line_gone", "doc", "dk", "__doc", "text_", "h", "sig")}
+    more = docs.withColumns(inner).withColumns({"n_words": F.lit(-1), "kept": F.lit("x"), "n_lines": F.lit(0), "lang_pred": F.lit(""), "licenses": F.lit(1), "extra": F.lit(7)})
     items = spark.createDataFrame([(1, A[:100])], "item_id long, text string")
     for out in (remove_repeats(more), dedup_lines(more), identify(more, ()), scan_licenses(more), contamination(more, items)):
-        assert out.count() == len(ROWS) and out.agg(F.min("extra")).first()[0] == 7 and len(set(out.columns)) == len(out.columns)
+        assert out.count() == len(ROWS) and out.agg(F.min("extra"), F.min("line_doc"), F.min("phrase_doc"), F.min("__doc")).first()[:] == (7, 1, 1, 1) and len(set(out.columns)) == len(out.columns)
+    assert scan_secrets(more).count() == jaccard_components(more).count() == score_texts(more).count() == len(ROWS)
+    assert pack(more, **TOKENIZER).select("doc_id").distinct().count() == len({d for d, _, _ in ROWS})
+    vectors = spark.createDataFrame([(i, [1.0, float(i)], 1, 2) for i in range(9)], "vec_id long, embedding array<double>, list int, code int")
+    assert nearest(vectors, every=4, top=2).count() == 6
 
 
 def without_repeats(texts, window=35):
@@ -262,6 +404,29 @@ def test_phrases(docs, none, wide):
     assert remove_repeats(none).count() == 0
 
 
+def test_phrases_need_automata(docs, monkeypatch):
+    """What the automata match decides alone: with none of their phrases nothing is removed."""
+    real = phrases.confirmed
+    monkeypatch.setattr(phrases, "confirmed", lambda got, window: real(got, window).limit(0))
+    assert {r.n_removed for r in remove_repeats(docs).collect()} == {0}
+    assert phrases.locate([], [b"a b"]) == [[]] and phrases.locate([b"b c", b"c d"], [b"a b c d e", b"x"]) == [[1, 4], []]
+    assert phrases.recurring([b"a b c d", b"x b c d"], [1, 1], 2) == [b"b c d"] and phrases.recurring([b"a b"], [1], 2) == []
+
+
+def test_phrases_salted(docs):
+    """Shards whose segments several tasks share."""
+    got = sorted(((r.doc_id, r.n_removed) for r in remove_repeats(docs, most=400).collect()), key=repr)
+    assert got == sorted(((r.doc_id, r.n_removed) for r in remove_repeats(docs).collect()), key=repr)
+
+
+def test_lines_need_the_anti_join(docs, monkeypatch):
+    """What the merge-anti-join finds decides alone which keys are new: without it, those of later batches are lost."""
+    of = lambda: sum(r.n_dropped for r in dedup_lines(docs, batches=4).collect())
+    whole = of()
+    monkeypatch.setattr(linededup.LineRuns, "unseen", staticmethod(lambda own, run: own.limit(0)))
+    assert whole == 3 and of() < whole
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_jaccard(docs, none, block):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in jaccard_components(docs, block=block).collect())
