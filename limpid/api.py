@@ -36,7 +36,7 @@ def confined(path: str, root: str | None) -> str:
     scheme, _, folder = root.rpartition("://")
     folder = posixpath.normpath(folder)
     whole = posixpath.normpath(posixpath.join(folder, path.removeprefix(f"{scheme}://") if scheme else path))
-    if "://" in whole or (whole != folder and not whole.startswith(folder.rstrip("/") + "/")):
+    if ("://" in path and not (scheme and path.startswith(f"{scheme}://"))) or (whole != folder and not whole.startswith(folder.rstrip("/") + "/")):
         raise OutsideRoot(f"{path!r} leaves {root!r}")
     return f"{scheme}://{whole}" if scheme else whole
 

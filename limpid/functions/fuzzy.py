@@ -62,3 +62,13 @@ def compared(c: Column, tokens: bool) -> Column:
 def score(a: Column, b: Column) -> Column:
     """0 to 100 for two texts in compared() form."""
     return F.floor(100 * (jaro_winkler_udf(a, b) + levenshtein_similarity(a, b)) / 2 + 0.5).cast("int")
+
+
+def most(a: Column, b: Column) -> Column:
+    """A score that score() of two texts can't exceed, without looking for matching letters: no more match than the
+    shorter text has, and all of them in order."""
+    x, y = F.length(a), F.length(b)
+    short = F.least(x, y)
+    j = F.when(a == b, 1.0).when(short == 0, 0.0).otherwise((short / x + short / y + 1) / 3)
+    same = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), lambda n, k: n + F.when((k <= short) & (F.left(a, k) == F.left(b, k)), 1).otherwise(0))
+    return F.floor(100 * (j + 0.1 * same * (1 - j) + levenshtein_similarity(a, b)) / 2 + 0.5 + 1e-9).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,6 +100,10 @@ def pushable(table: Table, group: dict) -> Column | None:
     if c is None or how != "between" or bounds == [None, None] or any(x is not None and _number(x) is None for x in bounds):
         return None
     low, high = (None if x is None else _number(x) for x in bounds)
+    if table.native[group["column"]][1] in WHOLE:  # whole bounds, as a file can't compare its whole numbers with others
+        if any(x is not None and abs(x) >= 2**53 for x in (low, high)):
+            return None
+        low, high = None if low is None else ceil(low), None if high is None else floor(high)
     out = _within(c, low, high)
     if (low is None or low <= 0) and (high is None or high >= 0):
         out = out | c.isNull()

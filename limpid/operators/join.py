@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpid.functions import numbers
-from limpid.functions.fuzzy import compared, score
+from limpid.functions.fuzzy import compared, levenshtein_similarity, most, score
 from limpid.functions.text import key
 from limpid.operators.registry import Context, operator
 from limpid.storage import written
@@ -146,7 +146,11 @@ def resolved(t: Table, right: Table, p: dict, copied: Iterable[str] = ()) -> Dat
     other = both(_keyed(right, theirs), f["right"], "__b").select("__b", *on, right_row.alias("r"))
     # Equal texts score alike: each pair of texts in a block is scored once, its first right row stands for it.
     texts = other.groupBy(*on, "__b").agg(F.min_by("r", "r.ord").alias("r"))
-    pairs = left.select("__a", *on).distinct().join(texts, on).withColumn("score", score(F.col("__a"), F.col("__b")))
+    # Each left text is scored with its nearest by edit distance; then only with those that may come up to that.
+    pairs = left.select("__a", *on).distinct().join(texts, on)
+    near = pairs.groupBy(*on, "__a").agg(F.max_by("__b", F.struct(levenshtein_similarity(F.col("__a"), F.col("__b")), "__b")).alias("__c"))
+    floors = written(near.select(*on, "__a", score(F.col("__a"), F.col("__c")).alias("floor")), "floors")
+    pairs = pairs.join(floors, [*on, "__a"]).filter(most(F.col("__a"), F.col("__b")) >= F.col("floor")).withColumn("score", score(F.col("__a"), F.col("__b")))
     best = pairs.groupBy(*on, "__a").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r.ord").alias("o"), "__b", "r")).alias("x"))
     # Written, so that Spark can split a text that very many left rows have.
     best = written(best.select(*on, "__a", (-F.col("x.s")).alias("score"), F.col("x.__b").alias("__b"), F.col("x.r").alias("r")), "candidates")

@@ -83,25 +83,26 @@ def csv_delimiter(t: Table) -> DataFrame:
     return read_csv(t.df.sparkSession, exported(t, delimiter="|")).output()
 
 
-_NATION = F.concat_ws(";", "n_nationkey", "n_name")
+def _nations(t: Table) -> DataFrame:
+    return t.df.select(F.concat_ws(";", "n_nationkey", "n_name").alias("value"))
 
 
 @query("csv_header_row", "nation:n_nationkey,n_name", sql="SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation")
 def csv_header_row(t: Table) -> DataFrame:
     """Rows and blank lines before the header, a blank row behind it."""
-    path = lines(t, literal(t, "export of nations"), literal(t, ""), literal(t, "key;name"), literal(t, " ; "), t.df.select(_NATION.alias("value")))
+    path = lines(t, literal(t, "export of nations"), literal(t, ""), literal(t, "key;name"), literal(t, " ; "), _nations(t))
     return read_csv(t.df.sparkSession, path, header_row=1).output()
 
 
 @query("csv_header_names", "nation:n_nationkey,n_name", sql="SELECT n_nationkey::VARCHAR AS a, n_name AS \"a (2)\", '' AS \"Colonne 3\" FROM nation")
 def csv_header_names(t: Table) -> DataFrame:
     """Repeated and blank names; rows shorter than the header."""
-    return read_csv(t.df.sparkSession, lines(t, literal(t, " a ;a;;"), t.df.select(_NATION.alias("value")))).output().select("a", "`a (2)`", "`Colonne 3`")
+    return read_csv(t.df.sparkSession, lines(t, literal(t, " a ;a;;"), _nations(t))).output().select("a", "`a (2)`", "`Colonne 3`")
 
 
 @query("csv_preview", "nation:n_nationkey,n_name", sql="SELECT count(*) + 2 AS rows, ';' AS delimiter, 'key,name' AS names, 'export of nations' AS first FROM nation")
 def csv_preview(t: Table) -> DataFrame:
-    path = lines(t, literal(t, "export of nations"), literal(t, "key;name"), t.df.select(_NATION.alias("value")))
+    path = lines(t, literal(t, "export of nations"), literal(t, "key;name"), _nations(t))
     x = preview(t.df.sparkSession, path, header_row=1)
     return told(t, [{"rows": x["rawRowCount"], "delimiter": x["delimiter"], "names": ",".join(x["columns"]), "first": x["preview"][0][0]}], "rows long, delimiter string, names string, first string")
 

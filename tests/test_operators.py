@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from limpid import Pipeline, Table
 from limpid.operators import REGISTRY, Context
@@ -126,3 +127,83 @@ def test_pipeline(spark, people):
     assert [r["rowsOut"] for r in p.reports(people)] == [2, 2]
     with pytest.raises(KeyError):
         p.add("nothing")
+
+
+@pytest.mark.parametrize(("partitions", "adaptive", "advisory"), [(4, "true", "64m"), (200, "true", "64m"), (60, "true", "64k"), (60, "false", "64m")])
+def test_dedup_of_sorted_tables(spark, partitions, adaptive, advisory):
+    """No group is lost, whatever the partitions: rows aren't looked up by a place that a sort gave them."""
+    new = {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.enabled": adaptive, "spark.sql.adaptive.advisoryPartitionSizeInBytes": advisory, "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in new}
+    try:
+        for k, v in new.items():
+            spark.conf.set(k, v)
+        df = spark.range(20_000).select((F.col("id") % 97).alias("a"), F.xxhash64("id").alias("b"), (F.col("id") % 4_000).cast("string").alias("k"), "id")
+        t = Table.of(df.repartition(7), ["a", "b"])
+        first = {r.k: r.id for r in df.groupBy("k").agg(F.min_by("id", F.struct("a", "b")).alias("id")).collect()}
+        got = REGISTRY["deduplicate"](t, {"columns": ["k"], "action": "keep_first"}, Context()).output().collect()
+        assert {r.k: int(r.id) for r in got} == first and len(got) == 4_000
+        numbers = REGISTRY["add_sequence_column"](t, {"name": "n"}, Context()).output().collect()
+        assert sorted(int(r.n) for r in numbers) == [*range(1, 20_001)]
+        assert [int(r.id) for r in sorted(numbers, key=lambda r: int(r.n))] == [r.id for r in df.orderBy("a", "b").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_order_of_files(spark, tmp_path):
+    """Rows of Parquet files are in the order of the files and of their rows; filters reach the files."""
+    spark.range(50).coalesce(1).write.parquet(f"{tmp_path}/t/a")
+    spark.range(50, 90).coalesce(1).write.parquet(f"{tmp_path}/t/b")
+    t = Table.parquet(spark, f"{tmp_path}/t/*")
+    assert [int(r[0]) for r in t.collect()] == [*range(90)]
+    kept = REGISTRY["filter_rows"](t, {"where": {"column": "id", "operator": "between", "min": "10", "max": "60"}}, Context())
+    assert [int(r[0]) for r in kept.collect()] == [*range(10, 61)]
+    assert "GreaterThanOrEqual(id" in kept.df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_types_under_the_text(spark):
+    """Numbers, dates and nulls with a type of their own filter, add up and print as their texts would."""
+    import datetime as dt
+
+    rows = [(1, 12345678.5, "a", dt.date(2020, 1, 5)), (2, 0.0002, None, None), (3, None, "", dt.date(2021, 2, 3)), (4, float("nan"), "b", dt.date(1999, 12, 31)), (5, 1e22, "c", None), (6, -3.0, "A", None), (7, 1e-7, "z", None)]
+    t = Table.of(spark.createDataFrame(rows, "i int, x double, s string, d date"), ["i"])
+    plain = Table.rows(spark, t.columns, t.collect())
+    assert last([r[:2] for r in t.collect()]) == ["12345678.5", "0.0002", "", "NaN", "1e+22", "-3", "1e-7"]
+    wheres = [{"column": "x", "operator": "between", "min": lo, "max": hi} for lo, hi in ((None, "1"), ("-5", "0"), ("0.0001", None), ("1", "x"))]
+    wheres += [{"column": "d", "operator": "between", "min": lo, "max": hi} for lo, hi in (("2020", None), (None, "2020-06"), ("1990", "2000"), ("2020-01-05", "2021-02-03"))]
+    wheres += [{"column": "s", "operator": op, "value": v, "values": ["a", v]} for op in ("eq", "neq", "contains", "starts_with", "is_empty", "is_not_empty", "in_list") for v in ("a", "")]
+    for w in [*wheres, {"combinator": "or", "conditions": wheres[:2]}, {"conditions": wheres[8:10]}]:
+        for action in ("keep", "delete"):
+            assert run(t, "filter_rows", where=w, action=action) == run(plain, "filter_rows", where=w, action=action), w
+    node = {"op": "+", "left": {"column": "x"}, "right": {"op": "*", "left": {"column": "i"}, "right": {"literal": "0.5"}}}
+    assert last(run(t, "add_expression_column", name="y", expression=node)) == last(run(plain, "add_expression_column", name="y", expression=node))
+    aggs = [{"fn": f, "column": "x", "name": f} for f in ("sum", "min", "max", "median", "countDistinct", "first")]
+    assert run(t, "summarize", aggregates=aggs) == run(plain, "summarize", aggregates=aggs)
+
+
+def test_bins(spark):
+    """Edges in any order, on the edges, and too many bins."""
+    t = Table.rows(spark, ["v"], [(str(x),) for x in (-1, 0, 0.5, 1, 2, 3, 4)] + [("x",)])
+    of = lambda **how: run(t, "summarize", group_by=[{"column": "v", "binning": how}], aggregates=[{"fn": "count", "name": "n"}])
+    for n in (1, 2, 3, 7, 8):
+        edges = [i * 4 / n for i in range(n + 1)]
+        got = dict(of(kind="explicit_boundaries", boundaries=edges))
+        assert sum(int(v) for v in got.values()) == 8 and got["hors plage"] == "1" and len(got) == n + 2
+    assert of(kind="explicit_boundaries", boundaries=[2, 0, 4])[:2] == [("2–0", "0"), ("0–4", "6")]
+    with pytest.raises(ValueError, match="bins"):
+        of(kind="fixed_width", width=1e-9)
+
+
+def test_accents(spark):
+    t = Table.rows(spark, ["v"], [("άλφα Ёлка й",), ("Ünïcôdé ḉ ﬁ",), ("e\u0301",)])
+    assert last(run(t, "normalize_columns", columns=["v"], steps=["strip_accents"])) == ["αλφα Елка и", "Unicode c ﬁ", "e"]
+
+
+def test_appended_orders(spark):
+    """Appended rows come last whatever orders the two tables."""
+    a = Table.of(spark.createDataFrame([(2, "b"), (1, "a")], "x int, y string"), ["x", "y"])
+    b = Table.rows(spark, ["z"], [("c",), ("d",)])
+    both = REGISTRY["append_rows"](a, {"table": "b", "mapping": {"y": "z"}}, Context({"b": b}))
+    twice = REGISTRY["append_rows"](both, {"table": "a", "mapping": {"x": "x", "y": "y"}}, Context({"a": a}))
+    assert twice.collect() == [("1", "a"), ("2", "b"), ("", "c"), ("", "d"), ("1", "a"), ("2", "b")]
+    assert run(twice, "deduplicate", columns=["y"]) == [("1", "a"), ("2", "b"), ("", "c"), ("", "d")]

@@ -7,7 +7,7 @@ from limpid import Pipeline, Table, api
 from limpid.functions import numbers
 from limpid.functions.fuzzy import jaro_winkler
 from limpid.plans import anonymise, recipe, report
-from limpid.plans.profile import odd_case, profile, top_values
+from limpid.plans.profile import anomaly_examples, odd_case, profile, top_values
 from limpid.sources import read_csv, table_from_text, write_csv
 from limpid.streaming import apply_steps
 
@@ -107,3 +107,84 @@ def test_whole_answers(spark, tmp_path):
     fuzzy = {side: str(tmp_path / f"fuzzy_{side}") for side in ("left", "right")}
     got = api.match_files(spark, b, a, [{"left": "nom", "right": "nom"}], {"tokens": False, "high": 90, "low": 80}, unmatched_output=fuzzy)
     assert sum(got["status"].values()) == 2 and read_csv(spark, fuzzy["left"]).collect() == [("other",)] and len(read_csv(spark, fuzzy["right"]).collect()) == 500
+
+
+def test_csv_parts(spark, tmp_path):
+    """Headers and preambles of each part, blank lines, quoted line breaks, split files, byte order marks."""
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "a.csv").write_text("k,v\n1,x\n2,y\n")
+    (tmp_path / "two" / "b.csv").write_text("\ufeffk,v\n3,z\n")
+    assert read_csv(spark, str(tmp_path / "two")).collect() == [("1", "x"), ("2", "y"), ("3", "z")]
+    (tmp_path / "pre.csv").write_text("a report\n\n  \nk,v\n\n1,x\n ,\n2,y\n")
+    assert read_csv(spark, str(tmp_path / "pre.csv"), header_row=1).collect() == [("1", "x"), ("2", "y")]
+    assert read_csv(spark, str(tmp_path / "pre.csv"), header_row=1, multi_line=True).collect() == [("1", "x"), ("2", "y")]
+    got = api.preview_csv(spark, "pre.csv", header_row=1, root=str(tmp_path))
+    assert (got["rawRowCount"], got["columns"], got["preview"][0][0]) == (4, ["k", "v"], "a report")
+    (tmp_path / "odd.csv").write_text('k;v\n1;"two\nlines; ""quoted"""\n2;\n3\n')
+    assert read_csv(spark, str(tmp_path / "odd.csv")).collect() == [("1", 'two\nlines; "quoted"'), ("2", ""), ("3", "")]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        rows = [(str(i), f"value {i}") for i in range(20_000)]
+        (tmp_path / "big.csv").write_text("k,v\n" + "".join(f"{a},{b}\n" for a, b in rows))
+        t = read_csv(spark, str(tmp_path / "big.csv"))
+        assert t.df.rdd.getNumPartitions() > 3 and t.collect() == rows
+        write_csv(t, str(tmp_path / "out"))
+        assert read_csv(spark, str(tmp_path / "out")).collect() == rows
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    (tmp_path / "none.csv").write_text("")
+    assert read_csv(spark, str(tmp_path / "none.csv")).collect() == []
+
+
+def test_confined(spark):
+    assert api.confined("a/../b.csv", "/data") == "/data/b.csv" and api.confined("/data/x", "/data/") == "/data/x" and api.confined("x", "hdfs://h/d") == "hdfs://h/d/x"
+    for bad in ("../x", "/etc/passwd", "a/../../x", "/database/x", "file:///etc/passwd"):
+        with pytest.raises(api.OutsideRoot):
+            api.confined(bad, "/data")
+    assert api.confined("../x", None) == "../x"
+
+
+def test_report_of_a_pipeline(spark):
+    from datetime import datetime
+
+    t = Table.rows(spark, ["nom"], [("a",), ("b",), ("a",)], name="people")
+    p = Pipeline().add("deduplicate", columns=["nom"]).add("filter_rows", where={"column": "nom", "operator": "eq", "value": "a"}).add("drop_columns", columns=["nom"])
+    p = p.enable(p.steps[1].id, False).undo()
+    text = p.report_text(t, at=datetime(2024, 5, 6, 7, 8, 9)).split("\n")
+    assert text[:4] == ["Rapport du pipeline — people", "Généré le 06/05/2024 07:08:09", "", "Étape 0 — Source : 3 lignes, 1 colonnes"]
+    assert text[5:9] == ["Étape 1 — Dédoublonner", "  lignes en entrée : 3", "  lignes en sortie : 2", "  supprimées : 1"] and text[10:] == ["Étape 2 — Filtrer des lignes (désactivée)", "  (non exécutée)", "", "Étape 3 — Supprimer des colonnes", "  (non exécutée)"]
+    x = report.traceability(p, t, recipe="r")
+    assert [s["enabled"] for s in x["steps"]] == [True, False] and x["sourceFiles"] == [{"name": "people", "rowCount": 3}] and len(x["fingerprint"]) == 8
+
+
+def test_profile_rules(spark):
+    """Types by the exact forms, cases by words, examples in the order of rows."""
+    kinds = {"integer": ["-5", "12"], "text": ["+5"], "decimal": ["1,5", "2"], "date": ["2020-01-02", "03/04/2021", "03-04-2021"], "boolean": ["OUI", "0"]}
+    for kind, cells in kinds.items():
+        assert profile(Table.rows(spark, ["c"], [(c,) for c in cells])).first()["type"] == kind
+    for cell in (" 5", "1/2/20", "01.02.2020", "5 "):
+        assert profile(Table.rows(spark, ["c"], [(cell,)])).first()["type"] == "text"
+    t = Table.rows(spark, ["c"], [(c,) for c in ("Ab Cd", "x ", "AB", "x ", "y  z", "Éa", "É1 b", "1")])
+    assert [r.value for r in odd_case(t).orderBy("rank").collect()] == ["Ab Cd", "AB", "Éa"]
+    got = anomaly_examples(t)
+    assert [r.value for r in got.filter("anomaly = 'outer_spaces'").orderBy("rank").collect()] == ["x ", "x "]
+
+
+def test_report_import(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Notes,nom\n1,a\n3,b\n")
+    spec = {"version": 1, "title": "t", "expectedColumns": ["note"], "blocks": [{"kind": "kpi_row", "items": [{"label": "s", "aggregate": {"fn": "sum", "column": "note"}}]}]}
+    got = api.import_report(spark, json.dumps(spec), "a.csv", root=str(tmp_path))
+    assert got["mapping"] == {"note": "Notes"} and api.build_report(spark, "a.csv", got["spec"], got["mapping"], root=str(tmp_path))[0]["items"][0]["value"] == "4"
+    assert api.import_report(spark, "{", "a.csv")["errors"] and api.import_report(spark, "{}", "a.csv")["errors"]
+
+
+def test_entry_without_the_corpus_operators(tmp_path):
+    """The entry module imports when a library of the corpus operators is missing."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).parents[1])
+    code = "import sys; sys.modules['limpid.llm'] = None; import __spark_entry__ as e; assert len(e.queries()) > 60 and 'pipeline' not in e.queries()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
