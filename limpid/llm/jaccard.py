@@ -17,7 +17,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,8 +32,9 @@ HEAVY = np.uint64(1 << 63)
 HEAVY_SHARE = 0.005
 #: Bins of a histogram.
 BINS = 256
-#: Sets in one block; larger blocks are split by size, then into pairs of parts, which together hold every pair.
+#: Sets in one block; larger blocks are split by size, then into pieces, which some hubs connect first.
 BLOCK = 4096
+HUBS = 8
 
 L, D = T.LongType(), T.ArrayType(T.LongType())
 SETS = T.StructType([T.StructField("doc", L), T.StructField("n", L), T.StructField("sig", L), T.StructField("sig2", L), T.StructField("bins", T.BinaryType()), T.StructField("heavy", D), T.StructField("heavy_n", D)])
@@ -276,19 +277,46 @@ def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return stream(rows.repartition(n, "block").sortWithinPartitions("block"), step, "a long, b long")
 
 
-def parted(filed: DataFrame, percent: int, block: int) -> DataFrame:
-    """(block, part, node, n, bins): blocks of more than `block` sets as parts that together hold every pair which may
-    link. Linked sets lie in the same or in neighbouring bands of sizes, a band ending at 100 / percent times its
-    beginning, so a part of two neighbouring bands has each set twice. A part that is still too large becomes pairs of
-    pieces."""
+PART = ("block", "part", "node", "n", "bins")
+
+
+def parted(filed: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(block, part, node, n, bins) of blocks that one task can take, and (block, band, i, k, node, n, bins) of those with
+    more than `block` sets, in k pieces.
+
+    A larger block is split by sizes first: linked sets lie in the same or in neighbouring bands, a band ending at
+    100 / percent times its beginning, so a part of two neighbouring bands has each set twice.
+    """
     # Written, as are the classes, so that Spark can split a block that very many sets are in.
     large = materialise(filed.groupBy("block").agg(F.count("*").alias("m")).filter(F.col("m") > block).select("block", F.lit(True).alias("large")), "large")
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) * (1 - 1e-9)) if percent < 100 else F.col("n")
     own = filed.join(large, "block", "left").withColumn("band", F.explode(F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(0).cast("long")))))
     pieces = materialise(own.filter("large").groupBy("block", "band").agg(F.ceil(F.count("*") / block).alias("k")).filter("k > 1"), "pieces")
-    split = own.join(pieces, ["block", "band"], "left").withColumn("i", F.pmod(F.xxhash64("node"), F.coalesce("k", F.lit(1))))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("k"), F.lit(1)) - 1), lambda j: F.struct("band", F.least("i", j).alias("i"), F.greatest("i", j).alias("j")))
-    return split.select("block", F.explode(cells).alias("c"), "node", "n", "bins").select("block", F.xxhash64("c").alias("part"), "node", "n", "bins")
+    split = own.join(pieces, ["block", "band"], "left")
+    small = split.filter("k is null").select("block", F.xxhash64("band").alias("part"), "node", "n", "bins")
+    return small, split.filter("k is not null").select("block", "band", F.pmod(F.xxhash64("node"), "k").alias("i"), "k", "node", "n", "bins")
+
+
+def hubbed(large: DataFrame) -> DataFrame:
+    """Each piece of a large block with a few of the block's sets, its hubs, beside its own."""
+    first = Window.partitionBy("block", "band").orderBy(F.xxhash64("node", F.lit(1)), "node")
+    hubs = large.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= HUBS).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).filter("to <> i")
+    every = large.withColumn("to", F.col("i")).unionByName(hubs.drop("r"))
+    return every.select("block", F.xxhash64("band", "to", F.lit("hub")).alias("part"), "node", "n", "bins")
+
+
+def crossed(large: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """What pieces and hubs leave open in a large block: its sets outside of its largest component meet all of its sets.
+    As nearly all sets of a large group of copies link with a hub, these are few."""
+    tagged = large.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = tagged.groupBy("block", "band", "component").agg(F.count("*").alias("m"))
+    main = materialise(sizes.groupBy("block", "band").agg(F.max(F.struct("m", "component"))["component"].alias("main"), (F.sum("m") - F.max("m")).alias("rest")).filter("rest > 0"), "main")
+    open_ = tagged.join(main, ["block", "band"]).withColumn("u", F.ceil(F.col("rest") / block))
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    rows = open_.withColumn("j", to(F.col("u")))
+    asked = open_.filter("component <> main").withColumn("j", F.pmod(F.xxhash64("node", F.lit(2)), "u")).withColumn("i", to(F.col("k")))
+    cells = rows.unionByName(asked).withColumn("part", F.xxhash64("band", "i", "j", F.lit("cross")))
+    return cells.select(*PART).dropDuplicates(["block", "part", "node"])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, percent: int = 85, block: int = BLOCK) -> DataFrame:
@@ -311,25 +339,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = sets.filter("n > 0").groupBy("sig", "sig2").agg(F.min(F.struct("doc", "n", "bins")).alias("x")).select("sig", "sig2", F.col("x.doc").alias("node"), "x.n", "x.bins")
     classes = materialise(classes, "classes")
     members = materialise(meet(prefix_tokens(own, width, percent, heavy)), "blocks")
-    filed = parted(materialise(members.join(classes, "sig").select("block", "node", "n", "bins"), "filed"), percent, block)
-    groups_table = materialise(sieved(filed, percent), "groups")
-    groups = groups_table.groupBy("node").agg(F.collect_list("block").alias("blocks"))
-    wanted = groups.join(classes.select("node", "sig", "sig2"), "node").select(F.col("node").alias("doc"), "node", "sig", "sig2", "blocks")
-    texts = own.join(wanted.hint("shuffle_hash"), "doc").filter(F.col("text") != "")
+    small, large = parted(materialise(members.join(classes, "sig").select("block", "node", "n", "bins"), "filed"), percent, block)
+    repeated = has_repeated_ids(sets)
 
     def true_rows(b: pa.RecordBatch):
-        names = b.schema.names
-        at = {c: b.column(names.index(c)) for c in names}
+        at = {c: b.column(b.schema.names.index(c)) for c in b.schema.names}
         good = [i for i, (s, x, y) in enumerate(zip(shingle_sets(at["text"], width), at["sig"].to_pylist(), at["sig2"].to_pylist(), strict=True)) if signature(s) == (x, y)]
         yield {c: at[c].take(pa.array(good, pa.int64())) for c in ("node", "text", "blocks")}
 
-    kinds = {f.name: f for f in texts.schema}
-    rows = expand(texts, T.StructType([kinds["node"], kinds["text"], kinds["blocks"]]), true_rows) if has_repeated_ids(sets) else texts
-    rows = rows.select("node", "text", F.explode("blocks").alias("block")).select("block", "node", "text")
-    links = block_links(rows, width, percent)
+    def links_in(parts: DataFrame) -> DataFrame:
+        groups = materialise(sieved(parts, percent), "groups")
+        wanted = groups.groupBy("node").agg(F.collect_list("block").alias("blocks")).join(classes.select("node", "sig", "sig2"), "node").select(F.col("node").alias("doc"), "node", "sig", "sig2", "blocks")
+        texts = own.join(wanted.hint("shuffle_hash"), "doc").filter(F.col("text") != "")
+        kinds = {f.name: f for f in texts.schema}
+        rows = expand(texts, T.StructType([kinds["node"], kinds["text"], kinds["blocks"]]), true_rows) if repeated else texts
+        links = materialise(block_links(rows.select(F.explode("blocks").alias("block"), "node", "text"), width, percent), "links")
+        discard(spark, groups)
+        return links
+
     same = sets.filter("n > 0").join(classes.select("sig", "sig2", "node"), ["sig", "sig2"]).groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.collect_set("node").alias("all")).filter("a <> b").select("a", F.explode("all").alias("b"))
+    is_large = bool(large.head(1))
+    links = links_in(small.unionByName(hubbed(large)) if is_large else small)
     found = components(links.union(same))
-    discard(spark, members, groups_table)
+    if is_large:
+        more = links_in(crossed(large, found, block))
+        found = components(links.union(same).union(more)) if more.head(1) else found
+    discard(spark, members)
     named = sets.select("doc", "n", "sig", "sig2").join(classes.select("sig", "sig2", "node"), ["sig", "sig2"], "left").join(found, "node", "left")
     null_id = F.lit(None).cast("long")
     show = lambda c: F.when(c == NO_ID, null_id).otherwise(c)
