@@ -435,6 +435,27 @@ def test_jaccard(docs, none, block):
     assert jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("hubs", [1, 8])
+def test_jaccard_large_blocks(spark, monkeypatch, hubs):
+    """Blocks far over their size: chains that no hub reaches, near copies, and texts that share one passage only."""
+    import random
+
+    from limpid.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HUBS", hubs)
+    rng, rows = random.Random(2), []
+    rows += [(i, " ".join(f"c{j}" for j in range(2 * i, 2 * i + 60))) for i in range(25)]
+    base = [f"b{j}" for j in range(200)]
+    for i in range(30):
+        t = list(base)
+        t[rng.randrange(200)] = f"x{i}"
+        rows.append((100 + i, " ".join(t)))
+    rows += [(200 + i, "one passage that all of these share " + " ".join(f"y{i}_{j}" for j in range(rng.choice([5, 30, 31])))) for i in range(30)]
+    rng.shuffle(rows)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), block=4).collect())
+    assert got == sorted((d, *x) for (d, _), x in zip(rows, smallest_linked(rows, 4, 85), strict=True)) and len({c for _, _, c in got}) == 32
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on what the one before kept, against brute force."""
     import corpus_pipeline
