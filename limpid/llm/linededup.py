@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.llm.arrow import add_columns, blobs, expand
-from limpid.llm.spark import bucketed, discard, free_name, id_key, materialise, ordered_buckets, shuffle_partitions
+from limpid.llm.spark import bucketed, discard, exact, free_name, id_key, materialise, ordered_buckets, shuffle_partitions
 from limpid.llm.words import SPACES
 
 LINES = T.StructType([T.StructField("doc", T.LongType()), T.StructField("row", T.LongType()), T.StructField("key", T.BinaryType())])
@@ -130,7 +130,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     discard(spark, *runs.runs())
     per_row = lines.join(gone, "key").filter(F.col("doc") < F.col("last_doc")).groupBy("doc", "row").agg(F.collect_set("key").alias("gone"))
     doc, row, bad = (free_name(docs, c) for c in ("line_doc", "line_row", "line_gone"))
-    base = docs.select(*[c for c in docs.columns if c not in KEPT.names], id_key(id_col).alias(doc), F.xxhash64(text_col).alias(row))
+    base = docs.select(*[exact(c) for c in docs.columns if c not in KEPT.names], id_key(id_col).alias(doc), F.xxhash64(text_col).alias(row))
     joined = base.join(per_row.toDF(doc, row, bad).hint("shuffle_hash"), [doc, row], "left")
 
     def keep(b: pa.RecordBatch) -> list:

@@ -99,6 +99,11 @@ def id_key(col: str | Column) -> Column:
     return F.coalesce(c.cast("long"), F.lit(NO_ID))
 
 
+def exact(name: str) -> Column:
+    """A column by its name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}
