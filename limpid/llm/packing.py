@@ -3,7 +3,9 @@
 Pieces of documents arrive one by one; a fixed number of bins is open, their free spaces in a bitset. A piece goes to
 the open bin that it fills best; if it fits none, a bin is opened, and if too many are open the fullest closes first.
 Every task packs its own, equal share of the pieces, some 100,000, so a task's open bins at its end are few beside
-those it filled. Within a task pieces arrive in blocks, longest first, which best-fit packs better.
+those it filled. The packer never looks ahead nor moves a piece. Only the order in which pieces reach it is chosen: a
+task reads its share in the order of ids, so that a task run again packs alike, and hands over blocks of it, the longest
+pieces first, which best-fit packs better.
 """
 
 from __future__ import annotations
@@ -237,4 +239,4 @@ def pack(docs: DataFrame, path: str, ranks_path: str, pattern: str, id_col: str
         if held and sum(x.num_rows for x in held):
             yield from place()
 
-    return stream(cut.repartition(tasks), step, schema)
+    return stream(cut.repartition(tasks).sortWithinPartitions("id", "piece", "ids_crc32"), step, schema)
