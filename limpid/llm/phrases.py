@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.llm.arrow import add_columns, expand, give_back
-from limpid.llm.spark import discard, free_name, id_key, materialise, partitions_for, shuffle_partitions
+from limpid.llm.spark import discard, exact, free_name, id_key, materialise, partitions_for, shuffle_partitions
 from limpid.llm.words import PLAIN, Words, sliding_argmin, slices
 
 GRAM = 8
@@ -152,7 +152,7 @@ def locate(phrases: list[bytes], texts: list[bytes]) -> list[list[int]]:
     return [out[t] for t in texts]
 
 
-def confirmed(got: DataFrame, window: int) -> DataFrame:
+def confirmed(got: DataFrame, window: int, tasks: int) -> DataFrame:
     """(shard, phrase) of the segments (shard, route, text, ..) of all documents."""
 
     def step(t: pa.Table) -> pa.Table:
@@ -161,16 +161,16 @@ def confirmed(got: DataFrame, window: int) -> DataFrame:
         give_back()
         return out
 
-    return got.groupBy("shard", "route", "text").agg(F.count("*").alias("n")).groupBy("shard").applyInArrow(step, PHRASE)
+    return got.groupBy("shard", "route", "text").agg(F.count("*").alias("n")).repartition(tasks, "shard").groupBy("shard").applyInArrow(step, PHRASE)
 
 
-def located(got: DataFrame, phrases: DataFrame, most: int) -> DataFrame:
+def located(got: DataFrame, phrases: DataFrame, most: int, tasks: int) -> DataFrame:
     """(doc, dk, spans): the words of documents that their segments' shard has phrases for. A task gets a shard's
     phrases and at most some `most` segments."""
     kinds = phrases.select("shard").distinct()
-    tasks = materialise(got.groupBy("shard").agg(F.ceil(F.count("*") / most).alias("tasks")).join(kinds, "shard"), "tasks")
-    salted = got.join(tasks, "shard").withColumn("salt", F.pmod(F.xxhash64("doc", "at"), "tasks")).select("shard", "salt", "doc", "dk", "at", "text")
-    copied = phrases.join(tasks, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("salt"), "phrase")
+    shares = materialise(got.groupBy("shard").agg(F.ceil(F.count("*") / most).alias("k")).join(kinds, "shard"), "shares")
+    salted = got.join(shares, "shard").withColumn("salt", F.pmod(F.xxhash64("doc", "at"), "k")).select("shard", "salt", "doc", "dk", "at", "text")
+    copied = phrases.join(shares, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("salt"), "phrase")
 
     def step(segments: pa.Table, own: pa.Table) -> pa.Table:
         spans = locate(own["phrase"].to_pylist(), segments["text"].to_pylist())
@@ -179,7 +179,8 @@ def located(got: DataFrame, phrases: DataFrame, most: int) -> DataFrame:
         give_back()
         return out
 
-    return salted.groupBy("shard", "salt").cogroup(copied.groupBy("shard", "salt")).applyInArrow(step, PLACE)
+    own, theirs = (x.repartition(tasks, "shard", "salt").groupBy("shard", "salt") for x in (salted, copied))
+    return own.cogroup(theirs).applyInArrow(step, PLACE)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, wide: int = WIDE, shard: int = SHARD, most: int = STREAM) -> DataFrame:
@@ -200,17 +201,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     broad = materialise(different.filter(F.col("m") > wide).select("gram", F.lit(True).alias("wide")), "broad")
     dealt = different.agg(F.coalesce(F.sum(F.when(F.col("m") > wide, F.col("n")).otherwise(F.col("m"))), F.lit(0)).alias("n")).first().n
     shards = max(partitions_for(dealt, shard), shuffle_partitions(spark))
+    tasks = max(shards // 4, shuffle_partitions(spark))  # grow with the corpus
 
     entry = F.struct("gram", "at", "n", F.coalesce("wide", F.lit(False)).alias("wide"))
     asked = again.join(broad, "gram", "left").groupBy("doc", "dk").agg(F.collect_set(entry).alias("asked"))
     got = materialise(units(own, asked, window).withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))), "units")
     discard(spark, again, different, broad)
-    phrases = materialise(confirmed(got, window), "phrases")
-    places = materialise(located(got, phrases, most), "places")
+    phrases = materialise(confirmed(got, window, tasks), "phrases")
+    places = materialise(located(got, phrases, most, tasks), "places")
     discard(spark, got, phrases)
     doc, dk, spans = (free_name(docs, c) for c in ("phrase_doc", "phrase_row", "phrase_spans"))
     covered = places.groupBy("doc", "dk").agg(F.flatten(F.collect_set("spans")).alias("spans")).toDF(doc, dk, spans)
-    base = docs.select(*[c for c in docs.columns if c not in RESULT.names], id_key(id_col).alias(doc), F.xxhash64(id_col, text_col).alias(dk))
+    base = docs.select(*[exact(c) for c in docs.columns if c not in RESULT.names], id_key(id_col).alias(doc), F.xxhash64(id_col, text_col).alias(dk))
     joined = base.join(covered.hint("shuffle_hash"), [doc, dk], "left")
 
     def keep(b: pa.RecordBatch) -> list:
