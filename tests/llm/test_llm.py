@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from limpid.llm.ann import nearest
 from limpid.llm.decontaminate import contamination
@@ -407,7 +408,7 @@ def test_phrases(docs, none, wide):
 def test_phrases_need_automata(docs, monkeypatch):
     """What the automata match decides alone: with none of their phrases nothing is removed."""
     real = phrases.confirmed
-    monkeypatch.setattr(phrases, "confirmed", lambda got, window: real(got, window).limit(0))
+    monkeypatch.setattr(phrases, "confirmed", lambda *args: real(*args).limit(0))
     assert {r.n_removed for r in remove_repeats(docs).collect()} == {0}
     assert phrases.locate([], [b"a b"]) == [[]] and phrases.locate([b"b c", b"c d"], [b"a b c d e", b"x"]) == [[1, 4], []]
     assert phrases.recurring([b"a b c d", b"x b c d"], [1, 1], 2) == [b"b c d"] and phrases.recurring([b"a b"], [1], 2) == []
@@ -421,7 +422,7 @@ def test_phrases_salted(docs):
 
 def test_lines_need_the_anti_join(docs, monkeypatch):
     """What the merge-anti-join finds decides alone which keys are new: without it, those of later batches are lost."""
-    of = lambda: sum(r.n_dropped for r in dedup_lines(docs, batches=4).collect())
+    of = lambda: sum(r.n_dropped for r in dedup_lines(docs, batches=16).collect())
     whole = of()
     monkeypatch.setattr(linededup.LineRuns, "unseen", staticmethod(lambda own, run: own.limit(0)))
     assert whole == 3 and of() < whole
@@ -456,6 +457,16 @@ def test_jaccard_large_blocks(spark, monkeypatch, hubs):
     assert got == sorted((d, *x) for (d, _), x in zip(rows, smallest_linked(rows, 4, 85), strict=True)) and len({c for _, _, c in got}) == 32
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Of rows with one id one stays, of rows without an id one of each text; columns may have any name."""
+    import corpus_pipeline
+
+    rows = [(1, "a b c d e f", 1), (1, "a b c d e f", 2), (1, None, 3), (2, "z y x w v u", 4), (None, "n o p q r s", 5), (None, "n o p q r s", 6), (None, "k l m", 7), (None, None, 8), (None, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `near.doc` int").withColumn("near_n", F.col("`near.doc`"))
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()), key=repr)
+    assert got == sorted([(1, "a b c d e f"), (2, "z y x w v u"), (None, "n o p q r s"), (None, "k l m"), (None, None), (None, "")], key=repr)
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on what the one before kept, against brute force."""
     import corpus_pipeline
