@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from limpid import api
 from limpid.functions.fuzzy import jaro_udf
+from limpid.operators import REGISTRY, Context
 from limpid.operators.dedup import find_duplicates
 from limpid.operators.join import fuzzy_keys, resolve
 from limpid.plans import anonymise, recipe, report
@@ -271,3 +272,66 @@ def streaming_steps(t: Table) -> DataFrame:
 @query("duplicates_listing", "events:event_id,user_id,event_type", sql="SELECT user_id || chr(1) || event_type AS key, count(*) AS rows FROM events GROUP BY 1 HAVING count(*) > 1")
 def duplicates_listing(t: Table) -> DataFrame:
     return find_duplicates(t, ["user_id", "event_type"], "exact")
+
+
+@query("filter_extract", "orders:o_orderkey,o_orderstatus", sql="SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, 'extracted' AS part FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey::VARCHAR, o_orderstatus, 'whole' FROM orders")
+def filter_extract(t: Table) -> DataFrame:
+    """The rows that a filter puts in a table of their own, and the table that it leaves as it was."""
+    ctx = Context()
+    whole = REGISTRY["filter_rows"](t, {"where": {"column": "o_orderstatus", "operator": "eq", "value": "F"}, "action": "extract_to_new_table", "name": "finished"}, ctx)
+    part = lambda x, name: x.output().withColumn("part", F.lit(name))
+    return part(ctx.table("finished"), "extracted").unionByName(part(whole, "whole"))
+
+
+@query("pipeline_states", "orders:o_orderkey,o_custkey,o_totalprice", "customer:c_custkey,c_name", sql=f"{_COUNTED} SELECT 'filter_rows' AS type, count(*) AS rows, 3::BIGINT AS columns FROM a UNION ALL SELECT 'enrich_join', count(*), 4 FROM b UNION ALL SELECT 'set_value_where', count(*), 4 FROM b")
+def pipeline_states(o: Table, c: Table) -> DataFrame:
+    """The table behind each step."""
+    rows = [after.df.agg(F.lit(s.type).alias("type"), F.count("*").alias("rows"), F.lit(len(after.columns)).cast("long").alias("columns")) for s, _, after, _ in _history().states(o, {"c": c})]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+_BLOCKS = [
+    {"kind": "text", "text": "t"},
+    {"kind": "kpi_row", "items": [{"label": "orders", "aggregate": {"fn": "count"}}, {"label": "customers", "aggregate": {"fn": "countDistinct", "column": "o_custkey"}}]},
+    {"kind": "chart", "chart": "bar", "x": "o_orderstatus", "series": ["n"], "summarize": {"group_by": [{"column": "o_orderstatus"}], "aggregates": [{"fn": "count", "name": "n"}]}},
+    {"kind": "page_break"},
+    {"kind": "table", "columns": ["o_orderkey"], "filter": {"column": "o_orderstatus", "operator": "eq", "value": "P"}, "max_rows": 5},
+]
+
+
+@query("report_blocks", "orders:o_orderkey,o_custkey,o_orderstatus", sql="SELECT 'kpi_row' AS kind, 'orders' AS label, count(*)::VARCHAR AS value FROM orders UNION ALL SELECT 'kpi_row', 'customers', count(DISTINCT o_custkey)::VARCHAR FROM orders UNION ALL SELECT 'chart', o_orderstatus, count(*)::VARCHAR FROM orders GROUP BY 2 UNION ALL SELECT 'table', 'matching', count(*)::VARCHAR FROM orders WHERE o_orderstatus = 'P' UNION ALL (SELECT 'table', 'row', o_orderkey::VARCHAR FROM orders WHERE o_orderstatus = 'P' ORDER BY orders.o_orderkey LIMIT 5) UNION ALL SELECT unnest(['text', 'page_break']), '', ''")
+def report_blocks(t: Table) -> DataFrame:
+    """A whole report, block by block."""
+    rows: list[dict] = []
+    for b in report.compute({"version": 1, "title": "t", "blocks": _BLOCKS}, t):
+        match b["kind"]:
+            case "kpi_row":
+                own = [(x["label"], x["value"]) for x in b["items"]]
+            case "chart":
+                own = [*zip(b["categories"], b["series"]["n"], strict=True)]
+            case "table":
+                own = [("matching", str(b["totalMatching"])), *[("row", r[0]) for r in b["rows"]]]
+            case _:
+                own = [("", "")]
+        rows += [{"kind": b["kind"], "label": label, "value": value} for label, value in own]
+    return told(t, rows, "kind string, label string, value string")
+
+
+@query("preview_steps", _CUSTOMER, sql="SELECT 'deduplicate' AS type, (SELECT count(*) FROM customer) AS rows_in, count(DISTINCT c_mktsegment) AS rows_out, count(DISTINCT c_mktsegment) AS sample FROM customer")
+def preview_steps(t: Table) -> DataFrame:
+    x = api.preview_pipeline(t.df.sparkSession, exported(t), [{"type": "deduplicate", "params": {"columns": ["c_mktsegment"]}}])
+    return told(t, [{"type": s["type"], "in": s["rowsIn"], "out": s["rowsOut"], "sample": len(x["sample"])} for s in x["steps"]], "type string, rows_in long, rows_out long, sample long")
+
+
+@query("levenshtein_distance", "part:p_partkey,p_name,p_type", sql="SELECT p_partkey::VARCHAR AS p_partkey, levenshtein(p_name, p_type)::INT AS d FROM part")
+def levenshtein_distance(t: Table) -> DataFrame:
+    return t.df.select("p_partkey", F.levenshtein(q("p_name"), q("p_type")).alias("d"))
+
+
+@query("assistant_sheet", _CUSTOMER, sql="SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_mktsegment']) AS \"column\", true AS told")
+def assistant_sheet(t: Table) -> DataFrame:
+    """The sheet tells every column and no cell of the columns with words."""
+    sheet = anonymise.assistant_export(t)
+    words = {r[0] for r in t.df.select("c_mktsegment").distinct().collect()}
+    assert not any(w in sheet for w in words)
+    return told(t, [{"column": c, "told": c in sheet} for c in t.columns], "`column` string, told boolean")
