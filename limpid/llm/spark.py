@@ -1,59 +1,30 @@
-"""Small helpers around the session: shared folders, written tables and safe internal column names."""
+"""Small helpers around the session: written tables and safe internal column names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
-from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null id in keys, so that rows without an id can be grouped and joined.
-NO_ID = -(2**63)
-#: Where written frames lie: (path, table name or None).
-_places: WeakKeyDictionary[DataFrame, tuple[str, str | None]] = WeakKeyDictionary()
-#: The places written within each scratch() that is open.
-_scopes: list[list[tuple[str, str | None]]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Local runs may leave it unset and get a
-    temporary one; a cluster may not, as its machines can't see each other's folders."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="limpid-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
+from limpid.storage import discard, new_name, placed, scratch, shared_dir
+from limpid.storage import written as materialise
 
-def _placed(df: DataFrame, place: tuple[str, str | None]) -> DataFrame:
-    _places[df] = place
-    if _scopes:
-        _scopes[-1].append(place)
-    return df
+__all__ = ["bucketed", "discard", "exact", "free_name", "id_key", "materialise", "ordered_buckets", "partitions_for", "scratch", "shared_dir", "shuffle_partitions"]
 
-
-def materialise(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: a cut of the lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return _placed(spark.read.schema(df.schema).parquet(path), (path, None))
+#: Stands for a null id in keys, so that rows without an id can be grouped and joined.
+NO_ID = -(2**63)
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
     """Like materialise(), in buckets by the hash of a key and sorted by it: joins and groupings by that key of tables
     with as many buckets need no exchange. df should be dealt by the key, so that a bucket is one sorted file."""
     spark = df.sparkSession
-    table = f"limpid_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    table = f"limpid_{new_name(name)}".replace("-", "_")
     path = f"{shared_dir(spark)}/{table}"
     df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table, format="parquet")
-    return _placed(spark.table(table), (path, table))
+    return placed(spark.table(table), path, table)
 
 
 @contextmanager
@@ -68,31 +39,6 @@ def ordered_buckets(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
-def _delete(spark: SparkSession, path: str, table: str | None) -> None:
-    if table:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def discard(spark: SparkSession, *frames: DataFrame) -> None:
-    """Deletes the files of written tables that no later step reads."""
-    for df in frames:
-        if place := _places.pop(df, None):
-            _delete(spark, *place)
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, all tables that operators wrote within it. Results must have been used or written by then."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for place in _scopes.pop():
-            _delete(spark, *place)
-
-
 def id_key(col: str | Column) -> Column:
     """A never-null long for an id column, which holds whole numbers."""
     c = F.col(col) if isinstance(col, str) else col
