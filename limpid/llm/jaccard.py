@@ -33,7 +33,7 @@ HEAVY_SHARE = 0.005
 #: Bins of a histogram.
 BINS = 256
 #: Sets in one block; larger blocks are split by size, then into pieces, which some hubs connect first.
-BLOCK = 4096
+BLOCK = 1024
 HUBS = 8
 
 L, D = T.LongType(), T.ArrayType(T.LongType())
