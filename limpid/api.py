@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import posixpath
 from dataclasses import replace
+from functools import wraps
 
 from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +21,20 @@ from limpid.plans.profile import anomaly_examples, bounded, profile, top_values
 from limpid.plans.recipe import suggest
 from limpid.plans.report import compute, validate
 from limpid.sources import preview, read_csv, write_csv
+from limpid.storage import scratch
 from limpid.table import ORD, Table, q
 
+def tidy(f):
+    """Deletes what an entry point had operators write, once it has told its results."""
+
+    @wraps(f)
+    def run(spark: SparkSession, *args, **kwargs):
+        with scratch(spark):
+            return f(spark, *args, **kwargs)
+
+    return run
+
+
 TWO_TABLES = ("enrich_join", "append_rows")
 
 
@@ -48,6 +61,7 @@ def _pipeline(steps: list[dict]) -> Pipeline:
     return Pipeline(own, len(own))
 
 
+@tidy
 def profile_csv(spark: SparkSession, path: str, sample_rows: int = 30, root: str | None = None) -> dict:
     t = read_csv(spark, confined(path, root))
     top: dict[str, list] = {}
@@ -59,16 +73,19 @@ def profile_csv(spark: SparkSession, path: str, sample_rows: int = 30, root: str
     return {"columns": [{**r.asDict(), "top": top.get(r["column"], []), "examples": odd.get(r["column"], {})} for r in profile(t).collect()]} | bounded(t, sample_rows)
 
 
+@tidy
 def preview_csv(spark: SparkSession, path: str, delimiter: str | None = None, header_row: int = 0, rows: int = 5, root: str | None = None) -> dict:
     """What a file looks like before it is read as a table."""
     return preview(spark, confined(path, root), delimiter, header_row, rows)
 
 
+@tidy
 def preview_pipeline(spark: SparkSession, path: str, steps: list[dict], sample_rows: int = 30, root: str | None = None) -> dict:
     t, p = read_csv(spark, confined(path, root)), _pipeline(steps)
     return {"steps": p.reports(t)} | bounded(p.apply(t), sample_rows)
 
 
+@tidy
 def apply_pipeline(spark: SparkSession, path: str, steps: list[dict], output: str, overwrite: bool = False, sample_rows: int = 30, root: str | None = None) -> dict:
     t, p = read_csv(spark, confined(path, root)), _pipeline(steps)
     out = p.apply(t)
@@ -76,6 +93,7 @@ def apply_pipeline(spark: SparkSession, path: str, steps: list[dict], output: st
     return {"steps": p.reports(t), "output": output} | bounded(out, sample_rows)
 
 
+@tidy
 def match_files(spark: SparkSession, left: str, right: str, pairs: list[dict], fuzzy: dict | None = None, sample_rows: int = 30, unmatched_output: dict[str, str] | None = None, overwrite: bool = False, root: str | None = None) -> dict:
     """How many left rows are matched, ambiguous or unmatched, and the unmatched rows of both sides; of a fuzzy match also
     the matches and the pending pairs with their scores. unmatched_output: a path for the unmatched rows of "left", of
@@ -126,6 +144,7 @@ def _first_rows(t: Table, columns: list[str], mode: str, keys: list[str], most:
     return out
 
 
+@tidy
 def find_duplicates(spark: SparkSession, path: str, columns: list[str], mode: str = "normalized", most: int = 200, root: str | None = None) -> Groups:
     t = read_csv(spark, confined(path, root))
     t.need(*columns)
@@ -137,6 +156,7 @@ def find_duplicates(spark: SparkSession, path: str, columns: list[str], mode: st
     return out
 
 
+@tidy
 def import_report(spark: SparkSession, text: str, path: str, root: str | None = None) -> dict:
     """A report's spec from JSON with, for a file, the mapping of expected columns to its own that names suggest; or all
     that is wrong with the spec."""
@@ -149,6 +169,7 @@ def import_report(spark: SparkSession, text: str, path: str, root: str | None =
     return {"errors": [], "spec": spec, "mapping": suggest(tuple(spec.get("expectedColumns", ())), read_csv(spark, confined(path, root)).columns)}
 
 
+@tidy
 def build_report(spark: SparkSession, path: str, spec: dict, mapping: dict[str, str] | None = None, root: str | None = None) -> list[dict]:
     t = read_csv(spark, confined(path, root))
     if mapping:
