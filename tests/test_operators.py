@@ -67,6 +67,10 @@ def test_deduplicate(spark):
     assert tel(action="keep_last") == tel(action="keep_most_complete") == tel(action="merge_first_nonempty") == ["699", "677"]
     assert tel(action="flag_only") == ["oui", "oui", ""]
     assert tel(overrides={"Fotso": "keep_last"}) == ["699", "677"]
+    mixed = [r for r in run(t, "deduplicate", columns=["nom"], overrides={"Fotso": "flag_only"})]
+    assert mixed == [("Fotso", "", "oui"), ("Fotso", "699", "oui"), ("Kamga", "677", "")]
+    again = Table.rows(spark, ["nom", "tel"], [("a", "1"), ("a", "2"), ("b", "3"), ("b", "4"), ("c", "5")])
+    assert run(again, "deduplicate", columns=["nom"], action="flag_only", overrides={"b": "keep_last"}) == [("a", "1", "oui"), ("a", "2", "oui"), ("b", "4", ""), ("c", "5", "")]
     assert run(t, "deduplicate", columns=[]) == t.collect()
     assert [tuple(r) for r in find_duplicates(Table.rows(spark, ["nom"], [("Alice",), ("  alice  ",), ("Bob",)]), ["nom"]).collect()] == [("ALICE", 2)]
     assert diverging_columns(t, ["nom"]).first()["columns"] == ["tel"]
