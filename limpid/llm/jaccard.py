@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from limpid.llm.arrow import expand, stream
 from limpid.llm.graph import components
-from limpid.llm.spark import NO_ID, discard, id_key, materialise, shuffle_partitions
+from limpid.llm.spark import NO_ID, discard, id_key, materialise, partitions_for, shuffle_partitions
 from limpid.llm.words import FOLDED, slices
 
 HEAVY = np.uint64(1 << 63)
@@ -35,6 +35,8 @@ BINS = 256
 #: Sets in one block; larger blocks are split by size, then into pieces, which some hubs connect first.
 BLOCK = 1024
 HUBS = 8
+#: Documents for each task of a shuffle, about.
+PER_TASK = 20_000
 
 L, D = T.LongType(), T.ArrayType(T.LongType())
 SETS = T.StructType([T.StructField("doc", L), T.StructField("n", L), T.StructField("sig", L), T.StructField("sig2", L), T.StructField("bins", T.BinaryType()), T.StructField("heavy", D), T.StructField("heavy_n", D)])
@@ -119,7 +121,7 @@ def prefix_tokens(docs: DataFrame, width: int, percent: int, heavy) -> DataFrame
     return expand(docs.select("doc", "text"), TOKENS, make)
 
 
-def meet(tokens: DataFrame) -> DataFrame:
+def meet(tokens: DataFrame, tasks: int) -> DataFrame:
     """(block, sig): the sets that meet on a list, under the first of them. Lists are sorted and streamed."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,8 +144,7 @@ def meet(tokens: DataFrame) -> DataFrame:
             anchor = int(a[-1]) if usable[ids[-1]] else None
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[pairs[0], own]), pa.array(np.r_[pairs[1], own])], ["block", "sig"])
 
-    n = shuffle_partitions(tokens.sparkSession)
-    return stream(tokens.repartition(n, "token").sortWithinPartitions("token", "late", "sig"), step, "block long, sig long").distinct()
+    return stream(tokens.repartition(tasks, "token").sortWithinPartitions("token", "late", "sig"), step, "block long, sig long").distinct()
 
 
 class Forest:
@@ -221,7 +222,7 @@ def sieve(size: np.ndarray, bins: np.ndarray, percent: int) -> Iterator[np.ndarr
             yield np.concatenate(group)
 
 
-def sieved(rows: DataFrame, percent: int) -> DataFrame:
+def sieved(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
     """rows (block, part, node, n, bins) -> (block, node): groups of each part that may hold links, named by a hash of
     their members, as many blocks hold the same ones."""
 
@@ -248,11 +249,10 @@ def sieved(rows: DataFrame, percent: int) -> DataFrame:
         if len(held) > 1:
             yield from close()
 
-    n = shuffle_partitions(rows.sparkSession)
-    return stream(rows.repartition(n, "block", "part").sortWithinPartitions("block", "part"), step, "block long, node long").distinct()
+    return stream(rows.repartition(tasks, "block", "part").sortWithinPartitions("block", "part"), step, "block long, node long").distinct()
 
 
-def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+def block_links(rows: DataFrame, width: int, percent: int, tasks: int) -> DataFrame:
     """rows (block, node, text), all of a block in one partition and in order -> links (a, b)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,8 +273,7 @@ def block_links(rows: DataFrame, width: int, percent: int) -> DataFrame:
         if len(sets) > 1:
             yield close()
 
-    n = shuffle_partitions(rows.sparkSession)
-    return stream(rows.repartition(n, "block").sortWithinPartitions("block"), step, "a long, b long")
+    return stream(rows.repartition(tasks, "block").sortWithinPartitions("block"), step, "a long, b long")
 
 
 PART = ("block", "part", "node", "n", "bins")
@@ -330,6 +329,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     sets = materialise(describe(own, width), "sets")
     total = sets.count()
+    tasks = max(shuffle_partitions(spark), partitions_for(total, PER_TASK))
     often = sets.filter(F.size("heavy") > 0).select(F.explode(F.arrays_zip("heavy", "heavy_n")).alias("x")).groupBy("x.heavy").agg(F.sum("x.heavy_n").alias("n")).filter(F.col("n") >= max(4, HEAVY_SHARE * total))
     heavy = spark.sparkContext.broadcast(np.sort(np.array([r.heavy for r in often.select("heavy").collect()], np.int64).astype(np.uint64)))
 
@@ -338,7 +338,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # documents have.
     classes = sets.filter("n > 0").groupBy("sig", "sig2").agg(F.min(F.struct("doc", "n", "bins")).alias("x")).select("sig", "sig2", F.col("x.doc").alias("node"), "x.n", "x.bins")
     classes = materialise(classes, "classes")
-    members = materialise(meet(prefix_tokens(own, width, percent, heavy)), "blocks")
+    members = materialise(meet(prefix_tokens(own, width, percent, heavy), tasks), "blocks")
     small, large = parted(materialise(members.join(classes, "sig").select("block", "node", "n", "bins"), "filed"), percent, block)
     repeated = has_repeated_ids(sets)
 
@@ -348,12 +348,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         yield {c: at[c].take(pa.array(good, pa.int64())) for c in ("node", "text", "blocks")}
 
     def links_in(parts: DataFrame) -> DataFrame:
-        groups = materialise(sieved(parts, percent), "groups")
+        groups = materialise(sieved(parts, percent, tasks), "groups")
         wanted = groups.groupBy("node").agg(F.collect_list("block").alias("blocks")).join(classes.select("node", "sig", "sig2"), "node").select(F.col("node").alias("doc"), "node", "sig", "sig2", "blocks")
         texts = own.join(wanted.hint("shuffle_hash"), "doc").filter(F.col("text") != "")
         kinds = {f.name: f for f in texts.schema}
         rows = expand(texts, T.StructType([kinds["node"], kinds["text"], kinds["blocks"]]), true_rows) if repeated else texts
-        links = materialise(block_links(rows.select(F.explode("blocks").alias("block"), "node", "text"), width, percent), "links")
+        links = materialise(block_links(rows.select(F.explode("blocks").alias("block"), "node", "text"), width, percent, tasks), "links")
         discard(spark, groups)
         return links
 
