@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from limpid.functions import numbers
-from limpid.table import DAYS, WHOLE, Table, q
+from limpid.table import DAYS, WHOLE, Table, plain, q
 
 ISO = r"^\d{4}(-\d{2}(-\d{2}(T\d{2}:\d{2}(:\d{2})?)?)?)?$"
 
@@ -22,11 +22,6 @@ def _iso(c: Column) -> Column:
     return F.when(c.rlike(ISO), whole.try_cast("timestamp"))
 
 
-def _number(v: str) -> float | None:
-    t = v.strip()
-    return 0.0 if not t else float(t) if re.match(numbers.PLAIN, t) else None
-
-
 def _date(v: str) -> datetime | None:
     if not re.match(ISO, v):
         return None
@@ -44,9 +39,9 @@ def between(c: Column, low: str | None, high: str | None, number: Column | None
     """Inclusive, open where a bound is None: as numbers if cell and bounds are, else as ISO dates if the cell is one
     (bounds that are none don't count), else as texts. number, day: the cell by its own type, which saves parsing it."""
     given = [v for v in (low, high) if v is not None]
-    parsed = [None if v is None else _number(v) for v in (low, high)]
+    parsed = [None if v is None else numbers.parsed(v) for v in (low, high)]
     dates = [None if v is None else _date(v) for v in (low, high)]
-    numeric = all(_number(v) is not None for v in given)
+    numeric = all(numbers.parsed(v) is not None for v in given)
     if number is not None:  # a cell of digits is no date but for four of them; blank is 0
         x = F.when(c == "", F.lit(0.0)).otherwise(number)
         if numeric:
@@ -91,15 +86,15 @@ def pushable(table: Table, group: dict) -> Column | None:
     bounds = [group.get("min"), group.get("max")]
     if (c := table.typed(group["column"], *DAYS)) is not None:
         days = [None if x is None else _date(x) for x in bounds]
-        if how != "between" or [x is None for x in bounds] != [x is None for x in days] or all(x is None or _number(x) is not None for x in bounds):
+        if how != "between" or [x is None for x in bounds] != [x is None for x in days] or all(x is None or numbers.parsed(x) is not None for x in bounds):
             return None
         kind = table.native[group["column"]][1]
         out = _within(c, *[None if x is None else F.lit(x).cast(kind) for x in days])
         return out | c.isNull() if days[0] is None else out
     c = table.typed(group["column"], *WHOLE, "double")
-    if c is None or how != "between" or bounds == [None, None] or any(x is not None and _number(x) is None for x in bounds):
+    if c is None or how != "between" or bounds == [None, None] or any(x is not None and numbers.parsed(x) is None for x in bounds):
         return None
-    low, high = (None if x is None else _number(x) for x in bounds)
+    low, high = (None if x is None else numbers.parsed(x) for x in bounds)
     if table.native[group["column"]][1] in WHOLE:  # whole bounds, as a file can't compare its whole numbers with others
         if any(x is not None and abs(x) >= 2**53 for x in (low, high)):
             return None
@@ -107,7 +102,7 @@ def pushable(table: Table, group: dict) -> Column | None:
     out = _within(c, low, high)
     if (low is None or low <= 0) and (high is None or high >= 0):
         out = out | c.isNull()
-    return out | (c == float("-inf")) if table.native[group["column"]][1] == "double" else out
+    return out
 
 
 def _valid(pattern: str) -> bool:
@@ -188,9 +183,9 @@ def _bound(value: Column, f) -> Column:
 def _result(op: str, v: Column) -> Column:
     x, y = v["a"]["x"], v["b"]["x"]
     z = F.when(x.isNotNull() & y.isNotNull(), {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[op])
-    z = F.when(~F.isnan(z) & (F.abs(z) < float("inf")), z)
+    text, z = F.when(z.isNull(), "").otherwise(plain(z)), F.when(~F.isnan(z), z)
     if op != "+":
-        return F.struct(numbers.exact(z).alias("t"), z.alias("x"))
+        return F.struct(text.alias("t"), z.alias("x"))
     joined = F.concat(v["a"]["t"], v["b"]["t"])
     both = x.isNotNull() & y.isNotNull()
-    return F.struct(F.when(both, numbers.exact(z)).otherwise(joined).alias("t"), F.when(both, z).when(numbers.trim(joined) != "", numbers.strict(joined)).alias("x"))
+    return F.struct(F.when(both, text).otherwise(joined).alias("t"), F.when(both, z).when(numbers.trim(joined) != "", numbers.strict(joined)).alias("x"))

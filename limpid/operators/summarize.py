@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from itertools import product
+from math import isfinite
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,6 +107,8 @@ def bins_for(t: Table, column: str, how: dict) -> Bins:
     r = t.df.agg(F.min(x).alias("a"), F.max(x).alias("b")).first()
     if r.a is None:
         return Bins(())
+    if not (isfinite(r.a) and isfinite(r.b)):
+        raise ValueError(f"no bins of equal width from {r.a} to {r.b}")
     if how["kind"] == "fixed_width":
         width = float(how["width"])
         if width <= 0:

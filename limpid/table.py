@@ -119,9 +119,9 @@ class Table:
         return q(own) if kind in kinds else None
 
     def number(self, name: str) -> Column | None:
-        """A column's finite numbers as doubles, if it has a type of numbers."""
+        """A column's numbers as doubles, null where it has none, if it has a type of numbers."""
         x = self.typed(name, *NUMERIC)
-        return None if x is None else F.when(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), x.cast("double"))
+        return None if x is None else F.when(~F.isnan(x.cast("double")), x.cast("double"))
 
     def output(self) -> DataFrame:
         """The columns alone, in no order."""

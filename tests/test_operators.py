@@ -169,14 +169,14 @@ def test_types_under_the_text(spark):
     """Numbers, dates and nulls with a type of their own filter, add up and print as their texts would."""
     import datetime as dt
 
-    rows = [(1, 12345678.5, "a", dt.date(2020, 1, 5)), (2, 0.0002, None, None), (3, None, "", dt.date(2021, 2, 3)), (4, float("nan"), "b", dt.date(1999, 12, 31)), (5, 1e22, "c", None), (6, -3.0, "A", None), (7, 1e-7, "z", None)]
+    rows = [(1, 12345678.5, "a", dt.date(2020, 1, 5)), (2, 0.0002, None, None), (3, None, "", dt.date(2021, 2, 3)), (4, float("nan"), "b", dt.date(1999, 12, 31)), (5, 1e22, "c", None), (6, -3.0, "A", None), (7, 1e-7, "z", None), (8, float("inf"), "i", None), (9, float("-inf"), "j", None)]
     t = Table.of(spark.createDataFrame(rows, "i int, x double, s string, d date"), ["i"])
     plain = Table.rows(spark, t.columns, t.collect())
-    assert last([r[:2] for r in t.collect()]) == ["12345678.5", "0.0002", "", "NaN", "1e+22", "-3", "1e-7"]
-    wheres = [{"column": "x", "operator": "between", "min": lo, "max": hi} for lo, hi in ((None, "1"), ("-5", "0"), ("0.0001", None), ("1", "x"))]
+    assert last([r[:2] for r in t.collect()]) == ["12345678.5", "0.0002", "", "NaN", "1e+22", "-3", "1e-7", "Infinity", "-Infinity"]
+    wheres = [{"column": "x", "operator": "between", "min": lo, "max": hi} for lo, hi in ((None, "1"), ("-5", "0"), ("0.0001", None), ("1", "x"), ("-Infinity", "0x10"), ("5", "Infinity"), (None, "-1"))]
     wheres += [{"column": "d", "operator": "between", "min": lo, "max": hi} for lo, hi in (("2020", None), (None, "2020-06"), ("1990", "2000"), ("2020-01-05", "2021-02-03"))]
     wheres += [{"column": "s", "operator": op, "value": v, "values": ["a", v]} for op in ("eq", "neq", "contains", "starts_with", "is_empty", "is_not_empty", "in_list") for v in ("a", "")]
-    for w in [*wheres, {"combinator": "or", "conditions": wheres[:2]}, {"conditions": wheres[8:10]}]:
+    for w in [*wheres, {"combinator": "or", "conditions": wheres[:2]}, {"conditions": wheres[11:13]}]:
         for action in ("keep", "delete"):
             assert run(t, "filter_rows", where=w, action=action) == run(plain, "filter_rows", where=w, action=action), w
     node = {"op": "+", "left": {"column": "x"}, "right": {"op": "*", "left": {"column": "i"}, "right": {"literal": "0.5"}}}

@@ -14,10 +14,13 @@ from limpid.streaming import apply_steps
 
 
 def test_numbers(spark):
-    texts = ["1 234,56", "1 234,56", "1.234,56", "1,234.56", "", "12abc", "-", "0,0", "1f", "nan", "1,2,3"]
+    texts = ["1 234,56", "1 234,56", "1.234,56", "1,234.56", "", "12abc", "-", "0,0", "1f", "nan", "1,2,3", "0x1F", "0b101", "0O17", "+Infinity", "-Infinity", "-0x1", "0xg", "infinity"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r.x for r in df.select("i", numbers.tolerant(df.t).alias("x")).orderBy("i").collect()]
-    assert got == [1234.56] * 4 + [None] * 3 + [0.0] + [None] * 3
+    assert got == [1234.56] * 4 + [None] * 3 + [0.0] + [None] * 3 + [31.0, 5.0, 15.0, float("inf"), float("-inf"), None, None, None]
+    plain = ["0x1F", "0b101", "-Infinity", " 5 ", "", "x", "1e3", "-0x1"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "i int, t string").select("i", numbers.strict(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r.x for r in rows] == [numbers.parsed(t) for t in plain] == [31.0, 5.0, float("-inf"), 5.0, 0.0, None, 1000.0, None]
     df = spark.createDataFrame([(0, 15.0), (1, 1e7), (2, 0.0002), (3, 11.66666), (4, -0.00001), (5, None)], "i int, x double")
     assert [r.s for r in df.select("i", numbers.written(df.x).alias("s")).orderBy("i").collect()] == ["15", "10000000", "0.0002", "11.6667", "0", ""]
 
