@@ -11,19 +11,34 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x{FEFF}]"
 
 
-def _folding() -> tuple[str, str]:
-    """Characters that decompose to one with marks of U+0300 to U+036F behind, and those without the marks."""
-    marked, bare = [], []
-    for i in range(0xA0, 0x2FA20):
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """What characters decompose to, without marks of U+0300 to U+036F: those that become one character and what that is,
+    and those that become several or none. Hangul syllables follow a rule of their own."""
+    marked, bare, several = [], [], {}
+    for i in (*range(0xA0, 0xAC00), *range(0xF900, 0x30000)):
         parts = unicodedata.normalize("NFD", chr(i))
         left = "".join(x for x in parts if not 0x300 <= ord(x) <= 0x36F)
-        if len(left) == 1 and len(parts) > 1 and i < 0x10000:
+        if len(left) == 1 and parts != chr(i):
             marked.append(chr(i))
             bare.append(left)
-    return "".join(marked), "".join(bare)
+        elif parts != chr(i):
+            several[chr(i)] = left
+    return "".join(marked), "".join(bare), several
 
 
-MARKED, BARE = _folding()
+MARKED, BARE, SEVERAL = _folding()
+#: Characters that translate() can't replace.
+RARE = "[" + "".join(SEVERAL) + "\uac00-\ud7a3]"
+
+
+def _rare(x: Column) -> Column:
+    """One of RARE as what it decomposes to; others as they are."""
+    n = F.ascii(x) - 0xAC00
+    jamo = lambda first, count, i: F.split(F.lit("".join(map(chr, range(first, first + count)))), "")[i.cast("int")]
+    tail = F.when(n % 28 > 0, jamo(0x11A8, 27, n % 28 - 1)).otherwise("")
+    hangul = F.concat(jamo(0x1100, 19, F.floor(n / 588)), jamo(0x1161, 21, F.floor(n % 588 / 28)), tail)
+    table = F.create_map(*[F.lit(v) for pair in SEVERAL.items() for v in pair])
+    return F.when(n.between(0, 11171), hangul).otherwise(F.coalesce(F.try_element_at(table, x), x))
 
 
 def trim(c: Column) -> Column:
@@ -35,7 +50,9 @@ def collapse_spaces(c: Column) -> Column:
 
 
 def strip_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, MARKED, BARE), "[̀-ͯ]", "")
+    simple = F.translate(c, MARKED, BARE)
+    some = F.when(simple.rlike(RARE), F.array_join(F.transform(F.split(simple, ""), _rare), "")).otherwise(simple)
+    return F.regexp_replace(some, "[\\x{300}-\\x{36f}]", "")
 
 
 def strip_punctuation(c: Column) -> Column:

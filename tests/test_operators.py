@@ -199,8 +199,15 @@ def test_bins(spark):
 
 
 def test_accents(spark):
-    t = Table.rows(spark, ["v"], [("άλφα Ёлка й",), ("Ünïcôdé ḉ ﬁ",), ("e\u0301",)])
-    assert last(run(t, "normalize_columns", columns=["v"], steps=["strip_accents"])) == ["αλφα Елка и", "Unicode c ﬁ", "e"]
+    """Every character by its canonical decomposition, without the marks of U+0300 to U+036F."""
+    import re
+    import unicodedata
+
+    chars = [chr(i) for i in range(0x20, 0x30000) if not 0xD800 <= i < 0xE000]
+    texts = ["άλφα Ёлка й", "Ünïcôdé ḉ ﬁ", "e\u0301", "각 가나 힣", *["".join(chars[i : i + 500]) for i in range(0, len(chars), 500)]]
+    t = Table.rows(spark, ["v"], [(x,) for x in texts])
+    bare = lambda x: re.sub("[\u0300-\u036f]", "", "".join(unicodedata.normalize("NFD", c) for c in x))
+    assert last(run(t, "normalize_columns", columns=["v"], steps=["strip_accents"])) == [bare(x) for x in texts]
 
 
 def test_appended_orders(spark):
