@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.arrow import add_columns, expand, give_back
+from limpid.llm.arrow import add_columns, expand, used
 from limpid.llm.spark import discard, materialise
 
 WORDS = 16
@@ -222,7 +222,7 @@ def search(rows: pa.Table, asked: pa.Table, book: np.ndarray, top: int, keep: in
                 rank(lo + more)
                 best, floor = trimmed(best, top, floor)
         out += [(i, x, s) for x, s in best.items()]
-    give_back()
+    used(rows.num_rows)
     return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], FOUND.names)
 
 

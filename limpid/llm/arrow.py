@@ -25,6 +25,18 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_rows = 0
+
+
+def used(rows: int, most: int = 50_000) -> None:
+    """Gives memory back once so many rows were handled: small groups needn't each pay for it."""
+    global _rows
+    _rows += rows
+    if _rows >= most:
+        _rows = 0
+        give_back()
+
+
 def stream(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """df.mapInArrow with small batches."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from limpid.llm.arrow import add_columns, expand, give_back
+from limpid.llm.arrow import add_columns, expand, used
 from limpid.llm.spark import discard, exact, free_name, id_key, materialise, partitions_for, shuffle_partitions
 from limpid.llm.words import PLAIN, Words, sliding_argmin, slices
 
@@ -158,7 +158,7 @@ def confirmed(got: DataFrame, window: int, tasks: int) -> DataFrame:
     def step(t: pa.Table) -> pa.Table:
         found = recurring(t["text"].to_pylist(), t["n"].to_pylist(), window)
         out = pa.table([pa.array([t["shard"][0].as_py()] * len(found), pa.int64()), pa.array(found, pa.binary())], PHRASE.names)
-        give_back()
+        used(t.num_rows)
         return out
 
     return got.groupBy("shard", "route", "text").agg(F.count("*").alias("n")).repartition(tasks, "shard").groupBy("shard").applyInArrow(step, PHRASE)
@@ -176,7 +176,7 @@ def located(got: DataFrame, phrases: DataFrame, most: int, tasks: int) -> DataFr
         spans = locate(own["phrase"].to_pylist(), segments["text"].to_pylist())
         spans = [[x + a for x in s] for s, a in zip(spans, segments["at"].to_pylist(), strict=True)]
         out = segments.select(["doc", "dk"]).append_column("spans", pa.array(spans, pa.list_(pa.int32()))).filter(pa.array([bool(s) for s in spans], pa.bool_()))
-        give_back()
+        used(segments.num_rows)
         return out
 
     own, theirs = (x.repartition(tasks, "shard", "salt").groupBy("shard", "salt") for x in (salted, copied))
