@@ -21,13 +21,14 @@ def _folding() -> tuple[str, str, dict[str, str]]:
         if len(left) == 1 and parts != chr(i):
             marked.append(chr(i))
             bare.append(left)
-        elif parts != chr(i):
+        elif parts != chr(i) and not 0x300 <= i <= 0x36F:
             several[chr(i)] = left
     return "".join(marked), "".join(bare), several
 
 
 MARKED, BARE, SEVERAL = _folding()
-#: Characters that translate() can't replace.
+#: Characters that translate() can't replace, and a class of all of them that costs less to look for.
+BEYOND = r"[^\x00-\x{5ff}]"
 RARE = "[" + "".join(SEVERAL) + "\uac00-\ud7a3]"
 
 
@@ -51,7 +52,7 @@ def collapse_spaces(c: Column) -> Column:
 
 def strip_accents(c: Column) -> Column:
     simple = F.translate(c, MARKED, BARE)
-    some = F.when(simple.rlike(RARE), F.array_join(F.transform(F.split(simple, ""), _rare), "")).otherwise(simple)
+    some = F.when(simple.rlike(BEYOND) & simple.rlike(RARE), F.array_join(F.transform(F.split(simple, ""), _rare), "")).otherwise(simple)
     return F.regexp_replace(some, "[\\x{300}-\\x{36f}]", "")
 
 

@@ -19,6 +19,8 @@ NOT_NUMBER, OUTSIDE = "(non numérique)", "hors plage"
 
 #: Bins of one column at most; a width that would make more is refused.
 MOST_BINS = 10_000
+#: Bins that are tried one after the other; among more a binary search finds the right one.
+FEW_BINS = 64
 
 
 def number_of(t: Table, name: str) -> Column:
@@ -76,16 +78,17 @@ class Bins:
         n = len(self.edges) - 1
         if n < 1:
             return F.when(x.isNull(), NOT_NUMBER).otherwise(OUTSIDE)
-        labels = F.array(*map(F.lit, self.labels))
-        if all(a < b for a, b in zip(self.edges, self.edges[1:])):  # noqa: B905
+        if n > FEW_BINS and all(a < b for a, b in zip(self.edges, self.edges[1:])):  # noqa: B905
             # A binary search for how many edges are at most x; the last edge belongs to the last bin.
             edges, none = F.array(*[F.lit(float(e)) for e in self.edges]), F.struct(F.lit(0).alias("lo"), F.lit(n + 2).alias("hi"))
             below = F.aggregate(F.sequence(F.lit(1), F.lit((n + 1).bit_length())), none, lambda s, _: _halved(s, edges, x))
             i = F.when(x == self.edges[-1], n).otherwise(below["lo"])
         else:
-            holds = [F.when((x >= a) & ((x <= b) if k == n - 1 else (x < b)), k + 1) for k, (a, b) in enumerate(zip(self.edges, self.edges[1:]))]  # noqa: B905
-            i = F.coalesce(*holds, F.lit(0))
-        return F.when(x.isNull(), NOT_NUMBER).when((i >= 1) & (i <= n), F.try_element_at(labels, i)).otherwise(OUTSIDE)
+            out = F.when(x.isNull(), NOT_NUMBER)
+            for k, (name, a, b) in enumerate(zip(self.labels, self.edges, self.edges[1:], strict=False)):
+                out = out.when((x >= a) & ((x <= b) if k == n - 1 else (x < b)), name)
+            return out.otherwise(OUTSIDE)
+        return F.when(x.isNull(), NOT_NUMBER).when((i >= 1) & (i <= n), F.try_element_at(F.array(*map(F.lit, self.labels)), i)).otherwise(OUTSIDE)
 
 
 def _halved(s: Column, edges: Column, x: Column) -> Column:

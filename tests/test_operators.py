@@ -189,7 +189,7 @@ def test_bins(spark):
     """Edges in any order, on the edges, and too many bins."""
     t = Table.rows(spark, ["v"], [(str(x),) for x in (-1, 0, 0.5, 1, 2, 3, 4)] + [("x",)])
     of = lambda **how: run(t, "summarize", group_by=[{"column": "v", "binning": how}], aggregates=[{"fn": "count", "name": "n"}])
-    for n in (1, 2, 3, 7, 8):
+    for n in (1, 2, 3, 7, 8, 65, 100):
         edges = [i * 4 / n for i in range(n + 1)]
         got = dict(of(kind="explicit_boundaries", boundaries=edges))
         assert sum(int(v) for v in got.values()) == 8 and got["hors plage"] == "1" and len(got) == n + 2
