@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -40,14 +41,59 @@ def jaro_winkler(a: str, b: str) -> float:
     return j + 0.1 * n * (1 - j)
 
 
+#: Characters of padded texts that are compared at once.
+TOGETHER = 1 << 20
+
+
+def jaro_many(a: list[str], b: list[str], winkler: bool) -> np.ndarray:
+    """jaro() or jaro_winkler() of many pairs, those of similar lengths together."""
+    x, y = np.array([len(v) for v in a], np.int64), np.array([len(v) for v in b], np.int64)
+    out, order, lo = np.zeros(len(a)), np.lexsort((x, y)), 0
+    while lo < len(order):
+        width = int(max(y[order[lo]], 1))
+        hi = lo + max(1, TOGETHER // (4 * width))
+        own = order[lo : min(hi, int(np.searchsorted(y[order], 2 * width, side="right")))]
+        out[own] = _jaro([a[i] for i in own], [b[i] for i in own], x[own], y[own], winkler)
+        lo += len(own)
+    return out
+
+
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    return np.array(texts, f"<U{width}").view(np.uint32).reshape(len(texts), width)
+
+
+def _jaro(a: list[str], b: list[str], x: np.ndarray, y: np.ndarray, winkler: bool) -> np.ndarray:
+    p, q = _codes(a, max(1, int(x.max()))), _codes(b, max(1, int(y.max())))
+    n, at = np.arange(len(a)), np.arange(q.shape[1])
+    reach = np.maximum(0, np.maximum(x, y) // 2 - 1)[:, None]
+    free, mine = at < y[:, None], np.zeros(p.shape, bool)
+    for i in range(p.shape[1]):
+        same = free & (q == p[:, i, None]) & (np.abs(at - i) <= reach) & (i < x)[:, None]
+        first = same.argmax(1)
+        mine[:, i] = hit = same[n, first]
+        free[n[hit], first[hit]] = False
+    theirs, m = (at < y[:, None]) & ~free, mine.sum(1)
+    inorder = lambda v, chosen: np.take_along_axis(v, np.argsort(~chosen, axis=1, kind="stable"), 1)[:, : min(p.shape[1], q.shape[1])]
+    left, right = inorder(p, mine), inorder(q, theirs)
+    swapped = ((left != right) & (np.arange(left.shape[1]) < m[:, None])).sum(1) / 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        j = np.where(m > 0, (m / x + m / y + (m - swapped) / m) / 3, 0.0)
+    j = np.where([v == w for v, w in zip(a, b, strict=True)], 1.0, j)
+    if not winkler:
+        return j
+    k = min(4, p.shape[1], q.shape[1])
+    alike = (p[:, :k] == q[:, :k]) & (np.arange(k) < np.minimum(x, y)[:, None])
+    return j + 0.1 * np.cumprod(alike, axis=1).sum(1) * (1 - j)
+
+
 @F.pandas_udf(DoubleType())
 def jaro_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(jaro_many(a.tolist(), b.tolist(), False), dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(jaro_many(a.tolist(), b.tolist(), True), dtype="float64")
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -70,5 +116,5 @@ def most(a: Column, b: Column) -> Column:
     x, y = F.length(a), F.length(b)
     short = F.least(x, y)
     j = F.when(a == b, 1.0).when(short == 0, 0.0).otherwise((short / x + short / y + 1) / 3)
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), lambda n, k: n + F.when((k <= short) & (F.left(a, k) == F.left(b, k)), 1).otherwise(0))
+    same = sum((F.when((short >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)), 1).otherwise(0) for k in range(1, 5)), F.lit(0))
     return F.floor(100 * (j + 0.1 * same * (1 - j) + levenshtein_similarity(a, b)) / 2 + 0.5 + 1e-9).cast("int")

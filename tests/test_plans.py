@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from limpid import Pipeline, Table, api
 from limpid.functions import numbers
-from limpid.functions.fuzzy import jaro_winkler
+from limpid.functions.fuzzy import jaro, jaro_many, jaro_winkler
 from limpid.plans import anonymise, recipe, report
 from limpid.plans.profile import anomaly_examples, odd_case, profile, top_values
 from limpid.sources import read_csv, table_from_text, write_csv
@@ -28,6 +28,13 @@ def test_numbers(spark):
 def test_jaro_winkler():
     assert jaro_winkler("MARTHA", "MARHTA") == pytest.approx(0.9611, abs=1e-4)
     assert jaro_winkler("", "A") == 0 and jaro_winkler("", "") == 1
+    import random
+
+    rng = random.Random(3)
+    pairs = [("".join(rng.choices("ABCDÉ 😀", k=rng.randrange(25))), "".join(rng.choices("ABCDÉ 😀", k=rng.choice([0, 3, 20, 90])))) for _ in range(2000)]
+    for winkler, one in ((False, jaro), (True, jaro_winkler)):
+        assert jaro_many([a for a, _ in pairs], [b for _, b in pairs], winkler).tolist() == [one(a, b) for a, b in pairs]
+    assert jaro_many([], [], True).tolist() == []
 
 
 def test_profile(spark):
