@@ -109,7 +109,7 @@ def match_files(spark: SparkSession, left: str, right: str, pairs: list[dict], f
         p = {"pairs": pairs, "fuzzy": own}
         found = resolved(a, b, p, b.columns)
         is_open = F.col("status").isin("rejected", "no_candidate")
-        rest = {"left": replace(a, df=found.filter(is_open).select(*a.df.columns)), "right": unmatched_right(a, b, p)}
+        rest = {"left": replace(a, df=found.filter(is_open).select(*map(q, a.df.columns))), "right": unmatched_right(a, b, p)}
         status = {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
         out |= {"status": status, "matched": sum(status.get(s, 0) for s in MATCHED), "ambiguous": status.get("pending", 0), "unmatched_left": sum(status.get(s, 0) for s in ("rejected", "no_candidate")), "unmatched_right": rest["right"].df.count()}
 

@@ -78,7 +78,7 @@ def deduplicate(t: Table, p: dict, ctx: Context) -> Table:
         parts.append(replace(t, df=marked).select(cells))
     if len(parts) == 1:
         return parts[0]
-    return replace(parts[0], df=parts[0].df.unionByName(parts[1].df.select(parts[0].df.columns)))
+    return replace(parts[0], df=parts[0].df.unionByName(parts[1].df.select(*map(q, parts[0].df.columns))))
 
 
 def find_duplicates(t: Table, columns: list[str], mode: str = "normalized") -> DataFrame:

@@ -169,7 +169,7 @@ def resolved(t: Table, right: Table, p: dict, copied: Iterable[str] = ()) -> Dat
         rows = rows.join(other.groupBy("__b").agg(F.min_by("r", "r.ord").alias("forced")), "__b").select("__a", "forced")
         out, is_forced = out.join(rows, "__a", "left"), F.col("forced").isNotNull()
         out = out.withColumns({"r": F.coalesce("forced", "r"), "score": F.when(is_forced, 100).otherwise(F.col("score")), "status": F.when(is_forced, "forced").otherwise(F.col("status"))})
-    return out.select(*t.df.columns, F.col("r.ord").alias("right_ord"), "score", "status", *[F.col(f"r.v{i}").alias(f"__v{i}") for i, _ in enumerate(copied)])
+    return out.select(*map(q, t.df.columns), F.col("r.ord").alias("right_ord"), "score", "status", *[F.col(f"r.v{i}").alias(f"__v{i}") for i, _ in enumerate(copied)])
 
 
 def _key_text(x) -> str:

@@ -218,3 +218,16 @@ def test_appended_orders(spark):
     twice = REGISTRY["append_rows"](both, {"table": "a", "mapping": {"x": "x", "y": "y"}}, Context({"a": a}))
     assert twice.collect() == [("1", "a"), ("2", "b"), ("", "c"), ("", "d"), ("1", "a"), ("2", "b")]
     assert run(twice, "deduplicate", columns=["y"]) == [("1", "a"), ("2", "b"), ("", "c"), ("", "d")]
+
+
+def test_any_column_names(spark):
+    """Dots, spaces and backticks in names."""
+    t = Table.of(spark.createDataFrame([(1, "x", 2.5), (2, "x", 3.0), (3, "y", None)], "`a.id` int, `my name` string, `b``c` double"), ["a.id"])
+    assert run(t, "deduplicate", columns=["my name"], overrides={"x": "flag_only"}) == [("1", "x", "2.5", "oui"), ("2", "x", "3", "oui"), ("3", "y", "", "")]
+    assert run(t, "filter_rows", where={"column": "b`c", "operator": "between", "min": "3"}) == [("2", "x", "3")]
+    fuzzy = {"left": ["my name"], "right": ["my name"]}
+    assert run(t, "enrich_join", {"t": t}, table="t", pairs=[{"left": "a.id", "right": "a.id"}], copied=["b`c"], fuzzy=fuzzy)[1] == ("2", "x", "3", "3")
+    assert run(t, "enrich_join", {"t": t}, table="t", pairs=[{"left": "my name", "right": "my name"}], copied=["b`c"], multiple="aggregate", rules={"b`c": "sum"})[0] == ("1", "x", "2.5", "5.5")
+    assert run(t, "summarize", group_by=[{"column": "my name"}], aggregates=[{"fn": "max", "column": "b`c", "name": "m.x"}]) == [("x", "3"), ("y", "")]
+    assert run(t, "append_rows", {"t": t}, table="t", mapping={"a.id": "a.id", "my name": "b`c"})[-1] == ("3", "", "")
+    assert last(run(t, "add_sequence_column", name="n.o")) == ["1", "2", "3"]
