@@ -15,6 +15,7 @@ from limpid.llm.linededup import dedup_lines
 from limpid.llm.ngramlm import score_texts
 from limpid.llm.packing import pack
 from limpid.llm.phrases import remove_repeats
+from limpid.llm.runs import collapse_runs
 from limpid.llm.secrets import BASE, scan_secrets, spans
 
 TOKENIZER = {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
@@ -84,6 +85,37 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """docs, the texts of about a tenth of them turned periodic from some word on, by a checksum of their id."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    words = docs.withColumn("w", F.when((h % 10 == 0) & (trimmed != ""), F.split(trimmed, "[ \\t-\\r]+")))
+    n = F.size("w").cast("long")
+    from_ = (g % n).cast("int")
+    period = (1 + F.floor((n - from_) / (3 + g % 8))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("w", from_ + 1, period), F.ceil((n - from_) / period).cast("int")))
+    turned = F.array_join(F.concat(F.slice("w", F.lit(1), from_), F.slice(again, F.lit(1), (n - from_).cast("int"))), " ")
+    return words.withColumn("text", F.when(F.col("w").isNotNull(), turned).otherwise(F.col("text"))).drop("w")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = collapse_runs(planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.array_max(F.transform("runs", lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("start"), (-x["period"]).alias("period"))))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n")))
+    found = out.select("doc_id", "runs", "kept", longest.alias("x")).withColumns({"start": -F.col("x.start"), "length": F.col("x.length"), "period": -F.col("x.period")})
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "start",
+        "length",
+        "period",
+        F.floor(1000 * F.col("length") / F.col("period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,4 +123,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_repeated_phrases, op3_jaccard_join, op4_best_fit_packing, op5_nearest, op6_lm_scores, op7_language, op8_licenses, op9_decontamination, op10_line_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_secrets, op2_repeated_phrases, op3_jaccard_join, op4_best_fit_packing, op5_nearest, op6_lm_scores, op7_language, op8_licenses, op9_decontamination, op10_line_dedup, op13_periodic_runs, pipeline)}
