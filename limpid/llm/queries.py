@@ -17,6 +17,7 @@ from limpid.llm.packing import pack
 from limpid.llm.phrases import remove_repeats
 from limpid.llm.runs import collapse_runs
 from limpid.llm.secrets import BASE, scan_secrets, spans
+from limpid.llm.topk import top_products
 
 TOKENIZER = {"path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
@@ -85,6 +86,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def planted_runs(docs: DataFrame) -> DataFrame:
     """docs, the texts of about a tenth of them turned periodic from some word on, by a checksum of their id."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -123,4 +128,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_repeated_phrases, op3_jaccard_join, op4_best_fit_packing, op5_nearest, op6_lm_scores, op7_language, op8_licenses, op9_decontamination, op10_line_dedup, op13_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_secrets, op2_repeated_phrases, op3_jaccard_join, op4_best_fit_packing, op5_nearest, op6_lm_scores, op7_language, op8_licenses, op9_decontamination, op10_line_dedup, op12_top_products, op13_periodic_runs, pipeline)}

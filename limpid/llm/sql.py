@@ -83,5 +83,14 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+OP12 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, max(list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[]))::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY 1, 2),
+ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": OP1, "op2_repeated_phrases": OP2, "op3_jaccard_join": OP3, "op9_decontamination": OP9, "op10_line_dedup": OP10}
+    return {"op1_secrets": OP1, "op2_repeated_phrases": OP2, "op3_jaccard_join": OP3, "op9_decontamination": OP9, "op10_line_dedup": OP10, "op12_top_products": OP12}
