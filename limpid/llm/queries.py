@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limpid.llm.ann import nearest
+from limpid.llm.audit import audit_filters
 from limpid.llm.decontaminate import contamination
 from limpid.llm.jaccard import jaccard_components
 from limpid.llm.langid import fold_of, identify, learn
@@ -86,6 +87,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The filters of the audit: too short, too few different words, too many capitals, marks that prose doesn't hold.
+AUDITED = {
+    "A": lambda d: len(d.words) < 100,
+    "B": lambda d: 100 * len(set(d.words)) < 80 * len(d.words),
+    "C": lambda d: 100 * d.count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 10 * len(d),
+    "D": lambda d: d.count(b"#$%&*|") > 0,
+}
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"), AUDITED, "E")
+
+
 def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
@@ -128,4 +142,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_repeated_phrases, op3_jaccard_join, op4_best_fit_packing, op5_nearest, op6_lm_scores, op7_language, op8_licenses, op9_decontamination, op10_line_dedup, op12_top_products, op13_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_secrets, op2_repeated_phrases, op3_jaccard_join, op4_best_fit_packing, op5_nearest, op6_lm_scores, op7_language, op8_licenses, op9_decontamination, op10_line_dedup, op11_filter_audit, op12_top_products, op13_periodic_runs, pipeline)}

@@ -83,6 +83,25 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+OP11 = rf"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS w FROM documents),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+least_of AS (SELECT text, min(doc_id) AS least FROM w GROUP BY text),
+failed AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                  [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text),
+                   regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > least, false)] AS f FROM w JOIN least_of USING (text) LEFT JOIN marks USING (doc_id)),
+masks AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 3, 4, 5]) AS k),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.k, b.k, c.k, d.k, e.k] AS ks FROM letters a, letters b, letters c, letters d, letters e
+           WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT filter_order, ks, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+each AS (SELECT part, filter_order, step, ks[step] AS k, f[ks[step]] AS fails, len(list_filter(ks[1:step - 1], lambda i: f[i])) > 0 AS gone, len(list_filter(f, lambda x: x)) AS fs, n, good, toxic FROM masks, steps),
+told AS (SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+                coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND fs = 1), 0)::BIGINT AS unique_fails,
+                coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost FROM each GROUP BY part, filter_order, step, k)
+SELECT * EXCLUDE (k), (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM told
+"""
+
 OP12 = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
@@ -93,4 +112,4 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": OP1, "op2_repeated_phrases": OP2, "op3_jaccard_join": OP3, "op9_decontamination": OP9, "op10_line_dedup": OP10, "op12_top_products": OP12}
+    return {"op1_secrets": OP1, "op2_repeated_phrases": OP2, "op3_jaccard_join": OP3, "op9_decontamination": OP9, "op10_line_dedup": OP10, "op11_filter_audit": OP11, "op12_top_products": OP12}
