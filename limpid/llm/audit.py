@@ -38,6 +38,9 @@ ROW = "text binary, id long, part string, code int, n long, sure boolean"
 DELTA = "part string, code int, n long"
 #: Texts whose state lies together, and those that a task keeps.
 BUCKET, TEXTS = 4096, 1 << 20
+#: Up to so many texts, some 100 bytes each, executors keep the state in memory; beyond, on disk, where each task's share
+#: takes some 10 MB even if it holds little.
+IN_MEMORY = 1 << 22
 
 
 class Document:
@@ -62,17 +65,18 @@ Filters = dict[str, Callable[[Document], bool]]
 
 
 @contextmanager
-def streaming_state(spark: SparkSession, partitions: int) -> Iterator[None]:
-    """Streams started within it keep their state on disk, in so many partitions."""
-    own = "spark.sql.streaming.stateStore."
-    conf = {
-        "spark.sql.shuffle.partitions": partitions,
-        f"{own}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        f"{own}rocksdb.changelogCheckpointing.enabled": "true",
-        f"{own}rocksdb.boundedMemoryUsage": "true",
-        f"{own}rocksdb.maxMemoryUsageMB": "256",
-        f"{own}rocksdb.writeBufferSizeMB": "4",
-    }
+def streaming_state(spark: SparkSession, texts: int) -> Iterator[None]:
+    """Streams started within it keep the state of so many texts."""
+    conf = {"spark.sql.shuffle.partitions": max(shuffle_partitions(spark), partitions_for(texts, TEXTS))}
+    if texts > IN_MEMORY:
+        own = "spark.sql.streaming.stateStore."
+        conf |= {
+            f"{own}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            f"{own}rocksdb.changelogCheckpointing.enabled": "true",
+            f"{own}rocksdb.boundedMemoryUsage": "true",
+            f"{own}rocksdb.maxMemoryUsageMB": "256",
+            f"{own}rocksdb.writeBufferSizeMB": "4",
+        }
     before = {k: spark.conf.get(k, None) for k in conf}
     try:
         for k, v in conf.items():
@@ -178,7 +182,7 @@ def mask_counts(spark: SparkSession, path: str, labels: DataFrame, filters: Filt
     def add(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "code").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{name}/counters/batch={number}")
 
-    with streaming_state(spark, max(shuffle_partitions(spark), partitions_for(rows, TEXTS))):
+    with streaming_state(spark, rows):
         stream = deltas.writeStream.foreachBatch(add).option("checkpointLocation", f"{name}/checkpoint").trigger(availableNow=True).start()
     try:
         stream.awaitTermination()

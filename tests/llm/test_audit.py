@@ -53,9 +53,10 @@ def run(spark, path, labels):
     return {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in got.collect()}
 
 
-@pytest.mark.parametrize("files", [1, 7])
-def test_audit(spark, tmp_path, files):
+@pytest.mark.parametrize("files, memory", [(1, 1 << 22), (7, 1 << 22), (7, 0)])
+def test_audit(spark, tmp_path, monkeypatch, files, memory):
     """Smaller ids come last, so that masks have to be taken back; texts, ids and whole rows repeat."""
+    monkeypatch.setattr(audit, "IN_MEMORY", memory)
     rows = [(1000 - i if i % 9 else None, TEXTS[(i * i + i // 7) % 10], ["en", "fr", None][i % 3], 1) for i in range(90)]
     rows += [rows[5], (500, LONG, "en", 2), (500, LONG, "fr", 2), (500, "other " + LONG, "fr", 2)]
     labels = [(i, i % 2, i % 3 == 0) for i in range(900, 1000)] + [(500, 0, 0), (500, 1, None), (None, 1, 1)]
