@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from limpid.operators.dedup import find_duplicates as duplicate_groups
 from limpid.operators.dedup import group_key
-from limpid.operators.join import MATCHED, match_counts, resolved, unmatched, unmatched_right
+from limpid.operators.join import MATCHED, match_counts, never_given, resolved, unmatched
 from limpid.plans.pipeline import Pipeline, Step
 from limpid.plans.profile import anomaly_examples, bounded, profile, top_values
 from limpid.plans.recipe import suggest
 from limpid.plans.report import compute, validate
 from limpid.sources import preview, read_csv, write_csv
-from limpid.storage import scratch
+from limpid.storage import scratch, written
 from limpid.table import ORD, Table, q
 
 def tidy(f):
@@ -107,9 +107,9 @@ def match_files(spark: SparkSession, left: str, right: str, pairs: list[dict], f
     else:
         own = {"left": [p["left"] for p in pairs], "right": [p["right"] for p in pairs], **fuzzy}
         p = {"pairs": pairs, "fuzzy": own}
-        found = resolved(a, b, p, b.columns)
+        found = written(resolved(a, b, p, b.columns), "resolved")  # all that follows reads it
         is_open = F.col("status").isin("rejected", "no_candidate")
-        rest = {"left": replace(a, df=found.filter(is_open).select(*map(q, a.df.columns))), "right": unmatched_right(a, b, p)}
+        rest = {"left": replace(a, df=found.filter(is_open).select(*map(q, a.df.columns))), "right": never_given(b, found)}
         status = {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
         out |= {"status": status, "matched": sum(status.get(s, 0) for s in MATCHED), "ambiguous": status.get("pending", 0), "unmatched_left": sum(status.get(s, 0) for s in ("rejected", "no_candidate")), "unmatched_right": rest["right"].df.count()}
 

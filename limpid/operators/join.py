@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpid.functions import numbers
-from limpid.functions.fuzzy import compared, levenshtein_similarity, most, score
+from limpid.functions.fuzzy import compared
 from limpid.functions.text import key
 from limpid.operators.registry import Context, operator
+from limpid.operators.similar import most_similar
 from limpid.storage import written
 from limpid.table import ORD, Table, q
 
@@ -144,16 +145,10 @@ def resolved(t: Table, right: Table, p: dict, copied: Iterable[str] = ()) -> Dat
     left = both(_keyed(t, mine), f["left"], "__a")
     right_row = F.struct(F.col(ORD).alias("ord"), *[q(c).alias(f"v{i}") for i, c in enumerate(copied)])
     other = both(_keyed(right, theirs), f["right"], "__b").select("__b", *on, right_row.alias("r"))
-    # Equal texts score alike: each pair of texts in a block is scored once, its first right row stands for it.
-    texts = other.groupBy(*on, "__b").agg(F.min_by("r", "r.ord").alias("r"))
-    # Each left text is scored with its nearest by edit distance; then only with those that may come up to that.
-    pairs = left.select("__a", *on).distinct().join(texts, on)
-    near = pairs.groupBy(*on, "__a").agg(F.max_by("__b", F.struct(levenshtein_similarity(F.col("__a"), F.col("__b")), "__b")).alias("__c"))
-    floors = written(near.select(*on, "__a", score(F.col("__a"), F.col("__c")).alias("floor")), "floors")
-    pairs = pairs.join(floors, [*on, "__a"]).filter(most(F.col("__a"), F.col("__b")) >= F.col("floor")).withColumn("score", score(F.col("__a"), F.col("__b")))
-    best = pairs.groupBy(*on, "__a").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("r.ord").alias("o"), "__b", "r")).alias("x"))
-    # Written, so that Spark can split a text that very many left rows have.
-    best = written(best.select(*on, "__a", (-F.col("x.s")).alias("score"), F.col("x.__b").alias("__b"), F.col("x.r").alias("r")), "candidates")
+    # Equal texts score alike: each pair of texts in a block is looked at once, its first right row stands for it.
+    texts = other.groupBy(*on, F.col("__b").alias("b")).agg(F.min_by("r", "r.ord").alias("r"))
+    best = most_similar(left.select(*on, F.col("__a").alias("a")).distinct(), texts, on)
+    best = best.select(*on, F.col("a").alias("__a"), "score", F.col("b").alias("__b"), "r", "scored")
     out, spark, said = left.join(best, [*on, "__a"], "left"), t.df.sparkSession, F.lit(None).cast("string")
     if told := [(i, _key_text(d["left"]), _key_text(d["right"]), d["decision"]) for i, d in enumerate(f.get("decisions") or [])]:
         rows = spark.createDataFrame(told, "i int, l string, r string, said string").select("i", compared(F.col("l"), tokens).alias("__a"), compared(F.col("r"), tokens).alias("__b"), "said")
@@ -184,5 +179,10 @@ def fuzzy_keys(t: Table, columns: list[str], tokens: bool = True) -> DataFrame:
 
 def unmatched_right(t: Table, right: Table, p: dict) -> Table:
     """Right rows that no left row was given."""
-    used = resolve(t, right, p).filter(F.col("status").isin(*MATCHED)).select(F.col("right_ord").alias(ORD))
+    return never_given(right, resolved(t, right, p))
+
+
+def never_given(right: Table, found: DataFrame) -> Table:
+    """Right rows that no left row was given, by what resolved() found."""
+    used = found.filter(F.col("status").isin(*MATCHED)).select(F.col("right_ord").alias(ORD))
     return replace(right, df=right.df.join(used, ORD, "left_anti"))

@@ -201,19 +201,6 @@ def test_entry_without_the_corpus_operators(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0
 
 
-def test_bound_of_scores(spark):
-    """No score is above the bound by which pairs are left out."""
-    import random
-
-    from limpid.functions.fuzzy import most, score
-
-    rng = random.Random(1)
-    word = lambda: "".join(rng.choices("AB CDÉ", k=rng.randrange(12)))
-    pairs = [(word(), word()) for _ in range(300)] + [(w, w[:-1] + rng.choice("AX")) for w in (word() for _ in range(100))] + [("", ""), ("", "A")]
-    df = spark.createDataFrame(pairs, "a string, b string").select(score(F.col("a"), F.col("b")).alias("s"), most(F.col("a"), F.col("b")).alias("m"))
-    assert all(r.s <= r.m for r in df.collect())
-
-
 def test_file_name():
     from datetime import date
 
