@@ -82,15 +82,18 @@ def preview_csv(spark: SparkSession, path: str, delimiter: str | None = None, he
 @tidy
 def preview_pipeline(spark: SparkSession, path: str, steps: list[dict], sample_rows: int = 30, root: str | None = None) -> dict:
     t, p = read_csv(spark, confined(path, root)), _pipeline(steps)
-    return {"steps": p.reports(t)} | bounded(p.apply(t), sample_rows)
+    out, steps = p.run(t)
+    return {"steps": steps} | bounded(out, sample_rows)
 
 
 @tidy
-def apply_pipeline(spark: SparkSession, path: str, steps: list[dict], output: str, overwrite: bool = False, sample_rows: int = 30, root: str | None = None) -> dict:
+def apply_pipeline(spark: SparkSession, path: str, steps: list[dict], output: str, overwrite: bool = False, sample_rows: int = 30, root: str | None = None, single: bool = False) -> dict:
+    """Runs a pipeline from file to file; its steps' counters come with the job that makes the rows. single: one file
+    instead of a folder of parts."""
     t, p = read_csv(spark, confined(path, root)), _pipeline(steps)
-    out = p.apply(t)
-    write_csv(out, confined(output, root), ",", overwrite=overwrite)
-    return {"steps": p.reports(t), "output": output} | bounded(out, sample_rows)
+    out, steps = p.run(t)
+    write_csv(out, confined(output, root), ",", overwrite=overwrite, single=single)
+    return {"steps": steps, "output": output} | bounded(out, sample_rows)
 
 
 @tidy

@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from limpid.functions import numbers
+from limpid.functions.patterns import groups_of, pattern
 from limpid.table import DAYS, WHOLE, Table, plain, q
 
 ISO = r"^\d{4}(-\d{2}(-\d{2}(T\d{2}:\d{2}(:\d{2})?)?)?)?$"
@@ -105,13 +106,6 @@ def pushable(table: Table, group: dict) -> Column | None:
     return out
 
 
-def _valid(pattern: str) -> bool:
-    try:
-        return bool(re.compile(pattern)) or True
-    except re.error:
-        return False
-
-
 def condition(c: Column, how: str, x: dict, number: Column | None = None, day: Column | None = None) -> Column:
     v = x.get("value") or ""
     match how:
@@ -124,7 +118,7 @@ def condition(c: Column, how: str, x: dict, number: Column | None = None, day: C
         case "starts_with":
             return c.startswith(v)
         case "regex":
-            return c.rlike(v) if _valid(v) else F.lit(False)
+            return c.rlike(pattern(v)) if groups_of(v) is not None else F.lit(False)
         case "is_empty":
             return c == ""
         case "is_not_empty":

@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from limpid.functions import text
+from limpid.functions.patterns import groups_of, pattern
 from limpid.functions.predicates import expression
 from limpid.operators.registry import Context, operator
 from limpid.table import Table, numbered, q
@@ -80,19 +81,12 @@ def add_extract_column(t: Table, p: dict, _: Context) -> Table:
         case "after_sep":
             out = F.when(F.instr(c, arg) > 0, c.substr(F.instr(c, arg) + len(arg), F.length(c))).otherwise("") if arg else F.lit("")
         case "regex_group":
-            out = F.regexp_extract(c, arg, 1) if _has_group(arg) else F.lit("")
+            out = F.regexp_extract(c, pattern(arg), 1) if groups_of(arg) else F.lit("")
         case _:
             raise ValueError(f"unknown extraction {p['mode']!r}")
     return t.with_column(p["name"], out)
 
 
-def _has_group(pattern: str) -> bool:
-    try:
-        return re.compile(pattern).groups > 0
-    except re.error:
-        return False
-
-
 @operator("add_sequence_column")
 def add_sequence_column(t: Table, p: dict, _: Context) -> Table:
     """start, start + step, ... in the rows' order."""
@@ -114,7 +108,7 @@ def normalize_columns(t: Table, p: dict, ctx: Context) -> Table:
     changed = F.lit(False)
     for c, x in new.items():
         changed = changed | (q(c) != x)
-    ctx.counters["rowsModified"] = (t.df, F.count_if(changed))
+    t = replace(t, df=ctx.count(t.df, rowsModified=F.count_if(changed)))
     if p.get("mode", "overwrite") == "overwrite":
         return t.select({c: new.get(c, c) for c in t.columns})
     suffix = p.get("suffix", " (normalisé)")

@@ -58,8 +58,6 @@ def deduplicate(t: Table, p: dict, ctx: Context) -> Table:
     if not columns:
         return t.with_column(flag, F.lit("")) if flags else t
     own = replace(t, df=t.df.withColumn("__key", group_key(columns, mode)))
-    found = groups(t, columns, mode)
-    ctx.counters["duplicateRows"] = (found, F.coalesce(F.sum("__count"), F.lit(0)))
     what = F.lit(action)
     if overrides:
         table = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
@@ -67,13 +65,15 @@ def deduplicate(t: Table, p: dict, ctx: Context) -> Table:
     cells = t.cells() | ({flag: flag if flag in t.columns else F.lit("")} if flags else {})
     parts = []
     if actions - {"flag_only"}:
-        one = own.df.filter(what != "flag_only").groupBy("__key").agg(*[x.alias(a) for a, x in _chosen(t, actions).items()])
+        one = own.df.filter(what != "flag_only").groupBy("__key").agg(F.count("*").alias("__count"), *[x.alias(a) for a, x in _chosen(t, actions).items()])
+        one = ctx.count(one, duplicateRows=F.sum(F.when(F.col("__count") > 1, F.col("__count"))))
         choice = F.coalesce(*[F.when(what == a, F.col(a)) for a in ACTIONS if a in actions and a != "flag_only"])
         parts.append(replace(t, df=one.select(choice.alias("x")).select("x.*"), native={}).select(cells))
     if flags:
         # Written, so that Spark can split a very large group in the join.
-        often = written(found.filter(what == "flag_only").select("__key", "__count"), "duplicates")
+        often = written(groups(t, columns, mode).filter(what == "flag_only").select("__key", "__count"), "duplicates")
         marked = own.df.filter(what == "flag_only").join(often, "__key", "left")
+        marked = ctx.count(marked, duplicateRows=F.count("__count"))
         cells[flag] = F.when(F.col("__count").isNotNull(), "oui").otherwise(q(flag) if flag in t.columns else "")
         parts.append(replace(t, df=marked).select(cells))
     if len(parts) == 1:

@@ -69,8 +69,8 @@ def enrich_join(t: Table, p: dict, ctx: Context) -> Table:
     if p.get("fuzzy"):
         joined = resolved(t, right, p, copied)
         found = F.col("status").isin(*MATCHED)
-        count = lambda c: (joined, F.count_if(c))
-        ctx.counters |= {"unmatched": count(~found), "ambiguous": count(F.col("status") == "pending"), "matchedAuto": count(F.col("status") == "auto"), "matchedManual": count(F.col("status").isin("manual", "forced"))}
+        status = F.col("status")
+        joined = ctx.count(joined, unmatched=F.count_if(~found), ambiguous=F.count_if(status == "pending"), matchedAuto=F.count_if(status == "auto"), matchedManual=F.count_if(status.isin("manual", "forced")))
         joined = joined.filter(found) if kind == "inner" else joined
         cell = lambda i: F.when(found, F.col(f"__v{i}"))
     else:
@@ -82,9 +82,9 @@ def enrich_join(t: Table, p: dict, ctx: Context) -> Table:
         cells = [(first(c) if how == "first" else F.when(F.count("*") == 1, first(c)).otherwise(many(c))).alias(f"__v{i}") for i, c in enumerate(copied)]
         # Written, so that the join has an exchange of its own on both sides and Spark can split a very frequent key.
         found = written(_keyed(right, theirs).groupBy(*on).agg(F.count("*").alias("__n"), *cells), "partners")
-        joined = _keyed(t, mine).join(found, on, kind)
-        every = _keyed(t, mine).join(found.select(*on, "__n"), on, "left")
-        ctx.counters |= {"unmatched": (every, F.count_if(F.col("__n").isNull())), "ambiguous": (every, F.count_if(F.col("__n") > 1)), "matchedAuto": (every, F.count_if(F.col("__n") >= 1))}
+        joined, n = _keyed(t, mine).join(found, on, "left"), F.col("__n")
+        joined = ctx.count(joined, unmatched=F.count_if(n.isNull()), ambiguous=F.count_if(n > 1), matchedAuto=F.count_if(n >= 1))
+        joined = joined.filter(n.isNotNull()) if kind == "inner" else joined
         cell = lambda i: F.col(f"__v{i}")
     out = t.cells() | {n: F.coalesce(cell(i), F.lit("")) for i, (c, n) in enumerate(names.items()) if n}
     return replace(t, df=joined).select(out)

@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
+
 from limpid.table import Table
 
 
 @dataclass
 class Context:
-    """The other tables of a pipeline by id, and what operators told about their step."""
+    """The other tables of a pipeline by id, and what operators tell about their step."""
 
     tables: dict[str, Table] = field(default_factory=dict)
-    #: Counters of a step as Columns over a frame: name -> (frame, aggregate). Evaluated on request only.
-    counters: dict = field(default_factory=dict)
+    #: Counters of a step: name -> (frame, aggregate), or (observation, name in it); what a name has several of adds up.
+    counters: dict[str, list] = field(default_factory=dict)
+    #: Whether counters are observed by the job that makes the step's rows, or worked out on request by one of their own.
+    observe: bool = False
+
+    def count(self, df: DataFrame, **aggregates: Column) -> DataFrame:
+        """df, to go on with, whose rows these counters are aggregates of."""
+        if self.observe:
+            seen = Observation(f"limpid-{uuid.uuid4().hex}")
+            df = df.observe(seen, *[F.coalesce(a, F.lit(0)).cast("long").alias(n) for n, a in aggregates.items()])
+        for n, a in aggregates.items():
+            self.counters.setdefault(n, []).append((seen, n) if self.observe else (df, a))
+        return df
+
+    def told(self) -> dict[str, list]:
+        """The counters since the last call."""
+        out, self.counters = self.counters, {}
+        return out
 
     def table(self, name: str) -> Table:
         if name not in self.tables:

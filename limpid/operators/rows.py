@@ -35,8 +35,7 @@ def set_value_where(t: Table, p: dict, ctx: Context) -> Table:
     old = q(name) if name in t.columns else F.lit("")
     value = lambda v: old if v is None else F.lit(v)
     new = F.when(predicate(t, p["where"]), value(p.get("match_value"))).otherwise(value(p.get("other_value")))
-    ctx.counters["rowsModified"] = (t.df, F.count_if(old != new))
-    return t.with_column(name, new)
+    return replace(t, df=ctx.count(t.df, rowsModified=F.count_if(old != new))).with_column(name, new)
 
 
 @operator("append_rows")
@@ -48,5 +47,5 @@ def append_rows(t: Table, p: dict, ctx: Context) -> Table:
     mine, theirs = (x.df.schema[ORD].dataType for x in (t, other))
     cells = [(q(mapping[c]) if mapping.get(c) else F.lit("")).alias(c) for c in t.columns]
     first = t.df.select(order(0, F.col(ORD), F.lit(None).cast(theirs)), *map(q, t.columns))
-    ctx.counters["rowsAdded"] = (other.df, F.count("*"))
+    other = replace(other, df=ctx.count(other.df, rowsAdded=F.count("*")))
     return replace(t, df=first.unionByName(other.df.select(order(1, F.lit(None).cast(mine), F.col(ORD)), *cells)), native={})

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
 from math import isfinite
 
+import numpy as np
+import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,9 +19,7 @@ from limpid.table import ORD, Table, q
 NOT_NUMBER, OUTSIDE = "(non numérique)", "hors plage"
 
 
-#: Bins of one column at most; a width that would make more is refused.
-MOST_BINS = 10_000
-#: Bins that are tried one after the other; among more a binary search finds the right one.
+#: Bins that are tried one after the other; among more, sorted edges tell the right one.
 FEW_BINS = 64
 
 
@@ -78,25 +78,31 @@ class Bins:
         n = len(self.edges) - 1
         if n < 1:
             return F.when(x.isNull(), NOT_NUMBER).otherwise(OUTSIDE)
-        if n > FEW_BINS and all(a < b for a, b in zip(self.edges, self.edges[1:])):  # noqa: B905
-            # A binary search for how many edges are at most x; the last edge belongs to the last bin.
-            edges, none = F.array(*[F.lit(float(e)) for e in self.edges]), F.struct(F.lit(0).alias("lo"), F.lit(n + 2).alias("hi"))
-            below = F.aggregate(F.sequence(F.lit(1), F.lit((n + 1).bit_length())), none, lambda s, _: _halved(s, edges, x))
-            i = F.when(x == self.edges[-1], n).otherwise(below["lo"])
-        else:
-            out = F.when(x.isNull(), NOT_NUMBER)
-            for k, (name, a, b) in enumerate(zip(self.labels, self.edges, self.edges[1:], strict=False)):
-                out = out.when((x >= a) & ((x <= b) if k == n - 1 else (x < b)), name)
-            return out.otherwise(OUTSIDE)
-        return F.when(x.isNull(), NOT_NUMBER).when((i >= 1) & (i <= n), F.try_element_at(F.array(*map(F.lit, self.labels)), i)).otherwise(OUTSIDE)
+        if n > FEW_BINS and (np.diff(self.edges) > 0).all():
+            return F.coalesce(self._looked_up(x), F.when(x.isNull(), NOT_NUMBER).otherwise(OUTSIDE))
+        out = F.when(x.isNull(), NOT_NUMBER)
+        for k, (name, a, b) in enumerate(zip(self.labels, self.edges, self.edges[1:], strict=False)):
+            out = out.when((x >= a) & ((x <= b) if k == n - 1 else (x < b)), name)
+        return out.otherwise(OUTSIDE)
+
+    def _looked_up(self, x: Column) -> Column:
+        """The label of x's bin, found among all edges, of which each executor gets one copy; null outside."""
+        shared = SparkContext.getOrCreate().broadcast((np.array(self.edges), np.array([*self.labels, None], object)))
+
+        @F.pandas_udf("string")
+        def find(values: pd.Series) -> pd.Series:
+            edges, labels = shared.value
+            v = values.to_numpy(np.float64, na_value=np.nan)
+            k = np.searchsorted(edges, v, side="right") - 1
+            k[v == edges[-1]] = len(edges) - 2
+            k[np.isnan(v) | (v > edges[-1])] = -1
+            return pd.Series(labels[k], dtype=object)
 
+        return find(x)
 
-def _halved(s: Column, edges: Column, x: Column) -> Column:
-    """One step of a binary search for how many edges are at most x."""
-    mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-    right = (mid >= 1) & (F.try_element_at(edges, F.greatest(mid, F.lit(1))) <= x)
-    done = s["hi"] - s["lo"] <= 1
-    return F.struct(F.when(done | ~right, s["lo"]).otherwise(mid).alias("lo"), F.when(done | right, s["hi"]).otherwise(mid).alias("hi"))
+    def at(self, k: Column) -> Column:
+        """The label of the bin of number k; one constant holds them all."""
+        return F.element_at(F.split(F.lit("\n".join(self.labels)), "\n"), (k + 1).cast("int"))
 
 
 def bins_for(t: Table, column: str, how: dict) -> Bins:
@@ -117,15 +123,13 @@ def bins_for(t: Table, column: str, how: dict) -> Bins:
         if width <= 0:
             raise ValueError("the width of bins must be positive")
         start = float(r.a if how.get("start") is None else how["start"])
-        if (r.b - start) / width > MOST_BINS:
-            raise ValueError(f"a width of {how['width']} would make more than {MOST_BINS} bins from {start} to {r.b}")
+        if start + width == start or r.b + width == r.b:
+            raise ValueError(f"a width of {how['width']} is too small to tell {start} or {r.b} from the next edge")
         edges = [start]
         while len(edges) < 2 or edges[-1] < r.b:
             edges.append(edges[-1] + width)
         return Bins(tuple(edges))
     n = max(1, int(how["count"]))
-    if n > MOST_BINS:
-        raise ValueError(f"more than {MOST_BINS} bins")
     width = (r.b - r.a) / n or 1.0
     return Bins((*[r.a + i * width for i in range(n)], r.b if r.b > r.a else r.a + n * width))
 
@@ -151,16 +155,18 @@ def summarize(t: Table, p: dict, _: Context) -> Table:
     if bins:
         others = [i for i in range(len(by)) if i not in bins]
         own = [f"__k{i}" for i in others]
-        every = [*product(*[[(j, x) for j, x in enumerate(b.labels)] for b in bins.values()])]
-        slots = F.array(*[F.struct(F.lit(n).alias("slot"), *[F.lit(x).alias(f"__k{i}") for i, (_, x) in zip(bins, combo, strict=True)]) for n, combo in enumerate(every)]) if every else None
         combos = out.groupBy(*own).agg(F.min("__first").alias("__lead"), *[F.min_by(f"__d{i}", "__first").alias(f"__e{i}") for i in others])
         if not others:
             combos = combos.filter("__lead is not null")
-        if slots is not None:
-            frame = combos.select("*", F.explode(slots).alias("__s")).select(*own, "__lead", *[f"__e{i}" for i in others], "__s.*")
+        if all(len(b.edges) > 1 for b in bins.values()):
+            frame, slot = combos, F.lit(0).cast("long")
+            for i, b in bins.items():  # one after the other, so that no array holds all combinations
+                frame = frame.withColumn(f"__j{i}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(b.edges) - 2).cast("long"))))
+                slot = slot * (len(b.edges) - 1) + F.col(f"__j{i}")
+            frame = frame.select(*own, "__lead", *[f"__e{i}" for i in others], slot.alias("slot"), *[b.at(F.col(f"__j{i}")).alias(f"__k{i}") for i, b in bins.items()])
             out = frame.join(out, names, "full")
         else:
-            out = out.select("*", F.lit(None).cast("int").alias("slot"), F.lit(None).cast(t.df.schema[ORD].dataType).alias("__lead"), *[F.lit("").alias(f"__e{i}") for i in others])
+            out = out.select("*", F.lit(None).cast("long").alias("slot"), F.lit(None).cast(t.df.schema[ORD].dataType).alias("__lead"), *[F.lit("").alias(f"__e{i}") for i in others])
         out = out.select("*", *[F.coalesce(f"__d{i}", f"__e{i}").alias(f"__f{i}") for i in others])
         order = [F.col("slot").isNull(), F.coalesce("__lead", "__first"), F.coalesce("slot", F.lit(0))]
     cells = {g["column"]: F.col(f"__k{i}") if i in bins else F.col(f"__f{i}" if bins else f"__d{i}") for i, g in enumerate(by)}

@@ -79,6 +79,15 @@ def csv_line_breaks(t: Table) -> DataFrame:
     return read_csv(t.df.sparkSession, exported(broken)).output().select("conv_id", "turn", F.md5("text").alias("h"))
 
 
+@query("csv_one_file", "conversations:conv_id,turn,text", sql="SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, md5(coalesce(text, '') || chr(10) || '\"x\"; y') AS h FROM conversations")
+def csv_one_file(t: Table) -> DataFrame:
+    """All rows as one file, whose quoted line breaks are read again in ranges."""
+    broken = t.with_column("text", F.concat(q("text"), F.lit('\n"x"; y')))
+    file = place(t, "one") + ".csv"
+    write_csv(broken, file, single=True)
+    return read_csv(t.df.sparkSession, file).output().select("conv_id", "turn", F.md5("text").alias("h"))
+
+
 @query("csv_delimiter", "orders:o_orderkey,o_orderstatus,o_orderpriority", sql="SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, o_orderpriority FROM orders")
 def csv_delimiter(t: Table) -> DataFrame:
     return read_csv(t.df.sparkSession, exported(t, delimiter="|")).output()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from datetime import datetime
 
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 
 from limpid.operators import REGISTRY, Context
 from limpid.operators.registry import find
+from limpid.storage import written
 from limpid.table import Table
 
+#: Seconds in which counters come in once a job is done.
+WAIT = 60
+
 
 #: The names of counters and of operators in a pipeline's report.
 TOLD = {"rowsRemoved": "supprimées", "rowsAdded": "ajoutées", "rowsModified": "modifiées", "unmatched": "non appariées", "ambiguous": "ambiguës"}
@@ -90,32 +95,52 @@ class Pipeline:
         return [s for s in self.steps[: self.cursor] if s.enabled]
 
     def states(self, source: Table, tables: dict[str, Table] | None = None) -> list[tuple[Step, Table, Table, dict]]:
-        """For each active step: itself, the table before, the table after and its counters, all lazy."""
-        out, t = [], source
-        context = Context(dict(tables or {}))
-        for s in self.active():
-            context.counters = {}
-            new = REGISTRY[s.type](t, s.params, context)
-            out.append((s, t, new, context.counters))
+        """For each step up to the cursor: itself, the table before, the table after and its counters, all lazy. A step that
+        is off leaves the table as it is and counts nothing."""
+        return self._folded(source, Context(dict(tables or {})))
+
+    def _folded(self, t: Table, context: Context) -> list[tuple[Step, Table, Table, dict]]:
+        out = []
+        for s in self.steps[: self.cursor]:
+            new = REGISTRY[s.type](t, s.params, context) if s.enabled else t
+            if context.observe and s.enabled:
+                new = replace(new, df=context.count(new.df, rowsOut=F.count("*")))
+            out.append((s, t, new, context.told()))
             t = new
         return out
 
+    def run(self, source: Table, tables: dict[str, Table] | None = None) -> tuple[Table, list[dict]]:
+        """The last table, written, and the counters of each active step, which the same job tells as it writes. A stage that
+        has to run again, after executors were lost, may be counted twice; reports() is not."""
+        context = Context(dict(tables or {}), observe=True)
+        first = replace(source, df=context.count(source.df, rowsOut=F.count("*")))
+        seen = [context.told()]
+        states = self._folded(first, context)
+        seen += [counters for s, *_, counters in states if s.enabled]
+        last = states[-1][2] if states else first
+        out = replace(last, df=written(last.df, "result"))
+        with ThreadPoolExecutor(1) as pool:
+            get = lambda o: pool.submit(lambda: o.get).result(WAIT)
+            told = [{n: sum(get(o)[k] for o, k in own) for n, own in counters.items()} for counters in seen]
+        rows = [x.pop("rowsOut") for x in told]
+        return out, [_report(s, a, b, own) for s, a, b, own in zip(self.active(), rows[:-1], rows[1:], told[1:], strict=True)]
+
     def apply(self, source: Table, tables: dict[str, Table] | None = None) -> Table:
         states = self.states(source, tables)
         return states[-1][2] if states else source
 
     def reports(self, source: Table, tables: dict[str, Table] | None = None) -> list[dict]:
-        """Counters of each step; runs one small aggregate for each."""
-        out = []
-        for s, before, after, counters in self.states(source, tables):
-            r = {"step": s.id, "type": s.type, "rowsIn": before.df.count(), "rowsOut": after.df.count()}
-            r |= {"rowsRemoved": max(0, r["rowsIn"] - r["rowsOut"]), "rowsAdded": max(0, r["rowsOut"] - r["rowsIn"])}
-            out.append(r | {k: df.agg(F.coalesce(c, F.lit(0)).alias("x")).first().x for k, (df, c) in counters.items()})
+        """Counters of each active step; runs a small aggregate for each."""
+        out, rows = [], source.df.count()
+        for s, _, after, counters in self.states(source, tables):
+            if s.enabled:
+                before, rows = rows, after.df.count()
+                out.append(_report(s, before, rows, {k: sum(df.agg(F.coalesce(c, F.lit(0)).alias("x")).first().x for df, c in own) for k, own in counters.items()}))
         return out
 
     def report_text(self, source: Table, tables: dict[str, Table] | None = None, at: datetime | None = None) -> str:
         """What each step did, as a text to file with the data; steps that are off or undone weren't run."""
-        ran = {r["step"]: r for r in self.reports(source, tables)}
+        ran = {r["step"]: r for r in self.run(source, tables)[1]}
         lines = [f"Rapport du pipeline — {source.name}", f"Généré le {(at or datetime.now()).strftime('%d/%m/%Y %H:%M:%S')}", ""]
         lines.append(f"Étape 0 — Source : {source.df.count()} lignes, {len(source.columns)} colonnes")
         for i, s in enumerate(self.steps, 1):
@@ -127,3 +152,8 @@ class Pipeline:
             lines += [f"  lignes en entrée : {r['rowsIn']}", f"  lignes en sortie : {r['rowsOut']}"]
             lines += [f"  {name} : {r[k]}" for k, name in TOLD.items() if r.get(k) or (k in r and k in ("unmatched", "ambiguous"))]
         return "\n".join(lines)
+
+
+def _report(s: Step, rows_in: int, rows_out: int, counters: dict) -> dict:
+    counted = {"rowsIn": rows_in, "rowsOut": rows_out, "rowsRemoved": max(0, rows_in - rows_out), "rowsAdded": max(0, rows_out - rows_in)}
+    return {"step": s.id, "type": s.type, **counted, **counters}

@@ -132,8 +132,8 @@ def fingerprint(text: str) -> str:
 
 def traceability(pipeline: Pipeline, source: Table, tables: dict[str, Table] | None = None, recipe: str | None = None) -> dict:
     """Where a report's numbers come from: the files with their rows, the steps with theirs, what joins matched in all,
-    and a fingerprint of the pipeline. Runs the small aggregates of Pipeline.reports()."""
-    reports = {r["step"]: r for r in pipeline.reports(source, tables)}
+    and a fingerprint of the pipeline, which runs once."""
+    reports = {r["step"]: r for r in pipeline.run(source, tables)[1]}
     steps = []
     for i, s in enumerate(pipeline.steps[: pipeline.cursor]):
         r = reports.get(s.id, {})

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.functions.text import trim
+from limpid.sources.one_file import write_one_file
+from limpid.sources.quoted import records
 from limpid.table import ORD, Table, q
 
 DELIMITERS = (",", ";", "\t", "|")
@@ -43,12 +45,18 @@ def _records(text: str, sep: str) -> list[list[str]]:
     return [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=sep) if any(x.strip() for x in r)]
 
 
+def _returns_alone(spark: SparkSession, path: str) -> bool:
+    first = spark.read.text(path, lineSep="\n").head()
+    return first is not None and "\r" in first.value[:-1]
+
+
 def raw_rows(spark: SparkSession, path: str, delimiter: str | None = None, header_row: int = 0, multi_line: bool | None = None) -> tuple[DataFrame, list[str], str]:
     """(file, block, place, c0, c1, ..) for all rows of all files that aren't blank, the names in the header row, and the
     delimiter. Rows are ordered by file, block and place.
 
-    multi_line: whether quoted cells may hold line breaks, which makes each file one task; None finds out, by one look at
-    all lines: a line that opens such a cell has an odd number of quotes.
+    multi_line: whether quoted cells may hold line breaks; None finds out, by one look at all lines: a line that opens such
+    a cell has an odd number of quotes. Such files are read in ranges as others are, see quoted.records(); only one whose
+    lines end in carriage returns alone is a task.
     """
     lines = spark.read.text(path)
     head = [r.value.lstrip("\ufeff") for r in lines.filter(F.trim("value") != "").limit(header_row + 50).collect()]
@@ -59,9 +67,14 @@ def raw_rows(spark: SparkSession, path: str, delimiter: str | None = None, heade
     rows = _records("\n".join(head), sep)
     names = rows[header_row] if header_row < len(rows) else []
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(1, len(names)))])
-    raw = spark.read.csv(path, sep=sep, schema=schema, header=False, multiLine=multi_line, quote='"', escape='"', mode="PERMISSIVE", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     cells = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in schema.names]
-    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), *cells)
+    if multi_line and not _returns_alone(spark, path):
+        parsed = F.from_csv("value", schema.simpleString()[len("struct<") : -1].replace(":", " "), {**options, "multiLine": "true"})
+        raw = records(spark, path, sep).select("file", "block", "place", parsed.alias("r")).select("file", "block", "place", "r.*").select("file", "block", "place", *cells)
+    else:
+        raw = spark.read.csv(path, schema=schema, header=False, multiLine=multi_line, enforceSchema=True, **options)
+        raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), *cells)
     some = F.lit(False)
     for c in schema.names:
         some = some | (trim(F.col(c)) != "")
@@ -103,12 +116,19 @@ def table_from_text(spark: SparkSession, text: str, delimiter: str | None = None
 
 
 def write_csv(t: Table, path: str, delimiter: str = ";", columns: list[str] | None = None, overwrite: bool = False, single: bool = False, bom: bool = True) -> None:
-    """A folder of CSV parts in the rows' order, each with its header and, if bom, a byte order mark before it; one part if
-    asked. Refuses a path that is there unless told to overwrite."""
+    """A folder of CSV parts in the rows' order, each with its header and, if bom, a byte order mark before it; or, if
+    `single`, one file with one header, see write_one_file(). Refuses a path that is there unless told to overwrite."""
     t.need(*(columns or ()))
     names = list(columns or t.columns)
-    own = t.ordered().select(*map(q, names)).toDF(*([("\ufeff" if bom else "") + names[0], *names[1:]] if names else []))
-    (own.coalesce(1) if single else own).write.mode("overwrite" if overwrite else "errorifexists").csv(path, sep=delimiter, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    own = t.ordered().select(*map(q, names))
+    form = {"sep": delimiter, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    mark = "\ufeff" if bom else ""
+    if single:
+        head = io.StringIO()
+        csv.writer(head, delimiter=delimiter, lineterminator="\n").writerow(names)
+        write_one_file(own, path, mark + head.getvalue(), overwrite, **form)
+    else:
+        own.toDF(*([mark + names[0], *names[1:]] if names else [])).write.mode("overwrite" if overwrite else "errorifexists").csv(path, header=True, **form)
 
 
 def to_text(t: Table, delimiter: str = ";", bom: bool = True, most: int = 100_000) -> str:
