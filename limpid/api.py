@@ -19,7 +19,7 @@ from limpid.operators.join import MATCHED, match_counts, never_given, resolved,
 from limpid.plans.pipeline import Pipeline, Step
 from limpid.plans.profile import anomaly_examples, bounded, profile, top_values
 from limpid.plans.recipe import suggest
-from limpid.plans.report import compute, validate
+from limpid.plans.report import compute, loaded, validate
 from limpid.sources import preview, read_csv, write_csv
 from limpid.storage import scratch, written
 from limpid.table import ORD, Table, q
@@ -169,6 +169,7 @@ def import_report(spark: SparkSession, text: str, path: str, root: str | None =
         return {"errors": [f"$: no JSON: {e}"]}
     if errors := validate(spec):
         return {"errors": errors}
+    spec = loaded(spec)
     return {"errors": [], "spec": spec, "mapping": suggest(tuple(spec.get("expectedColumns", ())), read_csv(spark, confined(path, root)).columns)}
 
 

@@ -8,12 +8,14 @@ from math import isfinite
 import numpy as np
 import pandas as pd
 from pyspark import SparkContext
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limpid.functions import numbers
+from limpid.functions.predicates import predicate
 from limpid.functions.text import key
 from limpid.operators.registry import Context, operator
+from limpid.storage import written
 from limpid.table import ORD, Table, q
 
 NOT_NUMBER, OUTSIDE = "(non numérique)", "hors plage"
@@ -29,23 +31,28 @@ def number_of(t: Table, name: str) -> Column:
     return numbers.tolerant(q(name)) if x is None else x
 
 
-def aggregate(t: Table, a: dict) -> Column:
-    """One aggregate {fn, column, separator} over a group, as a typed value."""
+def aggregate(t: Table, a: dict, on: Column | None = None) -> Column:
+    """One aggregate {fn, column, separator, where} over the rows of a group for which `on`, and the condition group
+    `where`, hold; as a typed value."""
+    if a.get("where"):
+        holds = predicate(t, a["where"])
+        on = holds if on is None else on & holds
+    own = lambda x: x if on is None else F.when(on, x)
     fn = a["fn"]
     if fn == "count":
-        return F.count(F.lit(1))
+        return F.count(own(F.lit(1)))
     c = q(a["column"])
-    full, number = F.when(c != "", c), number_of(t, a["column"])
+    full, number = own(F.when(c != "", c)), own(number_of(t, a["column"]))
     match fn:
         case "countDistinct":
             return F.count_distinct(full)
         case "countNonEmpty":
             return F.count(full)
         case "first":
-            return F.coalesce(F.min_by(full, F.when(c != "", F.col(ORD))), F.lit(""))
+            return F.coalesce(F.min_by(full, F.when(full.isNotNull(), F.col(ORD))), F.lit(""))
         case "concat":
-            own = F.array_sort(F.collect_list(F.when(c != "", F.struct(F.col(ORD).alias("o"), c.alias("v")))))
-            return F.array_join(F.transform(own, lambda x: x["v"]), a.get("separator", ", "))
+            every = F.array_sort(F.collect_list(F.when(full.isNotNull(), F.struct(F.col(ORD).alias("o"), c.alias("v")))))
+            return F.array_join(F.transform(every, lambda x: x["v"]), a.get("separator", ", "))
         case "sum":
             return F.coalesce(F.sum(number), F.lit(0.0))
         case "avg" | "min" | "max" | "median":
@@ -134,42 +141,76 @@ def bins_for(t: Table, column: str, how: dict) -> Bins:
     return Bins((*[r.a + i * width for i in range(n)], r.b if r.b > r.a else r.a + n * width))
 
 
+class Grouping:
+    """What a summary {group_by, aggregates} groups a table by, and what it takes of each group."""
+
+    def __init__(self, t: Table, p: dict):
+        self.t, self.by, self.aggs = t, p.get("group_by") or [], p["aggregates"]
+        t.need(*[g["column"] for g in self.by], *[a["column"] for a in self.aggs if a["fn"] != "count"])
+        self.bins = {i: bins_for(t, g["column"], g["binning"]) for i, g in enumerate(self.by) if g.get("binning")}
+        raw = {i for i, g in enumerate(self.by) if (g.get("normalization") or "none") in ("none", "raw")}
+        self.same = raw - self.bins.keys()  # a group's cells are alike
+
+    @property
+    def keys(self) -> list[Column]:
+        return [self.bins[i].of(number_of(self.t, g["column"])) if i in self.bins else key(q(g["column"]), g.get("normalization")) for i, g in enumerate(self.by)]
+
+    def measures(self, on: Column | None = None) -> dict[str, Column]:
+        """By name, aggregates of a group's rows for which `on` holds."""
+        own = lambda x: x if on is None else F.when(on, x)
+        out = {"__first": F.min(own(F.col(ORD))), "__n": F.count(own(F.lit(1)))}
+        out |= {f"__d{i}": F.min_by(own(q(g["column"])), own(F.col(ORD))) for i, g in enumerate(self.by) if i not in self.bins and i not in self.same}
+        return out | {f"__a{i}": shown(a, aggregate(self.t, a, on)) for i, a in enumerate(self.aggs)}
+
+    def finished(self, out: DataFrame) -> Table:
+        """The summary, from a row of keys (`__k<i>`) and measures for each group."""
+        t, by, aggs, bins, names = self.t, self.by, self.aggs, self.bins, [f"__k{i}" for i in range(len(self.by))]
+        out = out.filter("__n > 0").withColumns({f"__d{i}": F.col(f"__k{i}") for i in self.same}) if self.same else out.filter("__n > 0")
+        order = [F.col("__first")]
+        if bins:
+            others = [i for i in range(len(by)) if i not in bins]
+            own = [f"__k{i}" for i in others]
+            combos = out.groupBy(*own).agg(F.min("__first").alias("__lead"), *[F.min_by(f"__d{i}", "__first").alias(f"__e{i}") for i in others])
+            if not others:
+                combos = combos.filter("__lead is not null")
+            if all(len(b.edges) > 1 for b in bins.values()):
+                frame, slot = combos, F.lit(0).cast("long")
+                for i, b in bins.items():  # one after the other, so that no array holds all combinations
+                    frame = frame.withColumn(f"__j{i}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(b.edges) - 2).cast("long"))))
+                    slot = slot * (len(b.edges) - 1) + F.col(f"__j{i}")
+                frame = frame.select(*own, "__lead", *[f"__e{i}" for i in others], slot.alias("slot"), *[b.at(F.col(f"__j{i}")).alias(f"__k{i}") for i, b in bins.items()])
+                out = frame.join(out, names, "full")
+            else:
+                out = out.select("*", F.lit(None).cast("long").alias("slot"), F.lit(None).cast(t.df.schema[ORD].dataType).alias("__lead"), *[F.lit("").alias(f"__e{i}") for i in others])
+            out = out.select("*", *[F.coalesce(f"__d{i}", f"__e{i}").alias(f"__f{i}") for i in others])
+            order = [F.col("slot").isNull(), F.coalesce("__lead", "__first"), F.coalesce("slot", F.lit(0))]
+        cells = {g["column"]: F.col(f"__k{i}") if i in bins else F.col(f"__f{i}" if bins else f"__d{i}") for i, g in enumerate(by)}
+        cells |= {a["name"]: F.coalesce(F.col(f"__a{i}"), F.lit(empty(a))) for i, a in enumerate(aggs)}
+        df = out.select(F.struct(*[x.alias(f"o{i}") for i, x in enumerate(order)]).alias(ORD), *[c.alias(n) for n, c in cells.items()])
+        return Table(df, tuple(cells), name=t.name)
+
+
 @operator("summarize")
 def summarize(t: Table, p: dict, _: Context) -> Table:
-    """group_by [{column, normalization, binning}], aggregates [{fn, column, name, separator}].
+    """group_by [{column, normalization, binning}], aggregates [{fn, column, name, separator, where}].
 
     Groups show the cell of their first row and come in the order of these. Bins without rows are filled in for each
     combination of the other columns, in order, those of no number or outside last. An empty table has no groups.
     """
-    by, aggs = p.get("group_by") or [], p["aggregates"]
-    t.need(*[g["column"] for g in by], *[a["column"] for a in aggs if a["fn"] != "count"])
-    bins = {i: bins_for(t, g["column"], g["binning"]) for i, g in enumerate(by) if g.get("binning")}
-    keys = [(bins[i].of(number_of(t, g["column"])) if i in bins else key(q(g["column"]), g.get("normalization"))).alias(f"__k{i}") for i, g in enumerate(by)]
-    same = {i for i, g in enumerate(by) if i not in bins and (g.get("normalization") or "none") in ("none", "raw")}  # a group's cells are alike
-    display = [F.min_by(q(g["column"]), F.col(ORD)).alias(f"__d{i}") for i, g in enumerate(by) if i not in bins and i not in same]
-    values = [shown(a, aggregate(t, a)).alias(f"__a{i}") for i, a in enumerate(aggs)]
-    names = [f"__k{i}" for i in range(len(by))]
-    out = t.df.select("*", *keys).groupBy(*names).agg(F.min(ORD).alias("__first"), F.count("*").alias("__n"), *display, *values).filter("__n > 0")
-    out = out.withColumns({f"__d{i}": F.col(f"__k{i}") for i in same}) if same else out
-    order = [F.col("__first")]
-    if bins:
-        others = [i for i in range(len(by)) if i not in bins]
-        own = [f"__k{i}" for i in others]
-        combos = out.groupBy(*own).agg(F.min("__first").alias("__lead"), *[F.min_by(f"__d{i}", "__first").alias(f"__e{i}") for i in others])
-        if not others:
-            combos = combos.filter("__lead is not null")
-        if all(len(b.edges) > 1 for b in bins.values()):
-            frame, slot = combos, F.lit(0).cast("long")
-            for i, b in bins.items():  # one after the other, so that no array holds all combinations
-                frame = frame.withColumn(f"__j{i}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(b.edges) - 2).cast("long"))))
-                slot = slot * (len(b.edges) - 1) + F.col(f"__j{i}")
-            frame = frame.select(*own, "__lead", *[f"__e{i}" for i in others], slot.alias("slot"), *[b.at(F.col(f"__j{i}")).alias(f"__k{i}") for i, b in bins.items()])
-            out = frame.join(out, names, "full")
-        else:
-            out = out.select("*", F.lit(None).cast("long").alias("slot"), F.lit(None).cast(t.df.schema[ORD].dataType).alias("__lead"), *[F.lit("").alias(f"__e{i}") for i in others])
-        out = out.select("*", *[F.coalesce(f"__d{i}", f"__e{i}").alias(f"__f{i}") for i in others])
-        order = [F.col("slot").isNull(), F.coalesce("__lead", "__first"), F.coalesce("slot", F.lit(0))]
-    cells = {g["column"]: F.col(f"__k{i}") if i in bins else F.col(f"__f{i}" if bins else f"__d{i}") for i, g in enumerate(by)}
-    cells |= {a["name"]: F.coalesce(F.col(f"__a{i}"), F.lit(empty(a))) for i, a in enumerate(aggs)}
-    df = out.select(F.struct(*[x.alias(f"o{i}") for i, x in enumerate(order)]).alias(ORD), *[c.alias(n) for n, c in cells.items()])
-    return Table(df, tuple(cells), name=t.name)
+    g = Grouping(t, p)
+    keys = {f"__k{i}": k for i, k in enumerate(g.keys)}
+    return g.finished(t.df.select("*", *[k.alias(n) for n, k in keys.items()]).groupBy(*keys).agg(*[m.alias(n) for n, m in g.measures().items()]))
+
+
+def summarize_many(t: Table, every: list[dict]) -> list[Table]:
+    """Several summaries of a table from one scan of it: each row counts once for each grouping, and a grouping's measures
+    look at its own rows alone. What comes of it, a row a group, is written. Bins of equal width take a look before."""
+    groupings = [Grouping(t, p) for p in every]
+    width = max((len(g.by) for g in groupings), default=0)
+    rows = t.df.select("*", *[k.alias(f"__g{b}_{i}") for b, g in enumerate(groupings) for i, k in enumerate(g.keys)])
+    key_of = lambda b, g, i: F.col(f"__g{b}_{i}") if i < len(g.by) else F.lit(None).cast("string")
+    sets = F.array(*[F.struct(F.lit(b).alias("g"), *[key_of(b, g, i).alias(f"k{i}") for i in range(width)]) for b, g in enumerate(groupings)])
+    rows = rows.withColumn("__set", F.explode(sets)).select("*", F.col("__set.g").alias("__g"), *[F.col(f"__set.k{i}").alias(f"__k{i}") for i in range(width)])
+    measures = [m.alias(f"__m{b}{n}") for b, g in enumerate(groupings) for n, m in g.measures(F.col("__g") == b).items()]
+    groups = written(rows.groupBy("__g", *[f"__k{i}" for i in range(width)]).agg(*measures), "groups")
+    return [g.finished(groups.filter(F.col("__g") == b).select(*[f"__k{i}" for i in range(len(g.by))], *[F.col(f"__m{b}{n}").alias(n) for n in g.measures()])) for b, g in enumerate(groupings)]
