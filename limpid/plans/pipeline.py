@@ -119,11 +119,9 @@ class Pipeline:
         seen += [counters for s, *_, counters in states if s.enabled]
         last = states[-1][2] if states else first
         out = replace(last, df=written(last.df, "result"))
-        with ThreadPoolExecutor(1) as pool:
-            get = lambda o: pool.submit(lambda: o.get).result(WAIT)
-            told = [{n: sum(get(o)[k] for o, k in own) for n, own in counters.items()} for counters in seen]
+        told = [observed(counters) for counters in seen]
         rows = [x.pop("rowsOut") for x in told]
-        return out, [_report(s, a, b, own) for s, a, b, own in zip(self.active(), rows[:-1], rows[1:], told[1:], strict=True)]
+        return out, [report_of(s, a, b, own) for s, a, b, own in zip(self.active(), rows[:-1], rows[1:], told[1:], strict=True)]
 
     def apply(self, source: Table, tables: dict[str, Table] | None = None) -> Table:
         states = self.states(source, tables)
@@ -135,7 +133,7 @@ class Pipeline:
         for s, _, after, counters in self.states(source, tables):
             if s.enabled:
                 before, rows = rows, after.df.count()
-                out.append(_report(s, before, rows, {k: sum(df.agg(F.coalesce(c, F.lit(0)).alias("x")).first().x for df, c in own) for k, own in counters.items()}))
+                out.append(report_of(s, before, rows, {k: sum(df.agg(F.coalesce(c, F.lit(0)).alias("x")).first().x for df, c in own) for k, own in counters.items()}))
         return out
 
     def report_text(self, source: Table, tables: dict[str, Table] | None = None, at: datetime | None = None) -> str:
@@ -154,6 +152,13 @@ class Pipeline:
         return "\n".join(lines)
 
 
-def _report(s: Step, rows_in: int, rows_out: int, counters: dict) -> dict:
+def observed(counters: dict[str, list]) -> dict[str, int]:
+    """The counters of a Context that observes, once a job has told them."""
+    with ThreadPoolExecutor(1) as pool:
+        get = lambda o: pool.submit(lambda: o.get).result(WAIT)
+        return {n: sum(get(o)[k] for o, k in own) for n, own in counters.items()}
+
+
+def report_of(s: Step, rows_in: int, rows_out: int, counters: dict) -> dict:
     counted = {"rowsIn": rows_in, "rowsOut": rows_out, "rowsRemoved": max(0, rows_in - rows_out), "rowsAdded": max(0, rows_out - rows_in)}
     return {"step": s.id, "type": s.type, **counted, **counters}

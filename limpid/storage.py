@@ -6,14 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where written frames lie: (path, table name or None).
 _places: WeakKeyDictionary[DataFrame, tuple[str, str | None]] = WeakKeyDictionary()
-#: The places written within each scratch() that is open.
-_scopes: list[list[tuple[str, str | None]]] = []
+#: The places written within each scratch() that is open in this thread, the innermost last.
+_scopes: ContextVar[tuple[list[tuple[str, str | None]], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +36,8 @@ def new_name(name: str) -> str:
 def placed(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
     """Remembers where a written frame lies, for discard() and scratch()."""
     _places[df] = (path, table)
-    if _scopes:
-        _scopes[-1].append((path, table))
+    if open_ := _scopes.get():
+        open_[-1].append((path, table))
     return df
 
 
@@ -49,7 +50,7 @@ def written(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataF
     return placed(spark.read.schema(df.schema).parquet(path), path)
 
 
-def _delete(spark: SparkSession, path: str, table: str | None) -> None:
+def delete(spark: SparkSession, path: str, table: str | None = None) -> None:
     if table:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -60,15 +61,17 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes the files of written frames that no later step reads."""
     for df in frames:
         if place := _places.pop(df, None):
-            _delete(spark, *place)
+            delete(spark, *place)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, all that operators wrote within it. Results must have been used or written by then."""
-    _scopes.append([])
+    own: list[tuple[str, str | None]] = []
+    before = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for place in _scopes.pop():
-            _delete(spark, *place)
+        _scopes.reset(before)
+        for place in own:
+            delete(spark, *place)
