@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from limpid.operators import REGISTRY, Context
 from limpid.plans.pipeline import Pipeline, Step, observed, report_of
-from limpid.storage import delete, new_name, shared_dir
+from limpid.storage import delete, new_name, noted, shared_dir
 from limpid.table import Table
 
 
@@ -44,6 +44,7 @@ class Replay:
         self.source, self.tables, self.most_bytes = source, dict(tables or {}), most_bytes
         self.spark = source.df.sparkSession
         self.folder = f"{shared_dir(self.spark)}/{new_name('replay')}"
+        noted(self.folder)
         self.kept: OrderedDict[str, Kept] = OrderedDict()
         self.first: Kept | None = None
 

@@ -36,9 +36,14 @@ def new_name(name: str) -> str:
 def placed(df: DataFrame, path: str, table: str | None = None) -> DataFrame:
     """Remembers where a written frame lies, for discard() and scratch()."""
     _places[df] = (path, table)
+    noted(path, table)
+    return df
+
+
+def noted(path: str, table: str | None = None) -> None:
+    """Has the scratch() that is open, if one is, delete a place at its end."""
     if open_ := _scopes.get():
         open_[-1].append((path, table))
-    return df
 
 
 def written(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
