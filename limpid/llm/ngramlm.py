@@ -151,6 +151,16 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(float))[1].astype(np.int64)
 
 
+def probability(word: np.ndarray, pair: np.ndarray, before: np.ndarray, n: int, v: int, weight: float) -> np.ndarray:
+    """Of a word after a context, by the levels of the word, the pair and the context. A level tells that a count is
+    2**(level - 1) at least and 2**level - 1 at most. Words and pairs count for the least, contexts for the most, so that the
+    pairs of a context never add up to more than it, nor words to more than all tokens: no more than 1 is given away."""
+    least = lambda x: np.where(x > 0, 2.0 ** (x - 1), 0.0)
+    alone = (least(word) + 0.1) / (n + 0.1 * (v + 1))
+    after = np.maximum(least(pair) - DISCOUNT, 0) / np.maximum(2.0**before - 1, 1)
+    return np.where(before > 0, weight * after + (1 - weight) * alone, alone)
+
+
 class LogFrequencyFilter:
     """Levels of n-grams in one bit array, with bits_per_entry bits or more for each level of each key."""
 
@@ -194,9 +204,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Fold 0 by crc32 of the id is held out of training. A null or empty text is one end token. Repeated rows train as
     often as they stand and are scored alike. Without training texts all counts are 0.
 
-    score: log10 of weight * (count(before, word) - DISCOUNT) / count(before) + (1 - weight) * (count(word) + 0.1) /
-    (N + 0.1 (V + 1)), summed over tokens, with counts as the filter gives them; it holds all bigrams, those seen once
-    too. Ids are whole numbers or null.
+    score: log10 of probability(), summed over tokens: weight * (count(before, word) - DISCOUNT) / count(before) + (1 -
+    weight) * (count(word) + 0.1) / (N + 0.1 (V + 1)), by the levels that the filter gives; the latter alone after a word that
+    it doesn't hold. It holds all bigrams, those seen once too. Of those that it doesn't hold some are found at level 1, with
+    12 bits an entry one in 150 at most. Ids are whole numbers or null.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -234,9 +245,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         begin, which = which[-1], which[:-1]
         before = np.r_[begin, which[:-1]]
         before[first[:-1]] = begin
-        often, both = (np.where(x > 1, np.sqrt(2) * 2.0 ** (x - 1), x) for x in q)
-        c, both = exact(one)[which], both[pair]
-        p = (1 - weight) * (often[which] + 0.1) / (n + 0.1 * (v + 1)) + weight * np.maximum(both - DISCOUNT, 0) / np.maximum(np.maximum(often[before], both), 1)
+        c, p = exact(one)[which], probability(q[0][which], q[1][pair], q[0][before], n, v, weight)
         add = lambda x: np.add.reduceat(x, first[:-1])
         new = (np.diff(first), add((c > 0).astype(np.int64)), add((c == 0).astype(np.int64)), add(np.where(c > 0, np.log10(c + 0.1), 0.0)), add(np.log10(p)))
         give_back()

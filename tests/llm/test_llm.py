@@ -208,16 +208,44 @@ def test_lm_bigrams(docs):
     one, two = Counter(x for t in train for x in t), Counter(p for t in train for p in zip(["", *t], t))
     n, v = sum(one.values()), len(one)
     one[""] = len(train)
-    near = lambda c: c if c < 2 else 2**0.5 * 2 ** (c.bit_length() - 1)
+    near = lambda c: 2 ** (c.bit_length() - 1) if c else 0
 
     def score(t):
-        p = [0.5 * (near(one[b]) + 0.1) / (n + 0.1 * (v + 1)) + (0.5 * (near(two[a, b]) - 0.75) / max(near(one[a]), near(two[a, b])) if two[a, b] else 0) for a, b in zip(["", *t], t)]
+        alone = lambda b: (near(one[b]) + 0.1) / (n + 0.1 * (v + 1))
+        p = [0.5 * alone(b) + 0.5 * max(near(two[a, b]) - 0.75, 0) / (2 ** one[a].bit_length() - 1) if one[a] else alone(b) for a, b in zip(["", *t], t)]
         return sum(map(math.log10, p))
 
     got = sorted((str(r.doc_id), round(r.score, 4)) for r in score_texts(docs).collect())
     assert got == sorted((str(d), round(score(tokens(t)), 4)) for d, t, _ in ROWS) and 1 in two.values()
 
 
+def test_masses():
+    """What a context gives to all words is 1 at most, by counts as the filter holds them, and each is more than 0."""
+    import numpy as np
+
+    from limpid.llm.ngramlm import LogFrequencyFilter, level, probability
+
+    rng = np.random.default_rng(8)
+    text = rng.zipf(1.3, 40_000) % 500
+    text[::997] = 600  # some words are followed by all kinds
+    word, count = np.unique(text, return_counts=True)
+    pairs, times = np.unique(text[:-1] * 1000 + text[1:], return_counts=True)
+    mixed = lambda x: np.random.default_rng(1).integers(1, 2**63, 10**6, dtype=np.int64).astype(np.uint64)[x]
+    held = LogFrequencyFilter(np.r_[mixed(word), mixed(pairs + 1000)], np.r_[level(count), level(times)], 12)
+    one = held.levels(mixed(word))
+    before = text[:-1]  # the last word is no context, its count is one too many at most
+    for a in np.unique(before):
+        seen = pairs[pairs // 1000 == a]
+        pair = np.zeros(len(word), np.int64)
+        pair[np.searchsorted(word, seen % 1000)] = held.levels(mixed(seen + 1000))
+        p = probability(one, pair, np.full(len(word), one[np.searchsorted(word, a)]), len(text), len(word), 0.5)
+        assert (p > 0).all() and 0.2 < p.sum() <= 1
+    assert probability(one, np.zeros(len(word), int), np.zeros(len(word), int), len(text), len(word), 0.5).sum() <= 1
+    for c in ([2] * 7 + [1], [4] * 7 + [2], [3] * 5, [1] * 9):  # counts whose middles add up to more
+        p = probability(np.zeros(len(c), int), level(np.array(c)), np.full(len(c), level(np.array([sum(c)]))[0]), 10**9, 10**6, 1.0)
+        assert p.sum() <= 1
+
+
 def test_filter_grows():
     """As many bits an entry however many entries: few n-grams that it doesn't hold are found."""
     import numpy as np
