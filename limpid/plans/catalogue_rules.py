@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from limpid.plans import report
 from limpid.plans.catalogue import do, op, query
-from limpid.plans.catalogue_files import told
+from limpid.plans.catalogue_files import place, told
 from limpid.plans.pipeline import Pipeline
 from limpid.plans.replay import Replay
+from limpid.storage import noted
+from limpid.streaming.keyed import deduplicate_stream, summarize_stream
 from limpid.table import Table, q
 
 _CUSTOMER = "customer:c_custkey,c_name,c_nationkey,c_mktsegment"
@@ -96,3 +98,33 @@ def pipeline_run(t: Table) -> DataFrame:
     """What the job that writes a pipeline's rows tells of each step."""
     rows = [{"a": r["type"], "b": r["rowsIn"], "c": r["rowsOut"], "d": r.get("rowsModified", 0)} for r in _STEPS.run(t)[1]]
     return told(t, rows, "type string, rows_in long, rows_out long, modified long")
+
+
+def _streamed(t: Table, make) -> DataFrame:
+    """What a stream over the rows' own values writes: files of them are read a few at a time, then a row that ends all
+    windows."""
+    spark, at = t.df.sparkSession, place(t, "stream")
+    noted(at)
+    own = t.df.select(*[q(t.native[c][0]).alias(c) for c in t.columns])
+    own.repartition(6).write.parquet(f"{at}/in/0")
+    last = own.agg((F.max("ts") + F.expr("INTERVAL 20000 DAYS")).alias("ts"))
+    last.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(own.schema[c].dataType).alias(c) for c in own.columns]).write.parquet(f"{at}/in/1")
+    source = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 3).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+    query = make(source).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out")
+    query.awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+@query("stream_windows", "events:event_id,ts,event_type,value", sql="SELECT (epoch(ts)::BIGINT // 86400) AS day, event_type, count(*)::VARCHAR AS n, arg_min(event_id, event_id)::VARCHAR AS first FROM events GROUP BY 1, 2")
+def stream_windows(t: Table) -> DataFrame:
+    """Events of each day and type, counted as a stream."""
+    aggs = [{"fn": "count", "name": "n"}, {"fn": "first", "column": "event_id", "name": "first"}]
+    out = _streamed(t, lambda df: summarize_stream(df, [{"column": "event_type"}], aggs, "ts", "1 day", "10000 days", order_by=["event_id"]))
+    return out.filter("event_type <> ''").select((F.unix_timestamp("window_start") / 86400).cast("long").alias("day"), "event_type", "n", "first")
+
+
+@query("stream_dedup", "events:event_id,ts,user_id", sql="SELECT min(event_id)::VARCHAR AS event_id, user_id::VARCHAR AS user_id FROM events GROUP BY user_id")
+def stream_dedup(t: Table) -> DataFrame:
+    """The first event of each user, found as a stream."""
+    out = _streamed(t, lambda df: deduplicate_stream(df, ["user_id"], "ts", "9000 days", "10000 days", order_by=["event_id"]))
+    return out.filter("user_id <> ''").select("event_id", "user_id")
