@@ -15,6 +15,7 @@ from limpid.functions import numbers
 from limpid.functions.predicates import predicate
 from limpid.functions.text import key
 from limpid.operators.registry import Context, operator
+from limpid.operators.selection import group_of, medians
 from limpid.storage import written
 from limpid.table import ORD, Table, q
 
@@ -31,12 +32,18 @@ def number_of(t: Table, name: str) -> Column:
     return numbers.tolerant(q(name)) if x is None else x
 
 
+def _counted(t: Table, a: dict, on: Column | None) -> Column | None:
+    """Which rows an aggregate looks at: those for which `on` and its condition group `where` hold; None: all."""
+    if not a.get("where"):
+        return on
+    holds = predicate(t, a["where"])
+    return holds if on is None else on & holds
+
+
 def aggregate(t: Table, a: dict, on: Column | None = None) -> Column:
     """One aggregate {fn, column, separator, where} over the rows of a group for which `on`, and the condition group
     `where`, hold; as a typed value."""
-    if a.get("where"):
-        holds = predicate(t, a["where"])
-        on = holds if on is None else on & holds
+    on = _counted(t, a, on)
     own = lambda x: x if on is None else F.when(on, x)
     fn = a["fn"]
     if fn == "count":
@@ -156,11 +163,20 @@ class Grouping:
         return [self.bins[i].of(number_of(self.t, g["column"])) if i in self.bins else key(q(g["column"]), g.get("normalization")) for i, g in enumerate(self.by)]
 
     def measures(self, on: Column | None = None) -> dict[str, Column]:
-        """By name, aggregates of a group's rows for which `on` holds."""
+        """By name, aggregates of a group's rows for which `on` holds; without medians."""
         own = lambda x: x if on is None else F.when(on, x)
         out = {"__first": F.min(own(F.col(ORD))), "__n": F.count(own(F.lit(1)))}
         out |= {f"__d{i}": F.min_by(own(q(g["column"])), own(F.col(ORD))) for i, g in enumerate(self.by) if i not in self.bins and i not in self.same}
-        return out | {f"__a{i}": shown(a, aggregate(self.t, a, on)) for i, a in enumerate(self.aggs)}
+        return out | {f"__a{i}": shown(a, aggregate(self.t, a, on)) for i, a in enumerate(self.aggs) if a["fn"] != "median"}
+
+    def middles(self, on: Column | None = None) -> dict[str, Column]:
+        """By name, the numbers whose medians are wanted, of rows for which `on` holds."""
+        out = {}
+        for i, a in enumerate(self.aggs):
+            if a["fn"] == "median":
+                x, holds = number_of(self.t, a["column"]).cast("double"), _counted(self.t, a, on)
+                out[f"__a{i}"] = x if holds is None else F.when(holds, x)
+        return out
 
     def finished(self, out: DataFrame) -> Table:
         """The summary, from a row of keys (`__k<i>`) and measures for each group."""
@@ -199,12 +215,24 @@ def summarize(t: Table, p: dict, _: Context) -> Table:
     """
     g = Grouping(t, p)
     keys = {f"__k{i}": k for i, k in enumerate(g.keys)}
-    return g.finished(t.df.select("*", *[k.alias(n) for n, k in keys.items()]).groupBy(*keys).agg(*[m.alias(n) for n, m in g.measures().items()]))
+    rows = t.df.select("*", *[k.alias(n) for n, k in keys.items()])
+    groups = rows.groupBy(*keys).agg(*[m.alias(n) for n, m in g.measures().items()])
+    return g.finished(_with_medians(groups, rows, list(keys), g.middles()))
+
+
+def _with_medians(groups: DataFrame, rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """A row for each group, with the medians of its rows."""
+    if not values:
+        return groups
+    found = medians(rows, keys, values)
+    out = groups.withColumn("__group", group_of(keys)).join(found, "__group", "left").drop("__group")
+    return out.withColumns({n: numbers.written(F.col(n)) for n in values})
 
 
 def summarize_many(t: Table, every: list[dict]) -> list[Table]:
     """Several summaries of a table from one scan of it: each row counts once for each grouping, and a grouping's measures
-    look at its own rows alone. What comes of it, a row a group, is written. Bins of equal width take a look before."""
+    look at its own rows alone. What comes of it, a row a group, is written. Bins of equal width take a look before, medians
+    of all summaries one scan more."""
     groupings = [Grouping(t, p) for p in every]
     width = max((len(g.by) for g in groupings), default=0)
     rows = t.df.select("*", *[k.alias(f"__g{b}_{i}") for b, g in enumerate(groupings) for i, k in enumerate(g.keys)])
@@ -212,5 +240,7 @@ def summarize_many(t: Table, every: list[dict]) -> list[Table]:
     sets = F.array(*[F.struct(F.lit(b).alias("g"), *[key_of(b, g, i).alias(f"k{i}") for i in range(width)]) for b, g in enumerate(groupings)])
     rows = rows.withColumn("__set", F.explode(sets)).select("*", F.col("__set.g").alias("__g"), *[F.col(f"__set.k{i}").alias(f"__k{i}") for i in range(width)])
     measures = [m.alias(f"__m{b}{n}") for b, g in enumerate(groupings) for n, m in g.measures(F.col("__g") == b).items()]
-    groups = written(rows.groupBy("__g", *[f"__k{i}" for i in range(width)]).agg(*measures), "groups")
-    return [g.finished(groups.filter(F.col("__g") == b).select(*[f"__k{i}" for i in range(len(g.by))], *[F.col(f"__m{b}{n}").alias(n) for n in g.measures()])) for b, g in enumerate(groupings)]
+    keys = ["__g", *[f"__k{i}" for i in range(width)]]
+    values = {f"__m{b}{n}": v for b, g in enumerate(groupings) for n, v in g.middles(F.col("__g") == b).items()}
+    groups = written(_with_medians(rows.groupBy(*keys).agg(*measures), rows, keys, values), "groups")
+    return [g.finished(groups.filter(F.col("__g") == b).select(*[f"__k{i}" for i in range(len(g.by))], *[F.col(f"__m{b}{n}").alias(n) for n in [*g.measures(), *g.middles()]])) for b, g in enumerate(groupings)]
