@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
@@ -56,6 +56,33 @@ def _several(t: Table, c: str, rule: str, separator: str) -> Column:
     raise ValueError(f"unknown rule {rule!r}")
 
 
+def partners_of(right: Table, p: dict) -> DataFrame:
+    """(__k<i>, __n, __v<i>): for each key of an exact join its number of right rows and its copied cells."""
+    right.need(*p["copied"], *[x["right"] for x in p["pairs"]])
+    theirs = [key(q(x["right"]), x.get("normalize")) for x in p["pairs"]]
+    how, rules, sep = p.get("multiple", "first"), p.get("rules") or {}, p.get("separator", ", ")
+    first = lambda c: F.min_by(q(c), F.col(ORD))
+    many = {"first": first, "flag_conflict": lambda c: F.lit(""), "aggregate": lambda c: _several(right, c, rules.get(c, "concat"), sep)}[how]
+    cells = [(first(c) if how == "first" else F.when(F.count("*") == 1, first(c)).otherwise(many(c))).alias(f"__v{i}") for i, c in enumerate(p["copied"])]
+    return _keyed(right, theirs).groupBy(*[f"__k{i}" for i in range(len(theirs))]).agg(F.count("*").alias("__n"), *cells)
+
+
+def join_partners(t: Table, p: dict, partners: DataFrame, ctx: Context) -> Table:
+    """The table with the cells of partners_of()."""
+    t.need(*[x["left"] for x in p["pairs"]])
+    mine = [key(q(x["left"]), x.get("normalize")) for x in p["pairs"]]
+    joined, n = _keyed(t, mine).join(partners, [f"__k{i}" for i in range(len(mine))], "left"), F.col("__n")
+    joined = ctx.count(joined, unmatched=F.count_if(n.isNull()), ambiguous=F.count_if(n > 1), matchedAuto=F.count_if(n >= 1))
+    joined = joined.filter(n.isNotNull()) if p.get("type", "left") == "inner" else joined
+    return _copied(t, p, joined, lambda i: F.col(f"__v{i}"))
+
+
+def _copied(t: Table, p: dict, joined: DataFrame, cell: Callable[[int], Column]) -> Table:
+    """The table with the copied cells of its partners, empty where there is none."""
+    names = names_for(t.columns, p["copied"], p.get("collision", "suffix"), p.get("affix", "_droite"))
+    return replace(t, df=joined).select(t.cells() | {n: F.coalesce(cell(i), F.lit("")) for i, n in enumerate(names.values()) if n})
+
+
 @operator("enrich_join")
 def enrich_join(t: Table, p: dict, ctx: Context) -> Table:
     """table, pairs [{left, right, normalize}], copied [columns], type left or inner, multiple (first, aggregate or
@@ -64,30 +91,13 @@ def enrich_join(t: Table, p: dict, ctx: Context) -> Table:
     right, copied = ctx.table(p["table"]), p["copied"]
     t.need(*[x["left"] for x in p["pairs"]])
     right.need(*copied, *[x["right"] for x in p["pairs"]])
-    names = names_for(t.columns, copied, p.get("collision", "suffix"), p.get("affix", "_droite"))
-    kind = "inner" if p.get("type", "left") == "inner" else "left"
-    if p.get("fuzzy"):
-        joined = resolved(t, right, p, copied)
-        found = F.col("status").isin(*MATCHED)
-        status = F.col("status")
-        joined = ctx.count(joined, unmatched=F.count_if(~found), ambiguous=F.count_if(status == "pending"), matchedAuto=F.count_if(status == "auto"), matchedManual=F.count_if(status.isin("manual", "forced")))
-        joined = joined.filter(found) if kind == "inner" else joined
-        cell = lambda i: F.when(found, F.col(f"__v{i}"))
-    else:
-        mine, theirs = pair_keys(p["pairs"])
-        on = [f"__k{i}" for i in range(len(mine))]
-        how, rules, sep = p.get("multiple", "first"), p.get("rules") or {}, p.get("separator", ", ")
-        first = lambda c: F.min_by(q(c), F.col(ORD))
-        many = {"first": first, "flag_conflict": lambda c: F.lit(""), "aggregate": lambda c: _several(right, c, rules.get(c, "concat"), sep)}[how]
-        cells = [(first(c) if how == "first" else F.when(F.count("*") == 1, first(c)).otherwise(many(c))).alias(f"__v{i}") for i, c in enumerate(copied)]
+    if not p.get("fuzzy"):
         # Written, so that the join has an exchange of its own on both sides and Spark can split a very frequent key.
-        found = written(_keyed(right, theirs).groupBy(*on).agg(F.count("*").alias("__n"), *cells), "partners")
-        joined, n = _keyed(t, mine).join(found, on, "left"), F.col("__n")
-        joined = ctx.count(joined, unmatched=F.count_if(n.isNull()), ambiguous=F.count_if(n > 1), matchedAuto=F.count_if(n >= 1))
-        joined = joined.filter(n.isNotNull()) if kind == "inner" else joined
-        cell = lambda i: F.col(f"__v{i}")
-    out = t.cells() | {n: F.coalesce(cell(i), F.lit("")) for i, (c, n) in enumerate(names.items()) if n}
-    return replace(t, df=joined).select(out)
+        return join_partners(t, p, written(partners_of(right, p), "partners"), ctx)
+    joined, status = resolved(t, right, p, copied), F.col("status")
+    found = status.isin(*MATCHED)
+    joined = ctx.count(joined, unmatched=F.count_if(~found), ambiguous=F.count_if(status == "pending"), matchedAuto=F.count_if(status == "auto"), matchedManual=F.count_if(status.isin("manual", "forced")))
+    return _copied(t, p, joined.filter(found) if p.get("type") == "inner" else joined, lambda i: F.when(found, F.col(f"__v{i}")))
 
 
 def unmatched(t: Table, right: Table, pairs: list[dict], side: str = "left") -> Table:

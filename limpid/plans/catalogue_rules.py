@@ -12,6 +12,7 @@ from limpid.plans.catalogue_files import place, told
 from limpid.plans.pipeline import Pipeline
 from limpid.plans.replay import Replay
 from limpid.storage import noted
+from limpid.streaming.enrich import Partners, enrich_stream, results
 from limpid.streaming.keyed import deduplicate_stream, summarize_stream
 from limpid.table import Table, q
 
@@ -128,3 +129,17 @@ def stream_dedup(t: Table) -> DataFrame:
     """The first event of each user, found as a stream."""
     out = _streamed(t, lambda df: deduplicate_stream(df, ["user_id"], "ts", "9000 days", "10000 days", order_by=["event_id"]))
     return out.filter("user_id <> ''").select("event_id", "user_id")
+
+
+@query("stream_enrich", "orders:o_orderkey,o_custkey", "customer:c_custkey,c_name,c_acctbal", sql="SELECT o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, coalesce(c_name, '') AS c_name, 1 AS partners_version FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal >= 0")
+def stream_enrich(orders: Table, customers: Table) -> DataFrame:
+    """Orders, read as a stream, with the name of their customer if it is in credit."""
+    spark, at = orders.df.sparkSession, place(orders, "enriched")
+    noted(at)
+    orders.output().repartition(6).write.parquet(f"{at}/in")
+    partners = Partners(spark, f"{at}/partners", {"pairs": [{"left": "o_custkey", "right": "c_custkey"}], "copied": ["c_name"]})
+    credit = op(customers, "filter_rows", where={"column": "c_acctbal", "operator": "between", "min": "0"})
+    partners.publish(credit)
+    source = spark.readStream.schema(orders.output().schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/in")
+    enrich_stream(source, partners, f"{at}/out", f"{at}/state", "orders").awaitTermination()
+    return results(spark, f"{at}/out").drop("batch")
