@@ -115,3 +115,13 @@ def normalize_columns(t: Table, p: dict, ctx: Context) -> Table:
     return t.select({**t.cells(), **{c + suffix: x for c, x in new.items()}})
 
 
+def visible_reordered(t: Table, order: list[str]) -> list[str]:
+    """All columns in a new order of the visible ones; hidden ones keep their places."""
+    new = iter(order)
+    return [c if c in t.hidden else next(new, c) for c in t.columns]
+
+
+def moved(items: list[str], at: int, to: int) -> list[str]:
+    """The items with the one at a place moved to another."""
+    rest = items[:at] + items[at + 1 :]
+    return rest[:to] + items[at : at + 1] + rest[to:]

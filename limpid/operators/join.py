@@ -17,19 +17,19 @@ from limpid.storage import written
 from limpid.table import ORD, Table, q
 
 
-def names_for(left: tuple[str, ...], copied: list[str], how: str, affix: str) -> dict[str, str | None]:
-    """The output name of each copied column; None: not copied. Names are made unique."""
+def names_for(left: tuple[str, ...], copied: list[str], how: str, affix: str, names: dict[str, str] | None = None) -> dict[str, str | None]:
+    """The output name of each copied column, which names may call otherwise; None: not copied. Names are made unique."""
     out: dict[str, str | None] = {}
     taken = set(left)
     for c in copied:
-        name = c
-        if c in taken:
+        name = own = (names or {}).get(c, c)
+        if own in taken:
             if how == "skip":
                 out[c] = None
                 continue
-            if not (how == "overwrite" and c in left and c not in out.values()):
-                name = affix + c if how == "prefix" else c + affix
-        while name in taken and not (name == c and how == "overwrite" and c in left):
+            if not (how == "overwrite" and own in left and own not in out.values()):
+                name = affix + own if how == "prefix" else own + affix
+        while name in taken and not (name == own and how == "overwrite" and own in left):
             name += affix or "_"
         out[c] = name
         taken.add(name)
@@ -79,14 +79,14 @@ def join_partners(t: Table, p: dict, partners: DataFrame, ctx: Context) -> Table
 
 def _copied(t: Table, p: dict, joined: DataFrame, cell: Callable[[int], Column]) -> Table:
     """The table with the copied cells of its partners, empty where there is none."""
-    names = names_for(t.columns, p["copied"], p.get("collision", "suffix"), p.get("affix", "_droite"))
+    names = names_for(t.columns, p["copied"], p.get("collision", "suffix"), p.get("affix", "_droite"), p.get("names"))
     return replace(t, df=joined).select(t.cells() | {n: F.coalesce(cell(i), F.lit("")) for i, n in enumerate(names.values()) if n})
 
 
 @operator("enrich_join")
 def enrich_join(t: Table, p: dict, ctx: Context) -> Table:
     """table, pairs [{left, right, normalize}], copied [columns], type left or inner, multiple (first, aggregate or
-    flag_conflict), rules {column: sum, min, max or concat}, collision (prefix, suffix, overwrite or skip), affix;
+    flag_conflict), rules {column: sum, min, max or concat}, collision (prefix, suffix, overwrite or skip), affix, names {column: its name in the result};
     with fuzzy {..} see resolve()."""
     right, copied = ctx.table(p["table"]), p["copied"]
     t.need(*[x["left"] for x in p["pairs"]])

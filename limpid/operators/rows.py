@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from limpid.functions.names import suggest
 from limpid.functions.predicates import predicate, pushable
 from limpid.operators.registry import Context, operator
 from limpid.table import ORD, Table, q
@@ -40,8 +41,10 @@ def set_value_where(t: Table, p: dict, ctx: Context) -> Table:
 
 @operator("append_rows")
 def append_rows(t: Table, p: dict, ctx: Context) -> Table:
-    """The rows of another table after these: mapping {column here: column there}; columns that aren't mapped are empty."""
-    other, mapping = ctx.table(p["table"]), p["mapping"]
+    """The rows of another table after these: mapping {column here: column there}; columns that aren't mapped are empty.
+    Without a mapping each column takes the one of its name there, or the most similar one."""
+    other = ctx.table(p["table"])
+    mapping = p["mapping"] if p.get("mapping") is not None else suggest(t.columns, other.columns)
     other.need(*[c for c in mapping.values() if c])
     order = lambda part, here, there: F.struct(F.lit(part).alias("part"), here.alias("here"), there.alias("there")).alias(ORD)
     mine, theirs = (x.df.schema[ORD].dataType for x in (t, other))

@@ -3,13 +3,17 @@ groups, cells outside of bins, named groups of patterns, reports without limits,
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limpid.plans import report
 from limpid.plans.catalogue import do, op, query
 from limpid.plans.catalogue_files import place, told
+from limpid.plans.interchange import recipe_from_json
 from limpid.plans.pipeline import Pipeline
+from limpid.plans.recipe import instantiate
 from limpid.plans.replay import Replay
 from limpid.storage import noted
 from limpid.streaming.enrich import Partners, enrich_stream, results
@@ -143,3 +147,24 @@ def stream_enrich(orders: Table, customers: Table) -> DataFrame:
     source = spark.readStream.schema(orders.output().schema).option("maxFilesPerTrigger", 3).parquet(f"{at}/in")
     enrich_stream(source, partners, f"{at}/out", f"{at}/state", "orders").awaitTermination()
     return results(spark, f"{at}/out").drop("batch")
+
+
+_RECIPE = {
+    "formatVersion": 1,
+    "name": "names by nation",
+    "expectedColumns": ["c_name", "c_nationkey"],
+    "steps": [
+        {"type": "filter_rows", "enabled": True, "params": {"root": {"kind": "group", "operator": "and", "conditions": [{"kind": "condition", "columnId": "c_mktsegment", "operator": "in_list", "values": ["BUILDING", "MACHINERY"]}]}, "action": "keep"}},
+        {"type": "drop_columns", "enabled": False, "params": {"columnNames": ["c_name"]}},
+        {"type": "enrich_join", "enabled": True, "params": {"matchStrategy": "exact", "keyPairs": [{"leftName": "c_nationkey", "rightName": "n_nationkey"}], "copyColumns": [{"rightName": "n_name", "asName": "nation"}], "collision": "suffix", "joinType": "left", "multiMatch": "first"}, "secondary": {"tableName": "nation", "expectedColumns": ["n_nationkey", "n_name"]}},
+        {"type": "summarize", "enabled": True, "params": {"groupBy": [{"name": "nation", "normalization": "raw"}], "aggregates": [{"fn": "count", "asName": "n"}, {"fn": "median", "name": "c_custkey", "asName": "middle"}]}},
+    ],
+}
+
+
+@query("recipe_interchange", _CUSTOMER, "nation:n_nationkey,n_name", sql="SELECT n_name AS nation, count(*)::VARCHAR AS n, median(c_custkey) AS middle FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') GROUP BY 1")
+def recipe_interchange(t: Table, nation: Table) -> DataFrame:
+    """A recipe in the interchange format, bound to this table."""
+    recipe = recipe_from_json(json.dumps(_RECIPE))
+    out = instantiate(recipe, {c: c for c in recipe.expected}, {"nation": nation}).apply(t, {"nation": nation}).output()
+    return out.withColumn("middle", F.col("middle").cast("double"))
