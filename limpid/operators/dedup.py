@@ -1,5 +1,6 @@
 """Deduplication. A group becomes its row by one aggregate over whole rows, which map tasks begin: a very large group needs
-neither a window nor a join, and no row is looked up by its place a second time."""
+neither a window nor a join, and no row is looked up by its place a second time. Aggregates over whole rows sort them, so
+tables carry numbers and times as such, a few bytes each; their texts are made of the rows that stay."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from limpid.functions.text import comparison
 from limpid.operators.registry import Context, operator
 from limpid.storage import written
-from limpid.table import ORD, Table, q
+from limpid.table import DAYS, ORD, WHOLE, Table, as_text, q
 
 ACTIONS = ("keep_first", "keep_last", "keep_most_complete", "merge_first_nonempty", "flag_only")
 JOINT = "\u0001"
@@ -28,20 +29,31 @@ def groups(t: Table, columns: list[str], mode: str) -> DataFrame:
     return own.groupBy("__key").agg(F.count("*").alias("__count"), F.min(ORD).alias("__first")).filter("__count > 1")
 
 
-def _chosen(t: Table, actions: set[str]) -> dict[str, Column]:
-    """For each action the group's row, as a struct of its order and cells."""
-    row = F.struct(ORD, *map(q, t.columns))
-    filled = reduce(lambda a, b: a + b, [(q(c) != "").cast("int") for c in t.columns])
-    first_of = lambda c: F.coalesce(F.min_by(q(c), F.when(q(c) != "", F.col(ORD))), F.lit(""))
+def _chosen(t: Table, actions: set[str], cells: dict[str, Column] | None = None) -> dict[str, Column]:
+    """For each action the group's row, as a struct of its order and cells, which are texts or as given; null stands for "" in
+    those given."""
+    own, cells = cells, cells or {c: q(c) for c in t.columns}
+    row = F.struct(ORD, *[x.alias(c) for c, x in cells.items()])
+    has = lambda x: F.coalesce(x.cast("string") != "", F.lit(False)) if own else x != ""
+    first_of = lambda x: F.min_by(x, F.when(has(x), F.col(ORD))) if own else F.coalesce(F.min_by(x, F.when(has(x), F.col(ORD))), F.lit(""))
+    filled = reduce(lambda a, b: a + b, [has(x).cast("int") for x in cells.values()])
     make = {
-        "keep_first": lambda: F.min_by(row, F.col(ORD)),
-        "keep_last": lambda: F.max_by(row, F.col(ORD)),
+        # The order is a row's first field: the least row is the first one and needs no second copy of its order. The state
+        # of streams, which has texts, stays as it is.
+        "keep_first": lambda: F.min(row) if own else F.min_by(row, F.col(ORD)),
+        "keep_last": lambda: F.max(row) if own else F.max_by(row, F.col(ORD)),
         "keep_most_complete": lambda: F.min_by(row, F.struct(-filled, F.col(ORD))),
-        "merge_first_nonempty": lambda: F.struct(F.min(ORD).alias(ORD), *[first_of(c).alias(c) for c in t.columns]),
+        "merge_first_nonempty": lambda: F.struct(F.min(ORD).alias(ORD), *[first_of(x).alias(c) for c, x in cells.items()]),
     }
     return {a: make[a]() for a in ACTIONS if a in actions and a in make}
 
 
+def _carried(t: Table) -> dict[str, Column]:
+    """The cells as aggregates carry them: in a type of their own that is shorter than its text, else as text."""
+    own = {c: t.typed(c, *WHOLE, "double", *DAYS) for c in t.columns}
+    return {c: q(c) if x is None else x for c, x in own.items()}
+
+
 @operator("deduplicate")
 def deduplicate(t: Table, p: dict, ctx: Context) -> Table:
     """columns, mode (exact or normalized), action, overrides {key: action}; keys of several columns are joined by U+0001.
@@ -65,10 +77,13 @@ def deduplicate(t: Table, p: dict, ctx: Context) -> Table:
     cells = t.cells() | ({flag: flag if flag in t.columns else F.lit("")} if flags else {})
     parts = []
     if actions - {"flag_only"}:
-        one = own.df.filter(what != "flag_only").groupBy("__key").agg(F.count("*").alias("__count"), *[x.alias(a) for a, x in _chosen(t, actions).items()])
+        whole = t.typed(columns[0], *WHOLE) if len(columns) == 1 and mode == "exact" else None
+        by = F.col("__key") if overrides or whole is None else whole  # equal texts are equal numbers
+        one = own.df.filter(what != "flag_only").groupBy(by.alias("__key")).agg(F.count("*").alias("__count"), *[x.alias(a) for a, x in _chosen(t, actions, _carried(t)).items()])
         one = ctx.count(one, duplicateRows=F.sum(F.when(F.col("__count") > 1, F.col("__count"))))
         choice = F.coalesce(*[F.when(what == a, F.col(a)) for a in ACTIONS if a in actions and a != "flag_only"])
-        parts.append(replace(t, df=one.select(choice.alias("x")).select("x.*"), native={}).select(cells))
+        rows = one.select(choice.alias("x")).select("x.*")
+        parts.append(replace(t, df=rows.select(ORD, *[as_text(rows, c).alias(c) for c in t.columns]), native={}).select(cells))
     if flags:
         # Written, so that Spark can split a very large group in the join.
         often = written(groups(t, columns, mode).filter(what == "flag_only").select("__key", "__count"), "duplicates")

@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -231,3 +233,18 @@ def test_any_column_names(spark):
     assert run(t, "summarize", group_by=[{"column": "my name"}], aggregates=[{"fn": "max", "column": "b`c", "name": "m.x"}]) == [("x", "3"), ("y", "")]
     assert run(t, "append_rows", {"t": t}, table="t", mapping={"a.id": "a.id", "my name": "b`c"})[-1] == ("3", "", "")
     assert last(run(t, "add_sequence_column", name="n.o")) == ["1", "2", "3"]
+
+
+def test_deduplication_carries_values(spark, tmp_path):
+    """Rows go through the aggregate with their numbers and times as such, and come out with the same texts."""
+    rows = [(k, 9 - k, k % 3 if k % 4 else None, None if k % 2 else k / 8, "" if k < 3 else f"t{k}", datetime(2024, 1, 1 + k), datetime(2024, 1, 2, k, 0, 1)) for k in range(9)]
+    schema = "a long, b int, g long, x double, s string, d timestamp, e timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "t"))
+    t = Table.of(spark.read.parquet(str(tmp_path / "t")), ["a", "b"])
+    texts = Table(t.df.drop(*[n for n, _ in t.native.values()]), t.columns)
+    for action in ("keep_first", "keep_last", "keep_most_complete", "merge_first_nonempty"):
+        for overrides in ({}, {"1": "keep_last"}):
+            got, want = (run(x, "deduplicate", columns=["g"], action=action, overrides=overrides) for x in (t, texts))
+            assert got == want and len(got) == 4
+    plan = REGISTRY["deduplicate"](t, {"columns": ["g"], "action": "keep_first"}, Context()).output()._jdf.queryExecution().executedPlan().toString()
+    assert " as string)" not in plan[plan.index("Exchange") :]
