@@ -58,13 +58,17 @@ def jaro_many(a: list[str], b: list[str], winkler: bool) -> np.ndarray:
     return out
 
 
-def _codes(texts: list[str], width: int) -> np.ndarray:
+def codes(texts: list[str], width: int) -> np.ndarray:
     return np.array(texts, f"<U{width}").view(np.uint32).reshape(len(texts), width)
 
 
 def _jaro(a: list[str], b: list[str], x: np.ndarray, y: np.ndarray, winkler: bool) -> np.ndarray:
-    p, q = _codes(a, max(1, int(x.max()))), _codes(b, max(1, int(y.max())))
-    n, at = np.arange(len(a)), np.arange(q.shape[1])
+    return jaro_coded(codes(a, max(1, int(x.max()))), codes(b, max(1, int(y.max()))), x, y, winkler)
+
+
+def jaro_coded(p: np.ndarray, q: np.ndarray, x: np.ndarray, y: np.ndarray, winkler: bool) -> np.ndarray:
+    """jaro() or jaro_winkler() of pairs of texts of x and y letters, which are rows of codes()."""
+    n, at = np.arange(len(p)), np.arange(q.shape[1])
     reach = np.maximum(0, np.maximum(x, y) // 2 - 1)[:, None]
     free, mine = at < y[:, None], np.zeros(p.shape, bool)
     for i in range(p.shape[1]):
@@ -77,8 +81,7 @@ def _jaro(a: list[str], b: list[str], x: np.ndarray, y: np.ndarray, winkler: boo
     left, right = inorder(p, mine), inorder(q, theirs)
     swapped = ((left != right) & (np.arange(left.shape[1]) < m[:, None])).sum(1) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        j = np.where(m > 0, (m / x + m / y + (m - swapped) / m) / 3, 0.0)
-    j = np.where([v == w for v, w in zip(a, b, strict=True)], 1.0, j)
+        j = np.where(m > 0, (m / x + m / y + (m - swapped) / m) / 3, np.where((x == 0) & (y == 0), 1.0, 0.0))
     if not winkler:
         return j
     k = min(4, p.shape[1], q.shape[1])
@@ -100,7 +103,7 @@ def levenshtein_many(a: list[str], b: list[str]) -> np.ndarray:
 
 
 def _levenshtein(a: list[str], b: list[str], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    p, q = _codes(a, max(1, int(x.max()))), _codes(b, max(1, int(y.max())))
+    p, q = codes(a, max(1, int(x.max()))), codes(b, max(1, int(y.max())))
     at = np.arange(q.shape[1] + 1, dtype=np.int32)
     row = np.tile(at, (len(a), 1))
     out = np.where(x == 0, y, 0)
@@ -164,7 +167,7 @@ def score_most(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
         edits[short] = levenshtein_all([v for v, s in zip(a, short, strict=True) if s], b)
     with np.errstate(divide="ignore", invalid="ignore"):
         j = np.where(both > 0, (both / x + both / y + 1) / 3, 0.0)
-    p, q = _codes([v[:4] for v in a], 4), _codes([v[:4] for v in b], 4)
+    p, q = codes([v[:4] for v in a], 4), codes([v[:4] for v in b], 4)
     same, prefix = np.ones(both.shape, bool), np.zeros(both.shape, np.int8)
     for k in range(4):
         same &= (p[:, k, None] == q[None, :, k]) & (p[:, k, None] != 0)

@@ -10,6 +10,7 @@ The others meet the texts of their block in cells of a bounded number of both, d
 is spread over tasks. In a cell, counts of letters bound the score of each pair: the letters two texts share are all that
 can match, and those they don't share have to be edited. Pairs are scored from the highest bound on, until no bound is
 over the best score, or equal to it for a text that comes before the best. So the best is exact, the first of equals.
+Cells of many texts are searched by a tree of their letters (limpid.functions.nearest), which bounds whole subtrees.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limpid.functions.fuzzy import jaro_many, levenshtein_many, score, score_by, score_most
+from limpid.functions.nearest import DEEP, nearest
 from limpid.storage import discard, written
 
-#: Texts of a cell, of either side.
-LEFT, RIGHT = 512, 2048
+#: Texts of a cell, of either side, and letters a text that they may have on average.
+LEFT, RIGHT, LONG = 4096, 32768, 64
+#: Right texts from which on the tree pays, and texts of either side that search() takes at once.
+MANY, FEW, SOME = 512, 512, 2048
 #: Edits that the index finds at most, one for so many letters; segments with more texts than this are left to cells.
 EDITS, LETTERS, WIDE = 3, 6, 32
 #: Pairs scored at first for each text of a cell.
@@ -123,6 +127,36 @@ def search(a: list[str], b: list[str], over: np.ndarray) -> tuple[np.ndarray, np
     return best, where, scored
 
 
+def best_of(a: list[str], b: list[str], over: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As search(), for any number of texts; b are all different. Of many texts, those that a tree takes are searched so."""
+    best, where, scored = over.astype(np.int64), np.full(len(a), -1), np.zeros(len(a), np.int64)
+
+    def found(how, mine: np.ndarray, theirs: np.ndarray) -> None:
+        if len(mine) and len(theirs):
+            s, j, n = how([a[k] for k in mine.tolist()], [b[k] for k in theirs.tolist()], best[mine])
+            j = np.where(j >= 0, theirs[j], -1)
+            # Scores over what was known, or as high and of a text that comes before.
+            better = (j >= 0) & ((s > best[mine]) | (where[mine] >= 0) & (j < where[mine]))
+            best[mine[better]], where[mine[better]] = s[better], j[better]
+            scored[mine] += n
+
+    def in_parts(mine: np.ndarray, theirs: np.ndarray) -> None:
+        for lo in range(0, len(theirs), SOME):
+            for i in range(0, len(mine), FEW):
+                found(again, mine[i : i + FEW], theirs[lo : lo + SOME])
+
+    # A text found before may be beaten by an equal one that comes before it, so what scores as high is looked for as well.
+    again = lambda x, y, known: search(x, y, known - 1)
+    x, y = (np.array([len(v) for v in t], np.int64) for t in (a, b))
+    mine, theirs = (x > 0) & (x <= DEEP), (y > 0) & (y <= DEEP)
+    if theirs.sum() < MANY:
+        mine[:] = False
+    found(nearest, np.flatnonzero(mine), np.flatnonzero(theirs))
+    in_parts(np.flatnonzero(mine), np.flatnonzero(~theirs))
+    in_parts(np.flatnonzero(~mine), np.arange(len(b)))
+    return best, where, scored
+
+
 def in_cells(left: DataFrame, texts: DataFrame, on: list[str], shares: DataFrame, cells: int) -> DataFrame:
     """(*on, a, s, b, scored) for each cell of a left text (*on, a, over): its best text there that scores more than `over`;
     b is null if there is none. shares: (*on, lefts, rights), the cells of a block; cells: how many there are in all."""
@@ -138,7 +172,7 @@ def in_cells(left: DataFrame, texts: DataFrame, on: list[str], shares: DataFrame
         if not lefts.num_rows or not rights.num_rows:
             return schema_none.slice(0, 0)
         b = rights["b"][0].as_py()
-        best, where, scored = search(lefts["a"].to_pylist(), b, lefts["over"].to_numpy())
+        best, where, scored = best_of(lefts["a"].to_pylist(), b, lefts["over"].to_numpy())
         told = [pa.array(best, pa.int32()), pa.array([b[k] if k >= 0 else None for k in where.tolist()], pa.string()), pa.array(scored, pa.int64())]
         return pa.table([*[lefts[c] for c in [*on, "a"]], *told], schema.names)
 
@@ -153,8 +187,9 @@ def most_similar(left: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
 
     on: the columns that make blocks, texts themselves, never null; their names begin with __."""
     left, texts = written(left, "left"), written(texts, "texts")
-    parts = lambda df, most, name: df.groupBy(*on).agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    shares = written(parts(left, LEFT, "lefts").join(parts(texts, RIGHT, "rights"), on), "shares")
+    size = lambda c, most: F.greatest(F.count("*") / most, F.sum(F.length(c)) / (most * LONG))
+    parts = lambda df, c, most, name: df.groupBy(*on).agg(F.ceil(size(c, most)).cast("int").alias(name))
+    shares = written(parts(left, "a", LEFT, "lefts").join(parts(texts, "b", RIGHT, "rights"), on), "shares")
     cells, most = shares.agg(F.coalesce(F.sum(F.col("lefts") * F.col("rights")), F.lit(0)), F.coalesce(F.max("rights"), F.lit(0))).first()
     rest, looked = left.select(*on, "a", F.lit(-1).alias("over")), None
     if most > 1:
